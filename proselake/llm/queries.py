@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from proselake.llm.binary import op8_binary_ids
 from proselake.llm.decontaminate import OP5_SQL, op5_benchmark_decontamination
+from proselake.llm.near_duplicates import OP1_SQL, op1_minhash_near_dedup
 from proselake.llm.packing import op2_best_fit_packing
 from proselake.llm.quality import OP7_SQL, op7_quality_rules
+from proselake.llm.repeats import op3_suffix_array_dedup
 from proselake.llm.sharding import op6_sharding
 from proselake.llm.tokens import op4_token_counts
 
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_minhash_near_dedup,
         op2_best_fit_packing,
+        op3_suffix_array_dedup,
         op4_token_counts,
         op5_benchmark_decontamination,
         op6_sharding,
@@ -20,4 +24,4 @@ QUERIES = {
         op8_binary_ids,
     )
 }
-SQL = {"op5_benchmark_decontamination": OP5_SQL, "op7_quality_rules": OP7_SQL}
+SQL = {"op1_minhash_near_dedup": OP1_SQL, "op5_benchmark_decontamination": OP5_SQL, "op7_quality_rules": OP7_SQL}
