@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from proselake.llm.graph import components
 from proselake.llm.shared import batches, settle, split_count, table
@@ -44,26 +45,30 @@ def band_hashes(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _described(it):
-    import zstandard
-
-    part, row, squeeze = TaskContext.get().partitionId() << 33, 0, zstandard.ZstdCompressor(level=3)
-    for batch in it:
-        texts = [folded(t) for t in batch.column(1).to_pylist()]
-        shingles, edges = shingle_sets(texts)
-        n = np.diff(edges)
-        bands = band_hashes(signatures(shingles, edges, COORDINATES))
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * bands.shape[1]), pa.array(bands.ravel()))
-        cols = [
-            pa.array(np.arange(part + row, part + row + len(texts))),
-            batch.column(0),
-            pa.array([hashlib.blake2b(t, digest_size=16).digest() for t in texts], pa.binary()),
-            pa.array(n.astype(np.int64)),
-            lists,
-            pa.array([squeeze.compress(t) for t in texts], pa.binary()),
-        ]
-        row += len(texts)
-        yield pa.RecordBatch.from_arrays(cols, ["uid", "doc_id", "key", "n", "bands", "body"])
+def _described(others: list[str]):
+    def run(it):
+        import zstandard
+
+        part, row, squeeze = TaskContext.get().partitionId() << 33, 0, zstandard.ZstdCompressor(level=3)
+        for batch in it:
+            raw = [None if t is None else t.encode() for t in batch.column("__n_text").to_pylist()]
+            texts = [folded(t) for t in raw]
+            shingles, edges = shingle_sets(texts)
+            n = np.diff(edges)
+            bands = band_hashes(signatures(shingles, edges, COORDINATES))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * bands.shape[1]), pa.array(bands.ravel()))
+            cols = [
+                pa.array(np.arange(part + row, part + row + len(texts))),
+                batch.column("__n_id"),
+                pa.array([hashlib.blake2b(t, digest_size=16).digest() for t in texts], pa.binary()),
+                pa.array(n.astype(np.int64)),
+                lists,
+                pa.array([None if t is None else squeeze.compress(t) for t in raw], pa.binary()),
+            ]
+            row += len(texts)
+            yield pa.RecordBatch.from_arrays([*cols, *(batch.column(o) for o in others)], ["uid", "doc_id", "key", "n", "bands", "body", *others])
+
+    return run
 
 
 def linked_pairs(shingles: np.ndarray, edges: np.ndarray, percent: int = 75) -> list[tuple[int, int]]:
@@ -121,7 +126,7 @@ def _verified(percent: int):
                     found += close()
                     key, ids, texts = k, [], []
                 ids.append(uid)
-                texts.append(loose.decompress(body.as_py()))
+                texts.append(folded(loose.decompress(body.as_py())))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["u", "v"])
             found = []
         found = close()
@@ -130,17 +135,13 @@ def _verified(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row.
-
-    Null and empty texts, and texts without words, have no shingles and are linked with nothing, not even with each
-    other. Repeated rows give a row each. A null id takes part in links but never names a component, and is not kept
-    if its component has another id. Other columns are not read.
-    """
+def _classified(docs: DataFrame, doc_id: str, text: str, percent: int, others: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(uid, doc_id, key, n, body and the renamed `others` of each row; key, class and component_id of each node)."""
     spark = docs.sparkSession
     batches(spark)
-    source = docs.select(F.col(doc_id).cast("long"), text)
-    rows = settle(source.mapInArrow(_described, "uid long, doc_id long, key binary, n long, bands array<long>, body binary"), "rows")
+    source = docs.select(F.col(doc_id).cast("long").alias("__n_id"), F.col(text).alias("__n_text"), *(F.col(c).alias(f"__n_{i}") for i, c in enumerate(others)))
+    schema = T.StructType([*T.StructType.fromDDL("uid long, doc_id long, key binary, n long, bands array<long>, body binary"), *source.schema[2:]])
+    rows = settle(source.mapInArrow(_described([f"__n_{i}" for i in range(len(others))]), schema), "rows")
     some = rows.where("n > 0")
     nodes = settle(some.groupBy("key").agg(F.min("uid").alias("node"), F.min("doc_id").alias("least_id")), "nodes")
     own = some.select("uid", "bands").join(nodes.select(F.col("node").alias("uid")), "uid", "left_semi")
@@ -168,14 +169,51 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = nodes.join(roots, "node", "left").select("key", "least_id", F.coalesce("class", "node").alias("class"))
     classes = settle(classes, "classes")
     names = classes.groupBy("class").agg(F.min("least_id").alias("component_id"))
-    named = classes.join(names, "class").select("key", "component_id")
-    full = rows.select("doc_id", "key", F.col("n").alias("n_shingles")).join(named, "key", "left")
+    return rows, classes.join(names, "class").select("key", "class", "component_id")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row.
+
+    Null and empty texts, and texts without words, have no shingles and are linked with nothing, not even with each
+    other. Repeated rows give a row each. A null id takes part in links but never names a component, and is not kept
+    if its component has another id. Other columns are not read.
+    """
+    rows, named = _classified(docs, doc_id, text, percent, [])
+    full = rows.select("doc_id", "key", F.col("n").alias("n_shingles")).join(named.drop("class"), "key", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return full.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.when(F.col("component_id").isNull(), F.lit(True)).otherwise(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
     )
 
 
+def _restored(names: list[str], text: str):
+    def run(it):
+        import zstandard
+
+        loose = zstandard.ZstdDecompressor()
+        for batch in it:
+            texts = [None if b is None else loose.decompress(b).decode() for b in batch.column("body").to_pylist()]
+            others = iter(batch.schema.names[1:])
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == text else batch.column(next(others)) for n in names], names)
+
+    return run
+
+
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
+    """`docs` with exactly one row of each class: the one with the least id, of repeated ids the first.
+
+    Rows without words all stay, as they are linked with nothing. All columns stay as they are.
+    """
+    others = [c for c in docs.columns if c != text]
+    rows, named = _classified(docs, doc_id, text, percent, others)
+    last = F.lit((1 << 63) - 1)
+    first = rows.where("n > 0").select("uid", "doc_id", "key").join(named, "key").groupBy("class").agg(F.min(F.struct(F.coalesce("doc_id", last), "uid")).alias("s"))
+    stay = first.select(F.col("s.uid").alias("uid")).union(rows.where("n = 0").select("uid"))
+    kept = rows.join(stay, "uid", "left_semi").select("body", *(f"__n_{i}" for i in range(len(others))))
+    return kept.mapInArrow(_restored(docs.columns, text), docs.schema)
+
+
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document."""
     return near_duplicates(table(spark, sf_dir, "documents"))

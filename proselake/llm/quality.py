@@ -104,7 +104,7 @@ def failures(rules: tuple[Rule, ...] = RULES) -> Column:
     """The names of the rules that a measured document breaks, compiled from the table."""
     broken = []
     for r in rules:
-        x = F.col("__q_m")[r.measure]
+        x = F.col("__q_g")[r.measure]
         tests = [x < r.low] * (r.low is not None) + [x > r.high] * (r.high is not None)
         broken += [F.when(c, F.lit(r.name)) for c in tests]
     return F.array_compact(F.array(*broken))
@@ -112,11 +112,12 @@ def failures(rules: tuple[Rule, ...] = RULES) -> Column:
 
 def quality(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """`df` with the base counts, ``base_failed``, ``failed_rules`` and ``kept``. Narrow: one pass, no exchange."""
-    m = measured(df, text)
-    g = F.col("__q_m")
+    g = F.col("__q_g")
     base = (g["n_words"] < BASE_MIN_WORDS) | (100 * g["n_repeat_words"] > BASE_REPEAT_PERCENT * g["n_words"])
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     kept = [c for c in df.columns if c not in {*names, "base_failed", "failed_rules", "kept"}]
+    # a filter on the verdict stays above this generator of one row, so the counts are computed once
+    m = measured(df, text).select(*kept, F.explode(F.array("__q_m")).alias("__q_g"))
     return m.select(
         *kept, *(g[n].alias(n) for n in names), base.alias("base_failed"), failures(rules).alias("failed_rules")
     ).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from proselake.llm.binary import op8_binary_ids
 from proselake.llm.decontaminate import OP5_SQL, op5_benchmark_decontamination
+from proselake.llm.licenses import OP10_SQL, op10_license_scans
 from proselake.llm.near_duplicates import OP1_SQL, op1_minhash_near_dedup
 from proselake.llm.packing import op2_best_fit_packing
 from proselake.llm.quality import OP7_SQL, op7_quality_rules
 from proselake.llm.repeats import op3_suffix_array_dedup
 from proselake.llm.sharding import op6_sharding
 from proselake.llm.tokens import op4_token_counts
+from proselake.llm.urls import op9_url_filters
 
 QUERIES = {
     f.__name__: f
@@ -22,6 +24,8 @@ QUERIES = {
         op6_sharding,
         op7_quality_rules,
         op8_binary_ids,
+        op9_url_filters,
+        op10_license_scans,
     )
 }
-SQL = {"op1_minhash_near_dedup": OP1_SQL, "op5_benchmark_decontamination": OP5_SQL, "op7_quality_rules": OP7_SQL}
+SQL = {"op1_minhash_near_dedup": OP1_SQL, "op5_benchmark_decontamination": OP5_SQL, "op7_quality_rules": OP7_SQL, "op10_license_scans": OP10_SQL}

@@ -250,6 +250,26 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return done.union(finished).drop("did", "xx", *([] if keep_text else ["rest"]))
 
 
+def _texts(names: list[str], text: str):
+    def run(it):
+        import zstandard
+
+        loose = zstandard.ZstdDecompressor()
+        for batch in it:
+            # a character that a removed run cuts goes with it
+            texts = [loose.decompress(b.as_py()).decode("utf-8", "ignore") for b in batch.column("rest")]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == text else batch.column(n) for n in names], names)
+
+    return run
+
+
+def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """`docs` with all repeated 200-byte strings taken out of the text; null texts become empty, all else stays."""
+    found = remove_repeats(docs.withColumnsRenamed({c: f"__r_{c}" for c in docs.columns}), f"__r_{doc_id}", f"__r_{text}", keep_text=True)
+    plain = found.drop("n_bytes", "n_removed", "n_spans", "kept_sha256").withColumnsRenamed({f"__r_{c}": c for c in docs.columns})
+    return plain.mapInArrow(_texts(docs.columns, text), docs.schema)
+
+
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document that stand in a repeated 200-byte string."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

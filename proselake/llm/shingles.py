@@ -24,9 +24,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def folded(text: str | None) -> bytes:
-    """The words ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case, one blank between them, as UTF-8."""
-    return b" ".join((text or "").encode().translate(_FOLD).split())
+def folded(text: bytes | None) -> bytes:
+    """The words ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case, one blank between them; all in UTF-8."""
+    return b" ".join((text or b"").translate(_FOLD).split())
 
 
 _POWERS = np.ones(1, np.uint64), np.ones(1, np.uint64)
