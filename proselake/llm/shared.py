@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes of an Arrow batch that goes to a Python task; long texts make the byte bound the one that counts.
-BATCH_ROWS = 1000
-BATCH_BYTES = 8 << 20
+BATCH_ROWS = 500
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -9,6 +9,8 @@ SIZE = 5
 COORDINATES = 128
 #: Shingles that are permuted at a time, so that the work stays in a core's cache.
 _STEP = 1 << 15
+#: Bytes of text whose words are hashed at a time.
+_GROUP = 1 << 19
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -46,8 +48,21 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def shingle_sets(texts: list[bytes], size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each folded text, one text after the other, and where each text begins (and the end).
 
-    A text of fewer words than `size` is one shingle; a text without words has none.
+    A text of fewer words than `size` is one shingle; a text without words has none. Texts are taken in groups of about
+    `_GROUP` bytes, so the arrays that stand beside the result stay small.
     """
+    out, edges, lo, used = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], 0, 0
+    for i, t in enumerate(texts):
+        used += len(t)
+        if used > _GROUP or i + 1 == len(texts):
+            got, e = _group_sets(texts[lo : i + 1], size)
+            out.append(got)
+            edges.append(e[1:] + edges[-1][-1])
+            lo, used = i + 1, 0
+    return np.concatenate(out), np.concatenate(edges)
+
+
+def _group_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     blank = np.flatnonzero(raw == 32)
     lengths = np.array([len(t) for t in texts], np.int64)

@@ -34,7 +34,7 @@ WORD_LEVEL = re.compile(f"[{_LATIN}]+(?=[,.{WHITE}]|\\Z)|[,.]+{_END}|[^{WHITE}]+
 SENTENCE_LEVEL = re.compile("[ ▁]*[^ ▁]+|[ ▁]+")
 
 #: Entries that a worker keeps; beyond it the store starts anew, so memory stays bounded on any corpus.
-CACHE = 500_000
+CACHE = 250_000
 _GROUP = 1 << 19
 
 
