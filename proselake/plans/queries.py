@@ -1,13 +1,136 @@
-"""Registered queries of the prose analyses, with SQL for an oracle."""
+"""Registered queries of the prose analyses over `documents`, with SQL of equal meaning.
+
+The lexicon terms hardly occur in the corpus, so some queries append one by the document's id, alike in both forms.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from proselake.functions import lexicons as lex
+from proselake.functions.text import paragraph_lines, sentences, tokens, words
+from proselake.operators import documents as D
+from proselake.operators import sentences as S
+from proselake.operators import words as W
+from proselake.plans.analyze import analyze
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
+
+
+def _with_terms(d: DataFrame, terms) -> DataFrame:
+    add = F.element_at(F.array(*map(F.lit, terms)), (F.col("doc_id") % len(terms) + 1).cast("int"))
+    return d.withColumn("text", F.concat_ws(" ", "text", add, add))
+
+
+def _q(terms) -> str:
+    return ", ".join("'" + t.replace("'", "''") + "'" for t in terms)
+
+
+def _terms_sql(terms) -> str:
+    return f"(SELECT doc_id, text || ' ' || ([{_q(terms)}])[CAST(doc_id % {len(terms)} + 1 AS INT)] || ' ' || ([{_q(terms)}])[CAST(doc_id % {len(terms)} + 1 AS INT)] AS text FROM documents)"
+
+
+_SPACE = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+_WORDS = r"list_filter(list_transform(string_split_regex(text, '" + _SPACE + r"'), lambda w: lower(regexp_replace(w, '^[^\p{L}\p{N}''-]+|[^\p{L}\p{N}''-]+$', '', 'g'))), lambda w: w <> '')"
+
+
+def overused_words(spark, sf_dir):
+    return W.overused(_docs(spark, sf_dir))
+
+
+def repeated_phrases(spark, sf_dir):
+    return W.repeated(_docs(spark, sf_dir))
+
+
+def echoes(spark, sf_dir):
+    return W.echoes(_docs(spark, sf_dir).withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n"))))
+
+
+def word_counts(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    return d.select("doc_id", F.size(words("text")).cast("long").alias("n_words"), F.size(tokens("text")).cast("long").alias("n_tokens"), F.size(paragraph_lines("text")).cast("long").alias("n_paragraphs"), W.glue_index().alias("glue_index"))
+
+
+def _terms(name, terms, column, fields):
+    def run(spark, sf_dir):
+        d = _with_terms(_docs(spark, sf_dir), terms).select("doc_id", column("text").alias("r"))
+        return d.select("doc_id", *(F.col("r")[f].alias(f) for f in fields))
+
+    run.__name__ = name
+    return run
+
+
+diction = _terms("diction", (*lex.VAGUE_WORDS, *lex.VAGUE_PHRASES), W.diction, ("total_vague", "unique_vague"))
+jargon = _terms("jargon", (*lex.JARGON_WORDS, *lex.JARGON_PHRASES), W.jargon, ("total_jargon", "unique_jargon"))
+cliches = _terms("cliches", lex.CLICHES, W.cliches, ("total_cliches",))
+sensory = _terms("sensory", tuple(w for v in lex.SENSES.values() for w in v), W.sensory, ("sensory_count", "sensory_percentage"))
+consistency = _terms("consistency", tuple(f"{a} {b}" for a, b, _ in lex.SPELLINGS), W.consistency, ("total_issues",))
+
+
+def acronyms(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.explode(W.acronyms()["acronym_list"]).alias("a")).select("doc_id", "a.*")
+
+
+def sentence_reports(spark, sf_dir):
+    d = _docs(spark, sf_dir).withColumn("s", sentences("text"))
+    s = F.col("s")
+    return d.select("doc_id", F.size("s").alias("n_sentences"), S.pacing(s).alias("pacing"), S.sentence_length(s).alias("length"), S.transitions(s).alias("transitions"), S.conjunction_starts(s).alias("conjunctions"), S.sticky("text", s).alias("sticky"))
+
+
+def grammar(spark, sf_dir):
+    return _docs(spark, sf_dir).withColumn("s", sentences("text")).select("doc_id", S.grammar(F.col("s"), 10.0).alias("grammar"))
+
+
+def readability(spark, sf_dir):
+    return _docs(spark, sf_dir).withColumn("s", sentences("text")).select("doc_id", S.readability(F.col("text"), F.col("s"), 12.0).alias("r")).select("doc_id", "r.*")
+
+
+def style(spark, sf_dir):
+    return analyze(_with_terms(_docs(spark, sf_dir), tuple(lex.HIDDEN_VERBS)), checks=["grammar", "style"]).select("doc_id", "style.*")
+
+
+def token_bytes(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", D.token_report("text", [], 2000).alias("t")).select("doc_id", "t.count", "t.over_budget")
+
+
+def completeness(spark, sf_dir):
+    head = "concat('## Where things stand\n', text, '\n\n## Decisions made\n', CASE WHEN doc_id % 3 = 0 THEN 'TBD' ELSE 'yes' END, '\n\n', CASE WHEN doc_id % 2 = 0 THEN '## What''s next\n\nmore\n' ELSE '' END, '## Landmines\n\nnone known')"
+    return D.sections(_docs(spark, sf_dir).selectExpr("doc_id", f"{head} AS text"), "handoff").select("doc_id", "name", "status")
+
+
+def suppressions(spark, sf_dir):
+    body = "concat('a\n<!-- proselake disable grammar, style -->\nb\n', CASE WHEN doc_id % 2 = 0 THEN '<!-- proselake enable grammar -->\n' ELSE '' END, 'c\n<!-- proselake disable-next-line echoes -->\nd\n')"
+    return D.suppressions(_docs(spark, sf_dir).selectExpr("doc_id", f"{body} AS text"))
+
+
+def path_rules(spark, sf_dir):
+    paths = _docs(spark, sf_dir).selectExpr("concat('docs/', source, '/', lang, '/', doc_id, '.md') AS path")
+    rules = [{"paths": ["docs/**/*.md"], "checks": {"readability": 8, "tokens": 100}}, {"paths": ["docs/src1/*.md"], "checks": {"readability": 12}}, {"paths": ["[invalid", "docs/src1/en/*.md"], "checks": {"tokens": 7}}]
+    return D.resolve_rules(paths, rules)
+
+
+QUERIES = {f.__name__: f for f in (overused_words, repeated_phrases, echoes, word_counts, diction, jargon, cliches, sensory, consistency, acronyms, sentence_reports, grammar, readability, style, token_bytes, completeness, suppressions, path_rules)}
+
+_COUNTED = f"w AS (SELECT doc_id, {_WORDS} AS w FROM documents)"
 
 
-def overused_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+def _listed_sql(terms, singles, phrases, total, unique) -> str:
+    ph = " + ".join(f"(length(l) - length(replace(l, '{p}', ''))) // {len(p)}" for p in phrases)
+    kinds = " + ".join(f"CAST(contains(l, '{p}') AS INT)" for p in phrases)
+    return f"WITH t AS (SELECT doc_id, lower(text) AS l, {_WORDS} AS w FROM {_terms_sql(terms)}), f AS (SELECT doc_id, l, list_filter(w, lambda x: x IN ({_q(singles)})) AS f FROM t) SELECT doc_id, CAST(len(f) + {ph} AS BIGINT) AS {total}, CAST(len(list_distinct(f)) + {kinds} AS BIGINT) AS {unique} FROM f"
 
 
-QUERIES: dict = {}
-SQL: dict = {}
+SQL = {
+    "overused_words": f"WITH {_COUNTED}, x AS (SELECT doc_id, len(w) AS total, unnest(w) AS word FROM w) SELECT doc_id, word, count(*) AS count, round(100.0::DOUBLE * count(*) / max(total) * 10) / 10 AS frequency FROM x WHERE strlen(word) > 3 AND word NOT IN ({_q(lex.GLUE)}) GROUP BY doc_id, word HAVING 100.0::DOUBLE * count(*) / max(total) > 0.5",
+    "repeated_phrases": f"WITH {_COUNTED}, x AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (2), (3), (4)) n(k) WHERE len(w) >= k), g AS (SELECT doc_id, array_to_string(w[i : i + k - 1], ' ') AS phrase FROM x) SELECT doc_id, phrase, count(*) AS count FROM g GROUP BY doc_id, phrase HAVING count(*) > 1 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, phrase) <= 50",
+    "word_counts": f"WITH w AS (SELECT doc_id, text, {_WORDS} AS w FROM documents) SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(list_filter(string_split_regex(text, '{_SPACE}'), lambda x: x <> '')) AS BIGINT) AS n_tokens, (SELECT count(*) FROM (SELECT unnest(list_transform(string_split(text, chr(10)), lambda s: CAST(trim(s) = '' AS INT))) AS b, generate_subscripts(string_split(text, chr(10)), 1) AS i) q WHERE b = 0 AND (i = 1 OR trim(string_split(text, chr(10))[i - 1]) = '')) AS n_paragraphs, CASE WHEN len(w) > 0 THEN round(len(list_filter(w, lambda x: x IN ({_q(lex.GLUE)}))) / len(w) * 100 * 10) / 10 ELSE 0.0 END AS glue_index FROM w",
+    "diction": _listed_sql((*lex.VAGUE_WORDS, *lex.VAGUE_PHRASES), lex.VAGUE_WORDS, lex.VAGUE_PHRASES, "total_vague", "unique_vague"),
+    "jargon": _listed_sql((*lex.JARGON_WORDS, *lex.JARGON_PHRASES), lex.JARGON_WORDS, lex.JARGON_PHRASES, "total_jargon", "unique_jargon"),
+    "cliches": f"SELECT doc_id, CAST({' + '.join(f'(length(l) - length(replace(l, {_q([p])}, {_q([''])}))) // {len(p)}' for p in lex.CLICHES)} AS BIGINT) AS total_cliches FROM (SELECT doc_id, lower(text) AS l FROM {_terms_sql(lex.CLICHES)})",
+    "token_bytes": "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS count, strlen(text) > 2000 AS over_budget FROM documents",
+    "completeness": "SELECT doc_id, name, CASE WHEN name = 'What''s next' AND doc_id % 2 = 1 THEN 'missing' WHEN name = 'Decisions made' AND doc_id % 3 = 0 THEN 'empty' ELSE 'present' END AS status FROM documents, (VALUES ('Where things stand'), ('Decisions made'), ('What''s next'), ('Landmines')) s(name)",
+    "suppressions": "SELECT doc_id, c AS \"check\", CAST(s AS INT) AS start, CAST(e AS INT) AS \"end\", s IS NULL AS file_level FROM documents, (VALUES ('grammar', 2, 4, 0), ('grammar', NULL, NULL, 1), ('style', NULL, NULL, 2), ('echoes', 0, 0, 3)) v(c, s0, e0, k), LATERAL (SELECT CASE WHEN k = 3 THEN 6 - doc_id % 2 + 1 ELSE s0 END AS s, CASE WHEN k = 3 THEN 6 - doc_id % 2 + 1 ELSE e0 END AS e) WHERE NOT (k = 0 AND doc_id % 2 = 1) AND NOT (k = 1 AND doc_id % 2 = 0)",
+}
