@@ -33,8 +33,9 @@ WORD_LEVEL = re.compile(f"[{_LATIN}]+(?=[,.{WHITE}]|\\Z)|[,.]+{_END}|[^{WHITE}]+
 #: is safe. The library writes a blank as U+2581 and takes that character for one.
 SENTENCE_LEVEL = re.compile("[ ▁]*[^ ▁]+|[ ▁]+")
 
-#: Entries that a worker keeps; beyond it the store starts anew, so memory stays bounded on any corpus.
-CACHE = 250_000
+#: Pieces of text in each of a worker's two stores. A full store becomes the old one, and what is met again moves to the
+#: new one, so frequent pieces stay and memory is bounded on any corpus.
+CACHE = 400_000
 _GROUP = 1 << 19
 
 
@@ -45,7 +46,7 @@ class PieceIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.pattern, self.known = Tokenizer.from_file(path), pattern, {}
+        self.tokenizer, self.pattern, self.known, self.old = Tokenizer.from_file(path), pattern, {}, {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     @staticmethod
@@ -59,8 +60,11 @@ class PieceIds:
         whole = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
         pieces = [() if i in whole else self.pattern.findall(t) for i, t in enumerate(texts)]
         if len(self.known) > CACHE:
-            self.known = {}
-        new = list(set().union(*pieces).difference(self.known))
+            self.known, self.old = {}, self.known
+        new = set().union(*pieces).difference(self.known)
+        again = new.intersection(self.old)
+        self.known.update((p, self.old[p]) for p in again)
+        new = list(new - again)
         for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
             self.known[p] = self._pack(e.ids)
         get = self.known.__getitem__
