@@ -35,17 +35,19 @@ SENTENCE_LEVEL = re.compile("[ ▁]*[^ ▁]+|[ ▁]+")
 
 #: Pieces of text in each of a worker's two stores. A full store becomes the old one, and what is met again moves to the
 #: new one, so frequent pieces stay and memory is bounded on any corpus.
-CACHE = 400_000
+#: A packing worker shares its executor with those of other stages of the pipeline, so its stores are smaller.
+CACHE = {"byte": 100_000, "word": 400_000}
 _GROUP = 1 << 19
 
 
 class PieceIds:
     """Ids of texts as little-endian unsigned 32-bit bytes, by a `tokenizers` file."""
 
-    def __init__(self, path: str, pattern: re.Pattern):
+    def __init__(self, path: str, pattern: re.Pattern, cache: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.cache = cache
         self.tokenizer, self.pattern, self.known, self.old = Tokenizer.from_file(path), pattern, {}, {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
@@ -59,7 +61,7 @@ class PieceIds:
         # a special string is cut out before all else, so the library reads such a text whole
         whole = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
         pieces = [() if i in whole else self.pattern.findall(t) for i, t in enumerate(texts)]
-        if len(self.known) > CACHE:
+        if len(self.known) > self.cache:
             self.known, self.old = {}, self.known
         new = set().union(*pieces).difference(self.known)
         again = new.intersection(self.old)
@@ -89,7 +91,7 @@ class PieceIds:
 @lru_cache(maxsize=4)
 def piece_ids(path: str, level: str) -> PieceIds:
     """One per worker process, kept from task to task."""
-    return PieceIds(path, {"byte": BYTE_LEVEL, "word": WORD_LEVEL}[level])
+    return PieceIds(path, {"byte": BYTE_LEVEL, "word": WORD_LEVEL}[level], CACHE[level])
 
 
 @lru_cache(maxsize=2)
