@@ -158,3 +158,9 @@ def split_sentences(text: str) -> list[tuple[str, int]]:
 def sentences(texts: pd.Series) -> pd.Series:
     """Numbered sentences with their lines; the rule looks back over earlier boundaries, so no expression gives it."""
     return texts.map(lambda t: [{"num": i + 1, "text": s, "line": line} for i, (s, line) in enumerate(split_sentences(t or ""))])
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def sentence_counts(paras: pd.Series) -> pd.Series:
+    """The number of sentences of each text of an array."""
+    return paras.map(lambda p: [len(split_sentences(t or "")) for t in (p if p is not None else ())])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proselake.functions.text import sentences, text_of, too_large
+from proselake.functions.text import paragraphs, sentence_counts, sentences, text_of, too_large
 from proselake.operators import sentences as S
 from proselake.operators import words as W
 from proselake.operators.documents import prose, token_report
@@ -33,7 +33,9 @@ def analyze(docs: DataFrame, checks=None, exclude=None, strip_md: bool = False,
     d = docs.select(key, (prose(text) if strip_md else text_of(text)).alias("__t")).withColumn("__s", sentences("__t"))
     s = F.col("__s")
     passive = F.size(S.passives(s)) if "grammar" in names else None
-    paras = F.array(F.struct(F.lit(1).alias("num"), F.col("__t").alias("text"), F.size(s).alias("sentences")))
+    if "complex_paragraphs" in names:
+        d = d.withColumn("__p", paragraphs("__t")).withColumn("__n", sentence_counts("__p"))
+    paras = F.transform("__p", lambda p, i: F.struct((i + 1).alias("num"), p.alias("text"), F.get("__n", i).alias("sentences")))
     made = {
         "readability": lambda: S.readability(F.col("__t"), s, max_grade, dictionary),
         "grammar": lambda: S.grammar(s, passive_max),
