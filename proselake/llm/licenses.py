@@ -1,13 +1,16 @@
 """License scans: sparse TF-IDF cosine of notices to templates, then inheritance from the nearest ancestor directory.
 
-DataFrame functions only. The notice of a file is made of all its lines with a trigger word. Its term vector is
-compared with each template's by array functions, with the weights of the (fixed, small) templates as literals; a term
-that no template has gets the largest weight. Licence files give their licence to their directory; a file without a
-licence of its own takes that of the nearest directory above it.
+DataFrame functions only. Each trigger word of a file is laid on the first one of each template, and the words in the
+template's length around it, with or without trigger words and across line ends, form a block; so what stands beside a
+notice does not dilute it. The lines with a trigger word, taken together, are one more block. Term vectors are compared
+by array functions, with the weights of the (fixed, small) templates as literals; a term that no template has gets the
+largest weight. The best block counts. Licence files give their licence to their directory; a file without a licence of
+its own takes that of the nearest directory above it.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 
@@ -26,10 +29,52 @@ TEMPLATES = {
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0. This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.",
 }
+#: Whole short licences, whole standard headers, titles of long licences and SPDX lines, for the blocks.
+TEXTS = {
+    "Apache-2.0": [
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+        "SPDX-License-Identifier: Apache-2.0",
+    ],
+    "MIT": [
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so',
+        "SPDX-License-Identifier: MIT",
+    ],
+    "GPL-3.0": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc.",
+        "SPDX-License-Identifier: GPL-3.0-only",
+        "SPDX-License-Identifier: GPL-3.0-or-later",
+    ],
+    "BSD-3-Clause": [
+        'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+        "SPDX-License-Identifier: BSD-3-Clause",
+    ],
+    "CC-BY-4.0": ["Creative Commons Attribution 4.0 International Public License", "SPDX-License-Identifier: CC-BY-4.0"],
+    "CC-BY-NC-4.0": ["Creative Commons Attribution-NonCommercial 4.0 International Public License", "SPDX-License-Identifier: CC-BY-NC-4.0"],
+    "MPL-2.0": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        "Mozilla Public License Version 2.0",
+        "SPDX-License-Identifier: MPL-2.0",
+    ],
+    # neighbours, so that a block of theirs is not taken for one of the above
+    "GPL-2.0": [
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "This work is licensed under the GNU General Public License, version 2.",
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc.",
+        "SPDX-License-Identifier: GPL-2.0-only",
+        "SPDX-License-Identifier: GPL-2.0-or-later",
+    ],
+    "LGPL-2.1": ["GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 Free Software Foundation, Inc.", "SPDX-License-Identifier: LGPL-2.1-only", "SPDX-License-Identifier: LGPL-2.1-or-later"],
+    "LGPL-3.0": ["GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc.", "SPDX-License-Identifier: LGPL-3.0-only", "SPDX-License-Identifier: LGPL-3.0-or-later"],
+}
 TRIGGER = "licen[sc]e|copyright|spdx|redistribution"
 LICENSE_FILE = r"(?i)^(licen[sc]e|copying|notice)(\.[a-z]+)?$"
 #: Least cosine, in thousandths, for a match.
 THRESHOLD = 300
+#: A block near a template of at most SHORT words must also hold a name that the template has; a longer one must reach CLOSE.
+NAMES, SHORT, CLOSE = "apache|^mit$|gnu|gpl|bsd|^cc|commons|mozilla|mpl", 30, 600
 _TERM = "[^a-z0-9.-]+"
 
 
@@ -42,9 +87,15 @@ def template_sentences() -> dict[str, list[str]]:
     return {k: [v, *(s for s in re.split(r"(?<=\.) ", v) if re.search(TRIGGER, s.lower()))] for k, v in TEMPLATES.items()}
 
 
-def weights() -> tuple[dict[str, float], float, list[tuple[str, dict[str, float]]]]:
+def block_templates() -> dict[str, list[str]]:
+    """The templates of the blocks: those above, and the whole texts."""
+    old = template_sentences()
+    return {k: list(dict.fromkeys((*old.get(k, ()), *v))) for k, v in TEXTS.items()}
+
+
+def weights(templates: dict[str, list[str]] | None = None) -> tuple[dict[str, float], float, list[tuple[str, dict[str, float]]]]:
     """Inverse document frequency of the terms, the weight of any other term, and the unit vectors."""
-    rows = [(k, _terms(s)) for k, all_ in template_sentences().items() for s in all_]
+    rows = [(k, _terms(s)) for k, all_ in (templates or template_sentences()).items() for s in all_]
     n = len(rows)
     seen = {t for _, terms in rows for t in terms}
     idf = {t: math.log((1 + n) / (1 + sum(t in terms for _, terms in rows))) + 1 for t in sorted(seen)}
@@ -56,20 +107,62 @@ def weights() -> tuple[dict[str, float], float, list[tuple[str, dict[str, float]
     return idf, math.log(1 + n) + 1, out
 
 
-def notice(text: Column) -> Column:
-    """All lines with a trigger word, in lower case, one blank between them."""
+def _lower(text: Column) -> tuple[Column, Column]:
+    """The text in lower case, and whether it can hold a trigger word."""
     lower = F.lower(F.coalesce(text, F.lit("")))
     # plain searches are cheap, and few texts get further
-    any_ = lower.contains("licen") | lower.contains("copyright") | lower.contains("spdx") | lower.contains("redistribution")
+    return lower, lower.contains("licen") | lower.contains("copyright") | lower.contains("spdx") | lower.contains("redistribution")
+
+
+def notice(text: Column) -> Column:
+    """All lines with a trigger word, in lower case, one blank between them."""
+    lower, any_ = _lower(text)
     return F.when(any_, F.array_join(F.filter(F.split(lower, "\n"), lambda x: x.rlike(TRIGGER)), " ")).otherwise("")
 
 
+def _split(text: Column) -> Column:
+    return F.filter(F.transform(F.split(text, _TERM), lambda x: F.regexp_replace(x, r"^[.-]+|[.-]+$", "")), lambda x: x != "")
+
+
+def blocks(files: DataFrame, text: str = "text") -> DataFrame:
+    """`files` with ``__l_block``: (c: less the best cosine in thousandths, k: its licence) over all blocks, or null."""
+    templates = block_templates()
+    idf, other, vectors = weights(templates)
+    rows = []
+    for (k, v), terms in zip(vectors, (_terms(s) for all_ in templates.values() for s in all_), strict=True):
+        hit = next(i for i, t in enumerate(terms) if re.search(TRIGGER, t))
+        rows.append({"k": k, "q": hit, "n": len(terms), "v": v, "names": [t for t in v if re.search(NAMES, t)]})
+    # one literal each, so that plans stay small
+    known, table_ = (F.from_json(F.lit(json.dumps(x)), kind) for x, kind in ((rows, "array<struct<k: string, q: int, n: int, v: map<string, double>, names: array<string>>>"), (idf, "map<string, double>")))
+    lower, any_ = _lower(F.col(text))
+    weighed = F.transform("__l_all", lambda t: F.struct(t.alias("t"), F.coalesce(F.element_at(table_, t), F.lit(other)).alias("w")))
+    hits = F.filter(F.transform("__l_all", lambda t, i: F.when(t.rlike(TRIGGER), i + 1)), lambda i: i.isNotNull())
+
+    def add(a: Column, x: Column) -> Column:
+        # equal terms stand side by side: s is the weight of the term so far, n the square of the length
+        s = F.when(x["t"] == a["t"], a["s"]).otherwise(F.lit(0.0))
+        return F.struct(x["t"].alias("t"), (s + x["w"]).alias("s"), (a["n"] + x["w"] * (2 * s + x["w"])).alias("n"))
+
+    def scored(p: Column, t: Column) -> Column:
+        start = p - t["q"]
+        block = F.slice("__l_at", F.greatest(start, F.lit(1)), t["n"] + F.least(start - 1, F.lit(0)))
+        dot = F.aggregate(block, F.lit(0.0), lambda a, x: a + x["w"] * F.coalesce(F.element_at(t["v"], x["t"]), F.lit(0.0)))
+        norm = F.aggregate(F.array_sort(block), F.struct(F.lit("").alias("t"), F.lit(0.0).alias("s"), F.lit(0.0).alias("n")), add, lambda a: F.sqrt(a["n"]))
+        c = F.floor(dot / norm * 1000 + 0.5).cast("int")
+        named = F.exists(block, lambda x: F.array_contains(t["names"], x["t"]))
+        ok = F.when(t["n"] <= SHORT, named).otherwise(c >= CLOSE)
+        return F.when(ok, F.struct((-c).alias("c"), t["k"].alias("k")))
+
+    each = F.transform("__l_hits", lambda p: F.array_min(F.transform(known, lambda t: scored(p, t))))
+    out = files.withColumn("__l_all", F.when(any_, _split(lower)).otherwise(F.array().cast("array<string>")))
+    return out.withColumns({"__l_at": weighed, "__l_hits": hits}).withColumn("__l_block", F.array_min(each)).drop("__l_all", "__l_at", "__l_hits")
+
+
 def scanned(files: DataFrame, text: str = "text") -> DataFrame:
     """`files` with ``own_license`` and ``cosine_milli`` (thousandths), null where nothing matches. Narrow."""
     idf, other, vectors = weights()
-    terms = F.filter(F.transform(F.split(notice(F.col(text)), _TERM), lambda x: F.regexp_replace(x, r"^[.-]+|[.-]+$", "")), lambda x: x != "")
     table_ = F.create_map(*(x for t, w in idf.items() for x in (F.lit(t), F.lit(w))))
-    has = files.withColumn("__l_terms", terms)
+    has = blocks(files, text).withColumn("__l_terms", _split(notice(F.col(text))))
     sorted_ = F.array_sort("__l_terms")
     # counts of each distinct term, from its place in sorted order
     counts = F.transform(
@@ -87,9 +180,10 @@ def scanned(files: DataFrame, text: str = "text") -> DataFrame:
     each = F.array(*(F.struct(F.floor(cosine(v) * 1000 + 0.5).cast("int").alias("c"), F.lit(k).alias("k")) for k, v in vectors))
     # the largest cosine; of equals the first licence by name
     best = F.array_sort(each, lambda a, b: F.when(a["c"] > b["c"], -1).when(a["c"] < b["c"], 1).when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0))[0]
-    has = has.withColumn("__l_best", F.when(F.size("__l_terms") > 0, best))
-    ok = F.col("__l_best")["c"] >= THRESHOLD
-    return has.withColumns({"own_license": F.when(ok, F.col("__l_best")["k"]), "cosine_milli": F.when(ok, F.col("__l_best")["c"])}).drop("__l_terms", "__l_v", "__l_n", "__l_best")
+    lines = F.when(F.size("__l_terms") > 0, F.struct((-best["c"]).alias("c"), best["k"].alias("k")))
+    has = has.withColumn("__l_best", F.array_min(F.array(lines, "__l_block")))
+    ok = F.col("__l_best")["c"] <= -THRESHOLD
+    return has.withColumns({"own_license": F.when(ok, F.col("__l_best")["k"]), "cosine_milli": F.when(ok, -F.col("__l_best")["c"])}).drop("__l_terms", "__l_v", "__l_n", "__l_block", "__l_best")
 
 
 def inherit(files: DataFrame, path: str = "path") -> DataFrame:

@@ -13,7 +13,7 @@ from proselake.llm import queries as Q
 from proselake.llm import repeats
 from proselake.llm.binary import PerfectHash, key_codes, read_ids, write_ids
 from proselake.llm.decontaminate import decontaminate
-from proselake.llm.licenses import inherit, scanned
+from proselake.llm.licenses import TEXTS, inherit, scanned
 from proselake.llm.near_duplicates import drop_near_duplicates, near_duplicates
 from proselake.llm.packing import pack, plan
 from proselake.llm.quality import quality
@@ -159,6 +159,18 @@ def test_licenses(spark):
     assert got == {"a/LICENSE": ("MIT", None), "a/b/c.py": ("MIT", "a"), "a/b/d.py": ("Apache-2.0", None), "e.py": (None, None), None: (None, None)}
 
 
+def test_license_blocks(spark):
+    line = "Licensed under the Apache License, Version 2.0."
+    prose = "we walked by the river and nobody there could say which licence the old ferry had been given that summer or who had paid for it"
+    mit = "MIT License\n\nCopyright (c) 2020 A. Person\n\n" + TEXTS["MIT"][0].replace(", ", ",\n")
+    texts = {"lines": f"{line}\n{prose}\n{prose}", "run": f"{prose} {line} {prose} {prose}", "mit": mit, "mit within": f"{prose}\n{mit}\n{prose}", "spdx": f"# SPDX-License-Identifier: MIT\n{prose}",
+             "mention": prose, "other": "SPDX-License-Identifier: ISC", "copyright": "Copyright 2020 A. Person. All rights reserved."}
+    got = {r["path"]: (r["own_license"], r["cosine_milli"]) for r in scanned(spark.createDataFrame(list(texts.items()), "path string, text string")).collect()}
+    assert got["lines"] == got["run"] == ("Apache-2.0", 1000) and got["spdx"] == ("MIT", 1000)
+    assert got["mit"][0] == got["mit within"][0] == "MIT" and min(got["mit"][1], got["mit within"][1]) >= 950
+    assert got["mention"] == got["other"] == got["copyright"] == (None, None)
+
+
 def test_decontaminate(spark):
     item = "one two three four five six seven eight nine ten eleven"
     d = spark.createDataFrame([(1, f"Before. {item.upper()}! After", "x"), (2, "clean text", None), (3, None, None)], "doc_id long, text string, lang string")
