@@ -9,7 +9,9 @@
 4. Runs of repeated windows go back to their documents and are removed.
 
 A cell whose anchor is frequent is dealt out by the 84 bytes to the left and to the right of the anchor, since each
-window holds one of the two; so a frequent line in ever new surroundings fills no cell.
+window holds one of the two; so a frequent line in ever new surroundings fills no cell. A longer passage in ever new
+surroundings still does: a cell of more bytes than a block gets no suffix array, but each of its windows is hashed (128
+bits, with the cell), counted with partial counts before the exchange, and met with the repeated ones over salted keys.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from proselake.llm.suffixes import repeated_windows
 
 #: Occurrences of an anchor from which its cell is dealt out by side; bytes of a block for one suffix array.
 FREQUENT, BLOCK = 2000, 1 << 20
+#: Tasks over which the occurrences of one window in a large cell are dealt.
+SALTS = 16
 _SIDE = (WINDOW - GRAM) // 2
 #: Stands for a null id among the keys of rows.
 _NO_ID = -(1 << 63)
@@ -170,6 +174,39 @@ def _judged(it):
     yield close()
 
 
+def _windowed(it):
+    """The windows of parts of large cells, each by its hash."""
+    import xxhash
+
+    for batch in it:
+        dids, xxs, ats, judges, keys = [], [], [], [], []
+        names = ("cell", "did", "xx", "first", "judge", "part")
+        for cell, did, xx, first, judge, part in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
+            n, head = len(part) - WINDOW + 1, cell.to_bytes(8, "little", signed=True)
+            dids += [did] * n
+            xxs += [xx] * n
+            ats += range(first, first + n)
+            judges += [judge] * n
+            keys += [xxhash.xxh3_128_digest(head + part[i : i + WINDOW]) for i in range(n)]
+        k = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
+        cols = [pa.array(k[:, 0].copy()), pa.array(k[:, 1].copy()), pa.array(dids, pa.int64()), pa.array(xxs, pa.int64()), pa.array(ats, pa.int64()), pa.array(judges, pa.bool_())]
+        yield pa.RecordBatch.from_arrays(cols, ["k", "l", "did", "xx", "a", "judge"])
+
+
+def by_size(parts: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """`parts` of the cells of at most `block` bytes, and those of larger ones; there is at most one of these per block."""
+    large = settle(parts.groupBy("cell").agg(F.sum(F.length("part")).alias("size")).where(F.col("size") > block).select("cell"), "large")
+    return tuple(parts.join(F.broadcast(large), "cell", how) for how in ("left_anti", "left_semi"))
+
+
+def _counted(parts: DataFrame) -> DataFrame:
+    """(did, xx, a, b): the repeated windows of parts to judge, whatever the size of their cells."""
+    windows = settle(parts.mapInArrow(_windowed, "k long, l long, did long, xx long, a long, judge boolean"), "windows")
+    many = windows.groupBy("k", "l").agg(F.count("*").alias("c")).where("c > 1").select("k", "l", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    own = windows.where("judge").withColumn("salt", F.pmod(F.hash("did", "xx", "a"), F.lit(SALTS)))
+    return own.join(many, ["k", "l", "salt"]).select("did", "xx", "a", (F.col("a") + WINDOW).alias("b"))
+
+
 def _finished(keep: list[str]):
     def run(it):
         import zstandard
@@ -241,8 +278,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     state = settle(noted.mapInArrow(_noted(keep, keep_text), _schema(keyed, keep, more)), "state")
 
     parts = state.select("did", "xx", F.explode("parts").alias("p")).select("did", "xx", "p.*")
-    dealt = parts.repartition(split_count(spark), "cell").sortWithinPartitions("cell", "did", "xx", "first")
-    runs = dealt.mapInArrow(_judged, "did long, xx long, a long, b long").distinct().groupBy("did", "xx").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
+    small, large = by_size(parts, BLOCK)
+    dealt = small.repartition(split_count(spark), "cell").sortWithinPartitions("cell", "did", "xx", "first")
+    found = dealt.mapInArrow(_judged, "did long, xx long, a long, b long").union(_counted(large))
+    runs = found.distinct().groupBy("did", "xx").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
     more = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, rest binary"
     waiting = state.where("open").drop("parts", "open", "n_removed", "n_spans", "kept_sha256").join(runs, ["did", "xx"], "left")
     finished = waiting.mapInArrow(_finished(keep), _schema(keyed, keep, more))

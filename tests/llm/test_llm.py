@@ -80,6 +80,29 @@ def test_repeats(spark, docs, monkeypatch, frequent):
     assert repeats.drop_repeats(docs).count() == docs.count()
 
 
+def test_repeats_in_large_cells(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "FREQUENT", 20)
+    monkeypatch.setattr(repeats, "BLOCK", 3000)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 7)))
+    some = lambda: " ".join(word() for _ in range(60))
+    passage, longer = some()[:160], some()[:230]
+    texts = [f"{some()} {passage if i % 3 else longer} {some()}" for i in range(90)]
+    texts += [t[: len(t) // 2 + 150] for t in texts[:6]] + texts[:2]
+    sizes, split = [], repeats.by_size
+
+    def recorded(parts, block):
+        out = split(parts, block)
+        sizes.extend([max((r[1] for r in d.groupBy("cell").agg(F.sum(F.length("part"))).collect()), default=0) for d in out])
+        return out
+
+    monkeypatch.setattr(repeats, "by_size", recorded)
+    got = repeats.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert rows(got) == sorted([(i, *w) for i, w in enumerate(removed(texts))], key=str)
+    # what is left for suffix arrays is bounded, and there was a cell over the bound
+    assert sizes[0] <= 3000 < sizes[1]
+
+
 def test_near_duplicates(spark, docs):
     got = rows(near_duplicates(docs))
     assert (4, 146, 3, False) in got and (3, 146, 3, True) in got and (5, 146, 3, False) in got and (None, 146, 3, False) in got
