@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from proselake.llm import queries as Q
-from proselake.llm import repeats
+from proselake.llm import repeats, urls
 from proselake.llm.binary import PerfectHash, key_codes, read_ids, write_ids
 from proselake.llm.decontaminate import decontaminate
 from proselake.llm.licenses import TEXTS, inherit, scanned
@@ -176,6 +176,29 @@ def test_urls(spark):
     assert got[1, "x.net"] == "block" and got[2, "x.org"] == "allow" and len(got) == 3
 
 
+def test_urls_beyond_the_broadcasts(spark, monkeypatch):
+    slug = "a" * 70
+    text = "<p>" + "cheap " * 9 + "pills " * 8 + "good " * 7 + "books " * 6
+    rows_ = [(i, f"http://cheappills{i % 3}.net/sale/{slug}x", text) for i in range(6)] + [(10 + i, f"http://goodbooks.org/fr/read/{slug}y", text) for i in range(5)]
+    rows_ += [(20, "http://cheappills.info/", ""), (21, "http://goodbooks.info/", ""), (22, f"http://q.info/{slug}y", ""), (23, f"http://q.info/{slug}x", ""), (23, f"http://q.info/{slug}x", ""), (None, None, None)]
+    pages = spark.createDataFrame(rows_, "page_id long, url string, html string")
+    model = Segmenter({"cheap": 99, "pills": 88, "good": 77, "books": 66})
+    seen = [(i, *parts(u)) for i, u, _ in rows_]
+    taught = {v: [t for _, h, p in seen if rule_of(h, p)[1] == v for t in model.tokens(h, p)] for v in ("block", "allow")}
+    pages_of = Counter(rule_of(h, p)[1] for _, h, p in seen)
+    size, count = len(set(taught["block"]) | set(taught["allow"])) + 1, {v: Counter(t) for v, t in taught.items()}
+    want = []
+    for i, h, p in seen:
+        score = np.log((pages_of["block"] + 1) / (pages_of["allow"] + 1)) + sum(np.log((count["block"][t] + 1) / (len(taught["block"]) + size)) - np.log((count["allow"][t] + 1) / (len(taught["allow"]) + size)) for t in model.tokens(h, p))
+        want.append((i, rule_of(h, p)[1] or ("block" if score > 0 else "allow")))
+    assert {(20, "block"), (21, "allow"), (22, "allow"), (23, "block")} <= set(want)
+    for bound in (100_000, 1):
+        monkeypatch.setattr(urls, "VOCABULARY", bound)
+        monkeypatch.setattr(urls, "FEATURES", bound)
+        assert rows(filter_urls(pages).select("page_id", "verdict")) == sorted(want, key=str)
+    assert filter_urls(pages.where("false")).count() == 0
+
+
 def test_licenses(spark):
     files = spark.createDataFrame([("a/LICENSE", "Released under the MIT License."), ("a/b/c.py", "x = 1"), ("a/b/d.py", "Licensed under the Apache License, Version 2.0."), ("e.py", None), (None, "")], "path string, text string")
     got = {r["path"]: (r["license"], r["license_from"]) for r in inherit(scanned(files)).collect()}
