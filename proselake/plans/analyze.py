@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proselake.functions.text import paragraphs, sentence_counts, sentences, text_of, too_large
+from proselake.functions.text import MAX_BYTES, paragraphs, sentence_counts, sentences, text_of, too_large
 from proselake.operators import sentences as S
 from proselake.operators import words as W
 from proselake.operators.documents import prose, token_report
@@ -24,10 +24,10 @@ def check_names(checks=None, exclude=None) -> tuple[str, ...]:
     return tuple(c for c in CHECKS if (not checks or c in checks) and c not in (exclude or ()))
 
 
-def analyze(docs: DataFrame, checks=None, exclude=None, strip_md: bool = False, max_grade=None, passive_max=None, dialect=None, key: str = "doc_id", text: str = "text", dictionary=None) -> DataFrame:
+def analyze(docs: DataFrame, checks=None, exclude=None, strip_md: bool = False, max_grade=None, passive_max=None, dialect=None, key: str = "doc_id", text: str = "text", dictionary=None, limit: int | None = MAX_BYTES) -> DataFrame:
     """(key, error, one struct per check). Overused words, repeated phrases and echoes come as long tables of their
     own verbs and are gathered here by key; all other checks are array expressions over the row. A blank or too large
-    text gives an error and null reports.
+    text gives an error and null reports; with `limit` None no text is too large.
     """
     names = check_names(checks, exclude)
     d = docs.select(key, (prose(text) if strip_md else text_of(text)).alias("__t")).withColumn("__s", sentences("__t"))
@@ -53,7 +53,7 @@ def analyze(docs: DataFrame, checks=None, exclude=None, strip_md: bool = False,
         "conjunction_starts": lambda: S.conjunction_starts(s),
         "style": lambda: W.style("__t", passive),
     }
-    error = F.coalesce(too_large("__t"), F.when(F.trim("__t") == "", "no scorable text in input"))
+    error = F.coalesce(too_large("__t", limit), F.when(F.trim("__t") == "", "no scorable text in input"))
     out = d.select(key, error.alias("error"), *(F.when(error.isNull(), made[n]()).alias(n) for n in names if n in made))
     for n in names:
         if n in _LONG:

@@ -89,7 +89,7 @@ def readability(spark, sf_dir):
 
 
 def style(spark, sf_dir):
-    return analyze(_with_terms(_docs(spark, sf_dir), tuple(lex.HIDDEN_VERBS)), checks=["grammar", "style"]).select("doc_id", "style.*")
+    return analyze(_with_terms(_docs(spark, sf_dir), tuple(lex.HIDDEN_VERBS)), checks=["grammar", "style"], limit=None).select("doc_id", "style.*")
 
 
 def token_bytes(spark, sf_dir):

@@ -59,6 +59,15 @@ def test_reports(spark):
     assert one(spark, "Send an email to the e-mail address.", lambda s: W.consistency("text"))["total_issues"] == 1
 
 
+def test_analyze_without_a_limit(spark, tmp_path):
+    text = "x" * 5_242_881 + ". We made a decision."
+    d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert analyze(d, checks=["transitions"]).first()["error"] is not None
+    assert analyze(d, checks=["transitions"], limit=None).first()["transitions"] is not None
+    d.selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source").write.parquet(str(tmp_path / "documents.parquet"))
+    assert Q.style(spark, str(tmp_path)).first()["style_score"] is not None
+
+
 def test_analyze_handles_null_and_blank(spark):
     d = spark.createDataFrame([(1, None), (2, " "), (3, "Run fast. Stop now.")], "doc_id int, text string")
     rows = {r["doc_id"]: r for r in gate(analyze(d, checks=["readability", "pacing", "overused"])).collect()}
