@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from proselake.llm.shared import batches, settle, shared_dir, split_count, table
-from proselake.llm.tokens import piece_ids
+from proselake.llm.pieces import piece_ids
 
 MAGIC = b"IDSHARD1"
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -93,11 +93,10 @@ class ShardWriter:
         fs.create_dir(path.rpartition("/")[0], recursive=True)
         self.out, self.width, self.keys, self.lengths = fs.open_output_stream(path), width, [], []
 
-    def add(self, key, ids: bytes) -> None:
-        """`ids` are 32-bit."""
-        self.out.write(ids if self.width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes())
+    def add(self, key, ids: np.ndarray) -> None:
+        self.out.write(ids.astype(f"<u{self.width}").tobytes())
         self.keys.append(key)
-        self.lengths.append(len(ids) // 4)
+        self.lengths.append(len(ids))
 
     def close(self) -> None:
         length = np.array(self.lengths, "<u8")
@@ -153,17 +152,17 @@ class ShardReader:
 
 
 def _write(path: str, end_id: int, folder: str, width: int):
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
 
     def run(it):
         at = TaskContext.get()
         # another attempt writes another file; the manifest, which Spark commits, names the one that counts
         uri = f"{folder}/shard-{at.partitionId():06d}-{at.taskAttemptId()}.ids"
-        writer, encoder, n = ShardWriter(uri, width), piece_ids(path, "word"), 0
+        writer, encoder, n = ShardWriter(uri, width), piece_ids(path, keeps_white=False), 0
         for batch in it:
             keys, first = batch.column(0).to_pylist(), n
-            for key, got in zip(keys, encoder.ids(batch.column(1).to_pylist()), strict=True):
-                writer.add(key, got + end)
+            for key, got in zip(keys, encoder.ids(batch.column(1)), strict=True):
+                writer.add(key, np.concatenate((got, end)))
                 n += 1
             yield pa.RecordBatch.from_arrays([pa.array([at.partitionId()] * len(keys), pa.int32()), pa.array([uri] * len(keys)), batch.column(0), pa.array(range(first, n), pa.int64())], ["shard", "uri", "doc_id", "position"])
         writer.close()

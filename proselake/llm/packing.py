@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from proselake.llm.shared import batches, settle, table
-from proselake.llm.tokens import piece_ids
+from proselake.llm.pieces import piece_ids
 
 #: Lengths up to this share of the capacity are small; groups of equal cardinality for the others.
 SMALL_SHARE, GROUPS = 0.25, 96
@@ -174,17 +174,17 @@ def plan(hist: dict[int, int], capacity: int = 1024, groups: int = GROUPS, small
 
 
 def _cut(path: str, end_id: int, capacity: int):
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"]
 
     def run(it):
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        encoder = piece_ids(path, "byte")
+        encoder = piece_ids(path, keeps_white=True)
         for batch in it:
             ids, piece, start, length, crc, rank = [], [], [], [], [], []
-            for doc, got in zip(batch.column(0).to_pylist(), encoder.ids(batch.column(1).to_pylist()), strict=True):
-                got += end
-                n = len(got) // 4
+            for doc, got in zip(batch.column(0).to_pylist(), encoder.ids(batch.column(1)), strict=True):
+                got = memoryview(np.concatenate((got, end)))
+                n = len(got)
                 at, k = 0, n % capacity or capacity
                 i = 0
                 while at < n:
@@ -192,7 +192,7 @@ def _cut(path: str, end_id: int, capacity: int):
                     piece.append(i)
                     start.append(at)
                     length.append(k)
-                    crc.append(zlib.crc32(memoryview(got)[4 * at : 4 * (at + k)]))
+                    crc.append(zlib.crc32(got[at : at + k]))
                     rank.append(int(seen[k]))
                     seen[k] += 1
                     at, k, i = at + k, capacity, i + 1

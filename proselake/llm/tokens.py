@@ -1,13 +1,11 @@
-"""Token ids and token counts by way of pre-tokens.
+"""Token counts by way of pre-tokens.
 
-A tokenizer's ids of a text are the ids of its pre-tokens in order, as long as a cut falls only where the tokenizer
-itself always cuts. The patterns below cut at white space, and between Latin letters and a following comma or full
-stop that ends a word. Each distinct piece of text then goes to the library once per worker.
+A sentence-piece text is cut before each run of blanks, where no piece reaches across. Each distinct pre-token of the
+corpus then goes to the library once, and a document's count is the sum over its pre-tokens.
 """
 
 from __future__ import annotations
 
-import os
 import re
 from collections import Counter
 from functools import lru_cache
@@ -19,80 +17,10 @@ from pyspark.sql import functions as F
 
 from proselake.llm.shared import batches, settle, table
 
-#: The characters of Unicode's White_Space, as regex character class content.
-WHITE = "\t-\r \x85\xa0  -     　"
-_LATIN = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
-_END = f"(?=[{WHITE}]|\\Z)"
-#: Byte-level BPE: one blank belongs to the word after it, and the last blank of a run that a word follows stands alone.
-BYTE_LEVEL = re.compile(
-    f" ?[{_LATIN}]+(?=[,.{WHITE}]|\\Z)|[,.]+{_END}| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
-)
-#: Tokenizers that drop white space.
-WORD_LEVEL = re.compile(f"[{_LATIN}]+(?=[,.{WHITE}]|\\Z)|[,.]+{_END}|[^{WHITE}]+")
-#: Sentence pieces: no piece holds a blank after another character, so a cut before any run of blanks
-#: is safe. The library writes a blank as U+2581 and takes that character for one.
+#: No piece holds a blank after another character, so a cut before any run of blanks is safe. The library writes a
+#: blank as U+2581 and takes that character for one.
 SENTENCE_LEVEL = re.compile("[ ▁]*[^ ▁]+|[ ▁]+")
 
-#: Pieces of text in each of a worker's two stores. A full store becomes the old one, and what is met again moves to the
-#: new one, so frequent pieces stay and memory is bounded on any corpus.
-#: A packing worker shares its executor with those of other stages of the pipeline, so its stores are smaller.
-CACHE = {"byte": 100_000, "word": 400_000}
-_GROUP = 1 << 19
-
-
-class PieceIds:
-    """Ids of texts as little-endian unsigned 32-bit bytes, by a `tokenizers` file."""
-
-    def __init__(self, path: str, pattern: re.Pattern, cache: int):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.cache = cache
-        self.tokenizer, self.pattern, self.known, self.old = Tokenizer.from_file(path), pattern, {}, {}
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-
-    @staticmethod
-    def _pack(ids: list[int]) -> bytes:
-        import numpy as np
-
-        return np.array(ids, "<u4").tobytes()
-
-    def _group(self, texts: list[str]) -> list[bytes]:
-        # a special string is cut out before all else, so the library reads such a text whole
-        whole = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
-        pieces = [() if i in whole else self.pattern.findall(t) for i, t in enumerate(texts)]
-        if len(self.known) > self.cache:
-            self.known, self.old = {}, self.known
-        new = set().union(*pieces).difference(self.known)
-        again = new.intersection(self.old)
-        self.known.update((p, self.old[p]) for p in again)
-        new = list(new - again)
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[p] = self._pack(e.ids)
-        get = self.known.__getitem__
-        return [
-            self._pack(self.tokenizer.encode(texts[i], add_special_tokens=False).ids) if i in whole else b"".join(map(get, p))
-            for i, p in enumerate(pieces)
-        ]
-
-    def ids(self, texts):
-        """Yield the ids of each text; null is an empty text."""
-        group, size = [], 0
-        for t in texts:
-            group.append(t or "")
-            size += len(t or "")
-            if size > _GROUP:
-                yield from self._group(group)
-                group, size = [], 0
-        if group:
-            yield from self._group(group)
-
-
-@lru_cache(maxsize=4)
-def piece_ids(path: str, level: str) -> PieceIds:
-    """One per worker process, kept from task to task."""
-    return PieceIds(path, {"byte": BYTE_LEVEL, "word": WORD_LEVEL}[level], CACHE[level])
-
 
 @lru_cache(maxsize=2)
 def sentence_pieces(path: str):
@@ -101,8 +29,6 @@ def sentence_pieces(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
-# --- token counts ---------------------------------------------------------------------------------------------------
-
 #: The most frequent pre-tokens of at most LONGEST characters, whose counts every task gets by broadcast: at most
 #: FREQUENT * LONGEST characters (25.6 MB), and about 5 MB in practice. All other pre-tokens meet their counts in a join.
 FREQUENT, LONGEST = 200_000, 32
