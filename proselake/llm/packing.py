@@ -5,9 +5,10 @@ All planning runs on the histogram of piece lengths, which has at most `capacity
 1. lengths over a threshold are rounded up within groups of equal cardinality;
 2. few sizes are left, so a linear programme over configurations of them (column generation with a knapsack for each
    step) says how many sequences of each configuration to open;
-3. actual lengths take the places of the rounded ones, and a configuration whose room neither is filled nor can take a
-   small length is given up;
-4. what did not go into a whole configuration, and the small lengths, go where they fit best.
+3. actual documents take the places of the rounded ones: each place but a configuration's last takes the longest document
+   up to its size, and the last one the longest that still fits, so what rounding left over is used up;
+4. what the whole parts of the programme did not place goes through steps 1 to 3 again;
+5. small lengths go where they fit best, into the room that configurations leave.
 
 The plan says for each range of ranks within a length which sequences and offsets it takes. Documents get their rank
 from counts per (task, length), so nothing is sorted and no group is collected.
@@ -28,8 +29,6 @@ from proselake.llm.pieces import piece_ids
 
 #: Lengths up to this share of the capacity are small; groups of equal cardinality for the others.
 SMALL_SHARE, GROUPS = 0.25, 96
-#: Once actual lengths stand in a configuration, it is kept if it has at most TIGHT room left, or at least this share.
-TIGHT, FILLABLE = 1, 0.125
 
 
 def grouped(hist: dict[int, int], low: int, groups: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -71,7 +70,11 @@ def _best_configuration(sizes: np.ndarray, value: np.ndarray, capacity: int) ->
 
 
 def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 1500) -> list[tuple[np.ndarray, float]]:
-    """Configurations and how often each is used, by the linear programme that uses the fewest sequences."""
+    """Configurations and how often each is used, by the linear programme that uses the fewest sequences.
+
+    After `rounds` columns the programme ends with what it has, which is a valid solution if not the best one. With 96
+    sizes it took 150 to 400.
+    """
     s, d = np.array(sizes), np.array(demand, float)
     columns = np.diag((capacity // s).astype(float))
     for _ in range(rounds):
@@ -92,6 +95,7 @@ class _Plan:
 
     def __init__(self, hist: dict[int, int], capacity: int):
         self.capacity, self.left, self.rank, self.rows, self.next = capacity, dict(hist), dict.fromkeys(hist, 0), [], 0
+        self.in_configurations = 0
         self.free: dict[int, list[tuple[int, int]]] = {}
 
     def place(self, length: int, first: int, count: int, offset: int) -> None:
@@ -104,6 +108,41 @@ class _Plan:
         if room and count:
             self.free.setdefault(room, []).append((first, count))
 
+    def longest(self, top: int, low: int, taken: dict[int, int]) -> int:
+        """The longest length over `low` and up to `top` of which there are more than those taken; 0 if there is none."""
+        while top > low and self.left.get(top, 0) <= taken.get(top, 0):
+            top -= 1
+        return top if top > low else 0
+
+    def configured(self, sizes: list[int], demand: list[int], low: int) -> int:
+        """Open the configurations that the programme wants for these sizes; how many documents they took."""
+        placed = 0
+        for config, times in sorted(configurations(sizes, demand, self.capacity), key=lambda u: -u[1]):
+            todo, slots = int(times + 1e-6), [s for s, n in zip(sizes, config, strict=True) for _ in range(int(round(n)))]
+            while todo:
+                taken: dict[int, int] = {}
+                lengths, room = [], self.capacity
+                for i, size in enumerate(slots):
+                    length = self.longest(room if 0 < i == len(slots) - 1 else size, low, taken)
+                    if not length:
+                        break
+                    taken[length] = taken.get(length, 0) + 1
+                    lengths.append(length)
+                    room -= length
+                if len(lengths) < len(slots):
+                    break  # the documents of these sizes are used up
+                # sequences stay alike until one of the lengths runs out
+                count = min(todo, *(self.left[length] // n for length, n in taken.items()))
+                offset = 0
+                for length in lengths:
+                    self.place(length, self.next, count, offset)
+                    offset += length
+                self.keep(self.next, count, room)
+                self.next += count
+                todo -= count
+                placed += count * len(lengths)
+        return placed
+
     def best_fit(self, length: int) -> None:
         while n := self.left[length]:
             room = min((r for r in self.free if r >= length), default=None)
@@ -125,52 +164,27 @@ class _Plan:
             self.keep(first, count, room - k * length)
 
 
-def plan(hist: dict[int, int], capacity: int = 1024, groups: int = GROUPS, small_share: float = SMALL_SHARE) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """([(length, first rank, count, first sequence, offset)...], number of sequences) for a histogram of lengths."""
+def plan(hist: dict[int, int], capacity: int = 1024, groups: int = GROUPS, small_share: float = SMALL_SHARE) -> _Plan:
+    """The plan for a histogram of lengths: ``rows`` of (length, first rank, count, first sequence, offset), ``next``
+    sequences in all, and ``in_configurations`` documents that the configurations took.
+    """
     p = _Plan(hist, capacity)
     full = hist.get(capacity, 0)
     if full:
         p.place(capacity, 0, full, 0)
         p.next = full
-    made = grouped({k: n for k, n in hist.items() if k < capacity}, int(capacity * small_share), groups)
-    if made:
+    low = int(capacity * small_share)
+    while made := grouped({k: n for k, n in p.left.items() if n}, low, groups):
         # groups of one rounded size are one size of the programme
         sizes = sorted({size for size, _ in made}, reverse=True)
-        supply = {size: [part for s, parts in made if s == size for part in parts] for size in sizes}
-        uses = configurations(sizes, [sum(n for _, n in supply[s]) for s in sizes], capacity)
-        for config, times in sorted(uses, key=lambda u: -u[1]):
-            times, slots = int(times + 1e-6), [s for s, n in zip(sizes, config, strict=True) for _ in range(int(round(n)))]
-            times = min([times, *(sum(n for _, n in supply[s]) // slots.count(s) for s in set(slots))])
-            if not times:
-                continue
-            # each slot takes a run of documents, longest first; sequences between two changes of length are alike
-            runs, cuts = [], {0, times}
-            for s in slots:
-                need, run, at = times, [], 0
-                while need:
-                    length, n = supply[s].pop(0)
-                    k = min(n, need)
-                    if n > k:
-                        supply[s].insert(0, (length, n - k))
-                    run.append((at, length))
-                    need, at = need - k, at + k
-                    cuts.add(at)
-                runs.append(run)
-            edges = sorted(cuts)
-            for a, b in zip(edges, edges[1:]):
-                lengths = [next(x for at, x in reversed(run) if at <= a) for run in runs]
-                room = capacity - sum(lengths)
-                if TIGHT < room < capacity * FILLABLE:
-                    continue  # too little room for small lengths: these documents go where they fit best
-                offset = 0
-                for length in lengths:
-                    p.place(length, p.next, b - a, offset)
-                    offset += length
-                p.keep(p.next, b - a, room)
-                p.next += b - a
+        demand = [sum(n for s, parts in made if s == size for _, n in parts) for size in sizes]
+        placed = p.configured(sizes, demand, low)
+        p.in_configurations += placed
+        if not placed:
+            break
     for length in sorted(p.left, reverse=True):
         p.best_fit(length)
-    return p.rows, p.next
+    return p
 
 
 def _cut(path: str, end_id: int, capacity: int):
@@ -217,8 +231,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, capacity: int = 1024, doc_
     pieces = settle(cut, "pieces")
     counts = settle(pieces.groupBy("length", "task").agg(F.count("*").alias("n")), "counts")
     hist = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
-    rows, _ = plan(hist, capacity)
-    rows.sort()
+    rows = sorted(plan(hist, capacity).rows)
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     keys = np.array([(length << 44) + rank for length, rank, *_ in rows], np.int64)
