@@ -518,6 +518,14 @@ SUBJECT_VERB = (
     (r"\b(they|we|you)\s+(is|was|has)\b", "Plural subject with singular verb"),
     (r"\b(the\s+\w+s)\s+(is|was|has)\b", "Possible plural subject with singular verb"),
 )
+#: Messages by kind of issue; those of agreement stand with their patterns.
+ISSUES = {
+    "DoubleSpace": "Multiple consecutive spaces found",
+    "MissingPunctuation": "Sentence missing terminal punctuation",
+    "DoubleNegative": "Double negative detected",
+    "RunOnSentence": "Possible run-on sentence (multiple conjunction clauses)",
+    "CommaSplice": "Possible comma splice",
+}
 DOUBLE_NEGATIVE = r"\b(don't|doesn't|didn't|won't|can't|couldn't|shouldn't|wouldn't)\s+\w+\s+(no|nothing|nobody|never|nowhere|neither)\b"
 RUN_ON = r",\s+(and|but|or|so)\s+\w+\s+\w+\s+,\s+(and|but|or|so)"
 BY_PHRASE = r"\bby\s+(?:the\s+)?[a-z]+"

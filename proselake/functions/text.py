@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
+import zlib
 
 import pandas as pd
 from pyspark.sql import Column
@@ -15,9 +17,15 @@ from proselake.functions import lexicons as lex
 MAX_BYTES = 5_242_880
 SENTENCES = T.ArrayType(T.StructType([T.StructField("num", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("line", T.IntegerType())]))
 _ABBREVIATIONS = frozenset(lex.ABBREVIATIONS)
+#: Unicode's white space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_WHITE = frozenset(WHITE)
 _INITIALS = re.compile(r"\b[A-Z]\.(?:[A-Z]\.)*")
 _DECIMAL = re.compile(r"\d+\.\d+")
-_ADDRESS = re.compile(r"https?://|www\.|[\w.+-]+@[\w-]+\.\w+")
+_ADDRESS = re.compile(rf"(?:https?://|www\.)[^{WHITE}]|\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}\b")
+#: Characters that neither belong to words nor part them.
+_MARK = r"[^\p{IsAlphabetic}\p{N}'\s-]"
+_NO_LETTER = r"[^\p{IsAlphabetic}\s]"
 
 
 def text_of(c) -> Column:
@@ -36,13 +44,23 @@ def stripped(c: Column) -> Column:
 
 def tokens(c) -> Column:
     """White-space tokens, punctuation kept."""
-    return F.filter(F.split(text_of(c), r"(?U)\s+"), lambda w: w != "")
+    return F.array_remove(F.split(text_of(c), r"(?U)\s+"), "")
+
+
+def _trimmed_tokens(c: Column, outer: str) -> Column:
+    # marks at the edges of all tokens go in one pass over the text
+    bare = F.regexp_replace(c, rf"(?U)(?<!\S){outer}+|{outer}+(?!\S)", "")
+    return F.array_remove(F.split(F.lower(bare), r"(?U)\s+"), "")
 
 
 def words(c) -> Column:
     """Lower-cased words without outer punctuation; apostrophes and hyphens stay, even alone."""
-    clean = F.transform(tokens(c), lambda w: F.lower(F.regexp_replace(w, r"^[^\p{IsAlphabetic}\p{N}'-]+|[^\p{IsAlphabetic}\p{N}'-]+$", "")))
-    return F.filter(clean, lambda w: w != "")
+    return _trimmed_tokens(text_of(c), _MARK)
+
+
+def bare_tokens(c) -> Column:
+    """Lower-cased tokens without all that is no letter at their edges."""
+    return _trimmed_tokens(text_of(c), _NO_LETTER)
 
 
 def paragraphs(c) -> Column:
@@ -75,11 +93,18 @@ def estimated_syllables(w: Column) -> Column:
 
 
 def syllables(w: Column, dictionary: dict[str, int] | None = None) -> Column:
-    """Syllables by a dictionary that the caller gives, else estimated."""
+    """Syllables by a dictionary that the caller gives, else estimated. The dictionary is one literal of the plan, looked
+    up by hash in groups, so thousands of words cost little.
+    """
     if not dictionary:
         return estimated_syllables(w)
-    known = F.create_map(*(F.lit(x) for kv in dictionary.items() for x in kv))
-    return F.coalesce(F.element_at(known, w), estimated_syllables(w))
+    # a map literal is searched from its start, so words are dealt to as many maps as keep each one short
+    n = max(1, len(dictionary) // 16)
+    groups: list[dict[str, int]] = [{} for _ in range(n)]
+    for word, count in dictionary.items():
+        groups[zlib.crc32(word.encode()) % n][word] = count
+    known = F.from_json(F.lit(json.dumps(groups)), "array<map<string,int>>")
+    return F.coalesce(F.element_at(F.get(known, F.pmod(F.crc32(w.cast("binary")), F.lit(n)).cast("int")), w), estimated_syllables(w))
 
 
 def occurrences(c: Column, phrase: str) -> Column:
@@ -93,6 +118,9 @@ def too_large(c, limit: int | None = MAX_BYTES) -> Column:
     return F.when(size > limit, F.format_string(f"input of %d bytes is over the limit of {limit}", size)) if limit is not None else F.lit(None).cast("string")
 
 
+_TERMINATOR = re.compile("[.!?]")
+
+
 class _Splitter:
     """Where a text's sentences end, decided at each terminator from what stands around it."""
 
@@ -101,7 +129,7 @@ class _Splitter:
 
     def _word_before(self, at: int) -> str:
         end = at
-        while end > 0 and (self.text[end - 1].isspace() or self.text[end - 1] == "."):
+        while end > 0 and (self.text[end - 1] in _WHITE or self.text[end - 1] == "."):
             end -= 1
         begin = end
         while begin > 0 and (self.text[begin - 1].isalnum() or self.text[begin - 1] == "."):
@@ -110,7 +138,7 @@ class _Splitter:
 
     def _following(self, at: int) -> int:
         k = at + 1
-        while k < len(self.text) and self.text[k].isspace():
+        while k < len(self.text) and self.text[k] in _WHITE:
             k += 1
         return k
 
@@ -119,34 +147,39 @@ class _Splitter:
         if at == len(text) - 1:
             return True
         k = self._following(at)
-        after = text[k] if k < len(text) else ""
+        after = text[k : k + 1]
         if text[at] != ".":
-            quoted = after in ('"', "'") and after != ""
-            return not (quoted and k + 1 < len(text) and not text[k + 1].isupper())
+            # before a quotation mark it depends on what is quoted; nothing there is no new sentence either
+            return after not in ('"', "'") or after == "" or text[k + 1 : k + 2].isupper()
         before = self._word_before(at)
-        if before.lower() in _ABBREVIATIONS or (len(before) == 1 and before.isupper()) or _INITIALS.search(before):
+        if before.lower() in _ABBREVIATIONS or (len(before.encode()) == 1 and before.isupper()) or _INITIALS.search(before):
             return False
-        sentence = text[begin : at + 1]
-        if _DECIMAL.search(sentence[-10:]) or sentence.endswith("...") or _ADDRESS.search(sentence[-50:]):
+        sentence = text[max(begin, at - 49) : at + 1]
+        if _DECIMAL.search(sentence[-10:]) or sentence.endswith("...") or _ADDRESS.search(sentence):
             return False
-        if after.isdigit() and before[-1:].isdigit():
+        if after.isascii() and after.isdigit() and before[-1:].isascii() and before[-1:].isdigit():
             return False
         return after.isupper() or not after.islower()
 
 
 def split_sentences(text: str) -> list[tuple[str, int]]:
     """(sentence, 1-based line of its first character); pieces under three bytes are dropped."""
-    if not text or text.isspace():
+    if not text.strip(WHITE):
         return []
     out, begin, splitter = [], 0, _Splitter(text)
+    line, counted = 1, 0  # lines are counted once over the text
 
     def emit(end: int) -> None:
-        piece = text[begin:end].strip()
-        if len(piece.encode()) >= 3:
-            first = begin + len(text[begin:end]) - len(text[begin:end].lstrip())
-            out.append((piece, 1 + text.count("\n", 0, first)))
-
-    for m in re.finditer("[.!?]", text):
+        nonlocal line, counted
+        piece = text[begin:end]
+        bare = piece.strip(WHITE)
+        if len(bare) >= 3 or len(bare.encode()) >= 3:
+            first = begin + len(piece) - len(piece.lstrip(WHITE))
+            line += text.count("\n", counted, first)
+            counted = first
+            out.append((bare, line))
+
+    for m in _TERMINATOR.finditer(text):
         if splitter.ends(m.start(), begin):
             emit(m.end())
             begin = m.end()
@@ -155,11 +188,21 @@ def split_sentences(text: str) -> list[tuple[str, int]]:
 
 
 @F.pandas_udf(SENTENCES)
-def sentences(texts: pd.Series) -> pd.Series:
+def split_text(texts: pd.Series) -> pd.Series:
     """Numbered sentences with their lines; the rule looks back over earlier boundaries, so no expression gives it."""
     return texts.map(lambda t: [{"num": i + 1, "text": s, "line": line} for i, (s, line) in enumerate(split_sentences(t or ""))])
 
 
+def with_words(sents: Column) -> Column:
+    """Sentences with their words, which most reports need."""
+    return F.transform(sents, lambda s: F.struct(s["num"].alias("num"), s["text"].alias("text"), s["line"].alias("line"), words(s["text"]).alias("words")))
+
+
+def sentences(c) -> Column:
+    """Array of {num, text, line, words}."""
+    return with_words(split_text(c))
+
+
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def sentence_counts(paras: pd.Series) -> pd.Series:
     """The number of sentences of each text of an array."""

@@ -2,41 +2,44 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from proselake.functions import lexicons as lex
-from proselake.functions.text import let, percent, round1, stripped, syllables, text_of, tokens, words
+from proselake.functions.text import bare_tokens, let, percent, round1, syllables, tokens, words
 from proselake.operators.words import counted, glue_index
 
-_EDGE = r"^[^\p{IsAlphabetic}]+|[^\p{IsAlphabetic}]+$"
-
 
 def _words(s: Column) -> Column:
-    return F.size(words(s["text"]))
+    return F.size(s["words"])
 
 
 def readability(text: Column, sents: Column, max_grade: float | None = None, dictionary: dict[str, int] | None = None) -> Column:
     """School grade; null without words or sentences."""
-    t = tokens(text)
-    n, m = F.size(t).cast("long"), F.size(sents).cast("long")
-    syl = F.aggregate(F.transform(t, lambda w: syllables(F.lower(F.regexp_replace(w, _EDGE, "")), dictionary)), F.lit(0), lambda a, x: a + x).cast("long")
-    grade = 0.39 * (n / m) + (11.8 * (syl / n) - 15.59)
-    over = F.lit(False) if max_grade is None else grade > max_grade
-    return F.when((n > 0) & (m > 0), F.struct(grade.alias("grade"), m.alias("sentences"), n.alias("words"), syl.alias("syllables"), F.lit(max_grade).cast("double").alias("max_grade"), over.alias("over_max")))
+    syl = F.aggregate(F.transform(bare_tokens(text), lambda w: syllables(w, dictionary)), F.lit(0), lambda a, x: a + x).cast("long")
+
+    def report(n: Column, m: Column, syl: Column) -> Column:
+        grade = 0.39 * (n / m) + (11.8 * (syl / n) - 15.59)
+        over = F.lit(False) if max_grade is None else grade > max_grade
+        whole = F.struct(grade.alias("grade"), m.alias("sentences"), n.alias("words"), syl.alias("syllables"), F.lit(max_grade).cast("double").alias("max_grade"), over.alias("over_max"))
+        return F.when((n > 0) & (m > 0), whole)
 
+    return let(F.struct(F.size(tokens(text)).cast("long").alias("n"), F.size(sents).cast("long").alias("m"), syl.alias("s")), lambda x: report(x["n"], x["m"], x["s"]))
 
-def sticky(text: str, sents: Column) -> Column:
-    share = lambda s: F.size(F.filter(words(s["text"]), lambda w: w.isin(*lex.GLUE))) / _words(s) * 100
+
+def sticky(text, sents: Column, w: Column | None = None) -> Column:
+    share = lambda s: F.size(F.filter(s["words"], lambda w: w.isin(*lex.GLUE))) / _words(s) * 100
     short = lambda t: F.when(F.octet_length(t) <= 100, t).otherwise(F.concat(F.regexp_extract(F.decode(F.substring(F.encode(t, "UTF-8"), 1, 100), "UTF-8"), "(?s)^(.*?)�*$", 1), F.lit("...")))
     rows = F.transform(F.filter(sents, lambda s: _words(s) > 0), lambda s: F.struct(s["num"].alias("sentence_num"), share(s).alias("p"), s["text"].alias("text")))
-    return let(rows, lambda rated: _sticky(text, rated, short))
+    return let(rows, lambda rated: _sticky(glue_index(text, w), rated, short))
 
 
-def _sticky(text: str, rated: Column, short) -> Column:
+def _sticky(index: Column, rated: Column, short) -> Column:
     high = F.transform(F.filter(rated, lambda x: x["p"] > 45), lambda x: F.struct(x["sentence_num"], round1(x["p"]).alias("glue_percentage"), short(x["text"]).alias("text")))
     semi = F.size(F.filter(rated, lambda x: (x["p"] > 35) & (x["p"] <= 45)))
-    return F.struct(glue_index(text).alias("overall_glue_index"), F.size(high).cast("long").alias("sticky_count"), semi.cast("long").alias("semi_sticky_count"), high.alias("sticky_sentences"))
+    return F.struct(index.alias("overall_glue_index"), F.size(high).cast("long").alias("sticky_count"), semi.cast("long").alias("semi_sticky_count"), high.alias("sticky_sentences"))
 
 
 def pacing(sents: Column) -> Column:
@@ -61,20 +64,25 @@ def sentence_length(sents: Column) -> Column:
 
 
 def transitions(sents: Column) -> Column:
-    bare = lambda s: F.transform(tokens(F.lower(s["text"])), lambda w: F.regexp_replace(w, _EDGE, ""))
-    single = lambda s: F.array_intersect(F.array(*map(F.lit, lex.TRANSITION_WORDS)), bare(s))
-    phrases = lambda s: F.filter(F.array(*map(F.lit, lex.TRANSITION_PHRASES)), lambda p: F.contains(F.lower(s["text"]), p))
-    return let(F.transform(sents, lambda s: F.concat(single(s), phrases(s))), lambda each: _transitions(sents, each))
+    def found(s: Column) -> Column:
+        low = F.lower(s["text"])
+        single = F.array_intersect(F.array(*map(F.lit, lex.TRANSITION_WORDS)), bare_tokens(low))
+        return F.concat(single, let(low, lambda x: F.filter(F.array(*map(F.lit, lex.TRANSITION_PHRASES)), lambda p: F.contains(x, p))))
+
+    return let(F.transform(sents, found), lambda each: _transitions(sents, each))
 
 
 def _transitions(sents: Column, each: Column) -> Column:
-    items = counted(F.flatten(each), "transition")
-    n = F.size(F.filter(each, lambda x: F.size(x) > 0))
+    return let(F.struct(counted(F.flatten(each), "transition").alias("items"), F.size(F.filter(each, lambda x: F.size(x) > 0)).alias("n")), lambda x: _transition_report(sents, each, x["items"], x["n"]))
+
+
+def _transition_report(sents: Column, each: Column, items: Column, n: Column) -> Column:
     return F.struct(n.cast("long").alias("sentences_with_transitions"), percent(n, F.size(sents)).alias("transition_percentage"), F.size(F.flatten(each)).cast("long").alias("total_transitions"), F.size(items).cast("long").alias("unique_transitions"), items.alias("most_common"))
 
 
 def conjunction_starts(sents: Column) -> Column:
-    first = lambda s: F.regexp_replace(F.lower(F.get(tokens(s["text"]), F.lit(0))), _EDGE, "")
+    # a token of marks alone is an empty one, and no conjunction
+    first = lambda s: F.lower(F.regexp_extract(s["text"], r"(?U)^[^\p{IsAlphabetic}\s]*(\S*?)[^\p{IsAlphabetic}\s]*(?!\S)", 1))
     n = F.size(F.filter(sents, lambda s: first(s).isin(*lex.CONJUNCTIONS)))
     return F.struct(n.cast("long").alias("count"), percent(n, F.size(sents)).alias("percentage"))
 
@@ -82,7 +90,9 @@ def conjunction_starts(sents: Column) -> Column:
 def complex_paragraphs(paras: Column, dictionary: dict[str, int] | None = None) -> Column:
     """`paras`: array of {num, text, sentences}, the number of sentences found by the splitter."""
     def rated(p: Column) -> Column:
-        w = words(p["text"])
+        return let(words(p["text"]), lambda w: rating(p, w))
+
+    def rating(p: Column, w: Column) -> Column:
         syl = F.aggregate(F.transform(w, lambda x: syllables(x, dictionary)), F.lit(0), lambda a, x: a + x)
         return F.struct(p["num"].alias("paragraph_num"), (F.size(w) / p["sentences"]).alias("avg_sentence_length"), (syl / F.size(w)).alias("avg_syllables"))
 
@@ -110,30 +120,43 @@ def passives(sents: Column, least: float = 0.6) -> Column:
 
         return F.filter(F.array_compact(F.transform(w, pair)), lambda x: x["confidence"] >= least)
 
-    return F.flatten(F.transform(sents, lambda s: let(words(s["text"]), lambda w: pairs(s, w))))
+    return F.flatten(F.transform(sents, lambda s: pairs(s, s["words"])))
 
 
 def _clause(part: Column) -> Column:
-    t = F.transform(tokens(part), F.lower)
-    has = lambda terms: F.exists(t, lambda x: x.isin(*terms))
-    return (F.size(t) >= 3) & has(lex.SUBJECTS) & has(lex.COMMON_VERBS)
+    """`part` is in lower case."""
+    def clause(t: Column) -> Column:
+        has = lambda terms: F.exists(t, lambda x: x.isin(*terms))
+        return (F.size(t) >= 3) & has(lex.SUBJECTS) & has(lex.COMMON_VERBS)
+
+    return let(tokens(part), clause)
+
+
+def _any_in(text: Column, *parts: str) -> Column:
+    """Whether any of these strings is in the text: a cheap test before a pattern that needs one of them."""
+    out = text.contains(parts[0])
+    for p in parts[1:]:
+        out = out | text.contains(p)
+    return out
 
 
 def grammar_issues(sents: Column) -> Column:
     """Issues by sentence, in a fixed order within each."""
-    def issues(s: Column) -> Column:
-        t, low = s["text"], F.lower(s["text"])
-        issue = lambda test, kind, message, severity: F.when(test, F.struct(F.lit(kind).alias("issue_type"), F.lit(message).alias("message"), s["num"].alias("sentence_num"), F.lit(severity).alias("severity")))
+    def issues(s: Column, low: Column) -> Column:
+        t = s["text"]
+        issue = lambda test, kind, severity, message=None: F.when(test, F.struct(F.lit(kind).alias("issue_type"), F.lit(message or lex.ISSUES[kind]).alias("message"), s["num"].alias("sentence_num"), F.lit(severity).alias("severity")))
+        agree = lambda p: _any_in(low, *re.search(r"\(([a-z|]+)\)\\b$", p)[1].split("|")) & low.rlike("(?U)" + p)
         return F.array_compact(F.array(
-            issue(t.rlike("  +"), "DoubleSpace", "Multiple consecutive spaces found", "Low"),
-            issue(~stripped(t).rlike("[.!?]$") & (stripped(t) != ""), "MissingPunctuation", "Sentence missing terminal punctuation", "Medium"),
-            *(issue(low.rlike("(?U)" + p), "SubjectVerbAgreement", m, "High") for p, m in lex.SUBJECT_VERB),
-            issue(low.rlike("(?U)" + lex.DOUBLE_NEGATIVE), "DoubleNegative", "Double negative detected", "High"),
-            issue(low.rlike("(?U)" + lex.RUN_ON), "RunOnSentence", "Possible run-on sentence (multiple conjunction clauses)", "Medium"),
-            issue(F.size(F.filter(F.split(t, ","), _clause)) >= 2, "CommaSplice", "Possible comma splice", "Medium"),
+            issue(t.contains("  "), "DoubleSpace", "Low"),
+            # a sentence has no white space at its ends and is never empty
+            issue(~t.rlike("[.!?]$"), "MissingPunctuation", "Medium"),
+            *(issue(agree(p), "SubjectVerbAgreement", "High", m) for p, m in lex.SUBJECT_VERB),
+            issue(low.contains("n't") & low.rlike("(?U)" + lex.DOUBLE_NEGATIVE), "DoubleNegative", "High"),
+            issue(low.contains(",") & low.rlike("(?U)" + lex.RUN_ON), "RunOnSentence", "Medium"),
+            issue(t.contains(",") & (F.size(F.filter(F.split(low, ","), _clause)) >= 2), "CommaSplice", "Medium"),
         ))
 
-    return F.flatten(F.transform(sents, issues))
+    return F.flatten(F.transform(sents, lambda s: let(F.lower(s["text"]), lambda low: issues(s, low))))
 
 
 def grammar(sents: Column, passive_max: float | None = None) -> Column:

@@ -1,12 +1,13 @@
-"""Word and phrase analyses. Each verb takes documents (a key and a text) and returns one struct column or long findings.
+"""Word and phrase analyses. Each verb gives one struct column, or long findings by exploding one.
 
-Struct columns are narrow: array functions over the words of a row, no exchange. Ties are broken by term, so results
-are a definite refinement of an order that is otherwise arbitrary. Null and empty texts give zeros and empty lists.
+All are narrow: array functions over the words of a row, no exchange; so rows with one key stay documents of their own.
+`w` is a column of words where a plan has it already. Ties are broken by term, so results are a definite refinement of an
+order that is otherwise arbitrary. Null and empty texts give zeros and empty lists.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proselake.functions import lexicons as lex
@@ -21,12 +22,17 @@ def _in(w: Column, terms) -> Column:
 
 def counted(terms: Column, name: str) -> Column:
     """[{name, count}] of an array, most frequent first, then by term."""
-    def runs(s: Column) -> Column:
-        # a run of equal terms in sorted order starts where the term changes; its length is the distance to the next start
-        starts = F.array_compact(F.transform(s, lambda x, i: F.when((i == 0) | (x != F.get(s, i - 1)), i)))
-        return let(starts, lambda at: F.transform(at, lambda p, i: F.struct(F.get(s, p).alias(name), (F.coalesce(F.get(at, i + 1), F.size(s)) - p).cast("long").alias("count"))))
+    return _ranked(let(F.sort_array(terms), lambda s: _runs(s, name)), name)
 
-    return _ranked(let(F.array_sort(terms), runs), name)
+
+def _starts(s: Column) -> Column:
+    """Where runs of equal terms start in a sorted array."""
+    return F.array_compact(F.transform(s, lambda x, i: F.when((i == 0) | (x != F.get(s, i - 1)), i)))
+
+
+def _runs(s: Column, name: str) -> Column:
+    # the length of a run is the distance to the next start
+    return let(_starts(s), lambda at: F.transform(at, lambda p, i: F.struct(F.get(s, p).alias(name), (F.coalesce(F.get(at, i + 1), F.size(s)) - p).cast("long").alias("count"))))
 
 
 def _phrases(lower: Column, phrases, name: str) -> Column:
@@ -35,69 +41,114 @@ def _phrases(lower: Column, phrases, name: str) -> Column:
 
 
 def _ranked(items: Column, name: str) -> Column:
-    order = lambda a, b: F.when(a["count"] != b["count"], F.when(a["count"] > b["count"], -1).otherwise(1)).when(a[name] < b[name], -1).when(a[name] > b[name], 1).otherwise(0)
-    return F.array_sort(items, order)
+    """The items by falling count, then by name: sorted by natural order of (-count, name)."""
+    keyed = F.sort_array(F.transform(items, lambda x: F.struct((-x["count"]).alias("c"), x[name].alias("t"))))
+    return F.transform(keyed, lambda x: F.struct(x["t"].alias(name), (-x["c"]).alias("count")))
 
 
 def _total(items: Column) -> Column:
     return F.aggregate(items, F.lit(0).cast("long"), lambda a, x: a + x["count"])
 
 
-def word_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, pos, word, total): one row for each word."""
-    w = docs.select(key, words(text).alias("w"))
-    return w.select(key, F.size("w").cast("long").alias("total"), F.posexplode("w").alias("pos", "word"))
+def _words(text, w: Column | None) -> Column:
+    return words(text) if w is None else w
+
+
+def overused_report(text="text", threshold: float = 0.5, w: Column | None = None) -> Column:
+    """Words over three bytes, no glue, above `threshold` percent of the words; and the distinct words of all kinds."""
+    def report(w: Column) -> Column:
+        n = F.size(w)
+        some = F.filter(w, lambda x: (F.octet_length(x) > 3) & ~_in(x, lex.GLUE))
+        often = F.filter(counted(some, "word"), lambda x: 100.0 * x["count"] / n > threshold)
+        rows = F.transform(often, lambda x: F.struct(x["word"], x["count"], round1(100.0 * x["count"] / n).alias("frequency")))
+        return F.struct(rows.alias("overused_words"), F.size(F.array_distinct(w)).cast("long").alias("total_unique_words"))
+
+    return let(_words(text, w), report)
+
+
+def repeated_report(text="text", w: Column | None = None) -> Column:
+    """The 50 most frequent repeated runs of 2 to 4 words; their number is that of the listed ones."""
+    def grams(w: Column) -> Column:
+        at = lambda i, k: [F.get(w, i + j) for j in range(k)]
+        each = lambda k: F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - k + 1, F.lit(0))), lambda x, i: F.concat_ws(" ", *at(i, k)))
+        return F.concat(*(each(k) for k in (2, 3, 4)))
+
+    def report(s: Column) -> Column:
+        # only terms that stand beside an equal one go on to be counted
+        twice = F.array_compact(F.transform(s, lambda x, i: F.when((x == F.get(s, i + 1)) | (x == F.get(s, i - 1)), x)))
+        top = let(twice, lambda t: F.slice(_ranked(_runs(t, "phrase"), "phrase"), 1, TOP))
+        return let(top, lambda items: F.struct(F.size(items).cast("long").alias("total_repeated"), items.alias("phrases")))
+
+    return let(_words(text, w), lambda w: let(F.sort_array(grams(w)), report))
+
+
+def echoes_report(text="text", near: int = 20) -> Column:
+    """The 50 nearest repetitions of a word within a paragraph, by distance, paragraph, word and place."""
+    def of_paragraph(w: Column, para: Column) -> Column:
+        placed = F.filter(F.transform(w, lambda x, i: F.struct(x.alias("t"), i.alias("p"))), lambda x: (F.octet_length(x["t"]) >= 4) & ~_in(x["t"], lex.GLUE))
+        return let(F.sort_array(placed), lambda s: let(_starts(F.transform(s, lambda x: x["t"])), lambda at: echoed(s, at, para)))
+
+    def echoed(s: Column, at: Column, para: Column) -> Column:
+        def run(first: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(at, k + 1), F.size(s))
+            later = F.transform(F.slice(s, first + 2, end - first - 1), lambda x, i: F.struct(
+                (x["p"] - F.get(s, first + i)["p"]).alias("distance"), para.alias("paragraph"), x["t"].alias("word"), x["p"].alias("pos"), (end - first).cast("long").alias("occurrences")))
+            return F.filter(later, lambda x: x["distance"] < near)
+
+        return F.flatten(F.transform(at, run))
+
+    paras = F.transform(paragraphs(text), words)
+    found = F.flatten(F.transform(paras, lambda w, i: of_paragraph(w, i + 1)))
+    top = F.transform(F.slice(F.sort_array(found), 1, TOP), lambda x: F.struct(x["word"], x["paragraph"], x["distance"], x["occurrences"]))
+    return let(top, lambda items: F.struct(F.size(items).cast("long").alias("total_echoes"), items.alias("echoes")))
+
+
+def _long(docs: DataFrame, key: str, report: Column, field: str) -> DataFrame:
+    return docs.select(key, F.explode(report[field]).alias("__f")).select(key, "__f.*")
 
 
 def overused(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """(key, word, count, frequency): words over three bytes, no glue, above `threshold` percent of the words."""
-    w = word_table(docs, key, text).where((F.octet_length("word") > 3) & ~_in(F.col("word"), lex.GLUE))
-    n = w.groupBy(key, "word").agg(F.count("*").alias("count"), F.first("total").alias("total"))
-    share = 100.0 * F.col("count") / F.col("total")
-    return n.where(share > threshold).select(key, "word", "count", round1(share).alias("frequency"))
+    """(key, word, count, frequency) of each row's overused words."""
+    return _long(docs, key, overused_report(text, threshold), "overused_words")
 
 
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, phrase, count): the 50 most frequent repeated runs of 2 to 4 words of each document."""
-    w = docs.select(key, words(text).alias("w"))
-    grams = F.flatten(F.transform(F.array(F.lit(2), F.lit(3), F.lit(4)), lambda k: F.transform(F.slice("w", F.lit(1), F.greatest(F.size("w") - k + 1, F.lit(0))), lambda x, i: F.array_join(F.slice("w", i + 1, k), " "))))
-    n = w.select(key, F.explode(grams).alias("phrase")).groupBy(key, "phrase").agg(F.count("*").alias("count")).where("count > 1")
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("count"), "phrase"))
-    return n.withColumn("r", rank).where(f"r <= {TOP}").drop("r")
+    """(key, phrase, count) of each row's repeated phrases."""
+    return _long(docs, key, repeated_report(text), "phrases")
 
 
 def echoes(docs: DataFrame, key: str = "doc_id", text: str = "text", near: int = 20) -> DataFrame:
-    """(key, word, paragraph, distance, occurrences): the 50 nearest repetitions of each document."""
-    p = docs.select(key, F.posexplode(paragraphs(text)).alias("p", "body"))
-    w = p.select(key, (F.col("p") + 1).alias("paragraph"), F.posexplode(words("body")).alias("pos", "word"))
-    w = w.where((F.octet_length("word") >= 4) & ~_in(F.col("word"), lex.GLUE))
-    own = Window.partitionBy(key, "paragraph", "word")
-    w = w.withColumns({"distance": F.col("pos") - F.lag("pos").over(own.orderBy("pos")), "occurrences": F.count("*").over(own)})
-    rank = F.row_number().over(Window.partitionBy(key).orderBy("distance", "paragraph", "word", "pos"))
-    return w.where(f"distance < {near}").withColumn("r", rank).where(f"r <= {TOP}").select(key, "word", "paragraph", "distance", "occurrences")
-
-
-def sensory(text: str = "text") -> Column:
-    w = words(text)
+    """(key, word, paragraph, distance, occurrences) of each row's echoes."""
+    return _long(docs, key, echoes_report(text, near), "echoes")
+
+
+def sensory(text="text", w: Column | None = None) -> Column:
+    return let(_words(text, w), _sensory)
+
+
+def _sensory(w: Column) -> Column:
     sense = lambda x: F.coalesce(*(F.when(_in(x, v), F.lit(k)) for k, v in lex.SENSES.items()))
-    found = F.array_compact(F.transform(w, sense))
+    return let(F.array_compact(F.transform(w, sense)), lambda found: _senses(found, w))
+
+
+def _senses(found: Column, w: Column) -> Column:
     n = F.size(found).cast("long")
     by = F.transform(counted(found, "sense"), lambda x: F.struct(x["sense"], F.struct(x["count"].alias("count"), percent(x["count"], n).alias("percentage"))))
     return F.struct(n.alias("sensory_count"), percent(n, F.size(w)).alias("sensory_percentage"), F.map_from_entries(by).alias("by_sense"))
 
 
-def _listed(text: str, singles, phrases, name: str) -> Column:
-    found = counted(F.filter(words(text), lambda x: _in(x, singles)), name)
-    return _ranked(F.concat(found, _phrases(F.lower(text_of(text)), phrases, name)), name)
+def _listed(text, singles, phrases, name: str, w: Column | None) -> Column:
+    found = counted(F.filter(_words(text, w), lambda x: _in(x, singles)), name)
+    return _ranked(F.concat(found, let(F.lower(text_of(text)), lambda low: _phrases(low, phrases, name))), name)
 
 
-def diction(text: str = "text") -> Column:
-    found = _listed(text, lex.VAGUE_WORDS, lex.VAGUE_PHRASES, "word")
+def diction(text="text", w: Column | None = None) -> Column:
+    found = _listed(text, lex.VAGUE_WORDS, lex.VAGUE_PHRASES, "word", w)
     return let(found, lambda items: F.struct(_total(items).alias("total_vague"), F.size(items).cast("long").alias("unique_vague"), items.alias("most_common")))
 
 
-def jargon(text: str = "text") -> Column:
-    found = _listed(text, lex.JARGON_WORDS, lex.JARGON_PHRASES, "jargon")
+def jargon(text="text", w: Column | None = None) -> Column:
+    found = _listed(text, lex.JARGON_WORDS, lex.JARGON_PHRASES, "jargon", w)
     return let(found, lambda items: F.struct(_total(items).alias("total_jargon"), F.size(items).cast("long").alias("unique_jargon"), items.alias("jargon_list")))
 
 
@@ -131,19 +182,22 @@ def consistency(text: str = "text", dialect: str | None = None) -> Column:
     return F.struct(F.lit(dialect).cast("string").alias("dialect"), F.size(found).cast("long").alias("total_issues"), found.alias("issues"))
 
 
-def style(text: str = "text", passives: Column | None = None) -> Column:
+def style(text="text", passives: Column | None = None, w: Column | None = None) -> Column:
     """Adverbs, hidden verbs and the composite score from 0 to 100."""
+    return let(_words(text, w), lambda w: _style(text, passives, w))
+
+
+def _style(text, passives: Column | None, w: Column) -> Column:
     adverbs = F.size(F.regexp_extract_all(text_of(text), F.lit(r"(?U)\b\w+ly\b"), F.lit(0))).cast("long")
-    hidden = counted(F.filter(words(text), lambda x: _in(x, lex.HIDDEN_VERBS)), "noun")
+    hidden = counted(F.filter(w, lambda x: _in(x, lex.HIDDEN_VERBS)), "noun")
     verb = F.create_map(*(F.lit(x) for kv in lex.HIDDEN_VERBS.items() for x in kv))
-    hidden = F.array_sort(F.transform(hidden, lambda x: F.struct(x["noun"].alias("noun"), F.element_at(verb, x["noun"]).alias("verb"), x["count"].alias("count"))))
-    glue, vague = glue_index(text), diction(text)["total_vague"]
+    hidden = F.sort_array(F.transform(hidden, lambda x: F.struct(x["noun"].alias("noun"), F.element_at(verb, x["noun"]).alias("verb"), x["count"].alias("count"))))
+    glue, vague = glue_index(text, w), diction(text, w)["total_vague"]
     passives = F.lit(0) if passives is None else passives
     least = lambda x, top: F.least(x, F.lit(float(top)))
     score = 100.0 - least(passives * 2.0, 20) - least(adverbs * 0.5, 15) - least(F.size(hidden) * 2.0, 10) - F.when(glue > 25, least(glue - 25, 15)).otherwise(0.0) - least(vague * 0.5, 10)
     return F.struct(adverbs.alias("adverb_count"), hidden.alias("hidden_verbs"), F.greatest(score, F.lit(0.0)).cast("int").alias("style_score"))
 
 
-def glue_index(text: str = "text") -> Column:
-    w = words(text)
-    return percent(F.size(F.filter(w, lambda x: _in(x, lex.GLUE))), F.size(w))
+def glue_index(text="text", w: Column | None = None) -> Column:
+    return let(_words(text, w), lambda w: percent(F.size(F.filter(w, lambda x: _in(x, lex.GLUE))), F.size(w)))

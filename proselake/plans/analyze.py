@@ -2,65 +2,73 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proselake.functions.text import MAX_BYTES, paragraphs, sentence_counts, sentences, text_of, too_large
+from proselake.functions.text import MAX_BYTES, paragraphs, sentence_counts, sentences, stripped, text_of, too_large, words
 from proselake.operators import sentences as S
 from proselake.operators import words as W
 from proselake.operators.documents import prose, token_report
 
 CHECKS = ("readability", "grammar", "sticky", "pacing", "sentence_length", "transitions", "overused", "repeated", "echoes", "sensory", "diction", "cliches", "consistency", "acronyms", "jargon", "complex_paragraphs", "conjunction_starts", "style")
-_LONG = {"overused": W.overused, "repeated": W.repeated, "echoes": W.echoes}
-
 
 def check_names(checks=None, exclude=None) -> tuple[str, ...]:
     """The checks to run; unknown names and both lists at once are errors of the caller."""
     if checks and exclude:
-        raise ValueError("give checks or exclude, not both")
+        raise ValueError("either checks or exclude can be given")
     for name in [*(checks or ()), *(exclude or ())]:
         if name not in CHECKS:
-            raise ValueError(f"unknown check: {name}")
+            raise ValueError(f"no such check: {name}")
     return tuple(c for c in CHECKS if (not checks or c in checks) and c not in (exclude or ()))
 
 
-def analyze(docs: DataFrame, checks=None, exclude=None, strip_md: bool = False, max_grade=None, passive_max=None, dialect=None, key: str = "doc_id", text: str = "text", dictionary=None, limit: int | None = MAX_BYTES) -> DataFrame:
-    """(key, error, one struct per check). Overused words, repeated phrases and echoes come as long tables of their
-    own verbs and are gathered here by key; all other checks are array expressions over the row. A blank or too large
-    text gives an error and null reports; with `limit` None no text is too large.
-    """
-    names = check_names(checks, exclude)
-    d = docs.select(key, (prose(text) if strip_md else text_of(text)).alias("__t")).withColumn("__s", sentences("__t"))
-    s = F.col("__s")
-    passive = F.size(S.passives(s)) if "grammar" in names else None
+def prepared(docs: DataFrame, names, text: str = "__t") -> DataFrame:
+    """`docs` with what the reports of these checks share: sentences ``__s``, words ``__w``, and paragraphs with their
+    numbers of sentences ``__p`` where they are needed."""
+    d = docs.withColumn("__s", sentences(text)).withColumn("__w", words(text))
     if "complex_paragraphs" in names:
-        d = d.withColumn("__p", paragraphs("__t")).withColumn("__n", sentence_counts("__p"))
-    paras = F.transform("__p", lambda p, i: F.struct((i + 1).alias("num"), p.alias("text"), F.get("__n", i).alias("sentences")))
+        d = d.withColumn("__q", paragraphs(text)).withColumn("__n", sentence_counts("__q"))
+        d = d.withColumn("__p", F.transform("__q", lambda p, i: F.struct((i + 1).alias("num"), p.alias("text"), F.get("__n", i).alias("sentences")))).drop("__q", "__n")
+    return d
+
+
+def reports(names, max_grade=None, passive_max=None, dialect=None, dictionary=None, passive: Column | None = None) -> dict[str, Column]:
+    """The report column of each of these checks, over the columns of `prepared`; `passive` is the number for the score."""
+    s, w, t = F.col("__s"), F.col("__w"), F.col("__t")
     made = {
-        "readability": lambda: S.readability(F.col("__t"), s, max_grade, dictionary),
+        "readability": lambda: S.readability(t, s, max_grade, dictionary),
         "grammar": lambda: S.grammar(s, passive_max),
-        "sticky": lambda: S.sticky("__t", s),
+        "sticky": lambda: S.sticky(t, s, w),
         "pacing": lambda: S.pacing(s),
         "sentence_length": lambda: S.sentence_length(s),
         "transitions": lambda: S.transitions(s),
-        "sensory": lambda: W.sensory("__t"),
-        "diction": lambda: W.diction("__t"),
-        "cliches": lambda: W.cliches("__t"),
-        "consistency": lambda: W.consistency("__t", dialect),
-        "acronyms": lambda: W.acronyms("__t"),
-        "jargon": lambda: W.jargon("__t"),
-        "complex_paragraphs": lambda: S.complex_paragraphs(paras, dictionary),
+        "overused": lambda: W.overused_report(t, w=w),
+        "repeated": lambda: W.repeated_report(t, w=w),
+        "echoes": lambda: W.echoes_report(t),
+        "sensory": lambda: W.sensory(t, w),
+        "diction": lambda: W.diction(t, w),
+        "cliches": lambda: W.cliches(t),
+        "consistency": lambda: W.consistency(t, dialect),
+        "acronyms": lambda: W.acronyms(t),
+        "jargon": lambda: W.jargon(t, w),
+        "complex_paragraphs": lambda: S.complex_paragraphs(F.col("__p"), dictionary),
         "conjunction_starts": lambda: S.conjunction_starts(s),
-        "style": lambda: W.style("__t", passive),
+        "style": lambda: W.style(t, passive, w),
     }
-    error = F.coalesce(too_large("__t", limit), F.when(F.trim("__t") == "", "no scorable text in input"))
-    out = d.select(key, error.alias("error"), *(F.when(error.isNull(), made[n]()).alias(n) for n in names if n in made))
-    for n in names:
-        if n in _LONG:
-            found = _LONG[n](docs.select(key, text_of(text).alias("text")), key)
-            rest = [c for c in found.columns if c != key]
-            out = out.join(found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*rest))).alias(n)), key, "left")
-    return out
+    return {n: made[n]() for n in names}
+
+
+def analyze(docs: DataFrame, checks=None, exclude=None, strip_md: bool = False, max_grade=None, passive_max=None, dialect=None, key: str = "doc_id", text: str = "text", dictionary=None, limit: int | None = MAX_BYTES) -> DataFrame:
+    """(key, error, one struct per check) of each row, in one narrow pass: array expressions over the row, no exchange.
+
+    A blank or too large text gives an error and null reports; with `limit` None no text is too large. Rows with equal
+    keys stay documents of their own.
+    """
+    names = check_names(checks, exclude)
+    d = prepared(docs.select(key, (prose(text) if strip_md else text_of(text)).alias("__t")), names)
+    made = reports(names, max_grade, passive_max, dialect, dictionary, F.size(S.passives(F.col("__s"))) if "grammar" in names else None)
+    error = F.coalesce(too_large("__t", limit), F.when(stripped(F.col("__t")) == "", "no scorable text in input"))
+    return d.withColumn("error", error).select(key, "error", *(F.when(F.col("error").isNull(), made[n]).alias(n) for n in names))
 
 
 def gate(analyzed: DataFrame, style_min: int | None = None) -> DataFrame:

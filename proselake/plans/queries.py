@@ -50,8 +50,8 @@ def echoes(spark, sf_dir):
 
 
 def word_counts(spark, sf_dir):
-    d = _docs(spark, sf_dir)
-    return d.select("doc_id", F.size(words("text")).cast("long").alias("n_words"), F.size(tokens("text")).cast("long").alias("n_tokens"), F.size(paragraph_lines("text")).cast("long").alias("n_paragraphs"), W.glue_index().alias("glue_index"))
+    d = _docs(spark, sf_dir).withColumn("w", words("text"))
+    return d.select("doc_id", F.size("w").cast("long").alias("n_words"), F.size(tokens("text")).cast("long").alias("n_tokens"), F.size(paragraph_lines("text")).cast("long").alias("n_paragraphs"), W.glue_index("text", F.col("w")).alias("glue_index"))
 
 
 def _terms(name, terms, column, fields):

@@ -1,4 +1,4 @@
-"""The narrow analyses over a stream of documents: stateless, so each micro-batch is the batch plan."""
+"""The analyses over a stream of documents: stateless, so each micro-batch is the batch plan."""
 
 from __future__ import annotations
 
@@ -6,11 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from proselake.plans.analyze import CHECKS, analyze
 
-NARROW = tuple(c for c in CHECKS if c not in ("overused", "repeated", "echoes"))
 
-
-def analyze_stream(spark: SparkSession, path: str, schema: str = "doc_id long, text string", checks=NARROW) -> DataFrame:
-    """Reports of parquet documents that arrive in a folder; the checks with sums by document need a batch plan."""
-    if set(checks) - set(NARROW):
-        raise ValueError("these checks need a batch plan: " + ", ".join(sorted(set(checks) - set(NARROW))))
+def analyze_stream(spark: SparkSession, path: str, schema: str = "doc_id long, text string", checks=CHECKS) -> DataFrame:
+    """Reports of parquet documents that arrive in a folder."""
     return analyze(spark.readStream.schema(schema).parquet(path), checks=list(checks))
