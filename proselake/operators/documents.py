@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proselake.functions import lexicons as lex
-from proselake.functions.text import stripped, text_of
+from proselake.functions.text import let, stripped, text_of
 
 
 def strip_frontmatter(c) -> Column:
@@ -112,6 +112,11 @@ def headings(c) -> Column:
     return F.pandas_udf(run, "array<struct<level:int,text:string>>")(c)
 
 
+def template_names(custom: dict[str, tuple[str, ...]] | None = None) -> list[str]:
+    """The names of all templates: those built in, then the caller's own."""
+    return list(dict.fromkeys([*lex.TEMPLATES, *(custom or {})]))
+
+
 def sections(docs: DataFrame, template: str, key: str = "doc_id", text: str = "text", custom: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """(key, ord, name, status): present, empty or missing for each section of a template; custom templates go first."""
     names = (custom or {}).get(template) or lex.TEMPLATES.get(template)
@@ -141,39 +146,92 @@ def completeness(docs: DataFrame, template: str, key: str = "doc_id", text: str
     return s.groupBy(key).agg(F.lit(template).alias("template"), F.transform(found, lambda x: F.struct(x["name"], x["status"])).alias("sections"), F.bool_and(F.col("status") == "present").alias("pass"))
 
 
+_DELIMITERS = re.compile(r"^ {0,3}\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
+_BLOCK = re.compile(r"^ {0,3}(?:#{1,6}(?:[ \t]|$)|`{3}|~{3}|>|[-*+][ \t]|\d+[.)][ \t])")
+
+
+def _cells(line: str) -> int:
+    return len(re.findall(r"(?<!\\)\|", line.strip().strip("|"))) + 1
+
+
+def table_lines(lines: list[str]) -> list[bool]:
+    """Which lines are part of a table: a header, a line of delimiters with as many cells, and all rows up to a blank
+    line or another block. Lines within fences are not."""
+    inside, fence = [False] * len(lines), None
+    i = 0
+    while i < len(lines):
+        m = _FENCE.match(lines[i])
+        if m and (fence is None or (m[1][0] == fence[0] and len(m[1]) >= len(fence))):
+            fence = m[1] if fence is None else None
+        elif fence is None and i and "|" in lines[i - 1] and "-" in lines[i] and _DELIMITERS.match(lines[i]) and _cells(lines[i]) == _cells(lines[i - 1]) and not inside[i - 1]:
+            inside[i - 1] = True
+            while i < len(lines) and lines[i].strip() and not _BLOCK.match(lines[i]):
+                inside[i] = True
+                i += 1
+            continue
+        i += 1
+    return inside
+
+
+def table_ranges_of(text: str) -> list[dict]:
+    """Byte ranges of the tables of a text, from the header to the end of the last row."""
+    lines, out, at = text.split("\n"), [], 0
+    for line, inside in zip(lines, table_lines(lines), strict=True):
+        end = at + len(line.encode())
+        if inside and out and out[-1]["end"] + 1 == at and out[-1]["open"]:
+            out[-1]["end"] = end
+        elif inside:
+            out.append({"start": at, "end": end, "open": True})
+        elif out:
+            out[-1]["open"] = False
+        at = end + 1
+    return [{"start": x["start"], "end": x["end"]} for x in out]
+
+
+def table_ranges(c) -> Column:
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: table_ranges_of(t or ""))
+
+    return F.pandas_udf(run, "array<struct<start:long,end:long>>")(text_of(c))
+
+
 def greedy_count(vocabulary: list[str]):
-    """Tokens by the leftmost longest match of a vocabulary; each byte without a match is one token."""
-    longest = max((len(v.encode()) for v in vocabulary), default=0)
-    known = frozenset(v.encode() for v in vocabulary)
+    """Tokens by the leftmost longest match of a vocabulary; each byte without a match is one token.
 
-    def raw(data: bytes) -> int:
-        at = n = 0
-        while at < len(data):
-            k = next((k for k in range(min(longest, len(data) - at), 0, -1) if data[at : at + k] in known), 1)
-            at, n = at + k, n + 1
-        return n
+    One automaton for each worker, over bytes; a text is scanned once. Tables count cell by cell: each bar is a token,
+    the line ends inside cost nothing.
+    """
+    known = sorted({v.encode().decode("latin-1") for v in vocabulary if v})
+    built: list = []
+
+    def raw(text: str) -> int:
+        if not built:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for v in known:
+                automaton.add_word(v, len(v))
+            automaton.make_automaton()
+            built.append(automaton)
+        data = text.encode().decode("latin-1")
+        return len(data) - sum(n - 1 for _, n in built[0].iter_long(data))
 
     def count(text: str) -> int:
+        if not known:
+            return len(text.encode())
         if "|" not in text:
-            return raw(text.encode())
-        total, plain, rows = 0, [], text.split("\n")
-        delimiter = re.compile(r"^\s*\|?(\s*:?-+:?\s*\|)+\s*:?-*:?\s*$")
-        in_table = [False] * len(rows)
-        for i, line in enumerate(rows):
-            if i and delimiter.match(line) and "|" in rows[i - 1]:
-                j = i - 1
-                while j < len(rows) and "|" in rows[j]:
-                    in_table[j] = True
-                    j += 1
-        for i, line in enumerate(rows):
-            if in_table[i]:
-                total += sum(raw(s.encode()) for s in line.split("|")) + line.count("|")
-                if plain:
-                    total += raw("".join(plain).encode())
-                    plain = []
-            else:
-                plain.append(line + ("\n" if i + 1 < len(rows) else ""))
-        return total + raw("".join(plain).encode())
+            return raw(text)
+        lines, total, plain = text.split("\n"), 0, []
+        inside = table_lines(lines)
+        for i, line in enumerate(lines):
+            if not inside[i]:
+                plain.append(line + ("\n" if i + 1 < len(lines) else ""))
+                continue
+            if plain:
+                total += raw("".join(plain))
+                plain = []
+            total += line.count("|") + sum(raw(cell) for cell in line.split("|") if cell)
+        return total + raw("".join(plain)) if plain else total
 
     return F.pandas_udf(lambda s: s.map(lambda t: count(t or "")), "long")
 
@@ -185,25 +243,52 @@ def token_report(c, vocabulary: list[str], budget: int | None = None) -> Column:
     return F.struct(n.alias("count"), F.lit(budget).cast("long").alias("budget"), over.alias("over_budget"), F.lit("greedy" if vocabulary else "bytes").alias("tokenizer"))
 
 
-def suppressions(docs: DataFrame, key: str = "doc_id", text: str = "text", marker: str = "proselake") -> DataFrame:
-    """(key, check, start, end, file_level): line ranges switched off by directives in comments.
+def _directive(marker: str) -> str:
+    return rf"(?U)<!--\s*{re.escape(marker)}\s+(disable-next-line|disable|enable)\s+([\w,\s]+?)\s*-->"
+
+
+def is_directive(line: Column, marker: str = "proselake") -> Column:
+    return line.contains("<!--") & line.rlike(_directive(marker))
+
+
+def suppressed(text, marker: str = "proselake") -> Column:
+    """[{check, start, end, file_level}]: line ranges switched off by directives in comments, by check and line.
 
-    A range runs from the last `disable` to the next `enable`, both lines included; one that is still open at the end
-    switches the check off for the whole file.
+    A line may hold several directives, and each several checks, parted by commas. A range runs from the last `disable`
+    to the next `enable`, both lines included; one that is still open at the end switches the check off for the whole
+    file, and its other ranges with it. Within the row; a text without directives gives an empty array.
     """
-    pattern = rf"<!--\s*{re.escape(marker)}\s+(disable-next-line|disable|enable)\s+([\w,\s]+?)\s*-->"
-    lines = docs.select(key, F.posexplode(F.split(text_of(text), "\n")).alias("line", "s")).where(F.col("s").rlike(pattern))
-    acts = lines.select(key, (F.col("line") + 1).alias("line"), F.regexp_extract("s", pattern, 1).alias("act"), F.explode(F.split(F.regexp_extract("s", pattern, 2), r"[,\s]+")).alias("check")).where("check <> ''")
-    w = Window.partitionBy(key, "check").orderBy("line")
-    block = acts.where("act <> 'disable-next-line'")
-    opened = F.lag("act").over(w) == "disable"
-    begin = F.when(opened, F.lag("line").over(w))
-    pairs = block.withColumns({"begin": begin, "last": F.row_number().over(Window.partitionBy(key, "check").orderBy(F.desc("line"))) == 1})
-    closed = pairs.where("act = 'enable' and begin is not null").select(key, "check", F.col("begin").alias("start"), F.col("line").alias("end"), F.lit(False).alias("file_level"))
-    whole = pairs.where("last and act = 'disable'").select(key, "check", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), F.lit(True).alias("file_level"))
-    nexts = acts.where("act = 'disable-next-line'").select(key, "check", (F.col("line") + 1).alias("start"), (F.col("line") + 1).alias("end"), F.lit(False).alias("file_level"))
-    part = closed.union(nexts).join(whole.select(key, "check"), [key, "check"], "left_anti")
-    return part.union(whole)
+    t, pattern = text_of(text), F.lit(_directive(marker))
+
+    def acts(x: Column, i: Column) -> Column:
+        found = F.arrays_zip(F.regexp_extract_all(x, pattern, F.lit(1)).alias("act"), F.regexp_extract_all(x, pattern, F.lit(2)).alias("names"))
+        each = F.transform(found, lambda d: F.transform(F.split(d["names"], ","), lambda n: F.struct((i + 1).alias("line"), d["act"].alias("act"), stripped(n).alias("check"))))
+        return F.filter(F.flatten(each), lambda a: a["check"] != "")
+
+    lines = F.transform(F.split(t, "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+    some = F.filter(lines, lambda y: is_directive(y["x"], marker))
+    spot = lambda check, start, end: F.struct(check.alias("check"), start.cast("int").alias("start"), end.cast("int").alias("end"), F.lit(False).alias("file_level"))
+
+    def of_check(all_: Column, check: Column) -> Column:
+        own = F.filter(all_, lambda a: a["check"] == check)
+        return let(F.filter(own, lambda a: a["act"] != "disable-next-line"), lambda block: ranges(own, block, check))
+
+    def ranges(own: Column, block: Column, check: Column) -> Column:
+        prior = lambda i: F.get(block, i - 1)
+        closed = F.transform(block, lambda a, i: F.when((a["act"] == "enable") & (prior(i)["act"] == "disable"), spot(check, prior(i)["line"], a["line"])))
+        nexts = F.transform(F.filter(own, lambda a: a["act"] == "disable-next-line"), lambda a: spot(check, a["line"] + 1, a["line"] + 1))
+        none = F.lit(None).cast("int")
+        whole = F.array(F.struct(check.alias("check"), none.alias("start"), none.alias("end"), F.lit(True).alias("file_level")))
+        return F.when(F.get(block, F.size(block) - 1)["act"] == "disable", whole).otherwise(F.concat(F.array_compact(closed), nexts))
+
+    checks = lambda all_: F.sort_array(F.array_distinct(F.transform(all_, lambda a: a["check"])))
+    found = let(F.flatten(F.transform(some, lambda y: acts(y["x"], y["i"]))), lambda all_: F.flatten(F.transform(checks(all_), lambda c: of_check(all_, c))))
+    return F.when(t.contains("<!--"), found).otherwise(F.array().cast("array<struct<check:string,start:int,end:int,file_level:boolean>>"))
+
+
+def suppressions(docs: DataFrame, key: str = "doc_id", text: str = "text", marker: str = "proselake") -> DataFrame:
+    """(key, check, start, end, file_level): the ranges of each row, one to a row."""
+    return docs.select(key, F.explode(suppressed(text, marker)).alias("__r")).select(key, "__r.*")
 
 
 def unsuppressed(findings: DataFrame, rules: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -1,8 +1,8 @@
 """The composite verdict: path rules choose checks and limits for each document, directives in it take findings away.
 
-One narrow projection over the documents; the only joins are with the resolved rules and the suppressions of each path.
-Paths are the key, so a repeated path takes the suppressions of all its rows. Documents that no rule configures give no
-row. Null texts count as empty and give null reports.
+One narrow projection over the documents; the only join is with the resolved rules of each path. Documents that no rule
+configures give no row. Null texts count as empty and give null reports. Rows with one path stay documents of their own,
+but share the completeness report, which goes by path.
 """
 
 from __future__ import annotations
@@ -12,16 +12,14 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proselake.functions.text import sentences, text_of
+from proselake.functions.text import paragraph_lines, split_text, text_of
 from proselake.operators import sentences as S
 from proselake.operators import words as W
-from proselake.operators.documents import completeness, prose, resolve_rules, suppressions, token_report
-from proselake.plans.analyze import check_names
+from proselake.operators.documents import completeness, is_directive, prose, resolve_rules, suppressed, token_report
+from proselake.plans.analyze import CHECKS, check_names, prepared, reports
 
-#: The analyses that a rule may ask for here; those with sums by document are left to `analyze`.
-ANALYSES = ("readability", "grammar", "sticky", "pacing", "sentence_length", "transitions", "sensory", "diction", "cliches", "acronyms", "jargon", "conjunction_starts", "style")
 #: Checks of a rule, and the settings that each may have.
-SETTINGS = {"analyze": {"checks", "exclude", "style_min", "max_grade", "passive_max"}, "readability": {"max_grade"}, "grammar": {"passive_max"}, "completeness": {"template"}, "tokens": {"budget"}}
+SETTINGS = {"analyze": {"checks", "exclude", "style_min", "max_grade", "passive_max", "dialect"}, "readability": {"max_grade"}, "grammar": {"passive_max"}, "completeness": {"template"}, "tokens": {"budget"}}
 
 
 def _encoded(rules: list[dict]) -> list[dict]:
@@ -37,7 +35,7 @@ def _encoded(rules: list[dict]) -> list[dict]:
             given = dict(given)
             if name == "analyze":
                 listed = bool(given.get("checks") or given.get("exclude"))
-                given["names"] = [n for n in check_names(given.pop("checks", None), given.pop("exclude", None)) if n in ANALYSES]
+                given["names"] = list(check_names(given.pop("checks", None), given.pop("exclude", None)))
                 given["listed"] = listed
             checks[name] = json.dumps(given)
         out.append({"paths": rule["paths"], "checks": checks})
@@ -46,16 +44,17 @@ def _encoded(rules: list[dict]) -> list[dict]:
 
 def directives_blanked(text: Column, marker: str) -> Column:
     """The text with each line that holds a directive emptied, so that lines keep their numbers."""
-    return F.array_join(F.transform(F.split(text, "\n"), lambda x: F.when(x.rlike(rf"<!--\s*{marker}\s+(disable-next-line|disable|enable)\s"), F.lit("")).otherwise(x)), "\n")
+    blanked = F.array_join(F.transform(F.split(text, "\n"), lambda x: F.when(is_directive(x, marker), F.lit("")).otherwise(x)), "\n")
+    return F.when(text.contains("<!--"), blanked).otherwise(text)
 
 
-def _visible(findings: Column, check: str, lines: Column, ranges: Column) -> Column:
-    """Findings whose sentence's line is in no range of the check; a sentence without a line is on line 0."""
+def _visible(findings: Column, check: str, lines: Column, ranges: Column, num: str = "sentence_num") -> Column:
+    """Findings whose sentence's or paragraph's line is in no range of the check; one without a line is on line 0."""
     def hidden(x: Column) -> Column:
-        line = F.coalesce(F.get(lines, x["sentence_num"] - 1), F.lit(0))
+        line = F.coalesce(F.get(lines, x[num] - 1), F.lit(0))
         return F.exists(ranges, lambda r: (r["check"] == check) & (r["file_level"] | line.between(r["start"], r["end"])))
 
-    return F.filter(findings, lambda x: ~F.coalesce(hidden(x), F.lit(False)))
+    return F.when(F.size(ranges) == 0, findings).otherwise(F.filter(findings, lambda x: ~F.coalesce(hidden(x), F.lit(False))))
 
 
 def _regional_grammar(report: Column, limit: Column, lines: Column, ranges: Column) -> Column:
@@ -72,59 +71,64 @@ def _limited(report: Column, limit: Column) -> Column:
     return F.when(report.isNotNull(), report.withField("max_grade", limit).withField("over_max", F.coalesce(report["grade"] > limit, F.lit(False))))
 
 
-def _analyses(s: Column, lines: Column, ranges: Column, names: Column, listed: Column, setting) -> Column:
+def _counted_again(report: Column, items: Column, field: str, count: str) -> Column:
+    return F.when(report.isNotNull(), report.withField(field, items).withField(count, F.size(items).cast("long")))
+
+
+def _analyses(lines: Column, paras: Column, ranges: Column, names: Column, listed: Column, setting, dialect: Column, dialects) -> Column:
     off = lambda n: listed & F.exists(ranges, lambda r: (r["check"] == n) & r["file_level"])
     wanted = lambda n: F.coalesce(F.array_contains(names, n) & ~off(n), F.lit(False))
-    passives = F.when(wanted("grammar"), F.size(S.passives(s))).otherwise(0)
-    sticky, length = S.sticky("__t", s), S.sentence_length(s)
-    seen = _visible(sticky["sticky_sentences"], "sticky_sentences", lines, ranges)
-    made = {
-        "readability": _limited(S.readability(F.col("__t"), s), setting("analyze", "max_grade")),
-        "grammar": _regional_grammar(S.grammar(s), setting("analyze", "passive_max"), lines, ranges),
-        "sticky": sticky.withField("sticky_sentences", seen).withField("sticky_count", F.size(seen).cast("long")),
-        "pacing": S.pacing(s),
-        "sentence_length": F.when(length.isNotNull(), length.withField("very_long", _visible(length["very_long"], "sentence_length", lines, ranges))),
-        "transitions": S.transitions(s),
-        "sensory": W.sensory("__t"),
-        "diction": W.diction("__t"),
-        "cliches": W.cliches("__t"),
-        "acronyms": W.acronyms("__t"),
-        "jargon": W.jargon("__t"),
-        "conjunction_starts": S.conjunction_starts(s),
-        "style": W.style("__t", passives),
-    }
-    return F.struct(*(F.when(wanted(n), made[n]).alias(n) for n in ANALYSES))
-
-
-def lint(docs: DataFrame, rules: list[dict], path: str = "path", text: str = "text", marker: str = "proselake", vocabulary: tuple[str, ...] = (), templates=None) -> DataFrame:
+    passives = F.when(wanted("grammar"), F.size(S.passives(F.col("__s")))).otherwise(0)
+    made = reports(CHECKS, passive=passives)
+    made["readability"] = _limited(made["readability"], setting("analyze", "max_grade", "max_grade"))
+    made["grammar"] = _regional_grammar(made["grammar"], setting("analyze", "passive_max", "passive_max_percent"), lines, ranges)
+    seen = _visible(made["sticky"]["sticky_sentences"], "sticky_sentences", lines, ranges)
+    made["sticky"] = _counted_again(made["sticky"], seen, "sticky_sentences", "sticky_count")
+    length = made["sentence_length"]
+    made["sentence_length"] = F.when(length.isNotNull(), length.withField("very_long", _visible(length["very_long"], "sentence_length", lines, ranges)))
+    made["echoes"] = _counted_again(made["echoes"], _visible(made["echoes"]["echoes"], "echoes", paras, ranges, "paragraph"), "echoes", "total_echoes")
+    cases = [F.when(dialect == d, W.consistency("__t", d)) for d in dialects]
+    made["consistency"] = F.coalesce(*cases, made["consistency"])
+    cp = made["complex_paragraphs"]
+    own = _counted_again(cp, _visible(cp["complex_paragraphs"], "complex_paragraphs", paras, ranges, "paragraph_num"), "complex_paragraphs", "complex_count")
+    # with directives the share is that of the paragraphs of the raw text, unrounded
+    share = F.when(F.size(paras) > 0, own["complex_count"] / F.size(paras) * 100).otherwise(0.0)
+    made["complex_paragraphs"] = F.when(F.size(ranges) == 0, cp).otherwise(own.withField("percentage", share))
+    return F.struct(*(F.when(wanted(n), made[n]).alias(n) for n in CHECKS))
+
+
+def lint(docs: DataFrame, rules: list[dict], path: str = "path", text: str = "text", marker: str = "proselake", vocabulary: tuple[str, ...] = (), config: dict | None = None) -> DataFrame:
     """(path, analyze, readability, grammar, completeness, tokens, pass): a report per configured check, else null.
 
-    `rules`: [{paths: [patterns], checks: {name: settings}}]. A check that a directive switches off for the whole file is
-    null. Limits inside `analyze` are reported but only its least style score counts for ``pass``.
+    `rules`: [{paths: [patterns], checks: {name: settings}}]. What a rule leaves open comes from `config`, as a `Loader`
+    gives it, but for the budget of tokens. A check that a directive switches off for the whole file is null. Limits
+    inside `analyze` are reported but only its least style score counts for ``pass``.
     """
-    rules = _encoded(rules)
+    rules, config = _encoded(rules), config or {}
     chosen = resolve_rules(docs, rules, path).groupBy(path).agg(F.map_from_entries(F.collect_list(F.struct("check", "settings"))).alias("__set"))
-    ranges = suppressions(docs, path, text, marker).groupBy(path).agg(F.collect_set(F.struct("check", "start", "end", "file_level")).alias("__r"))
-    d = docs.select(path, text_of(text).alias("__raw")).join(chosen, path).join(ranges, path, "left")
-    d = d.withColumns({"__t": F.when(F.col(path).endswith(".md"), prose("__raw")).otherwise(F.col("__raw")), "__b": directives_blanked(F.col("__raw"), marker)})
-    d = d.withColumns({"__s": sentences("__t"), "__l": F.transform(sentences("__b"), lambda x: x["line"])})
-    none = F.array().cast("array<struct<check:string,start:int,end:int,file_level:boolean>>")
-    s, lines, hidden = F.col("__s"), F.col("__l"), F.coalesce("__r", none)
+    d = docs.select(path, text_of(text).alias("__raw")).join(chosen, path)
+    d = d.withColumns({"__t": F.when(F.col(path).endswith(".md"), prose("__raw")).otherwise(F.col("__raw")), "__b": directives_blanked(F.col("__raw"), marker), "__r": suppressed("__raw", marker)})
+    d = prepared(d, CHECKS).withColumns({"__l": F.transform(split_text("__b"), lambda x: x["line"]), "__k": paragraph_lines("__b")})
+    s, lines, paras, hidden = F.col("__s"), F.col("__l"), F.col("__k"), F.col("__r")
     raw = lambda check, name: F.get_json_object(F.col("__set")[check], f"$.{name}")
-    setting = lambda check, name: raw(check, name).cast("double")
+    setting = lambda check, name, general: F.coalesce(raw(check, name).cast("double"), F.lit(config.get(general)).cast("double"))
     on = lambda check: F.col("__set")[check].isNotNull() & ~F.exists(hidden, lambda r: (r["check"] == check) & r["file_level"])
     names = F.from_json(raw("analyze", "names"), "array<string>")
     some = F.size(s) > 0
     budget = raw("tokens", "budget").cast("long")
     tokens = token_report("__raw", list(vocabulary))
+    dialect = F.coalesce(raw("analyze", "dialect"), F.lit(config.get("dialect")).cast("string"))
+    settings = [json.loads(r["checks"]["analyze"]) for r in rules if "analyze" in r["checks"]]
+    dialects = sorted({x for x in (config.get("dialect"), *(g.get("dialect") for g in settings)) if x})
+    templates = config.get("templates")
     out = d.select(
         path,
-        F.when(F.col("__set")["analyze"].isNotNull() & some, _analyses(s, lines, hidden, names, raw("analyze", "listed") == "true", setting)).alias("analyze"),
-        F.when(on("readability"), _limited(S.readability(F.col("__t"), s), setting("readability", "max_grade"))).alias("readability"),
-        F.when(on("grammar"), _regional_grammar(S.grammar(s), setting("grammar", "passive_max"), lines, hidden)).alias("grammar"),
+        F.when(F.col("__set")["analyze"].isNotNull() & some, _analyses(lines, paras, hidden, names, raw("analyze", "listed") == "true", setting, dialect, dialects)).alias("analyze"),
+        F.when(on("readability"), _limited(S.readability(F.col("__t"), s), setting("readability", "max_grade", "max_grade"))).alias("readability"),
+        F.when(on("grammar"), _regional_grammar(S.grammar(s), setting("grammar", "passive_max", "passive_max_percent"), lines, hidden)).alias("grammar"),
         F.when(on("completeness"), raw("completeness", "template")).alias("__template"),
         F.when(on("tokens"), tokens.withField("budget", budget).withField("over_budget", F.coalesce(tokens["count"] > budget, F.lit(False)))).alias("tokens"),
-        setting("analyze", "style_min").alias("__style_min"),
+        setting("analyze", "style_min", "style_min_score").alias("__style_min"),
     )
     # one plan for each template that a rule names, over the documents that it applies to
     used = sorted({t for r in rules if (c := r["checks"].get("completeness")) and (t := json.loads(c).get("template"))})
