@@ -166,10 +166,14 @@ def prefers_us(dialect: str, pattern: str) -> bool:
     return dialect == "en-us" or (dialect == "en-ca" and pattern in ("IzeIse", "AmAmme"))
 
 
-def consistency(text: str = "text", dialect: str | None = None) -> Column:
+def consistency(text="text", dialect: str | None = None) -> Column:
     """Mixed or wrong spellings, then mixed hyphenation, in the order of the lists."""
-    lower = F.lower(text_of(text))
-    has = lambda w: lower.rlike(f"(?<![a-zA-Z]){w}(?![a-zA-Z])")
+    return let(F.lower(text_of(text)), lambda lower: _consistency(lower, dialect))
+
+
+def _consistency(lower: Column, dialect: str | None) -> Column:
+    # few texts hold a word at all, and only those are searched for its edges
+    has = lambda w: lower.contains(w) & lower.rlike(f"(?<![a-zA-Z]){w}(?![a-zA-Z])")
     issues = []
     for us, uk, pattern in lex.SPELLINGS:
         if dialect:
