@@ -80,7 +80,7 @@ _SPELLED = tuple(f"{a} {b}" for a, b, _ in lex.SPELLINGS) + tuple(f"{a} and {b}"
 #: Sentences that the prose of the corpus lacks, one added to each document by its id.
 _CASES = (
     "The bridge was built by the town last spring.", "They is late, and the boat were gone.", "We don't want nothing from them.", "The lamp  was lit.",
-    "She runs the shop, he makes the bread.", "He left early, and they sat down , but nobody spoke.", "Is it broken? The gate was being painted",
+    "She runs the shop, he makes the bread.", "He left early, and they sat , but nobody spoke.", "Is it broken? The gate was being painted",
     "However, the plan changed. For example, it rained.", "But the road is closed. And the river had been crossed by a ferry.", "The dogs has eaten, we was told.",
     "Dr. Hale paid 3.50 at www.inn.example. U.S. rules apply!", 'Then "Stop!" was heard. "Go on." É. was red.',
 )

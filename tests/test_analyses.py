@@ -1,29 +1,46 @@
+import json
+import random
+from collections import Counter
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from proselake.functions.text import sentences, split_sentences, words
+from proselake.functions import lexicons as lex
+from proselake.functions.text import bare_tokens, paragraph_lines, sentences, split_sentences, syllables, tokens, words
 from proselake.operators import documents as D
 from proselake.operators import sentences as S
 from proselake.operators import words as W
 from proselake.plans import queries as Q
-from proselake.plans.analyze import analyze, gate
+from proselake.plans import sentence_sql as X
+from proselake.plans.analyze import CHECKS, analyze, gate
 
 SF = "/root/testdata/sf0.001"
 
 
 @pytest.mark.parametrize(("text", "n"), [
-    ("This is a sentence. This is another sentence.", 2), ("Dr. Smith went to the store. He bought milk.", 2),
-    ("The price is 3.14 dollars. That's cheap.", 2), ("Are you serious? I can't believe it! This is amazing.", 3),
-    ("", 0), ("   ", 0), ("He sat. She left.", 1), ("It costs 3.14. Next.", 1), ("Wait... then go.", 2), ("Plan B. Next step.", 1),
-    ("Really? he said. Yes.", 3), ('"Hi." She left.', 2),
+    ("The ferry leaves at noon. Nobody waits.", 2), ("Prof. Lund sold the mill. Her sister kept the barn.", 2), ("A loaf costs 2.75 crowns. Cheese costs more.", 2),
+    ("Where to? Up the hill! Then left.", 3), ("", 0), (" \n\t ", 0), ("We sat. They left.", 1), ("It weighs 4.20. Lift it.", 1), ("Well... then row.", 2), ("Pier C. Next stop.", 1),
+    ("Why? he asked. Because.", 3), ('"Go." They went.', 2), ('They cried "Halt!"', 1), ('They cried "Halt!" Nobody did.', 1), ('It read "Halt!" "Turn back" and more.', 1), ('It read Halt! "Turn back" and more.', 2), ("There stood É. Behind it a wall.", 2),
+    ("Ask at www.inn.example. Then go.", 1), ("Write to me@inn.example. Then go.", 1), ("Write to me@inn.e. Then go.", 2), ("Room 4. 5 beds.", 1), ("Room 4. Five beds.", 2), ("One\x1c. Two are here.", 2), ("a. b", 1), ("...", 0), ("É!", 1),
 ])
 def test_sentences(text, n):
     assert len(split_sentences(text)) == n
 
 
+def test_sentences_against_sql():
+    rng = random.Random(8)
+    bits = ["Mill", "row", "Dr", "U.S", "A", "é", "É", "3", "4.5", "www.a.b", "https://x.y", "a@b.cd", "etc", "...", ".", "!", "?", '"', "'", " ", " ", " ", "\n", "\n\n", " ", ",", "(", ")", "-"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 60))) for _ in range(3000)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", list(enumerate(texts)))
+    got = con.sql(f"WITH RECURSIVE {X.sentences('t')} SELECT doc_id, num, text, line FROM s").fetchall()
+    assert sorted(got) == sorted((i, k + 1, s, line) for i, t in enumerate(texts) for k, (s, line) in enumerate(split_sentences(t)))
+
+
 def test_sentence_lines():
-    assert [line for _, line in split_sentences("First sentence.\n\nSecond sentence on line 3.\n\nThird on line 5.")] == [1, 3, 5]
+    assert [line for _, line in split_sentences("Rain fell.\n\nIt stopped on line three.\n\nLine five was dry.")] == [1, 3, 5]
 
 
 def one(spark, text, make):
@@ -32,31 +49,77 @@ def one(spark, text, make):
 
 
 def test_words(spark):
-    assert one(spark, "Hello, world! This is - a test.", lambda s: words("text")) == ["hello", "world", "this", "is", "-", "a", "test"]
+    text = "..Well, (it's) - a  \"far-off\" ΑΣ, ΟΔΟΣ. 3rd! ' --x--  İ, …"
+    assert one(spark, text, lambda s: words("text")) == ["well", "it's", "-", "a", "far-off", "ας", "οδος", "3rd", "'", "--x--", "i̇"]
+    assert one(spark, "'Tis 4th-rate: x9, 77 é.", lambda s: bare_tokens("text")) == ["tis", "th-rate", "x", "é"]
+    assert one(spark, None, lambda s: F.size(tokens("text"))) == 0
+    assert one(spark, "a\n \nb\nc\n\n\nd", lambda s: paragraph_lines("text")) == [1, 3, 7]
+
+
+def test_syllables(spark):
+    big = {f"w{i}": i % 7 + 1 for i in range(3000)}
+    got = one(spark, "w5 w2999 table jumped cave", lambda s: F.transform(words("text"), lambda w: syllables(w, big)))
+    assert got == [big["w5"], big["w2999"], 3, 1, 1] and one(spark, "idea", lambda s: F.transform(words("text"), lambda w: syllables(w))) == [2]
 
 
 def test_passive(spark):
-    r = one(spark, "The report was written by the team.", S.passives)
-    assert [(x["auxiliary"], x["participle"], x["has_by_phrase"]) for x in r] == [("was", "written", True)]
-    assert one(spark, "She was tired after the long day.", S.passives) == []
-    g = one(spark, "The code was written. The team celebrated. The bug was fixed.", S.grammar)
+    r = one(spark, "The barn was painted by the neighbours.", S.passives)
+    assert [(x["auxiliary"], x["participle"], x["has_by_phrase"]) for x in r] == [("was", "painted", True)]
+    assert one(spark, "They were tired of the rain.", S.passives) == []
+    g = one(spark, "The mail was sent. Nobody answered. The door was shut.", S.grammar)
     assert 60 < g["passive_percentage"] < 70
 
 
 @pytest.mark.parametrize(("text", "kind"), [
-    ("He are going to the store.", "SubjectVerbAgreement"), ("She didn't do nothing wrong.", "DoubleNegative"),
-    ("There are  two spaces here.", "DoubleSpace"), ("This sentence has no ending", "MissingPunctuation"),
+    ("It were a long road.", "SubjectVerbAgreement"), ("They can't find nothing here.", "DoubleNegative"), ("Two  gaps stand here.", "DoubleSpace"), ("No end to this one", "MissingPunctuation"),
+    ("She has a boat, they need a crew.", "CommaSplice"), ("It rained, and they went , but nobody minded.", "RunOnSentence"),
 ])
 def test_grammar(spark, text, kind):
     assert kind in [i["issue_type"] for i in one(spark, text, S.grammar_issues)]
 
 
 def test_reports(spark):
-    assert one(spark, "bright dark code runs", lambda s: W.sensory("text"))["sensory_percentage"] == 50.0
-    assert one(spark, "We need to bite the bullet here. Later we will bite the bullet again.", lambda s: W.cliches("text"))["total_cliches"] == 2
-    assert one(spark, "The color was nice but the colour was better.", lambda s: W.consistency("text"))["total_issues"] == 1
-    assert one(spark, "We organize the colour of the centre.", lambda s: W.consistency("text", "en-ca"))["total_issues"] == 0
-    assert one(spark, "Send an email to the e-mail address.", lambda s: W.consistency("text"))["total_issues"] == 1
+    assert one(spark, "bright loud mill stands", lambda s: W.sensory("text"))["sensory_percentage"] == 50.0
+    cliche = lex.CLICHES[0]
+    assert one(spark, f"They {cliche} now. Then they {cliche} once more.", lambda s: W.cliches("text"))["total_cliches"] == 2
+    us, uk, _ = lex.SPELLINGS[0]
+    assert one(spark, f"One sign says {us}, the other {uk}.", lambda s: W.consistency("text"))["total_issues"] == 1
+    assert one(spark, f"Only {uk} here.", lambda s: W.consistency("text", "en-us"))["total_issues"] == 1
+    a, b = lex.HYPHENS[0]
+    assert one(spark, f"Send {a} or {b}.", lambda s: W.consistency("text"))["total_issues"] == 1
+
+
+def test_counts_within_the_row(spark):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["mill", "barn", "the", "ferry", "ox", "Lantern", "é"]) + rng.choice(["", "", ".", "\n\n"]) for _ in range(rng.randint(0, 120))) for _ in range(40)] + [None, ""]
+    # rows with one id stay documents of their own
+    d = spark.createDataFrame([(i % 7, i, t) for i, t in enumerate(texts)], "doc_id int, row int, text string")
+    made = d.select("row", "text", words("text").alias("w"), W.overused_report().alias("o"), W.repeated_report().alias("r"), W.echoes_report().alias("e"))
+    for x in made.collect():
+        w, n = x["w"], Counter(x["w"])
+        often = sorted(((-c, t) for t, c in n.items() if len(t.encode()) > 3 and t not in lex.GLUE and 100 * c / len(w) > 0.5))
+        assert [(-u["count"], u["word"]) for u in x["o"]["overused_words"]] == often and x["o"]["total_unique_words"] == len(n)
+        grams = Counter(" ".join(w[i : i + k]) for k in (2, 3, 4) for i in range(len(w) - k + 1))
+        top = sorted((-c, g) for g, c in grams.items() if c > 1)[:50]
+        assert [(-u["count"], u["phrase"]) for u in x["r"]["phrases"]] == top and x["r"]["total_repeated"] == len(top)
+        found = []
+        for k, p in enumerate([p for p in (x["text"] or "").split("\n\n") if p.strip()]):
+            own = [t.strip(".").lower() for t in p.split()]
+            last = {}
+            for i, t in enumerate(own):
+                if len(t.encode()) >= 4 and t not in lex.GLUE:
+                    if t in last and i - last[t] < 20:
+                        found.append((i - last[t], k + 1, t, i, own.count(t)))
+                    last[t] = i
+        assert [(u["distance"], u["paragraph"], u["word"], u["occurrences"]) for u in x["e"]["echoes"]] == [(a, b, c, e) for a, b, c, _, e in sorted(found)[:50]]
+
+
+def test_plans_are_narrow(spark):
+    d = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    plan = analyze(d, limit=None)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("ArrowEvalPython") <= 2
+    for verb in (W.overused, W.repeated, W.echoes):
+        assert "Exchange" not in verb(d)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_analyze_without_a_limit(spark, tmp_path):
@@ -69,10 +132,12 @@ def test_analyze_without_a_limit(spark, tmp_path):
 
 
 def test_analyze_handles_null_and_blank(spark):
-    d = spark.createDataFrame([(1, None), (2, " "), (3, "Run fast. Stop now.")], "doc_id int, text string")
+    d = spark.createDataFrame([(1, None), (2, " \n"), (3, "Run fast. Stop now.")], "doc_id int, text string")
     rows = {r["doc_id"]: r for r in gate(analyze(d, checks=["readability", "pacing", "overused"])).collect()}
     assert rows[1]["error"] and rows[1]["pacing"] is None and not rows[1]["pass"]
     assert rows[2]["error"] and rows[3]["pacing"]["fast_percentage"] == 100.0 and rows[3]["pass"]
+    whole = analyze(d).where("doc_id = 3").first()
+    assert whole["overused"]["total_unique_words"] == 4 and whole["echoes"]["echoes"] == [] and all(c in whole.asDict() for c in CHECKS)
     with pytest.raises(ValueError):
         analyze(d, checks=["readablity"])
     with pytest.raises(ValueError):
@@ -80,20 +145,53 @@ def test_analyze_handles_null_and_blank(spark):
 
 
 def test_markdown():
-    assert "code" not in D.prose_of("Text.\n\n```rust\ncode\n```\n\nMore.")
-    assert "status" not in D.prose_of("---\nstatus: accepted\n---\n\nSome text.")
-    assert D.prose_of("Check [this link](https://example.com) for **bold** and `code`.").strip() == "Check this link for bold and ."
-    assert [(h["level"], h["text"]) for h in D.headings_of("# H1\n\n## H2\n\n### H3\n\nText.")] == [(1, "H1"), (2, "H2"), (3, "H3")]
+    assert "loop" not in D.prose_of("Before.\n\n```python\nloop\n```\n\nAfter.")
+    assert "draft" not in D.prose_of("---\nstate: draft\n---\n\nBody.")
+    assert D.prose_of("See [the map](https://map.example) in *blue* or `grey`.").strip() == "See the map in blue or ."
+    assert [(h["level"], h["text"]) for h in D.headings_of("# Top\n\n## Mid\n\n### Low\n\nBody.")] == [(1, "Top"), (2, "Mid"), (3, "Low")]
 
 
 def test_rules():
-    assert [D.specificity(p) for p in ("**/*.md", "docs/**/*.md", "docs/decisions/*.md", "README.md")] == [0, 1, 2, 1]
-    assert D.glob_regex("[invalid") is None
+    assert [D.specificity(p) for p in ("**/*.txt", "notes/**/*.txt", "notes/old/*.txt", "TODO.txt")] == [0, 1, 2, 1]
+    assert D.glob_regex("[open") is None
+
+
+def longest_matches(text, vocabulary):
+    data, known = text.encode(), {v.encode() for v in vocabulary}
+    at = n = 0
+    while at < len(data):
+        at += next((k for k in range(len(data) - at, 0, -1) if data[at : at + k] in known), 1)
+        n += 1
+    return n
 
 
 def test_tokens(spark):
-    assert one(spark, "abcab", lambda s: D.token_report("text", ["ab", "abc"], 2))["count"] == 2
+    rng = random.Random(6)
+    vocabulary = sorted({"".join(rng.choice("abé ") for _ in range(rng.randint(1, 5))) for _ in range(25)})
+    texts = ["".join(rng.choice("abéc ") for _ in range(rng.randint(0, 60))) for _ in range(200)]
+    d = spark.createDataFrame([(t,) for t in [*texts, None]], "text string")
+    got = [r[0] for r in d.select(D.token_report("text", vocabulary, 2)["count"]).collect()]
+    assert got == [longest_matches(t, vocabulary) for t in [*texts, ""]]
     assert one(spark, "é", lambda s: D.token_report("text", []))["count"] == 2
+    table = "ab\n\n| ab |ab|\n|-|:-:|\n|a|b|\nrest|\n\nab|ab"
+    assert one(spark, table, lambda s: D.token_report("text", ["ab", "b|", "|\n", "\n\n"]))["count"] == (1 + 1) + (3 + 4) + (3 + 4) + (3 + 2) + (1 + 4) + (1 + 1 + 1 + 1)
+    assert D.table_ranges_of(table) == [{"start": 4, "end": 33}] and D.table_ranges_of("```\na|b\n-|-\n```\n\na|b\n-|-|-") == []
+
+
+def test_suppressions(spark):
+    mark = lambda s: f"<!-- proselake {s} -->"
+    text = f"{mark('disable a')} {mark('disable b, c d')}\nx\n{mark('enable a')}{mark('disable a')}\n{mark('enable a')} {mark('enable zz')}\n{mark('disable-next-line b')}\n{mark('disable e')}{mark('enable e')}"
+    d = spark.createDataFrame([(1, text), (1, "plain"), (2, None), (3, mark("enable q"))], "doc_id int, text string")
+    got = sorted((r["doc_id"], r["check"], r["start"], r["end"], r["file_level"]) for r in D.suppressions(d).collect())
+    assert got == sorted([(1, "a", 1, 3, False), (1, "a", 3, 4, False), (1, "b", None, None, True), (1, "c d", None, None, True), (1, "e", 6, 6, False)], key=str)
+
+
+def test_custom_templates(spark):
+    assert D.template_names({"mine": ("A",), "adr": ("B",)}) == [*lex.TEMPLATES, "mine"]
+    d = spark.createDataFrame([(1, "## A\n\nx")], "doc_id int, text string")
+    assert D.completeness(d, "adr", custom={"adr": ("A",)}).first()["pass"]
+    with pytest.raises(ValueError):
+        D.sections(d, "none")
 
 
 @pytest.mark.parametrize("name", sorted(Q.SQL))
@@ -105,3 +203,11 @@ def test_against_sql(spark, name):
     at = [want.columns.index(c) for c in got.columns]
     key = lambda r: tuple(map(str, r))
     assert sorted((tuple(r) for r in got.collect()), key=key) == sorted((tuple(r[i] for i in at) for r in want.fetchall()), key=key)
+
+
+def test_every_query_has_sql():
+    assert set(Q.QUERIES) == set(Q.SQL)
+
+
+def test_json_reports_are_json(spark):
+    assert json.loads(Q.json_reports(spark, SF).first()["report"])["n_words"] >= 0

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from proselake.plans.analyze import analyze
+from proselake.plans.analyze import CHECKS, analyze
 from proselake.plans.lint import lint
 from proselake.sources.files import as_json, read_texts, write_json
 
@@ -76,3 +76,43 @@ def test_files(spark, tmp_path):
     assert json.loads(as_json(reports).first()["report"]) == {"b": 2}
     write_json(reports, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).select(F.col("b")).first()["b"] == 2
+
+
+def test_all_analyses_with_regions(spark):
+    off = "<!-- proselake disable-next-line {} -->\n"
+    echo = "The lantern hung by the lantern door."
+    rules = [{"paths": ["**"], "checks": {"analyze": {}}}]
+    texts = {"plain.txt": f"{echo}\n\nNothing more.", "quiet.txt": f"{off.format('echoes')}{echo}\n\nNothing more.", "style.txt": f"{off[:-1].format('x')}\n<!-- proselake disable style -->\n{echo}"}
+    got = {p: r["analyze"] for p, r in verdicts(spark, list(texts.items()), rules).items()}
+    assert all(got["plain.txt"][n] is not None for n in CHECKS)
+    # the marker's paragraph is the first one of the raw text, and its line is blank in the line map
+    assert [e["word"] for e in got["plain.txt"]["echoes"]["echoes"]] == ["lantern"] and got["plain.txt"]["echoes"]["total_echoes"] == 1
+    assert got["quiet.txt"]["echoes"]["total_echoes"] == 0
+    # without a list of checks no directive takes a whole check away
+    assert got["style.txt"]["style"] is not None
+    listed = [{"paths": ["**"], "checks": {"analyze": {"checks": ["style", "pacing"]}}}]
+    one = verdicts(spark, [("style.txt", texts["style.txt"])], listed)["style.txt"]["analyze"]
+    assert one["style"] is None and one["pacing"] is not None
+
+
+def test_complex_paragraphs_with_regions(spark):
+    hard = "Considerable institutional accountability requires comprehensive organizational communication " * 4 + "immediately."
+    text = f"Short one.\n\n{hard}\n\n<!-- proselake disable complex_paragraphs -->\n{hard}\n<!-- proselake enable complex_paragraphs -->"
+    r = verdicts(spark, [("a.txt", text)], [{"paths": ["**"], "checks": {"analyze": {"checks": ["complex_paragraphs"]}}}])["a.txt"]["analyze"]["complex_paragraphs"]
+    assert r["complex_count"] == 1 and [p["paragraph_num"] for p in r["complex_paragraphs"]] == [2] and r["percentage"] == pytest.approx(100 / 3)
+
+
+def test_settings_of_the_configuration(spark):
+    rules = [{"paths": ["docs/*"], "checks": {"grammar": {}, "analyze": {"checks": ["consistency", "style"]}, "tokens": {}, "completeness": {"template": "memo"}}}, {"paths": ["docs/us"], "checks": {"analyze": {"checks": ["consistency"], "dialect": "en-us"}}}]
+    config = {"passive_max_percent": 10, "dialect": "en-gb", "style_min_score": 101, "templates": {"memo": ["Aim"]}, "token_budget": 1}
+    text = "## Aim\n\nThe colour was changed. Nobody saw the color."
+    d = spark.createDataFrame([("docs/a", text), ("docs/us", text)], "path string, text string")
+    got = {r["path"]: r for r in lint(d, rules, config=config).collect()}
+    assert got["docs/a"]["grammar"]["over_max"] and got["docs/a"]["completeness"]["pass"] and not got["docs/a"]["tokens"]["over_budget"]
+    assert got["docs/a"]["analyze"]["consistency"]["dialect"] == "en-gb" and got["docs/us"]["analyze"]["consistency"]["dialect"] == "en-us"
+    assert not got["docs/a"]["pass"] and got["docs/us"]["analyze"]["style"] is None
+
+
+def test_equal_paths_stay_apart(spark):
+    got = lint(spark.createDataFrame([("a", "One."), ("a", "<!-- proselake disable grammar -->Two.")], "path string, text string"), [{"paths": ["*"], "checks": {"grammar": {}}}]).collect()
+    assert sorted(r["grammar"] is None for r in got) == [False, True]
