@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proselake.llm.shared import batches, settle, table
+from proselake.llm.shared import batches, least_count, settle, table
 
 #: (host, path, verdict); the longest rule that fits wins.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -153,28 +153,24 @@ def _scored(model):
     return run
 
 
-def _beyond(counts: DataFrame, key: str, n: str, top: list) -> DataFrame:
-    """The rows of `counts` after those of `top`, which are its first by falling n and rising key."""
-    last = top[-1]
-    return counts.where((F.col(n) < last[n]) | ((F.col(n) == last[n]) & (F.col(key) > last[key])))
-
-
 def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict) of every page.
 
     Null urls and urls without ``://`` have an empty host and path and no rule; the classifier judges them by its prior.
-    With no judged page at all every page is allowed. A tie is allowed. Repeated rows get equal verdicts.
+    With no judged page at all every page is allowed. A tie is allowed. Repeated rows get equal verdicts. An empty table
+    gives no rows. Urls and texts count whole, however long. Columns other than page_id, url and html are not read.
     """
     spark = pages.sparkSession
     batches(spark)
     words = settle(unigrams(pages), "words")
     known = words.agg(F.sum("n"), F.count("*")).first()
-    common = words.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()  # VOCABULARY rows at most
+    frequent = F.col("n") >= least_count(words, "n", VOCABULARY)
+    common = words.where(frequent).collect()  # VOCABULARY rows at most
     held = spark.sparkContext.broadcast(({r["word"]: r["n"] for r in common}, known[0] or 0))
     # ids are kept in files before they are used
     source = settle(pages.select(F.col("page_id").cast("long").alias("page_id"), "url").withColumn("rid", F.monotonically_increasing_id()), "urls")
     if known[1] > len(common):
-        source = _with_rare(source, _beyond(words, "word", "n", common))
+        source = _with_rare(source, words.where(~frequent))
     else:
         source = source.withColumn("rare", F.lit(None).cast("array<struct<word:string,n:bigint>>"))
     seen = settle(source.mapInArrow(_tokenised(held, rules), "page_id long, rid long, host string, path string, rule string, verdict string, tokens array<string>"), "pages")
@@ -185,14 +181,15 @@ def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     ).withColumn("n", F.col("block") + F.col("allow")), "tokens")
     sums = by_token.agg(F.sum("block"), F.sum("allow"), F.count("*")).first()
     total, size = (sums[0] or 0, sums[1] or 0), (sums[2] or 0) + 1
-    top = by_token.orderBy(F.desc("n"), "token").limit(FEATURES).collect()  # FEATURES rows at most
+    frequent = F.col("n") >= least_count(by_token, "n", FEATURES)
+    top = by_token.where(frequent).collect()  # FEATURES rows at most
     log = [{r["token"]: math.log((r[side] + 1) / (total[i] + size)) for r in top} for i, side in enumerate(("block", "allow"))]
     base = math.log((prior.get("block", 0) + 1) / (prior.get("allow", 0) + 1)) if prior else -1.0
     unseen = tuple(math.log(1 / (t + size)) for t in total)
     model = spark.sparkContext.broadcast((*log, base, unseen))
     if size - 1 > len(top):
         # what a counted token adds to an unseen one; summed in order, so that equal pages get equal scores
-        gain = _beyond(by_token, "token", "n", top).select("token", (F.log(F.col("block") + 1.0) - F.log(F.col("allow") + 1.0)).alias("gain"))
+        gain = by_token.where(~frequent).select("token", (F.log(F.col("block") + 1.0) - F.log(F.col("allow") + 1.0)).alias("gain"))
         asked = seen.where("verdict is null").select("rid", F.explode("tokens").alias("token"))
         sums = asked.join(gain, "token").groupBy("rid").agg(F.aggregate(F.array_sort(F.collect_list("gain")), F.lit(0.0), lambda a, x: a + x).alias("more"))
         seen = seen.join(sums, "rid", "left")
