@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proselake.llm.shared import settle
+from proselake.llm.shared import hot_join, settle
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,8 +19,9 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = settle(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "least")
+        large = settle(hot_join(both.where("v > u"), least, ["u"], "n").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        # each node's least neighbour; what a node has besides goes to that one
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         linked = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = settle(linked.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")

@@ -2,16 +2,16 @@
 
 1. One pass over the texts gives each row its shingle count, a key of its words, the band hashes of its signature, and
    its words in compressed form. Rows with equal words are one node from here on, however many there are.
-2. Nodes that share a band are joined to the least node of that band: a star, not pairs. The components of these
-   candidate edges are families; two nodes that share a band are always in one family.
-3. A family's nodes meet in blocks of bounded size, and each block counts all common shingles exactly through an
-   inverted list of its shingles. Only links that join two parts of a block come out, at most one for each node.
-   A family over the bound is dealt out by band instead, and a band over the bound by pairs of chunks, so that every
-   two nodes that share a band meet in some block.
-4. The components of the links are the classes.
+2. Nodes that share a band are candidates. Each is compared with the least node of the band first: a star, not pairs,
+   in blocks of bounded size that all hold the least node.
+3. Components of these links are classes so far. What a star could not link to its centre is compared with all others
+   of its band, in blocks of bounded size, so every two nodes that share a band are compared or in one class already.
+   For the many copies of one text the work is linear; it grows with the product only for texts that share a band and
+   are not alike.
+4. The components of all links are the classes.
 
 With 32 bands of 4 coordinates a pair at the threshold of 0.75 shares no band with a probability of 6e-6, one at 0.8
-with 5e-8.
+with 5e-8, at every size of the corpus and of the band.
 """
 
 from __future__ import annotations
@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from proselake.llm.graph import components
-from proselake.llm.shared import batches, settle, split_count, table
+from proselake.llm.shared import batches, hot_join, settle, split_count, table
 from proselake.llm.shingles import COORDINATES, folded, mix, shingle_sets, signatures
 
 ROWS = 4
-#: Nodes and shingles of a chunk; a block holds at most two chunks.
-CHUNK_NODES, CHUNK_SHINGLES = 1500, 2_000_000
+#: Nodes and shingles of a chunk, on average; a block holds two chunks, or one small one and the centre of a star.
+CHUNK_NODES, STAR_NODES, CHUNK_SHINGLES = 500, 200, 2_000_000
 
 
 def band_hashes(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
@@ -71,8 +71,21 @@ def _described(others: list[str]):
     return run
 
 
-def linked_pairs(shingles: np.ndarray, edges: np.ndarray, percent: int = 75) -> list[tuple[int, int]]:
-    """Links that span the components of a block: 100 * common >= percent * union, on full sets."""
+def star_links(shingles: np.ndarray, edges: np.ndarray, percent: int = 75) -> np.ndarray:
+    """Which sets after the first are linked with the first: 100 * common >= percent * union, on full sets."""
+    n = np.diff(edges)
+    owner = np.repeat(np.arange(len(n)), n)
+    centre = shingles[: n[0]]  # in ascending order
+    at = np.minimum(np.searchsorted(centre, shingles), max(len(centre) - 1, 0))
+    common = np.bincount(owner[centre[at] == shingles], minlength=len(n)) if len(centre) else np.zeros(len(n), np.int64)
+    return np.flatnonzero(100 * common[1:] >= percent * (n[0] + n[1:] - common[1:])) + 1
+
+
+def linked_pairs(shingles: np.ndarray, edges: np.ndarray, percent: int = 75, asked=None) -> list[tuple[int, int]]:
+    """Links that span the components of a block: 100 * common >= percent * union, on full sets.
+
+    `asked` are the sets that are compared with all others; without it all are.
+    """
     m, n = len(edges) - 1, np.diff(edges)
     root = list(range(m))
 
@@ -91,7 +104,7 @@ def linked_pairs(shingles: np.ndarray, edges: np.ndarray, percent: int = 75) ->
     run_of = np.empty(len(s), np.int64)
     run_of[order] = run
     out = []
-    for a in range(m):
+    for a in range(m) if asked is None else asked:
         runs = run_of[edges[a] : edges[a + 1]]
         runs = runs[size[runs] > 1]
         if not len(runs):
@@ -99,7 +112,7 @@ def linked_pairs(shingles: np.ndarray, edges: np.ndarray, percent: int = 75) ->
         k = size[runs]
         at = np.repeat(new[runs] - np.concatenate(([0], np.cumsum(k)[:-1])), k) + np.arange(k.sum())
         common = np.bincount(by[at], minlength=m)
-        common[: a + 1] = 0
+        common[a] = 0
         for b in np.flatnonzero(100 * common >= percent * (n[a] + n - common)):
             x, y = find(a), find(int(b))
             if x != y:
@@ -108,68 +121,105 @@ def linked_pairs(shingles: np.ndarray, edges: np.ndarray, percent: int = 75) ->
     return out
 
 
-def _verified(percent: int):
+def _verified(percent: int, star: bool):
+    """Links of blocks, each in a row of its own of (cell, i, j): bodies with the `first` ones in front."""
+
     def run(it):
         import zstandard
 
-        key, ids, texts, loose = None, [], [], zstandard.ZstdDecompressor()
+        key, ids, texts, firsts, loose = None, [], [], 0, zstandard.ZstdDecompressor()
 
         def close():
+            if len(ids) < 2 or not firsts:
+                return []
             shingles, edges = shingle_sets(texts)
-            return [(ids[a], ids[b]) for a, b in linked_pairs(shingles, edges, percent)] if len(ids) > 1 else []
+            if star:
+                return [(ids[0], ids[b]) for b in star_links(shingles, edges, percent)]
+            return [(ids[a], ids[b]) for a, b in linked_pairs(shingles, edges, percent, range(firsts))]
+
+        def links(found):
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["u", "v"])
 
-        found: list[tuple[int, int]] = []
         for batch in it:
+            found: list[tuple[int, int]] = []
             keys = list(zip(*(batch.column(n).to_pylist() for n in ("cell", "i", "j")), strict=True))
-            for k, uid, body in zip(keys, batch.column("uid").to_pylist(), batch.column("body"), strict=True):
+            for k, uid, first, body in zip(keys, batch.column("uid").to_pylist(), batch.column("first").to_pylist(), batch.column("body"), strict=True):
                 if k != key:
                     found += close()
-                    key, ids, texts = k, [], []
+                    key, ids, texts, firsts = k, [], [], 0
                 ids.append(uid)
                 texts.append(folded(loose.decompress(body.as_py())))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["u", "v"])
-            found = []
-        found = close()
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["u", "v"])
+                firsts += first
+            yield links(found)
+        yield links(close())
 
     return run
 
 
+def _compared(cells: DataFrame, rows: DataFrame, percent: int, star: bool) -> DataFrame:
+    """(u, v): the links of `cells` (uid, cell, i, j, first). The first of a block are compared with the others."""
+    where = ["cell", "i", "j"]
+    bodies = cells.join(rows.select("uid", "body"), "uid").repartition(split_count(rows.sparkSession, rows), *where)
+    return bodies.sortWithinPartitions(*where, F.desc("first"), "uid").mapInArrow(_verified(percent, star), "u long, v long")
+
+
+def _chunks(c: str, s: str, nodes: int):
+    return F.ceil(F.greatest(F.col(c) / nodes, F.col(s) / CHUNK_SHINGLES)).cast("long")
+
+
+def _upto(n):
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+
+def _stars(members: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Links between the nodes of each band and its least node."""
+    pairs = settle(members.where("uid <> least").select("uid", "least").distinct().join(rows.select("uid", "n"), "uid"), "stars")
+    centres = settle(pairs.groupBy("least").agg(F.count("*").alias("c"), F.sum("n").alias("s")).select("least", "c", _chunks("c", "s", STAR_NODES).alias("chunks")), "centres")
+    around = hot_join(pairs.select("uid", "least"), centres, ["least"], "c").select("uid", F.col("least").alias("cell"), F.pmod(F.xxhash64("uid"), "chunks").alias("i"), F.lit(0).alias("first"))
+    middle = centres.select(F.col("least").alias("uid"), F.col("least").alias("cell"), _upto("chunks").alias("i"), F.lit(1).alias("first"))
+    return _compared(middle.unionByName(around).withColumn("j", F.lit(0)), rows, percent, star=True)
+
+
+def _left_over(members: DataFrame, roots: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Links between nodes that the star of a band left in another class than its centre, and the others of the band."""
+    own, centre = roots.select(F.col("node").alias("uid"), F.col("root").alias("c_own")), roots.select(F.col("node").alias("least"), F.col("root").alias("c_least"))
+    told = members.where("uid <> least").join(own, "uid", "left").join(centre, "least", "left")
+    apart = F.coalesce("c_own", "uid") != F.coalesce("c_least", "least")
+    told = settle(told.select("band", "uid", "n", apart.alias("apart")), "told")
+    left = F.when(F.col("apart"), F.col("n"))
+    sums = told.groupBy("band").agg(F.count("*").alias("c"), F.sum("n").alias("s"), F.count(left).alias("lc"), F.sum(left).alias("ls"), F.bit_xor(F.xxhash64("uid")).alias("x"))
+    # bands with the same nodes are compared once: by number and hash of the nodes, and of those that are apart
+    sums = sums.where("c > 1 and lc > 0").groupBy("x", "c", "s", "lc", "ls").agg(F.min("band").alias("band"))
+    sizes = settle(sums.select("band", "c", _chunks("c", "s", CHUNK_NODES).alias("others"), _chunks("lc", "ls", CHUNK_NODES).alias("firsts")), "sizes")
+    both = hot_join(told.select("band", "uid", "apart"), sizes, ["band"], "c").withColumnRenamed("band", "cell")
+    first = both.where("apart").select("uid", "cell", F.pmod(F.xxhash64("uid"), "firsts").alias("i"), _upto("others").alias("j"), F.lit(1).alias("first"))
+    other = both.select("uid", "cell", _upto("firsts").alias("i"), F.pmod(F.xxhash64("uid"), "others").alias("j"), F.lit(0).alias("first"))
+    cells = first.unionByName(other).groupBy("uid", "cell", "i", "j").agg(F.max("first").alias("first"))
+    return _compared(cells, rows, percent, star=False)
+
+
 def _classified(docs: DataFrame, doc_id: str, text: str, percent: int, others: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(uid, doc_id, key, n, body and the renamed `others` of each row; key, class and component_id of each node)."""
+    """(uid, doc_id, key, n, body and the renamed `others` of each row; key, its rows c, class and component_id of each node)."""
     spark = docs.sparkSession
     batches(spark)
     source = docs.select(F.col(doc_id).cast("long").alias("__n_id"), F.col(text).alias("__n_text"), *(F.col(c).alias(f"__n_{i}") for i, c in enumerate(others)))
     schema = T.StructType([*T.StructType.fromDDL("uid long, doc_id long, key binary, n long, bands array<long>, body binary"), *source.schema[2:]])
     rows = settle(source.mapInArrow(_described([f"__n_{i}" for i in range(len(others))]), schema), "rows")
     some = rows.where("n > 0")
-    nodes = settle(some.groupBy("key").agg(F.min("uid").alias("node"), F.min("doc_id").alias("least_id")), "nodes")
-    own = some.select("uid", "bands").join(nodes.select(F.col("node").alias("uid")), "uid", "left_semi")
-    banded = own.select(F.explode("bands").alias("band"), "uid")
-    shared = banded.groupBy("band").agg(F.min("uid").alias("least"), F.count("*").alias("c")).where("c > 1")
-    members = settle(banded.join(shared.drop("c"), "band"), "members")
-    family = components(members.select(F.col("uid").alias("u"), F.col("least").alias("v")))
-
-    sized = settle(family.withColumnRenamed("node", "uid").join(rows.select("uid", "n"), "uid"), "family")
-    chunks = F.ceil(F.greatest(F.col("c") / CHUNK_NODES, F.col("s") / CHUNK_SHINGLES)).cast("long")
-    sizes = sized.groupBy("root").agg(F.count("*").alias("c"), F.sum("n").alias("s")).select("root", chunks.alias("chunks"))
-    placed = sized.join(sizes, "root")
-    small = placed.where("chunks = 1").select("uid", F.col("root").alias("cell"), "chunks")
-    # families over the bound go by band; equal numbers of a root and a band only put more nodes into a block
-    large = members.join(placed.where("chunks > 1").select("uid", "n"), "uid")
-    bands = large.groupBy("band").agg(F.count("*").alias("c"), F.sum("n").alias("s")).select("band", chunks.alias("chunks"))
-    by_band = large.join(bands, "band").select("uid", F.col("band").alias("cell"), "chunks")
-    mine = F.pmod(F.xxhash64("uid"), F.col("chunks"))
-    dealt = small.union(by_band).withColumn("own", mine).select("uid", "cell", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
-    cells = dealt.select("uid", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    bodies = cells.join(rows.select("uid", "body"), "uid").repartition(split_count(spark), "cell", "i", "j").sortWithinPartitions("cell", "i", "j")
-    links = bodies.mapInArrow(_verified(percent), "u long, v long")
-
-    roots = components(links).withColumnRenamed("root", "class")
-    classes = nodes.join(roots, "node", "left").select("key", "least_id", F.coalesce("class", "node").alias("class"))
+    nodes = settle(some.groupBy("key").agg(F.min("uid").alias("node"), F.min("doc_id").alias("least_id"), F.count("*").alias("c")), "nodes")
+    own = some.select("uid", "n", "bands").join(nodes.select(F.col("node").alias("uid")), "uid", "left_semi")
+    banded = own.select(F.explode("bands").alias("band"), "uid", "n")
+    shared = settle(banded.groupBy("band").agg(F.min("uid").alias("least"), F.count("*").alias("c")).where("c > 1"), "shared")
+    members = settle(hot_join(banded, shared, ["band"], "c"), "members")
+    links = settle(_stars(members, rows, percent), "links")
+    roots = components(links)
+    more = settle(_left_over(members, roots, rows, percent), "more")
+    if more.take(1):
+        roots = components(links.union(more))
+    classes = nodes.join(roots.withColumnRenamed("root", "class"), "node", "left").select("key", "c", "least_id", F.coalesce("class", "node").alias("class"))
     classes = settle(classes, "classes")
-    names = classes.groupBy("class").agg(F.min("least_id").alias("component_id"))
-    return rows, classes.join(names, "class").select("key", "class", "component_id")
+    names = settle(classes.groupBy("class").agg(F.min("least_id").alias("component_id"), F.count("*").alias("n_nodes")), "names")
+    return rows, settle(hot_join(classes, names, ["class"], "n_nodes").select("key", "c", "class", "component_id"), "named")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
@@ -180,9 +230,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     if its component has another id. Other columns are not read.
     """
     rows, named = _classified(docs, doc_id, text, percent, [])
-    full = rows.select("doc_id", "key", F.col("n").alias("n_shingles")).join(named.drop("class"), "key", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return full.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
+    linked = hot_join(rows.where("n > 0").select("doc_id", "key", "n"), named.drop("class"), ["key"], "c").select("doc_id", "n", "component_id")
+    full = linked.union(rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    return full.select("doc_id", F.col("n").alias("n_shingles"), "component_id").withColumn(
         "kept", F.when(F.col("component_id").isNull(), F.lit(True)).otherwise(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
     )
 
@@ -208,7 +258,7 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     others = [c for c in docs.columns if c != text]
     rows, named = _classified(docs, doc_id, text, percent, others)
     last = F.lit((1 << 63) - 1)
-    first = rows.where("n > 0").select("uid", "doc_id", "key").join(named, "key").groupBy("class").agg(F.min(F.struct(F.coalesce("doc_id", last), "uid")).alias("s"))
+    first = hot_join(rows.where("n > 0").select("uid", "doc_id", "key"), named.drop("component_id"), ["key"], "c").groupBy("class").agg(F.min(F.struct(F.coalesce("doc_id", last), "uid")).alias("s"))
     stay = first.select(F.col("s.uid").alias("uid")).union(rows.where("n = 0").select("uid"))
     kept = rows.join(stay, "uid", "left_semi").select("body", *(f"__n_{i}" for i in range(len(others))))
     return kept.mapInArrow(_restored(docs.columns, text), docs.schema)
