@@ -46,8 +46,10 @@ def segments(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     first = np.flatnonzero(change)
     value = least[first]
     last = np.append(first[1:], n) - 1
+    # the grams that are the least of some window around them: those that the largest of these least values does not pass
+    edge = np.full(w - 1, ~np.uint64(0))
+    spot = np.flatnonzero(~_window_minima(np.concatenate((edge, ~least, edge)), w) == h)
     # equal values in one run can have several places; a run longer than w windows, or one whose grams repeat, is split
-    spot = np.flatnonzero(np.isin(h, np.unique(value)))
     out_h, out_a, out_b, out_at = [], [], [], []
     if len(spot) == len(first):
         return value, first, last, spot

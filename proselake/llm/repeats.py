@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from proselake.llm.anchors import GRAM, WINDOW, segments
-from proselake.llm.shared import batches, settle, split_count, table
+from proselake.llm.shared import batches, hot_join, settle, split_count, table
 from proselake.llm.suffixes import repeated_windows
 
 #: Occurrences of an anchor from which its cell is dealt out by side; bytes of a block for one suffix array.
@@ -83,6 +83,16 @@ def merged(runs) -> list[tuple[int, int]]:
     return out
 
 
+def merged_arrays(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """As `merged`, of ranges in two arrays."""
+    if not len(a):
+        return []
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], np.maximum.accumulate(b[order])
+    new = np.flatnonzero(np.concatenate(([True], a[1:] > b[:-1])))
+    return list(zip(a[new].tolist(), b[np.append(new[1:] - 1, len(b) - 1)].tolist()))
+
+
 def without(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
     edges = [0, *(x for r in runs for x in r), len(raw)]
     return b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
@@ -98,10 +108,9 @@ def _squeezed(it):
         yield pa.RecordBatch.from_arrays([pa.array(body, pa.binary()) if n == "text" else batch.column(n) for n in batch.schema.names], names)
 
 
-def _cells(raw: bytes, note: dict) -> list[tuple[int, int, bytes]]:
+def _cells(raw: bytes, first: int, n: int, at: int, h: int, frequent: bool) -> list[tuple[int, int, bytes]]:
     """(cell, first window, bytes) of a segment: one, or up to two for a frequent anchor."""
-    first, n, at, h = note["first"], note["n"], note["at"], note["h"]
-    if not note["frequent"]:
+    if not frequent:
         return [(h, first, raw[first : first + n - 1 + WINDOW])]
     out, anchor = [], first + at
     code = lambda side, part: int.from_bytes(hashlib.blake2b(side + h.to_bytes(8, "little", signed=True) + part, digest_size=8).digest(), "little", signed=True)
@@ -125,11 +134,16 @@ def _noted(keep: list[str], keep_text: bool):
         cell = pa.list_(pa.struct([("cell", pa.int64()), ("first", pa.int64()), ("judge", pa.bool_()), ("part", pa.binary())]))
         for batch in it:
             cols: list[list] = [[] for _ in range(8)]
-            for body, notes in zip(batch.column("body"), batch.column("notes").to_pylist(), strict=True):
+            notes = batch.column("notes")
+            edges, inner = notes.offsets.to_numpy(), notes.values
+            first, n, at, h, frequent, known, present = (inner.field(i).to_numpy(zero_copy_only=False) for i in range(7))
+            last = first.astype(np.int64) + n - 1 + WINDOW
+            for k, body in enumerate(batch.column("body")):
                 raw = loose.decompress(body.as_py())
-                notes = notes or []
-                sure = merged((x["first"], x["first"] + x["n"] - 1 + WINDOW) for x in notes if x["sure"])
-                parts = [{"cell": c, "first": f, "judge": not x["sure"], "part": p} for x in notes if x["present"] for c, f, p in _cells(raw, x)]
+                lo, hi = (int(edges[k]), int(edges[k + 1])) if notes[k].is_valid else (0, 0)
+                sure = merged_arrays(first[lo:hi][known[lo:hi]], last[lo:hi][known[lo:hi]])
+                here = (lo + np.flatnonzero(present[lo:hi])).tolist()
+                parts = [{"cell": c, "first": f, "judge": not known[i], "part": p} for i in here for c, f, p in _cells(raw, int(first[i]), int(n[i]), int(at[i]), int(h[i]), bool(frequent[i]))]
                 open_ = any(p["judge"] for p in parts)
                 kept = without(raw, sure)
                 result = (len(raw), sum(b - a for a, b in sure), len(sure), hashlib.sha256(kept).hexdigest())
@@ -261,11 +275,13 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     keyed = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("did"), F.xxhash64(t).alias("xx"), t.alias("text"), *others)
     anchors = settle(keyed.select("did", "xx", "text").mapInArrow(_described, "h long, g long, did long, xx long, first int, n short, at short"), "anchors")
     counts = anchors.groupBy("h").agg(F.count("*").alias("c"), F.min("g").alias("lo"), F.max("g").alias("hi")).where("c > 1")
-    several = settle(anchors.join(counts.select("h", (F.col("lo") != F.col("hi")).alias("mixed"), (F.col("c") > FREQUENT).alias("frequent")), "h"), "several")
+    counts = settle(counts.select("h", "c", (F.col("lo") != F.col("hi")).alias("mixed"), (F.col("c") > FREQUENT).alias("frequent")), "counts")
+    several = settle(hot_join(anchors, counts, ["h"], "c"), "several")
     mixed = several.where("mixed")
     who = F.struct("did", "xx", "first")
     classes = mixed.groupBy("h", "g").agg(F.count("*").alias("c"), F.min(who).alias("one"))
-    told = mixed.join(classes, ["h", "g"]).select("did", "xx", "first", "n", "at", "h", "frequent", (F.col("c") > 1).alias("sure"), (who == F.col("one")).alias("present"))
+    classes = settle(classes.select("h", "g", "c", (F.col("c") > 1).alias("sure"), "one"), "classes")
+    told = hot_join(mixed, classes, ["h", "g"], "c").select("did", "xx", "first", "n", "at", "h", "frequent", "sure", (who == F.col("one")).alias("present"))
     no = F.lit(False)
     pure = several.where("not mixed").select("did", "xx", "first", "n", "at", "h", no.alias("frequent"), F.lit(True).alias("sure"), no.alias("present"))
     fields = ["first", "n", "at", "h", "frequent", "sure", "present"]
@@ -279,7 +295,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     parts = state.select("did", "xx", F.explode("parts").alias("p")).select("did", "xx", "p.*")
     small, large = by_size(parts, BLOCK)
-    dealt = small.repartition(split_count(spark), "cell").sortWithinPartitions("cell", "did", "xx", "first")
+    dealt = small.repartition(split_count(spark, state), "cell").sortWithinPartitions("cell", "did", "xx", "first")
     found = dealt.mapInArrow(_judged, "did long, xx long, a long, b long").union(_counted(large))
     runs = found.distinct().groupBy("did", "xx").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
     more = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, rest binary"
@@ -304,9 +320,12 @@ def _texts(names: list[str], text: str):
 
 def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` with all repeated 200-byte strings taken out of the text; null texts become empty, all else stays."""
-    found = remove_repeats(docs.withColumnsRenamed({c: f"__r_{c}" for c in docs.columns}), f"__r_{doc_id}", f"__r_{text}", keep_text=True)
-    plain = found.drop("n_bytes", "n_removed", "n_spans", "kept_sha256").withColumnsRenamed({f"__r_{c}": c for c in docs.columns})
-    return plain.mapInArrow(_texts(docs.columns, text), docs.schema)
+    names = [f"__r_{i}" for i in range(len(docs.columns))]
+    at = dict(zip(docs.columns, names, strict=True))
+    found = remove_repeats(docs.toDF(*names), at[doc_id], at[text], keep_text=True)
+    plain = found.select(*(n for n in names if n != at[text]), "rest")
+    schema = T.StructType([T.StructField(n, f.dataType, True) for n, f in zip(names, docs.schema, strict=True)])
+    return plain.mapInArrow(_texts(names, at[text]), schema).toDF(*docs.columns)
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

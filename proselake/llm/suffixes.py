@@ -45,19 +45,29 @@ def suffix_array(text: list[int]) -> list[int]:
             while j >= 0 and group[j] >= start:
                 j = before[j]
             before[i] = j
-            by_count = {1: (j,)} if j >= 0 else {}
-        else:
-            found: dict[int, int] = {}
-            for i in sorted(sa[start:end]):
-                j = before[i]
-                while j >= 0 and group[j] >= start:
-                    j = before[j]
-                before[i] = j
-                if j >= 0:
-                    found[j] = found.get(j, 0) + 1
-            by_count = {}
-            for j, c in found.items():
-                by_count.setdefault(c, []).append(j)
+            if j >= 0:
+                # one suffix moves to a group of its own, the last place of its old one
+                g = group[j]
+                size[g] -= 1
+                last = g + size[g]
+                k, other = place[j], sa[last]
+                sa[k], sa[last] = other, j
+                place[other], place[j] = k, last
+                group[j] = last
+                size[last] += 1
+            end = start
+            continue
+        found: dict[int, int] = {}
+        for i in sorted(sa[start:end]):
+            j = before[i]
+            while j >= 0 and group[j] >= start:
+                j = before[j]
+            before[i] = j
+            if j >= 0:
+                found[j] = found.get(j, 0) + 1
+        by_count: dict[int, list[int]] = {}
+        for j, c in found.items():
+            by_count.setdefault(c, []).append(j)
         for c in sorted(by_count, reverse=True) if len(by_count) > 1 else by_count:
             moved = by_count[c]
             for j in moved:
@@ -119,15 +129,10 @@ def repeated_windows(cells: list[int], segments: list[bytes], window: int = WIND
     data = raw.tobytes()
     strings = [data[a:b] for a, b in zip(first.tolist(), cut.tolist())]
     number = {s: k + 1 for k, s in enumerate(sorted(set(strings)))}
-    text, at = [], []
-    own = owner.tolist()
-    for k, s in enumerate(strings):
-        text.append(number[s])
-        at.append(k)
-        if k + 1 == len(strings) or own[k + 1] != own[k]:
-            text.append(0)
-            at.append(-1)
-    order = np.array(at, np.int64)[np.array(suffix_array(text), np.int64)]
+    spot = np.arange(len(strings)) + owner
+    text, at = np.zeros(len(strings) + len(segments), np.int64), np.full(len(strings) + len(segments), -1)
+    text[spot], at[spot] = np.fromiter(map(number.__getitem__, strings), np.int64, len(strings)), np.arange(len(strings))
+    order = at[np.array(suffix_array(text.tolist()), np.int64)]
     order = order[order >= 0]
     begin, room = first[order], ends[owner[order]] - first[order]
     # common bytes of neighbours, eight at a time, up to a window
