@@ -17,7 +17,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proselake.llm.shared import settle, table
+from proselake.llm.shared import hot_join, settle, table
 
 #: Notices by SPDX id.
 TEMPLATES = {
@@ -159,7 +159,11 @@ def blocks(files: DataFrame, text: str = "text") -> DataFrame:
 
 
 def scanned(files: DataFrame, text: str = "text") -> DataFrame:
-    """`files` with ``own_license`` and ``cosine_milli`` (thousandths), null where nothing matches. Narrow."""
+    """`files` with ``own_license`` and ``cosine_milli`` (thousandths), null where nothing matches. Narrow.
+
+    Null and empty texts match nothing; texts are read whole. Of licences with equal cosines the first by name counts.
+    Repeated rows give a row each, an empty table none. Columns of the input that bear a result's name give way.
+    """
     idf, other, vectors = weights()
     table_ = F.create_map(*(x for t, w in idf.items() for x in (F.lit(t), F.lit(w))))
     has = blocks(files, text).withColumn("__l_terms", _split(notice(F.col(text))))
@@ -192,22 +196,28 @@ def inherit(files: DataFrame, path: str = "path") -> DataFrame:
     Directories resolve their licence once, however many files they hold: distinct directories meet the licences of
     their ancestors in a join on the directory, and the deepest ancestor wins. A directory with several licence files
     takes the one with the largest cosine, of equals the first by name. Null paths have no directory and inherit nothing.
+    Repeated rows get a row each; an empty table gives none. Columns of the input that bear a result's name give way,
+    all others stay, whatever their name. `files` is read several times and should be a settled table.
     """
     name = F.element_at(F.split(F.col(path), "/"), -1)
     dir_ = F.when(F.col(path).contains("/"), F.regexp_replace(F.col(path), "/[^/]*$", "")).otherwise("")
-    f = files.withColumn("__l_dir", F.when(F.col(path).isNotNull(), dir_))
+    f = files.drop("license", "license_from", "depth").withColumn("__l_dir", F.when(F.col(path).isNotNull(), dir_))
     given = f.where(name.rlike(LICENSE_FILE) & F.col("own_license").isNotNull())
     best = given.groupBy(F.col("__l_dir").alias("__l_up")).agg(F.min(F.struct((-F.col("cosine_milli")).alias("c"), F.col("own_license").alias("k"))).alias("b")).select("__l_up", F.col("b")["k"].alias("__l_given"))
-    dirs = f.where("__l_dir is not null").select("__l_dir").distinct()
+    dirs = settle(f.where("__l_dir is not null").groupBy("__l_dir").agg(F.count("*").alias("__l_files")), "dirs")
     steps = F.split("__l_dir", "/")
     up = F.transform(F.sequence(F.lit(0), F.size(steps)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(steps, 1, n), "/").alias("up")))
-    above = dirs.select("__l_dir", F.explode(up).alias("u")).select("__l_dir", "u.depth", F.col("u.up").alias("__l_up"))
-    near = above.join(best, "__l_up").groupBy("__l_dir").agg(F.max(F.struct("depth", "__l_up", "__l_given")).alias("n"))
-    out = f.join(near, "__l_dir", "left")
-    own = F.col("own_license").isNotNull()
+    above = settle(dirs.select("__l_dir", F.explode(up).alias("u")).select("__l_dir", "u.depth", F.col("u.up").alias("__l_up")), "above")
+    # a directory near the root stands above many; how many is known before the join
+    best = settle(above.groupBy("__l_up").agg(F.count("*").alias("__l_below")).join(best, "__l_up"), "best")
+    near = hot_join(above, best, ["__l_up"], "__l_below").groupBy("__l_dir").agg(F.max(F.struct("depth", "__l_up", "__l_given")).alias("__l_near"))
+    near = settle(dirs.join(near, "__l_dir", "left"), "near")
+    found = hot_join(f.where("__l_dir is not null"), near, ["__l_dir"], "__l_files")
+    out = found.unionByName(f.where("__l_dir is null").withColumn("__l_near", F.lit(None).cast(near.schema["__l_near"].dataType)))
+    own, at = F.col("own_license").isNotNull(), F.col("__l_near")
     return out.withColumns(
-        {"license": F.coalesce("own_license", F.col("n")["__l_given"]), "license_from": F.when(~own, F.col("n")["__l_up"]), "depth": F.when(~own, F.col("n")["depth"])}
-    ).drop("__l_dir", "n")
+        {"license": F.coalesce("own_license", at["__l_given"]), "license_from": F.when(~own, at["__l_up"]), "depth": F.when(~own, at["depth"])}
+    ).drop("__l_dir", "__l_near")
 
 
 #: A file tree over `documents`: directories by source, language and id, with every seventh licensed file a licence file.
