@@ -180,7 +180,7 @@ def write_ids(docs: DataFrame, path: str, end_id: int, doc_id: str = "doc_id", t
     spark = docs.sparkSession
     batches(spark)
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("h"))
-    dealt = source.repartitionByRange(split_count(spark), "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
+    dealt = source.repartitionByRange(split_count(spark, docs.select(doc_id, text)), "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
     folder = shared_dir(spark)
     return settle(dealt.mapInArrow(_write(path, end_id, folder, width), "shard int, uri string, doc_id long, position long"), "manifest")
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,18 +35,18 @@ def windows(text: str | None, size: int = WINDOW) -> set[bytes]:
     return {b" %b " % b" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
 
 
-def item_blocks(items: list[tuple[object, str]], size: int = WINDOW, bound: int = BLOCK_BYTES) -> list[dict[bytes, list]]:
-    """Windows with the items that hold them, in blocks of bounded size."""
-    blocks: list[dict[bytes, list]] = [{}]
+def item_blocks(items: Iterable[tuple[object, str]], size: int = WINDOW, bound: int = BLOCK_BYTES) -> Iterator[dict[bytes, list]]:
+    """Windows with the items that hold them, in blocks of bounded size, made one at a time; one block at least."""
+    block: dict[bytes, list] = {}
     used = 0
     for item, text in items:
         for w in windows(text, size):
             if used > bound:
-                blocks.append({})
-                used = 0
+                yield block
+                block, used = {}, 0
             used += len(w)
-            blocks[-1].setdefault(w, []).append(item)
-    return blocks
+            block.setdefault(w, []).append(item)
+    yield block
 
 
 class _Automaton:
@@ -118,11 +119,14 @@ def scan(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "
 
     Narrow: each row stays where it is, so hot sources or copies do not matter. Items come to the driver, as a
     benchmark is a stated, small set; what is broadcast at once is bounded by `BLOCK_BYTES`. Null texts have no words.
-    A null item id counts as the string "None"; repeated items count once for each id.
+    A null item id counts as the string "None"; repeated items count once for each id. Repeated rows give a row each, an
+    empty table none; without items nothing is hit. Texts count whole, however long. Columns of the input that bear a
+    result's name give way; all others stay.
     """
     spark = docs.sparkSession
     batches(spark)
-    stated = [(r[0], r[1]) for r in items.select(item_id, "text").toLocalIterator()]
+    docs = docs.drop("__d_text", "__d_hits", "__d_items", "__d_words")
+    stated = ((r[0], r[1]) for r in items.select(item_id, "text").toLocalIterator())
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     out = docs.withColumn("__d_text", F.col(text))
     schema += ", __d_text string, __d_hits array<struct<a:bigint,b:bigint>>, __d_items array<string>, __d_words bigint"
@@ -169,10 +173,26 @@ def _cut(it):
         yield pa.RecordBatch.from_arrays(cols, [n for n in batch.schema.names if n[:4] != "__d_"])
 
 
+def _scanned(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, list[str]]:
+    """`docs` scanned under names that cannot clash, and these names in order; ``text`` keeps its own."""
+    names = [c if c == "text" else f"c_{i}" for i, c in enumerate(docs.columns)]
+    return scan(docs.toDF(*names), items), names
+
+
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """`docs` with all words of benchmark windows taken out of ``text``; all other rows and columns stay as they are."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return scan(docs, items).mapInArrow(_cut, schema)
+    """`docs` with all words of benchmark windows taken out of ``text``; all other rows and columns stay as they are.
+
+    Null texts stay null. Cases are as in `scan`, but no column gives way.
+    """
+    found, names = _scanned(docs, items)
+    schema = ", ".join(f"`{n}` {f.dataType.simpleString()}" for n, f in zip(names, docs.schema, strict=True))
+    return found.mapInArrow(_cut, schema).toDF(*docs.columns)
+
+
+def uncontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of `docs` without any window of an item, with all their columns. Null texts have no words and stay."""
+    found, names = _scanned(docs, items)
+    return found.where(F.size("__d_hits") == 0).select(*names).toDF(*docs.columns)
 
 
 OP5_SQL = """WITH

@@ -77,15 +77,17 @@ def shard(docs: DataFrame, shards: int = SHARDS, virtual: int = VIRTUAL, slack:
     """(doc_id, size, text_crc32, shard, slot) of every row; slots of a shard run from 0 without gaps.
 
     A row's ring position comes from its id and its text's size and checksum, so null and repeated ids spread over the
-    ring. Wholly equal rows are neighbours and interchangeable. A null text has no bytes. No text is moved.
+    ring. Wholly equal rows are neighbours and interchangeable. A null text has no bytes. No text is moved. An empty
+    table gives no rows; columns other than the id and the text are not read.
     """
     spark = docs.sparkSession
     t = F.coalesce(F.col(text), F.lit(""))
     small = docs.select(F.col(doc_id).cast("long").alias("doc_id"), (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"))
-    small = small.withColumn("position", F.xxhash64("doc_id", "size", "text_crc32"))
-    order = ["position", "doc_id", "size", "text_crc32"]
+    # wholly equal rows are interchangeable, so any number tells them apart and lets them go to several tasks
+    small = small.withColumns({"position": F.xxhash64("doc_id", "size", "text_crc32"), "any": F.monotonically_increasing_id()})
+    order = ["position", "doc_id", "size", "text_crc32", "any"]
     points, owner = ring(shards, virtual)
-    dealt = small.repartitionByRange(split_count(spark), *order).sortWithinPartitions(*order)
+    dealt = small.repartitionByRange(split_count(spark, small), *order).sortWithinPartitions(*order)
     ranked = settle(dealt.mapInArrow(_ranked(points), "doc_id long, size long, text_crc32 long, task int, arc long, rank long"), "ranked")
     counts = settle(ranked.groupBy("arc", "task").agg(F.count("*").alias("n")), "counts")
     by_arc = {r["arc"]: r["n"] for r in counts.groupBy("arc").agg(F.sum("n").alias("n")).collect()}  # shards * virtual rows at most
