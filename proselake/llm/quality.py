@@ -7,6 +7,7 @@ input stay untouched, since every intermediate column has a reserved ``__q_`` na
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,34 +53,40 @@ RULES = (
 
 
 def _count_chars(text: Column, chars: str) -> Column:
-    return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
+    """How often any of these characters occurs: the parts between them, less one."""
+    return (F.size(F.split(text, "[" + re.escape(chars) + "]")) - 1).cast("long")
 
 
 def measured(df: DataFrame, text: str = "text") -> DataFrame:
     """`df` with the struct column ``__q_m``: all counts and ratios that the rules may use.
 
-    Repeated windows are found per document by sorting its windows, so the work is n log n in its words and needs no
-    shuffle, however long or repetitive the text is.
+    Repeated windows are found per document by sorting the 64-bit hashes of its windows; words are compared where hashes
+    of neighbours meet. So the work is n log n in its words and needs no shuffle, however long or repetitive the text is.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    words = F.filter(F.split(t, SPACE), lambda w: w != "")
+    words = F.array_remove(F.split(t, SPACE), "")
     lines = F.filter(F.split(t, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     w, n = F.col("__q_w"), F.size("__q_w")
     windows = F.transform(
         F.slice(w, 1, F.greatest(n - 2, F.lit(0))),
-        lambda x, i: F.struct(F.concat_ws(" ", x, F.get(w, i + 1), F.get(w, i + 2)).alias("g"), i.alias("p")),
+        lambda x, i: F.struct(F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("p")),
     )
     s = F.col("__q_s")
-    twice = F.array_compact(
-        F.transform(s, lambda x, i: F.when((x["g"] == F.get(s, i + 1)["g"]) | (x["g"] == F.get(s, i - 1)["g"]), x["p"]))
-    )
+
+    def equal(x: Column, y: Column) -> Column:
+        words_meet = F.get(w, x["p"]) == F.get(w, y["p"])
+        for k in (1, 2):
+            words_meet = words_meet & (F.get(w, x["p"] + k) == F.get(w, y["p"] + k))
+        return (x["h"] == y["h"]) & words_meet
+
+    twice = F.array_compact(F.transform(s, lambda x, i: F.when(equal(x, F.get(s, i + 1)) | equal(x, F.get(s, i - 1)), x["p"])))
     covered = F.size(F.array_distinct(F.flatten(F.transform(twice, lambda p: F.array(p, p + 1, p + 2)))))
     n_words, n_lines = n.cast("long"), F.size("__q_l").cast("long")
     per_word = lambda c: F.when(n_words > 0, c / n_words).otherwise(0.0)
     per_line = lambda c: F.when(n_lines > 0, c / n_lines).otherwise(0.0)
-    out = df.withColumns({"__q_w": words, "__q_l": lines}).withColumn("__q_s", F.array_sort(windows))
+    out = df.withColumns({"__q_w": words, "__q_l": lines}).withColumn("__q_s", F.sort_array(windows))
     line_share = lambda pattern: per_line(F.size(F.filter("__q_l", lambda x: x.rlike(pattern))))
-    chars = F.length(F.translate(t, " \t\n\x0b\x0c\r", "")).cast("long")
+    chars = F.length(F.array_join("__q_w", "")).cast("long")
     dups = (F.size("__q_l") - F.size(F.array_distinct("__q_l"))).cast("long")
     return out.withColumn(
         "__q_m",
@@ -123,6 +130,12 @@ def quality(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
     ).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
 
 
+def passing(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of `df` that no rule rejects, with all their columns, whatever these are called."""
+    names = [f"c_{i}" for i in range(len(df.columns))]
+    return quality(df.toDF(*names), names[df.columns.index(text)], rules).where("kept").select(*names).toDF(*df.columns)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
     return quality(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
