@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proselake.functions import lexicons as lex
@@ -117,33 +117,57 @@ def template_names(custom: dict[str, tuple[str, ...]] | None = None) -> list[str
     return list(dict.fromkeys([*lex.TEMPLATES, *(custom or {})]))
 
 
-def sections(docs: DataFrame, template: str, key: str = "doc_id", text: str = "text", custom: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
-    """(key, ord, name, status): present, empty or missing for each section of a template; custom templates go first."""
+def template_sections(template: str, custom: dict[str, tuple[str, ...]] | None = None) -> tuple[str, ...]:
+    """The sections that a template asks for; the caller's own templates go first."""
     names = (custom or {}).get(template) or lex.TEMPLATES.get(template)
     if names is None:
-        raise ValueError(f"unknown template: {template}")
-    d = docs.select(key, F.split(text_of(text), "\n").alias("lines"), headings(text).alias("heads"))
-    each = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(n).alias("name")) for i, n in enumerate(names)))
-    d = d.select(key, "lines", "heads", F.explode(each).alias("s")).select(key, "lines", "heads", "s.*")
-    head = F.get(F.filter("heads", lambda h: h["level"].isin(2, 3) & F.contains(F.lower(h["text"]), F.lower("name"))), F.lit(0))
-    d = d.withColumn("head", head)
-    own = lambda x: F.length(F.regexp_extract(x, "^(#+)", 1))
-    marks = F.transform("lines", lambda x, i: F.struct(i.alias("i"), stripped(x).alias("t")))
-    start = F.get(F.filter(marks, lambda x: x["t"].startswith("#") & F.contains(x["t"], F.col("head")["text"])), F.lit(0))["i"]
-    d = d.withColumns({"marks": marks, "start": start})
-    level = F.col("head")["level"]
-    stop = F.get(F.filter("marks", lambda x: (x["i"] > F.col("start")) & x["t"].startswith("#") & (own(x["t"]) <= level)), F.lit(0))["i"]
-    body = F.array_join(F.transform(F.filter("marks", lambda x: (x["i"] > F.col("start")) & (x["i"] < F.coalesce(stop, F.size("marks")))), lambda x: x["t"]), "\n")
-    body = F.lower(stripped(F.coalesce(body, F.lit(""))))
-    status = F.when(F.col("head").isNull(), "missing").when((body == "") | body.isin(*lex.PLACEHOLDERS), "empty").otherwise("present")
-    return d.select(key, "ord", "name", status.alias("status"))
+        raise ValueError(f"no such template: {template}")
+    return tuple(names)
+
+
+def section_report(text, heads: Column, names) -> Column:
+    """[{name, status}]: present, empty or missing for each section; `heads` is the column of `headings`. Within the row."""
+    marks = F.transform(F.split(text_of(text), "\n"), lambda x, i: F.struct(i.alias("i"), stripped(x).alias("t")))
+    level = lambda t: F.length(F.regexp_extract(t, "^(#+)", 1))
+    first = lambda found: F.get(found, F.lit(0))
+
+    def body(lines: Column, head: Column) -> Column:
+        title = lambda x: x["t"].startswith("#")
+        start = first(F.filter(lines, lambda x: title(x) & F.contains(x["t"], head["text"])))["i"]
+        after = lambda s: F.slice(lines, s + 2, F.size(lines))
+        stop = lambda s: first(F.filter(after(s), lambda x: title(x) & (level(x["t"]) <= head["level"])))["i"]
+        inside = lambda s: let(F.coalesce(stop(s), F.size(lines)), lambda e: F.filter(after(s), lambda x: x["i"] < e))
+        return let(start, lambda s: F.when(s.isNotNull(), F.array_join(F.transform(inside(s), lambda x: x["t"]), "\n")))
+
+    def status(lines: Column, head: Column) -> Column:
+        told = lambda t: F.when((t == "") | t.isin(*lex.PLACEHOLDERS), "empty").otherwise("present")
+        return F.when(head.isNull(), "missing").otherwise(let(F.lower(stripped(F.coalesce(body(lines, head), F.lit("")))), told))
+
+    def result(lines: Column, name: Column) -> Column:
+        head = first(F.filter(heads, lambda h: h["level"].isin(2, 3) & F.contains(F.lower(h["text"]), F.lower(name))))
+        return F.struct(name.alias("name"), let(head, lambda h: status(lines, h)).alias("status"))
+
+    return let(marks, lambda lines: F.transform(F.array(*map(F.lit, names)), lambda n: result(lines, n)))
+
+
+def completeness_report(text, heads: Column, template: str, custom=None) -> Column:
+    """{template, sections, pass}: a document passes if all sections are present."""
+    found = section_report(text, heads, template_sections(template, custom))
+    whole = lambda s: F.struct(F.lit(template).alias("template"), s.alias("sections"), F.forall(s, lambda x: x["status"] == "present").alias("pass"))
+    return let(found, whole)
+
+
+def sections(docs: DataFrame, template: str, key: str = "doc_id", text: str = "text", custom=None) -> DataFrame:
+    """(key, ord, name, status) of each row's sections, one to a row."""
+    names = template_sections(template, custom)
+    d = docs.select(key, F.col(text).alias("__t"), headings(text).alias("__h"))
+    return d.select(key, F.posexplode(section_report("__t", F.col("__h"), names)).alias("ord", "__s")).select(key, "ord", "__s.*")
 
 
 def completeness(docs: DataFrame, template: str, key: str = "doc_id", text: str = "text", custom=None) -> DataFrame:
-    """(key, template, sections, pass)."""
-    s = sections(docs, template, key, text, custom)
-    found = F.array_sort(F.collect_list(F.struct("ord", "name", "status")))
-    return s.groupBy(key).agg(F.lit(template).alias("template"), F.transform(found, lambda x: F.struct(x["name"], x["status"])).alias("sections"), F.bool_and(F.col("status") == "present").alias("pass"))
+    """(key, template, sections, pass) of each row."""
+    d = docs.select(key, F.col(text).alias("__t"), headings(text).alias("__h"))
+    return d.select(key, completeness_report("__t", F.col("__h"), template, custom).alias("__c")).select(key, "__c.*")
 
 
 _DELIMITERS = re.compile(r"^ {0,3}\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
@@ -331,15 +355,23 @@ def specificity(pattern: str) -> int:
     return sum(not re.search(r"[*?\[]", s) for s in pattern.split("/"))
 
 
-def resolve_rules(paths: DataFrame, rules: list[dict], path: str = "path") -> DataFrame:
-    """(path, check, rule_idx, settings): for each path and check type the rule with the most specific pattern.
+def chosen_rules(path: Column, rules: list[dict]) -> Column:
+    """[{check, rule_idx, settings}]: for each check type the rule with the most specific pattern that fits the path.
 
-    `rules`: [{paths: [...], checks: {name: settings as text}}]; of equal ones the earlier wins. The rules are a small
-    configuration of the driver, so they meet the paths in a broadcast join.
+    `rules`: [{paths: [...], checks: {name: settings as text}}]; of equal ones the earlier wins. The rules are a
+    configuration of the driver and become one expression: the first pattern that fits, from the most specific on.
     """
-    spark = paths.sparkSession
-    rows = [(i, g, specificity(p), c, str(s)) for i, r in enumerate(rules) for p in r["paths"] if (g := glob_regex(p)) for c, s in r["checks"].items()]
-    table = spark.createDataFrame(rows, "rule_idx int, pattern string, specificity int, check string, settings string")
-    hit = paths.select(path).distinct().join(F.broadcast(table), F.expr(f"{path} rlike pattern"))
-    best = F.row_number().over(Window.partitionBy(path, "check").orderBy(F.desc("specificity"), "rule_idx"))
-    return hit.withColumn("r", best).where("r = 1").select(path, "check", "rule_idx", "settings")
+    found: dict[str, list[tuple[int, int, str, str]]] = {}
+    for i, rule in enumerate(rules):
+        for p in rule["paths"]:
+            if regex := glob_regex(p):
+                for check, settings in rule["checks"].items():
+                    found.setdefault(check, []).append((-specificity(p), i, regex, str(settings)))
+    one = lambda check, i, regex, settings: F.when(path.rlike(regex), F.struct(F.lit(check).alias("check"), F.lit(i).alias("rule_idx"), F.lit(settings).alias("settings")))
+    best = [F.coalesce(*(one(check, i, regex, settings) for _, i, regex, settings in sorted(options))) for check, options in found.items()]
+    return F.array_compact(F.array(*best)) if best else F.array().cast("array<struct<check:string,rule_idx:int,settings:string>>")
+
+
+def resolve_rules(paths: DataFrame, rules: list[dict], path: str = "path") -> DataFrame:
+    """(path, check, rule_idx, settings) of each row's path."""
+    return paths.select(path, F.explode(chosen_rules(F.col(path), rules)).alias("__c")).select(path, "__c.*")

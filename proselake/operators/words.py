@@ -86,16 +86,19 @@ def echoes_report(text="text", near: int = 20) -> Column:
     """The 50 nearest repetitions of a word within a paragraph, by distance, paragraph, word and place."""
     def of_paragraph(w: Column, para: Column) -> Column:
         placed = F.filter(F.transform(w, lambda x, i: F.struct(x.alias("t"), i.alias("p"))), lambda x: (F.octet_length(x["t"]) >= 4) & ~_in(x["t"], lex.GLUE))
-        return let(F.sort_array(placed), lambda s: let(_starts(F.transform(s, lambda x: x["t"])), lambda at: echoed(s, at, para)))
+        return let(F.sort_array(placed), lambda s: let(let(F.transform(s, lambda x: x["t"]), _starts), lambda at: echoed(s, at, para)))
 
     def echoed(s: Column, at: Column, para: Column) -> Column:
         def run(first: Column, k: Column) -> Column:
-            end = F.coalesce(F.get(at, k + 1), F.size(s))
-            later = F.transform(F.slice(s, first + 2, end - first - 1), lambda x, i: F.struct(
-                (x["p"] - F.get(s, first + i)["p"]).alias("distance"), para.alias("paragraph"), x["t"].alias("word"), x["p"].alias("pos"), (end - first).cast("long").alias("occurrences")))
+            return let(F.coalesce(F.get(at, k + 1), F.size(s)), lambda end: F.when(end - first > 1, pairs(first, end)))
+
+        def pairs(first: Column, end: Column) -> Column:
+            # places in the sorted array; a slice would copy the whole of it for each run
+            later = F.transform(F.sequence(first + 1, end - 1), lambda j: F.struct(
+                (F.get(s, j)["p"] - F.get(s, j - 1)["p"]).alias("distance"), para.alias("paragraph"), F.get(s, j)["t"].alias("word"), F.get(s, j)["p"].alias("pos"), (end - first).cast("long").alias("occurrences")))
             return F.filter(later, lambda x: x["distance"] < near)
 
-        return F.flatten(F.transform(at, run))
+        return F.flatten(F.array_compact(F.transform(at, run)))
 
     paras = F.transform(paragraphs(text), words)
     found = F.flatten(F.transform(paras, lambda w, i: of_paragraph(w, i + 1)))

@@ -1,8 +1,7 @@
 """The composite verdict: path rules choose checks and limits for each document, directives in it take findings away.
 
-One narrow projection over the documents; the only join is with the resolved rules of each path. Documents that no rule
-configures give no row. Null texts count as empty and give null reports. Rows with one path stay documents of their own,
-but share the completeness report, which goes by path.
+One narrow projection over the documents, without joins or exchanges. Documents that no rule configures give no row. Null
+texts count as empty and give null reports. Rows with one path stay documents of their own.
 """
 
 from __future__ import annotations
@@ -12,10 +11,10 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proselake.functions.text import paragraph_lines, split_text, text_of
+from proselake.functions.text import let, paragraph_lines, split_text, text_of
 from proselake.operators import sentences as S
 from proselake.operators import words as W
-from proselake.operators.documents import completeness, is_directive, prose, resolve_rules, suppressed, token_report
+from proselake.operators.documents import chosen_rules, completeness_report, headings, is_directive, prose, suppressed, token_report
 from proselake.plans.analyze import CHECKS, check_names, prepared, reports
 
 #: Checks of a rule, and the settings that each may have.
@@ -54,25 +53,32 @@ def _visible(findings: Column, check: str, lines: Column, ranges: Column, num: s
         line = F.coalesce(F.get(lines, x[num] - 1), F.lit(0))
         return F.exists(ranges, lambda r: (r["check"] == check) & (r["file_level"] | line.between(r["start"], r["end"])))
 
-    return F.when(F.size(ranges) == 0, findings).otherwise(F.filter(findings, lambda x: ~F.coalesce(hidden(x), F.lit(False))))
+    return let(findings, lambda all_: F.when(F.size(ranges) == 0, all_).otherwise(F.filter(all_, lambda x: ~F.coalesce(hidden(x), F.lit(False)))))
 
 
 def _regional_grammar(report: Column, limit: Column, lines: Column, ranges: Column) -> Column:
-    passive = _visible(report["passive_voice"], "grammar", lines, ranges)
-    share = 100.0 * F.size(passive) / report["sentence_count"]
-    whole = F.struct(
-        _visible(report["issues"], "grammar", lines, ranges).alias("issues"), passive.alias("passive_voice"), F.size(passive).cast("long").alias("passive_count"),
-        share.alias("passive_percentage"), report["sentence_count"].alias("sentence_count"), limit.alias("passive_max"), F.coalesce(share > limit, F.lit(False)).alias("over_max"),
-    )
-    return F.when(report.isNotNull(), whole)
+    def whole(r: Column) -> Column:
+        return let(_visible(r["passive_voice"], "grammar", lines, ranges), lambda passive: again(r, passive, 100.0 * F.size(passive) / r["sentence_count"]))
+
+    def again(r: Column, passive: Column, share: Column) -> Column:
+        return F.when(r.isNotNull(), F.struct(
+            _visible(r["issues"], "grammar", lines, ranges).alias("issues"), passive.alias("passive_voice"), F.size(passive).cast("long").alias("passive_count"),
+            share.alias("passive_percentage"), r["sentence_count"].alias("sentence_count"), limit.alias("passive_max"), F.coalesce(share > limit, F.lit(False)).alias("over_max"),
+        ))
+
+    return let(report, whole)
 
 
 def _limited(report: Column, limit: Column) -> Column:
-    return F.when(report.isNotNull(), report.withField("max_grade", limit).withField("over_max", F.coalesce(report["grade"] > limit, F.lit(False))))
+    return let(report, lambda r: F.when(r.isNotNull(), r.withField("max_grade", limit).withField("over_max", F.coalesce(r["grade"] > limit, F.lit(False)))))
 
 
-def _counted_again(report: Column, items: Column, field: str, count: str) -> Column:
-    return F.when(report.isNotNull(), report.withField(field, items).withField(count, F.size(items).cast("long")))
+def _seen(report: Column, field: str, count: str, visible) -> Column:
+    """`report` with what is visible of its list, and the list counted again."""
+    def counted(r: Column) -> Column:
+        return let(visible(r[field]), lambda items: r.withField(field, items).withField(count, F.size(items).cast("long")))
+
+    return let(report, lambda r: F.when(r.isNotNull(), counted(r)))
 
 
 def _analyses(lines: Column, paras: Column, ranges: Column, names: Column, listed: Column, setting, dialect: Column, dialects) -> Column:
@@ -82,18 +88,16 @@ def _analyses(lines: Column, paras: Column, ranges: Column, names: Column, liste
     made = reports(CHECKS, passive=passives)
     made["readability"] = _limited(made["readability"], setting("analyze", "max_grade", "max_grade"))
     made["grammar"] = _regional_grammar(made["grammar"], setting("analyze", "passive_max", "passive_max_percent"), lines, ranges)
-    seen = _visible(made["sticky"]["sticky_sentences"], "sticky_sentences", lines, ranges)
-    made["sticky"] = _counted_again(made["sticky"], seen, "sticky_sentences", "sticky_count")
-    length = made["sentence_length"]
-    made["sentence_length"] = F.when(length.isNotNull(), length.withField("very_long", _visible(length["very_long"], "sentence_length", lines, ranges)))
-    made["echoes"] = _counted_again(made["echoes"], _visible(made["echoes"]["echoes"], "echoes", paras, ranges, "paragraph"), "echoes", "total_echoes")
+    made["sticky"] = _seen(made["sticky"], "sticky_sentences", "sticky_count", lambda x: _visible(x, "sticky_sentences", lines, ranges))
+    long = lambda r: r.withField("very_long", _visible(r["very_long"], "sentence_length", lines, ranges))
+    made["sentence_length"] = let(made["sentence_length"], lambda r: F.when(r.isNotNull(), long(r)))
+    made["echoes"] = _seen(made["echoes"], "echoes", "total_echoes", lambda x: _visible(x, "echoes", paras, ranges, "paragraph"))
     cases = [F.when(dialect == d, W.consistency("__t", d)) for d in dialects]
     made["consistency"] = F.coalesce(*cases, made["consistency"])
-    cp = made["complex_paragraphs"]
-    own = _counted_again(cp, _visible(cp["complex_paragraphs"], "complex_paragraphs", paras, ranges, "paragraph_num"), "complex_paragraphs", "complex_count")
     # with directives the share is that of the paragraphs of the raw text, unrounded
-    share = F.when(F.size(paras) > 0, own["complex_count"] / F.size(paras) * 100).otherwise(0.0)
-    made["complex_paragraphs"] = F.when(F.size(ranges) == 0, cp).otherwise(own.withField("percentage", share))
+    share = lambda r: r.withField("percentage", F.when(F.size(paras) > 0, r["complex_count"] / F.size(paras) * 100).otherwise(0.0))
+    own = _seen(made["complex_paragraphs"], "complex_paragraphs", "complex_count", lambda x: _visible(x, "complex_paragraphs", paras, ranges, "paragraph_num"))
+    made["complex_paragraphs"] = let(own, lambda r: F.when(F.size(ranges) == 0, r).otherwise(share(r)))
     return F.struct(*(F.when(wanted(n), made[n]).alias(n) for n in CHECKS))
 
 
@@ -105,10 +109,10 @@ def lint(docs: DataFrame, rules: list[dict], path: str = "path", text: str = "te
     inside `analyze` are reported but only its least style score counts for ``pass``.
     """
     rules, config = _encoded(rules), config or {}
-    chosen = resolve_rules(docs, rules, path).groupBy(path).agg(F.map_from_entries(F.collect_list(F.struct("check", "settings"))).alias("__set"))
-    d = docs.select(path, text_of(text).alias("__raw")).join(chosen, path)
+    d = docs.select(path, text_of(text).alias("__raw"), chosen_rules(F.col(path), rules).alias("__c")).where(F.size("__c") > 0)
+    d = d.withColumn("__set", F.map_from_entries(F.transform("__c", lambda x: F.struct(x["check"], x["settings"]))))
     d = d.withColumns({"__t": F.when(F.col(path).endswith(".md"), prose("__raw")).otherwise(F.col("__raw")), "__b": directives_blanked(F.col("__raw"), marker), "__r": suppressed("__raw", marker)})
-    d = prepared(d, CHECKS).withColumns({"__l": F.transform(split_text("__b"), lambda x: x["line"]), "__k": paragraph_lines("__b")})
+    d = prepared(d, CHECKS).withColumns({"__l": F.transform(split_text("__b"), lambda x: x["line"]), "__k": paragraph_lines("__b"), "__h": headings("__raw")})
     s, lines, paras, hidden = F.col("__s"), F.col("__l"), F.col("__k"), F.col("__r")
     raw = lambda check, name: F.get_json_object(F.col("__set")[check], f"$.{name}")
     setting = lambda check, name, general: F.coalesce(raw(check, name).cast("double"), F.lit(config.get(general)).cast("double"))
@@ -120,27 +124,19 @@ def lint(docs: DataFrame, rules: list[dict], path: str = "path", text: str = "te
     dialect = F.coalesce(raw("analyze", "dialect"), F.lit(config.get("dialect")).cast("string"))
     settings = [json.loads(r["checks"]["analyze"]) for r in rules if "analyze" in r["checks"]]
     dialects = sorted({x for x in (config.get("dialect"), *(g.get("dialect") for g in settings)) if x})
-    templates = config.get("templates")
+    custom = config.get("templates")
+    used = sorted({t for r in rules if (c := r["checks"].get("completeness")) and (t := json.loads(c).get("template"))})
+    complete = [F.when(on("completeness") & (raw("completeness", "template") == t), completeness_report("__raw", F.col("__h"), t, custom)) for t in used]
+    missing = F.lit(None).cast("struct<template:string,sections:array<struct<name:string,status:string>>,pass:boolean>")
     out = d.select(
         path,
         F.when(F.col("__set")["analyze"].isNotNull() & some, _analyses(lines, paras, hidden, names, raw("analyze", "listed") == "true", setting, dialect, dialects)).alias("analyze"),
         F.when(on("readability"), _limited(S.readability(F.col("__t"), s), setting("readability", "max_grade", "max_grade"))).alias("readability"),
         F.when(on("grammar"), _regional_grammar(S.grammar(s), setting("grammar", "passive_max", "passive_max_percent"), lines, hidden)).alias("grammar"),
-        F.when(on("completeness"), raw("completeness", "template")).alias("__template"),
-        F.when(on("tokens"), tokens.withField("budget", budget).withField("over_budget", F.coalesce(tokens["count"] > budget, F.lit(False)))).alias("tokens"),
+        F.coalesce(*complete, missing).alias("completeness"),
+        F.when(on("tokens"), let(tokens, lambda r: r.withField("budget", budget).withField("over_budget", F.coalesce(r["count"] > budget, F.lit(False))))).alias("tokens"),
         setting("analyze", "style_min", "style_min_score").alias("__style_min"),
     )
-    # one plan for each template that a rule names, over the documents that it applies to
-    used = sorted({t for r in rules if (c := r["checks"].get("completeness")) and (t := json.loads(c).get("template"))})
-    found = None
-    for template in used:
-        own = out.where(F.col("__template") == template).select(path).distinct()
-        part = completeness(docs.select(path, text).join(own, path, "left_semi"), template, path, text, templates)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        out = out.withColumn("completeness", F.lit(None).cast("struct<template:string,sections:array<struct<name:string,status:string>>,pass:boolean>"))
-    else:
-        out = out.join(found.select(path, F.struct("template", "sections", "pass").alias("completeness")), path, "left")
     fails = [
         F.col("analyze.style.style_score") < F.col("__style_min"), F.col("readability.over_max"), F.col("grammar.over_max"),
         ~F.col("completeness.pass"), F.col("tokens.over_budget"),

@@ -14,13 +14,15 @@ def read_texts(spark: SparkSession, path: str, limit: int | None = MAX_BYTES, pa
     A file over `limit` bytes gives an error and no text, one that is not UTF-8 likewise; no limit with None.
     """
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    text = F.decode("content", "UTF-8")
-    # what decodes to the same bytes was UTF-8
-    bad = ~F.coalesce(F.is_valid_utf8(F.col("content").cast("string")), F.lit(True))
-    error = F.when(bad, F.lit("input is not UTF-8"))
-    if limit is not None:
-        error = F.when(F.col("length") > limit, F.format_string(f"input of %d bytes is over the limit of {limit}", "length")).otherwise(error)
-    return found.select("path", F.col("length").alias("size"), F.when(error.isNull(), text).alias("text"), error.alias("error"))
+    # the filter on the length reaches the reader, so no larger file is opened; of those only names and sizes are listed
+    read = found if limit is None else found.where(F.col("length") <= limit)
+    good = F.coalesce(F.is_valid_utf8(F.col("content").cast("string")), F.lit(True))
+    out = read.select("path", F.col("length").alias("size"), F.when(good, F.decode("content", "UTF-8")).alias("text"), F.when(~good, F.lit("input is not UTF-8")).alias("error"))
+    if limit is None:
+        return out
+    error = F.format_string(f"input of %d bytes is over the limit of {limit}", "length")
+    large = found.select("path", "length").where(F.col("length") > limit)
+    return out.union(large.select("path", F.col("length").alias("size"), F.lit(None).cast("string").alias("text"), error.alias("error")))
 
 
 def as_json(reports: DataFrame, key: str = "doc_id") -> DataFrame:
