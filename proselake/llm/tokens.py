@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proselake.llm.shared import batches, settle, table
+from proselake.llm.shared import batches, most_frequent, settle, table
 
 #: No piece holds a blank after another character, so a cut before any run of blanks is safe. The library writes a
 #: blank as U+2581 and takes that character for one.
@@ -30,10 +30,10 @@ def sentence_pieces(path: str):
 
 
 #: The most frequent pre-tokens of at most LONGEST characters, whose counts every task gets by broadcast: at most
-#: FREQUENT * LONGEST characters (25.6 MB), and about 5 MB in practice. All other pre-tokens meet their counts in a join.
-FREQUENT, LONGEST = 200_000, 32
+#: FREQUENT * LONGEST characters (19.2 MB), and about 4 MB in practice. All other pre-tokens meet their counts in a join.
+FREQUENT, LONGEST = 150_000, 32
 #: Distinct pre-tokens that a task counts before it passes them on.
-_HELD = 400_000
+_HELD = 200_000
 
 
 def pre_tokens(text: str) -> list[str]:
@@ -131,7 +131,7 @@ def token_counts(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     """
     spark = docs.sparkSession
     pieces = piece_table(docs, path, text)
-    top = pieces.where(F.length("pre_token") <= LONGEST).orderBy(F.desc("n"), "pre_token").limit(FREQUENT)
+    top = most_frequent(pieces.where(F.length("pre_token") <= LONGEST), "n", FREQUENT)
     known = spark.sparkContext.broadcast({r["pre_token"]: r["pieces"] for r in top.select("pre_token", "pieces").toLocalIterator()})
     source = docs.select(F.col(doc_id).cast("long"), text)
     freq = source.mapInArrow(_frequencies(known, pa.int64()), "row_id long, doc_id long, n_bytes long, pre_token string, n long")
