@@ -1,23 +1,30 @@
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
+from functools import cache
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from proselake.llm import near_duplicates as near
 from proselake.llm import queries as Q
-from proselake.llm import repeats, urls
+from proselake.llm import repeats, shared, urls
 from proselake.llm.binary import PerfectHash, key_codes, read_ids, write_ids
-from proselake.llm.decontaminate import decontaminate
+from proselake.llm.decontaminate import decontaminate, scan, uncontaminated, windows
+from proselake.llm.decontaminate import words as split_words
 from proselake.llm.licenses import TEXTS, inherit, scanned
 from proselake.llm.near_duplicates import drop_near_duplicates, near_duplicates
 from proselake.llm.packing import pack, plan
-from proselake.llm.quality import quality
-from proselake.llm.sharding import shard
+from proselake.llm.pieces import PieceIds
+from proselake.llm.quality import JUDGED_SQL, quality
+from proselake.llm.sharding import ring, shard, walk
+from proselake.llm.shared import hot_join, most_frequent
 from proselake.llm.suffixes import repeated_windows, suffix_array
 from proselake.llm.tokens import token_counts
 from proselake.llm.urls import Segmenter, filter_urls, parts, rule_of
@@ -110,6 +117,85 @@ def test_near_duplicates(spark, docs):
     assert sorted(str(r["doc_id"]) for r in drop_near_duplicates(docs).collect()) == ["1", "2", "3", "6", "7", "8", "None"]
 
 
+def classes_of(texts):
+    sets = [set(shingles(t)) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in range(len(texts))}
+
+
+def shingles(text):
+    w = [x for x in re.split("[\\x20\\x09-\\x0D]+", (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))) if x]
+    return [tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else []
+
+
+@pytest.mark.parametrize(("nodes", "star"), [(500, 200), (15, 4)])
+def test_large_families(spark, monkeypatch, nodes, star):
+    monkeypatch.setattr(near, "CHUNK_NODES", nodes)
+    monkeypatch.setattr(near, "STAR_NODES", star)
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 7)))
+    texts = []
+    for _ in range(3):
+        base = [word() for _ in range(60)]
+        for _ in range(70):
+            t = list(base)
+            for _ in range(rng.choice([1, 1, 2, 3, 4])):
+                t[rng.randrange(60)] = word()
+            texts.append(" ".join(t))
+    t = [word() for _ in range(80)]
+    for k in range(40):  # a chain, linked only from one to the next ones
+        t = list(t)
+        t[k] = word()
+        texts.append(" ".join(t))
+    rng.shuffle(texts)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in near_duplicates(d).collect()} == classes_of(texts)
+
+
+def test_hot_join(spark, monkeypatch):
+    monkeypatch.setattr(shared, "HOT", 3)
+    rows_ = spark.createDataFrame([("a", i) for i in range(50)] + [("b", 1), ("c", 2), ("d", 3)], "k string, v int")
+    keyed = rows_.groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("m")).where("k <> 'd'")
+    got = hot_join(rows_, keyed, ["k"], "n")
+    assert sorted(map(tuple, got.select("k", "v", "m").collect())) == sorted([("a", i, 49) for i in range(50)] + [("b", 1, 1), ("c", 2, 2)])
+
+
+def test_most_frequent(spark):
+    rng = random.Random(1)
+    counts = [int(1.2 ** rng.randint(0, 60)) for _ in range(2000)]
+    d = spark.createDataFrame(list(enumerate(counts)), "k int, n long")
+    for bound in (0, 1, 50, 700, 5000):
+        got = sorted(r["n"] for r in most_frequent(d, "n", bound).collect())
+        assert len(got) <= bound and got == sorted(counts)[len(counts) - len(got) :]
+        # what is left out would not have fitted, but for one class of equal or nearly equal counts
+        rest = sorted(counts)[: len(counts) - len(got)]
+        assert not rest or len(got) + sum(c > rest[-1] * 15 / 16 for c in rest) > bound
+    assert most_frequent(d.where("false"), "n", 5).count() == 0
+
+
+def test_piece_ids():
+    rng = random.Random(11)
+    bits = [" ", " ", " ", "\n", "\t", "\r\n", "\xa0", "\u3000", "\u2009", "\x85", "\x1c", "a", "b", "Z", "é", "ß", "×", "Σ", "İ", "中", "'s", "'", "'ll", ",", ".", "...", "&&&", "$", "1", "23", "\u0301", "≠", "😀", "<|endoftext|>", "the", "word", "_", "-", "\0"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(4000)] + ["x" * 200 + " y" + "é" * 90, " " * 300, "\n" * 99 + "a", ""]
+    for name, keeps_white in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        for store in (100_000, 300):
+            e = PieceIds(public_tokenizers.path(name), keeps_white, store)
+            got = [x.tolist() for b in range(0, len(texts), 700) for x in e.ids(pa.array(texts[b : b + 700], pa.string()))]
+            assert got == [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_packing(spark, docs):
     out = pack(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()
     seq = defaultdict(list)
@@ -121,14 +207,54 @@ def test_packing(spark, docs):
             assert offset == at
             at += length
         assert at <= 1024
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in out) == Counter(p for r in docs.collect() for p in pieces_of(r["doc_id"], r["text"]))
+
+
+def pieces_of(doc_id, text):
+    ids = [*tokenizer("byte_bpe_50k.json").encode(text or "", add_special_tokens=False).ids, 2]
+    first = len(ids) % 1024 or 1024
+    edges = [0, *range(first, len(ids) + 1, 1024)]
+    return [(doc_id, i, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for i, (a, b) in enumerate(zip(edges, edges[1:]))]
+
+
+@cache
+def tokenizer(name):
     from tokenizers import Tokenizer
 
-    ids = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode("<|endoftext|> ▁ é 中文 <s>", add_special_tokens=False).ids + [2]
-    assert zlib.crc32(np.array(ids, "<u4").tobytes()) in {r["ids_crc32"] for r in out if r["doc_id"] == 7}
+    return Tokenizer.from_file(public_tokenizers.path(name))
+
+
+def test_plan():
     rng = random.Random(4)
-    hist = Counter(rng.randint(1, 1024) for _ in range(3000))
-    _, n = plan(dict(hist), 1024)
-    assert n <= 1.02 * sum(k * v for k, v in hist.items()) / 1024 + 1
+    lengths = [rng.choice([1024, rng.randint(1, 256), rng.randint(1, 256), rng.randint(257, 1023)]) for _ in range(6000)]
+    cases = {"mixed": dict(Counter(lengths)), "many": {k: 1000 * n for k, n in Counter(lengths).items()}, "full": {1024: 5}, "short": {3: 9000}, "none": {}, "one": {300: 1}, "few": {600: 100, 500: 3}}
+    for name, hist in cases.items():
+        p = plan(hist)
+        places = defaultdict(list)
+        for length, rank, count, first, offset in p.rows:
+            places[length].append((rank, count))
+        for length, n in hist.items():
+            # ranks of a length are given out once each
+            at = 0
+            for rank, count in sorted(places[length]):
+                assert rank == at
+                at += count
+            assert at == n
+        if name != "many":
+            room = defaultdict(list)
+            for length, _, count, first, offset in p.rows:
+                for i in range(count):
+                    room[first + i].append((offset, length))
+            assert sorted(room) == list(range(p.next))
+            for v in room.values():
+                at = 0
+                for offset, length in sorted(v):
+                    assert offset == at
+                    at += length
+                assert at <= 1024
+        if name in ("mixed", "many"):
+            large = sum(n for k, n in hist.items() if 256 < k < 1024)
+            assert p.in_configurations >= 0.99 * large and p.next <= 1.01 * sum(k * n for k, n in hist.items()) / 1024 + 1
 
 
 def test_token_counts(spark, docs):
@@ -149,9 +275,13 @@ def test_binary(spark, docs):
     want = Counter((r["doc_id"], zlib.crc32(np.array([*t.encode(r["text"] or "", add_special_tokens=False).ids, 1], "<u4").tobytes())) for r in docs.collect())
     assert Counter((r["doc_id"], r["ids_crc32"]) for r in got) == want
     at = 0
-    for r in sorted(got, key=lambda r: r["start"]):
+    in_order = sorted(got, key=lambda r: r["start"])
+    for r in in_order:
         assert r["start"] == at
         at += r["n_tokens"]
+    # null ids come first
+    keys = [-1 if r["doc_id"] is None else r["doc_id"] for r in in_order]
+    assert keys == sorted(keys)
 
 
 def test_perfect_hash():
@@ -167,6 +297,41 @@ def test_sharding(spark, docs):
         assert sorted(r["slot"] for r in out if r["shard"] == s) == list(range(k))
 
 
+def test_sharding_of_copies(spark):
+    texts = [None, "", "é", "x" * 9000] + ["same"] * 300
+    d = spark.createDataFrame([(i if i < 150 else 7, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, shard string")
+    out = shard(d).collect()
+    want = Counter((r["doc_id"], len((r["text"] or "").encode()) + 1, zlib.crc32((r["text"] or "").encode())) for r in d.collect())
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in out) == want
+    n = Counter(r["shard"] for r in out)
+    assert max(n.values()) - min(n.values()) <= 1 and all(sorted(r["slot"] for r in out if r["shard"] == s) == list(range(k)) for s, k in n.items())
+
+
+def moved(rows_, slack):
+    """The share of rows that change their shard when a ninth one comes, by the walk alone."""
+    rng = np.random.default_rng(3)
+    at = np.sort(rng.integers(-(1 << 63), (1 << 63) - 1, rows_))
+    own = []
+    for shards in (8, 9):
+        points, owner = ring(shards)
+        arc = np.searchsorted(points, at) % len(points)
+        order = np.argsort(arc, kind="stable")
+        counts = np.bincount(arc, minlength=len(points))
+        base = np.concatenate(([0], np.cumsum(counts)[:-1]))
+        to = np.full(rows_, -1)
+        for a, rank, n, s, _ in walk(counts.tolist(), owner, shards, slack):
+            to[order[base[a] + rank : base[a] + rank + n]] = s
+        assert (to >= 0).all()
+        own.append(to)
+    return float((own[0] != own[1]).mean())
+
+
+def test_movement_on_growth():
+    # a ninth of the rows has to move to the ninth shard; bounds make more of them move, and slack fewer
+    tight, loose = moved(100_000, 0.0), moved(100_000, 0.25)
+    assert 1 / 9 <= loose < 0.2 and loose < tight < 0.35
+
+
 def test_urls(spark):
     assert parts("HTTP://A.Net/x?y") == ("a.net", "/x") and parts(None) == ("", "")
     assert rule_of("b.example.net", "/en/1") == ("example.net/en/", "allow") and rule_of("example.net", "") == (None, None)
@@ -232,8 +397,69 @@ def test_quality(spark, docs):
 def test_empty_tables(spark, docs):
     none = docs.where("false")
     byte = public_tokenizers.path("byte_bpe_50k.json")
-    for out in (near_duplicates(none), repeats.remove_repeats(none), pack(none, byte), shard(none), quality(none), token_counts(none, public_tokenizers.path("piece_bpe_32k.model")), read_ids(write_ids(none, public_tokenizers.path("word_bpe_49k.json"), 1))):
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    items = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    files = spark.createDataFrame([], "path string, text string")
+    for out in (near_duplicates(none), drop_near_duplicates(none), repeats.remove_repeats(none), pack(none, byte), shard(none), quality(none), token_counts(none, public_tokenizers.path("piece_bpe_32k.model")),
+                read_ids(write_ids(none, public_tokenizers.path("word_bpe_49k.json"), 1)), filter_urls(pages), scan(none, items), uncontaminated(none, items), inherit(scanned(files))):
         assert out.count() == 0
+    assert uncontaminated(docs, items.where("false")).count() == docs.count()
+
+
+def test_clashing_names(spark):
+    names = ["__d_items", "__d_hits", "__d_words", "__d_text", "c_0", "rest", "n", "uid", "key", "bands", "body", "size", "shard", "notes", "runs", "h", "did"]
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    d = spark.createDataFrame([(i, t, *["v"] * len(names)) for i, t in enumerate([text, text, None, "other words"])], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    items = spark.createDataFrame([(1, text)], "item_id long, text string")
+    for out, kept in ((uncontaminated(d, items), 2), (decontaminate(d, items), 4), (drop_near_duplicates(d), 3), (repeats.drop_repeats(d), 4)):
+        assert out.columns == d.columns and out.count() == kept and out.where("n = 'v' AND __d_hits = 'v' AND rest = 'v'").count() == kept
+    assert scan(d, items).where(F.size("__d_hits") > 0).count() == 2
+    files = spark.createDataFrame([("a/LICENSE", "Released under the MIT License.", 5, "x", 7, "y"), ("a/b", "z", 6, "x", 8, "y")], "path string, text string, n int, license string, depth int, keep string")
+    got = {r["path"]: r for r in inherit(scanned(files)).collect()}
+    assert (got["a/b"]["license"], got["a/b"]["depth"], got["a/b"]["n"], got["a/b"]["keep"]) == ("MIT", 1, 6, "y")
+    pages = spark.createDataFrame([(1, "http://x.net/a", "<p>x", "v", "v")], "page_id long, url string, html string, host string, verdict string")
+    assert filter_urls(pages).first()["verdict"] == "block"
+
+
+def test_ties_repeats_and_long_texts(spark):
+    item = " ".join(f"w{i}" for i in range(12))
+    long = "é " * 200_000 + item
+    d = spark.createDataFrame([(1, long), (1, long), (2, item.upper())], "doc_id long, text string")
+    items = spark.createDataFrame([(7, item), (7, item), (None, item), (8, "w3 w4"), (9, ""), (10, None)], "item_id long, text string")
+    got = [(r["doc_id"], len(r["__d_hits"]), r["__d_items"], r["__d_words"]) for r in scan(d, items).collect()]
+    assert sorted(got) == [(1, 4, ["7", "8", "None"], 200_012)] * 2 + [(2, 4, ["7", "8", "None"], 12)]
+    # of two licence files the first by name counts where cosines are equal
+    line = {k: f"SPDX-License-Identifier: {k}" for k in ("MIT", "MPL-2.0")}
+    files = spark.createDataFrame([("a/LICENSE", line["MPL-2.0"]), ("a/COPYING", line["MIT"]), ("a/x", "y " * 100_000), ("a/x", "y"), ("z/LICENSE", "word " * 50_000 + line["MIT"])], "path string, text string")
+    found = scanned(files).collect()
+    best = {r["path"]: (r["own_license"], r["cosine_milli"]) for r in found}
+    assert best["a/LICENSE"][0] == "MPL-2.0" and best["z/LICENSE"] == ("MIT", 1000)
+    first = min((-c, k) for k, c in (best["a/LICENSE"], best["a/COPYING"]))[1]
+    assert [r["license"] for r in inherit(scanned(files)).where("path = 'a/x'").collect()] == [first] * 2
+    # equal pages get equal verdicts, however long
+    pages = spark.createDataFrame([(1, "http://" + "q" * 5000 + ".info/" + "z" * 5000, None)] * 2 + [(2, "http://a.net/", ""), (3, "http://a.org/fr/", "")], "page_id long, url string, html string")
+    got = Counter((r["page_id"], r["verdict"]) for r in filter_urls(pages).collect())
+    assert set(got.values()) == {1, 2} and got[2, "block"] == got[3, "allow"] == 1
+
+
+def test_many_directories(spark):
+    rng = random.Random(3)
+    paths = ["/".join(rng.choice("abc") for _ in range(rng.randint(1, 5))) + "/" + rng.choice(["LICENSE", "x.py", "y.py"]) for _ in range(150)] + ["LICENSE", "top.py", "a/LICENSE"]
+    rows_ = [(p, f"SPDX-License-Identifier: {rng.choice(['MIT', 'Apache-2.0'])}" if p.endswith("LICENSE") and rng.random() < 0.7 else "x") for p in paths]
+    found = scanned(spark.createDataFrame(rows_, "path string, text string")).collect()
+    given = {}
+    for r in found:
+        if r["path"].rpartition("/")[2] == "LICENSE" and r["own_license"]:
+            up = r["path"].rpartition("/")[0]
+            given[up] = min(given.get(up, (0, "~")), (-r["cosine_milli"], r["own_license"]))
+    want = Counter()
+    for r in found:
+        up = r["path"].rpartition("/")[0]
+        chain = [up.rsplit("/", k)[0] for k in range(up.count("/") + 1)] + [""]
+        near_ = next((u for u in chain if u in given), None)
+        want[r["path"], r["own_license"] or (near_ is not None and given[near_][1]) or None, None if r["own_license"] else near_] += 1
+    got = inherit(scanned(spark.createDataFrame(rows_, "path string, text string"))).collect()
+    assert Counter((r["path"], r["license"], r["license_from"]) for r in got) == want
 
 
 @pytest.mark.parametrize("name", sorted(Q.SQL))
@@ -247,11 +473,51 @@ def test_against_sql(spark, name):
     assert rows(got) == sorted((tuple(r[i] for i in at) for r in want.fetchall()), key=str)
 
 
-def test_pipeline(spark):
+def test_pipeline(spark, tmp_path):
+    """All five stages against plain versions of them."""
+    import corpus_pipeline as P
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
+    some = lambda n: " ".join(rng.choice([word(), word(), "the", "and", "of"]) for _ in range(n))
+    passage, item = some(60), some(14)
+    texts = [some(rng.randint(60, 400)) for _ in range(25)]
+    texts += [f"{some(80)} {passage} {some(80)}\n{some(9)}" for _ in range(4)] + [f"{some(90)} {item.upper()} {some(30)}"] + [some(20), "", None, "### " * 80, ("spam egg ham " * 40).strip()]
+    base = some(200).split()
+    texts += [" ".join(base), " ".join(base), " ".join([*base[:100], "changed", *base[101:]]), some(2500)]
+    rng.shuffle(texts)
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], schema).coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    kept = [i for (i,) in con.sql(f"WITH {JUDGED_SQL.format(docs='documents')} SELECT doc_id FROM judged WHERE kept ORDER BY doc_id").fetchall()]
+    assert 30 <= len(kept) < len(texts)
+    classes = classes_of([texts[i] for i in kept])
+    kept = [i for k, i in enumerate(kept) if classes[k] == k]
+    data = [texts[i].encode() for i in kept]
+    count = Counter(x[i : i + 200] for x in data for i in range(len(x) - 199))
+    left = {}
+    for i, x in zip(kept, data):
+        gone = bytearray(len(x))
+        for k in range(len(x) - 199):
+            if count[x[k : k + 200]] > 1:
+                gone[k : k + 200] = b"\1" * 200
+        left[i] = bytes(c for c, g in zip(x, gone) if not g).decode()
+    hit = [i for i, t in left.items() if windows(item) & {b" %b " % b" ".join(w[k : k + 10]) for w in [split_words(t)] for k in range(len(w))}]
+    assert len(hit) == 1 and any(left[i] != texts[i] for i in left)
+    want = Counter(p for i, t in left.items() if i not in hit for p in pieces_of(i, t))
+    out = P.run(spark, str(tmp_path)).collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in out) == want
+    # each stage alone keeps the columns, and clashing ones with them
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").withColumn("n_words", F.lit("mine")).withColumn("key", F.lit(3))
+    for name, stage in P.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns and got.where("n_words = 'mine' AND key = 3").count() == got.count() > 0, name
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0
+
+
+def test_pipeline_on_tables(spark):
     import corpus_pipeline as P
 
-    out = P.run(spark, SF)
-    assert out.count() > 0 and len(P.STAGES) == 5
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    assert P.near_dedup(spark, docs, SF).columns == docs.columns
-    assert P.suffix_array_dedup(spark, docs, SF).where(F.col("text").isNull()).count() == 0
+    assert P.run(spark, SF).count() > 0 and [n for n, _ in P.STAGES] == ["quality_rules", "near_dedup", "suffix_array_dedup", "decontamination", "packing"]
