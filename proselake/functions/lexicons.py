@@ -512,6 +512,13 @@ HYPHENS = (
     ("coordinate", "co-ordinate"),
 )
 
+#: Messages on spelling.
+SPELLING_MESSAGES = {
+    "wrong": 'Wrong dialect: "{bad}" found, expected "{good}" ({dialect})',
+    "mixed": 'Mixed US/UK spelling: both "{us}" and "{uk}" found',
+    "hyphens": 'Inconsistent hyphenation: both "{a}" and "{b}" found',
+}
+
 SUBJECT_VERB = (
     (r"\b(he|she|it)\s+(are|were|have)\b", "Singular subject with plural verb"),
     (r"\b(the\s+\w+)\s+(are|were|have)\b", "Possible singular subject with plural verb"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import re
 
 import pandas as pd
@@ -20,82 +21,147 @@ def strip_frontmatter(c) -> Column:
 
 _FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})")
 _HEADING = re.compile(r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
+_UNDERLINE = re.compile(r"^ {0,3}(=+|-+)[ \t]*$")
+_RULE = re.compile(r"^ {0,3}([-*_])[ \t]*(?:\1[ \t]*){2,}$")
+_ITEM = re.compile(r"^\s*(?:[-*+]|\d{1,9}[.)])(?:\s+(.*)|$)")
+_LABEL = re.compile(r"^ {0,3}\[(?!\^)([^\]]+)\]:\s*\S+(?:\s+[\"'(].*)?\s*$")
+_NOTE = re.compile(r"^ {0,3}\[\^([^\]]+)\]:\s*(.*)$")
+#: Elements that begin a block of their own.
+_ELEMENTS = (
+    "address article aside blockquote body center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html iframe legend li link main menu nav ol "
+    "optgroup option p param pre script section style summary table tbody td tfoot th thead title tr track ul"
+).split()
+_HTML = re.compile(rf"^ {{0,3}}(?:</?(?:{'|'.join(_ELEMENTS)})(?:[\s/>]|$)|<!--)", re.I)
+_CODE = re.compile(r"(`+)(?!`)(.+?)(?<!`)\1(?!`)", re.S)
 _INLINE = (
-    (re.compile(r"(`+)(?!`)(.+?)(?<!`)\1(?!`)", re.S), ""),
+    (re.compile(r"<((?:https?|mailto):[^>\s]*)>"), r"\1"),
     (re.compile(r"<!--.*?-->|</?[A-Za-z][^>]*>", re.S), ""),
-    (re.compile(r"!?\[([^\]]*)\](?:\([^)]*\)|\[[^\]]*\])"), r"\1"),
-    (re.compile(r"<((?:https?|mailto):[^>]*)>"), r"\1"),
-    (re.compile(r"(\*\*\*|\*\*|\*|~~)(?=\S)(.+?)(?<=\S)\1", re.S), r"\2"),
-    (re.compile(r"(?<!\w)(__|_)(?=\S)(.+?)(?<=\S)\1(?!\w)", re.S), r"\2"),
-    (re.compile(r"\\([!-/:-@\[-`{-~])"), r"\1"),
+    (re.compile(r"!?\[([^\]]*)\](?:\([^)]*\)|\[[^\]]+\])"), r"\1"),
 )
-
-
-def _blocks(text: str):
-    """(kind, level, text) of Markdown blocks: heading, code, table, item, text, blank."""
-    text = re.sub(r"(?s)\A\s*---.*?\n---\n?", "", text) if re.match(r"(?s)\s*---.*?\n---", text) else text
-    fence, lines = None, text.split("\n")
+_EMPHASIS = (re.compile(r"(\*\*\*|\*\*|\*|~~)(?=\S)(.+?)(?<=\S)\1", re.S), re.compile(r"(?<!\w)(__|_)(?=\S)(.+?)(?<=\S)\1(?!\w)", re.S))
+_ESCAPED = re.compile(r"\\([!-/:-@\[-`{-~])")
+#: Marks that count as text stand for themselves in a private range until all markup is gone.
+_TAKEN = {c: 0xE000 + c for c in range(33, 127) if not chr(c).isalnum()}
+_GIVEN = {v: k for k, v in _TAKEN.items()}
+
+
+def _blocks(text: str) -> list[tuple[str, int, str]]:
+    """(kind, level, text) of each line: heading, underline, code, html, label, note, table, rule, item, text or blank."""
+    if re.match(r"(?s)\s*---.*?\n---", text):
+        text = re.sub(r"(?s)\A\s*---.*?\n---\n?", "", text)
+    lines = text.split("\n")
+    tables, out = table_lines(lines), []
+    fence, last, listed = None, "blank", False
     for k, line in enumerate(lines):
         m = _FENCE.match(line)
+        bare = re.sub(r"^(\s{0,3}>\s?)+", "", line)
         if fence:
-            fence = None if m and m[1][0] == fence[0] and len(m[1]) >= len(fence) and not line.strip().strip(fence[0]) else fence
-            yield "code", 0, line
+            closes = m and m[1][0] == fence[0] and len(m[1]) >= len(fence) and not line.strip().strip(fence[0])
+            fence, kind, level, s = (None if closes else fence), "code", 0, line
+        elif last == "html" and line.strip():
+            kind, level, s = "html", 0, line
+        elif not line.strip():
+            kind, level, s = "blank", 0, ""
+        elif tables[k]:
+            kind, level, s = ("rule" if k and tables[k - 1] and _DELIMITERS.match(line) else "table"), 0, line
         elif m:
-            fence = m[1]
-            yield "code", 0, line
+            fence, kind, level, s = m[1], "code", 0, line
+        elif re.match(r"^(?: {4}|\t)", line) and last in ("blank", "code", "heading") and not listed:
+            kind, level, s = "code", 0, line
         elif h := _HEADING.match(line):
-            yield "heading", len(h[1]), h[2] or ""
-        elif re.match(r"^ {0,3}(=+|-+)\s*$", line) and k and lines[k - 1].strip() and not _HEADING.match(lines[k - 1]):
-            yield "underline", 1 if "=" in line else 2, ""
-        elif not line.strip():
-            yield "blank", 0, ""
-        elif re.match(r"^\s*\|?(\s*:?-+:?\s*\|)+\s*:?-*:?\s*$", line):
-            yield "rule", 0, ""
-        elif line.lstrip().startswith("|"):
-            yield "table", 0, line.strip().strip("|").replace("|", "")
-        elif m := re.match(r"^\s*(?:[-*+]|\d+[.)])\s+(.*)", line):
-            yield "item", 0, m[1]
+            kind, level, s = "heading", len(h[1]), h[2] or ""
+        elif _UNDERLINE.match(line) and last == "text":
+            kind, level, s = "underline", 1 if "=" in line else 2, ""
+        elif _RULE.match(line):
+            kind, level, s = "rule", 0, ""
+        elif _HTML.match(line) and last != "text":
+            kind, level, s = "html", 0, line
+        elif last not in ("text", "item") and (h := _LABEL.match(line)):
+            kind, level, s = "label", 0, h[1]
+        elif h := _NOTE.match(line):
+            kind, level, s = "note", 0, h[2]
+        elif h := _ITEM.match(line):
+            kind, level, s = "item", 0, h[1] or ""
         else:
-            yield "text", 0, re.sub(r"^(\s*>\s?)+", "", line)
+            kind, level, s = "text", 0, bare
+        listed = kind == "item" or (listed and (kind in ("blank", "text") and (last != "blank" or kind == "blank" or line[:1] in (" ", "\t"))))
+        last = kind
+        out.append((kind, level, s))
+    return out
 
 
-def _plain(s: str) -> str:
+def _plain(s: str, labels=frozenset(), notes=frozenset(), code: bool = False) -> str:
+    s = _CODE.sub((lambda m: m[2].strip().translate(_TAKEN)) if code else "", s)
+    s = _ESCAPED.sub(lambda m: m[1].translate(_TAKEN), s)
     for pattern, by in _INLINE:
         s = pattern.sub(by, s)
-    return s
+    if notes:
+        s = re.sub(r"\[\^([^\]]+)\]", lambda m: "" if m[1].lower() in notes else m[0], s)
+    if labels:
+        s = re.sub(r"!?\[([^\]^][^\]]*)\](?:\[\])?", lambda m: m[1] if m[1].lower() in labels else m[0], s)
+    for pattern in _EMPHASIS:
+        # emphasis within emphasis goes in the next round
+        while (t := pattern.sub(r"\2", s)) != s:
+            s = t
+    return html.unescape(s).translate(_GIVEN)
+
+
+def _loose(blocks: list[tuple[str, int, str]]) -> list[bool]:
+    """Whether each line stands in a list with a blank line between its items."""
+    out, k = [False] * len(blocks), 0
+    while k < len(blocks):
+        if blocks[k][0] != "item":
+            k += 1
+            continue
+        end = last = k
+        while end + 1 < len(blocks) and (blocks[end + 1][0] in ("item", "blank") or (blocks[end + 1][0] == "text" and blocks[end][0] != "blank")):
+            end += 1
+            last = end if blocks[end][0] == "item" else last
+        for i in range(k, end + 1):
+            out[i] = any(b[0] == "blank" for b in blocks[k:last])
+        k = end + 1
+    return out
 
 
 def prose_of(text: str) -> str:
-    """Text outside code and headings; a paragraph's end becomes one blank, tight list items join without one."""
-    out: list[list[str]] = [[]]
-    for kind, _, s in _blocks(text):
-        if kind == "text":
-            out[-1].append(("t", s))
-        elif kind in ("item", "table"):
-            out[-1].append(("i", s))
-        elif kind == "underline":
-            if out[-1]:
-                out[-1].pop()
-        elif kind in ("blank", "code", "heading", "rule") and out[-1]:
-            out.append([])
-    parts = []
-    for block in out:
-        s = ""
-        for kind, piece in block:
-            s += (" " if s and kind == "t" else "") + piece.strip()
-        if s:
-            parts.append(_plain(s))
-    return " ".join(parts) + (" " if parts else "")
+    """Text outside code, headings and HTML blocks. A paragraph's end becomes one blank; cells of a table and items of a
+    list without blank lines have none between them."""
+    blocks = _blocks(text)
+    labels = {s.lower() for kind, _, s in blocks if kind == "label"}
+    notes = {m[1].lower() for line in text.split("\n") if (m := _NOTE.match(line))}
+    out, open_, tail = "", [], " "
+
+    def close() -> None:
+        nonlocal out, open_
+        if open_:
+            out += _plain(" ".join(open_), labels, notes) + tail
+        open_ = []
+
+    for (kind, _, s), loose in zip(blocks, _loose(blocks), strict=True):
+        if kind == "underline":
+            open_ = []
+        elif kind == "text":
+            if not open_:
+                tail = " "
+            open_.append(s.strip())
+        elif kind in ("item", "note"):
+            close()
+            open_, tail = [s.strip()] if s.strip() else [], " " if loose or kind == "note" else ""
+        else:
+            close()
+            if kind == "table":
+                out += "".join(_plain(c.strip(), labels, notes) for c in re.split(r"(?<!\\)\|", s.strip().strip("|")))
+    close()
+    return out
 
 
 def headings_of(text: str) -> list[dict]:
-    out, last = [], ""
+    out, above = [], []
     for kind, level, s in _blocks(text):
-        if kind == "heading":
-            out.append({"level": level, "text": re.sub("`", "", _plain(re.sub(r"(`+)(.+?)\1", r"\2", s)))})
-        elif kind == "underline" and last:
-            out.append({"level": level, "text": _plain(last.strip())})
-        last = s if kind == "text" else ""
+        title = s if kind == "heading" else " ".join(above) if kind == "underline" and above else None
+        if title is not None:
+            out.append({"level": level, "text": _plain(title, code=True)})
+        above = [*above, s.strip()] if kind == "text" else []
     return out
 
 

@@ -181,10 +181,10 @@ def _consistency(lower: Column, dialect: str | None) -> Column:
     for us, uk, pattern in lex.SPELLINGS:
         if dialect:
             bad, good = (uk, us) if prefers_us(dialect, pattern) else (us, uk)
-            issues.append(F.when(has(bad), F.lit(f'Wrong dialect: "{bad}" found, expected "{good}" ({dialect})')))
-        issues.append(F.when(has(us) & has(uk), F.lit(f'Mixed US/UK spelling: both "{us}" and "{uk}" found')))
+            issues.append(F.when(has(bad), F.lit(lex.SPELLING_MESSAGES["wrong"].format(bad=bad, good=good, dialect=dialect))))
+        issues.append(F.when(has(us) & has(uk), F.lit(lex.SPELLING_MESSAGES["mixed"].format(us=us, uk=uk))))
     for a, b in lex.HYPHENS:
-        issues.append(F.when(lower.contains(a) & lower.contains(b), F.lit(f'Inconsistent hyphenation: both "{a}" and "{b}" found')))
+        issues.append(F.when(lower.contains(a) & lower.contains(b), F.lit(lex.SPELLING_MESSAGES["hyphens"].format(a=a, b=b))))
     found = F.array_compact(F.array(*issues))
     return F.struct(F.lit(dialect).cast("string").alias("dialect"), F.size(found).cast("long").alias("total_issues"), found.alias("issues"))
 

@@ -122,6 +122,16 @@ class Loader:
         return self.load()
 
 
+def folders(app: str = "proselake", environ: dict | None = None) -> dict[str, Path] | None:
+    """The user's folders for configuration, cache, data and data of this machine alone; None without a home."""
+    env = os.environ if environ is None else environ
+    if not env.get("HOME"):
+        return None
+    at = lambda name, default: Path(env.get(name) or f"{env['HOME']}/{default}", app)
+    data = at("XDG_DATA_HOME", ".local/share")
+    return {"config": at("XDG_CONFIG_HOME", ".config"), "cache": at("XDG_CACHE_HOME", ".cache"), "data": data, "data_local": data}
+
+
 def input_limit(config: dict, default: int) -> int | None:
     """The bound on a document in bytes, or None for no bound."""
     return None if config["disable_input_limit"] else default if config["max_input_bytes"] is None else config["max_input_bytes"]

@@ -363,7 +363,7 @@ FROM k LEFT JOIN v USING (doc_id) LEFT JOIN hv USING (doc_id)"""
     body = "replace(text, '---', '==')"
     SQL["front_matter"] = f"SELECT doc_id, md5(CASE WHEN doc_id % 4 < 2 THEN {body} WHEN doc_id % 4 = 2 THEN '---' || chr(10) || 'open' || chr(10) || {body} ELSE {body} END) AS rest_md5 FROM documents"
     SQL["markdown_headings"] = "SELECT doc_id, CAST(h.level AS INT) AS level, h.text AS text FROM (SELECT doc_id, unnest([{'level': 1, 'text': 'Head ' || doc_id}, {'level': 2, 'text': 'Under lined'}, {'level': 2, 'text': 'Part ' || lang || ' of ' || source}]) AS h FROM documents)"
-    SQL["markdown_prose"] = "SELECT doc_id, 'Some text here. quote onetwo a  b ' || lang || '  d link end ' AS prose FROM documents"
+    SQL["markdown_prose"] = "SELECT doc_id, 'Some text here. quote onetwoab' || lang || 'dlink end ' AS prose FROM documents"
     SQL["markdown_tables"] = f"SELECT doc_id, position('| a |' IN t) - 1 AS start, position(chr(10) || chr(10) || '[link' IN t) - 1 AS \"end\" FROM (SELECT doc_id, {_MARKDOWN} AS t FROM documents)"
     pattern = "|".join(x.replace("'", "''").replace(".", "[.]") for x in _PIECES)
     # the table and the line after it: 7, 9 and 9 tokens, then 5

@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from proselake.plans.config import ConfigError, Loader, custom_text, input_limit, read_file
+from proselake.plans.config import ConfigError, Loader, custom_text, folders, input_limit, read_file
 
 
 def put(path, text):
@@ -62,3 +62,9 @@ def test_custom_text(tmp_path):
     for broken in ({}, {"file": "none.md"}):
         with pytest.raises(ConfigError):
             custom_text(broken, tmp_path)
+
+
+def test_folders():
+    got = folders(environ={"HOME": "/h", "XDG_CACHE_HOME": "/c"})
+    assert {k: str(v) for k, v in got.items()} == {"config": "/h/.config/proselake", "cache": "/c/proselake", "data": "/h/.local/share/proselake", "data_local": "/h/.local/share/proselake"}
+    assert folders(environ={}) is None
