@@ -51,17 +51,18 @@ def _blocks(text: str) -> list[tuple[str, int, str]]:
         text = re.sub(r"(?s)\A\s*---.*?\n---\n?", "", text)
     lines = text.split("\n")
     tables, out = table_lines(lines), []
-    fence, last, listed = None, "blank", False
+    fence, last, listed, until = None, "blank", False, None
     for k, line in enumerate(lines):
         m = _FENCE.match(line)
         bare = re.sub(r"^(\s{0,3}>\s?)+", "", line)
         if fence:
             closes = m and m[1][0] == fence[0] and len(m[1]) >= len(fence) and not line.strip().strip(fence[0])
             fence, kind, level, s = (None if closes else fence), "code", 0, line
-        elif last == "html" and line.strip():
-            kind, level, s = "html", 0, line
+        elif until and (until != "blank" or line.strip()):
+            # a comment goes on to its end, another block of HTML to a blank line
+            until, kind, level, s = (None if until != "blank" and until in line else until), "html", 0, line
         elif not line.strip():
-            kind, level, s = "blank", 0, ""
+            until, kind, level, s = None, "blank", 0, ""
         elif tables[k]:
             kind, level, s = ("rule" if k and tables[k - 1] and _DELIMITERS.match(line) else "table"), 0, line
         elif m:
@@ -74,7 +75,8 @@ def _blocks(text: str) -> list[tuple[str, int, str]]:
             kind, level, s = "underline", 1 if "=" in line else 2, ""
         elif _RULE.match(line):
             kind, level, s = "rule", 0, ""
-        elif _HTML.match(line) and last != "text":
+        elif (h := _HTML.match(line)) and (last != "text" or h[0].endswith("<!--")):
+            until = "blank" if not h[0].endswith("<!--") else None if "-->" in line else "-->"
             kind, level, s = "html", 0, line
         elif last not in ("text", "item") and (h := _LABEL.match(line)):
             kind, level, s = "label", 0, h[1]

@@ -155,7 +155,7 @@ def test_markdown():
     ("One\ntwo.\n\nThree.", "One two. Three. "), ("- a\n- b\n  c\n\nEnd.", "ab cEnd. "), ("- a\n\n- b\n\nEnd.", "a b End. "), ("1. x\n2. y", "xy"), ("a\n\n    code\n\nb", "a b "), ("\tcode\n", ""),
     ("| p | q |\n|---|---|\n| r \\| s | *t* |\n\nu", "pqr | stu "), ("p | q\n--|--\nr | s", "pqrs"), ("a\n\n---\n\nb", "a b "), ("Two\nlines\n===\n\nc", "c "),
     ("See [a][x], [x] and [y].\n\n[x]: http://x.example 'T'", "See a, x and [y]. "), ("Fact[^1] and [^2].\n\n[^1]: Note here.", "Fact and [^2]. Note here. "),
-    ("<div>\nhidden\n</div>\n\nseen <b>bold</b>", "seen bold "), ("<!-- no\nmore -->\n\nyes", "yes "), ("<https://x.example> &amp; &eacute; \\*not\\*", "https://x.example & é *not* "), ("> q1\n> q2\n\n***", "q1 q2 "),
+    ("<div>\nhidden\n</div>\n\nseen <b>bold</b>", "seen bold "), ("<!-- x -->\nc\n<!-- y -->\nd", "c d "), ("<!-- no\n\nmore -->\n\nyes", "yes "), ("<https://x.example> &amp; &eacute; \\*not\\*", "https://x.example & é *not* "), ("> q1\n> q2\n\n***", "q1 q2 "),
     ("~~~\n# x\n~~~ \n~~gone~~ __so__ a_b_c", "gone so a_b_c "), ("![alt](i.png) **b *c* d**", "alt b c d "), ("", ""),
 ])
 def test_prose(text, want):

@@ -3,9 +3,11 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from proselake.operators.documents import unsuppressed
 from proselake.plans.analyze import CHECKS, analyze
 from proselake.plans.lint import lint
 from proselake.sources.files import as_json, read_texts, write_json
+from proselake.streaming.analyze import analyze_stream
 
 PASSIVE = "The report was written by the team. We read it with care."
 RULES = [
@@ -116,3 +118,19 @@ def test_settings_of_the_configuration(spark):
 def test_equal_paths_stay_apart(spark):
     got = lint(spark.createDataFrame([("a", "One."), ("a", "<!-- proselake disable grammar -->Two.")], "path string, text string"), [{"paths": ["*"], "checks": {"grammar": {}}}]).collect()
     assert sorted(r["grammar"] is None for r in got) == [False, True]
+
+
+def test_stream(spark, tmp_path):
+    d = spark.createDataFrame([(1, "The barn was painted by the crew. The lantern by the lantern."), (2, None)], "doc_id long, text string")
+    d.write.parquet(str(tmp_path / "in"))
+    out = analyze_stream(spark, str(tmp_path / "in"))
+    run = out.writeStream.format("memory").queryName("reports").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    assert run.awaitTermination(120)
+    key = lambda r: r["doc_id"]
+    assert sorted(spark.table("reports").collect(), key=key) == sorted(analyze(d).collect(), key=key)
+
+
+def test_findings_out_of_ranges(spark):
+    rules = spark.createDataFrame([(1, "a", 2, 4, False), (1, "b", None, None, True), (2, "a", 1, 1, False)], "doc_id int, check string, start int, end int, file_level boolean")
+    found = spark.createDataFrame([(1, "a", 1), (1, "a", 2), (1, "a", 4), (1, "a", 5), (1, "b", 9), (1, "c", 3), (2, "a", 1), (3, "a", 1)], "doc_id int, check string, line int")
+    assert sorted(map(tuple, unsuppressed(found, rules).collect())) == [(1, "a", 1), (1, "a", 5), (1, "c", 3), (3, "a", 1)]
