@@ -6,7 +6,7 @@ import json
 import re
 import zlib
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -187,10 +187,18 @@ def split_sentences(text: str) -> list[tuple[str, int]]:
     return out
 
 
-@F.pandas_udf(SENTENCES)
-def split_text(texts: pd.Series) -> pd.Series:
+@F.arrow_udf(SENTENCES)
+def split_text(texts: pa.Array) -> pa.Array:
     """Numbered sentences with their lines; the rule looks back over earlier boundaries, so no expression gives it."""
-    return texts.map(lambda t: [{"num": i + 1, "text": s, "line": line} for i, (s, line) in enumerate(split_sentences(t or ""))])
+    nums, found, lines, ends = [], [], [], [0]
+    for t in texts:
+        own = split_sentences(t.as_py() or "")
+        nums += range(1, len(own) + 1)
+        found += [s for s, _ in own]
+        lines += [line for _, line in own]
+        ends.append(len(nums))
+    rows = pa.StructArray.from_arrays([pa.array(nums, pa.int32()), pa.array(found, pa.string()), pa.array(lines, pa.int32())], ["num", "text", "line"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
 
 
 def with_words(sents: Column) -> Column:
@@ -203,7 +211,7 @@ def sentences(c) -> Column:
     return with_words(split_text(c))
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def sentence_counts(paras: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def sentence_counts(paras: pa.Array) -> pa.Array:
     """The number of sentences of each text of an array."""
-    return paras.map(lambda p: [len(split_sentences(t or "")) for t in (p if p is not None else ())])
+    return pa.array([[len(split_sentences(t or "")) for t in p.as_py() or ()] for p in paras], pa.list_(pa.int32()))

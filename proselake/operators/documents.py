@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -167,17 +167,21 @@ def headings_of(text: str) -> list[dict]:
     return out
 
 
+def _each(f, kind: str, made: pa.DataType):
+    """`f` of each text of a batch; a null text counts as empty."""
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([f(t.as_py() or "") for t in texts], made)
+
+    return F.arrow_udf(run, kind)
+
+
 def prose(c) -> Column:
     """Markdown without its markup; no expression parses it."""
-    run = F.pandas_udf(lambda s: s.map(lambda t: prose_of(t or "")), "string")
-    return run(c)
+    return _each(prose_of, "string", pa.string())(c)
 
 
 def headings(c) -> Column:
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: headings_of(t or ""))
-
-    return F.pandas_udf(run, "array<struct<level:int,text:string>>")(c)
+    return _each(headings_of, "array<struct<level:int,text:string>>", pa.list_(pa.struct([("level", pa.int32()), ("text", pa.string())])))(c)
 
 
 def template_names(custom: dict[str, tuple[str, ...]] | None = None) -> list[str]:
@@ -281,10 +285,7 @@ def table_ranges_of(text: str) -> list[dict]:
 
 
 def table_ranges(c) -> Column:
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: table_ranges_of(t or ""))
-
-    return F.pandas_udf(run, "array<struct<start:long,end:long>>")(text_of(c))
+    return _each(table_ranges_of, "array<struct<start:long,end:long>>", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))(text_of(c))
 
 
 def greedy_count(vocabulary: list[str]):
@@ -325,7 +326,7 @@ def greedy_count(vocabulary: list[str]):
             total += line.count("|") + sum(raw(cell) for cell in line.split("|") if cell)
         return total + raw("".join(plain)) if plain else total
 
-    return F.pandas_udf(lambda s: s.map(lambda t: count(t or "")), "long")
+    return _each(count, "long", pa.int64())
 
 
 def token_report(c, vocabulary: list[str], budget: int | None = None) -> Column:
