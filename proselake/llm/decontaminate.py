@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proselake.llm.shared import batches, table
+from proselake.llm.shared import batches, held, table
 
 WINDOW = 10
 #: Bytes of window text in one automaton. A larger set of items is scanned in blocks, each a stage of the same job.
@@ -70,21 +70,14 @@ class _Automaton:
         return [(int(k) - n, int(k), items) for k, (_, (_, n, items)) in zip(last, found, strict=True)]
 
 
-#: One automaton per broadcast block, kept by a worker from task to task.
-_AUTOMATA: dict[str, _Automaton] = {}
+def _automaton(token: str, block) -> _Automaton:
+    """One automaton per worker and broadcast block, kept from task to task."""
+    return held(("automaton", token), lambda: _Automaton(block.value))
 
 
-def _automaton(token: str, held) -> _Automaton:
-    if token not in _AUTOMATA:
-        if len(_AUTOMATA) > 1:
-            _AUTOMATA.clear()
-        _AUTOMATA[token] = _Automaton(held.value)
-    return _AUTOMATA[token]
-
-
-def _scanner(held, token: str, first: bool):
+def _scanner(block, token: str, first: bool):
     def run(it):
-        auto = _automaton(token, held)
+        auto = _automaton(token, block)
         for batch in it:
             hits, seen, n_words = [], [], []
             old = None if first else (batch.column("__d_hits").to_pylist(), batch.column("__d_items").to_pylist())
@@ -131,8 +124,8 @@ def scan(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "
     out = docs.withColumn("__d_text", F.col(text))
     schema += ", __d_text string, __d_hits array<struct<a:bigint,b:bigint>>, __d_items array<string>, __d_words bigint"
     for i, block in enumerate(item_blocks(stated, size)):
-        held = spark.sparkContext.broadcast(block)
-        out = out.mapInArrow(_scanner(held, uuid.uuid4().hex, i == 0), schema)
+        sent = spark.sparkContext.broadcast(block)
+        out = out.mapInArrow(_scanner(sent, uuid.uuid4().hex, i == 0), schema)
     return out.drop("__d_text")
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from proselake.llm.graph import components
-from proselake.llm.shared import batches, hot_join, settle, split_count, table
+from proselake.llm.shared import batches, held, hot_join, settle, split_count, table
 from proselake.llm.shingles import COORDINATES, folded, mix, shingle_sets, signatures
 
 ROWS = 4
@@ -49,6 +49,7 @@ def _described(others: list[str]):
     def run(it):
         import zstandard
 
+        held(None)
         part, row, squeeze = TaskContext.get().partitionId() << 33, 0, zstandard.ZstdCompressor(level=3)
         for batch in it:
             raw = [None if t is None else t.encode() for t in batch.column("__n_text").to_pylist()]

@@ -9,15 +9,15 @@ known yet goes to the library, many at a time, with a special string between the
 from __future__ import annotations
 
 import os
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
+from proselake.llm.shared import held
 from proselake.llm.shingles import mix
 
-#: Pieces that a worker keeps, in about 60 bytes each. A full store keeps what was used since it was last full.
-STORE = 1_000_000
+#: Pieces that a worker keeps, in about 40 bytes each. A full store keeps what was used since it was last full.
+STORE = 600_000
 #: Longest piece that is kept, in bytes; longer ones go to the library each time.
 LONGEST = 64
 #: Bytes of text that are cut at a time.
@@ -111,14 +111,14 @@ def piece_hashes(raw: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.n
 class _Store:
     """Ids by piece hash: open addressing over arrays."""
 
-    def __init__(self, bound: int):
-        self.bound = bound
-        self._fill(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, "<u4"))
+    def __init__(self, bound: int, kind: str = "<u4"):
+        self.bound, self.kind = bound, kind
+        self._fill(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, kind))
 
     def _fill(self, keys, sizes, ids) -> None:
         self.slot = np.zeros(0, np.int32)
-        self.key, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.used, self.ids, self.count, self.filled = np.zeros(0, bool), np.zeros(0, "<u4"), 0, 0
+        self.key, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint32)
+        self.used, self.ids, self.count, self.filled = np.zeros(0, bool), np.zeros(0, self.kind), 0, 0
         self.add(keys, sizes, ids)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
@@ -142,15 +142,15 @@ class _Store:
             room = max(n, len(self.key) * 3 // 2)
             self.key, self.at, self.size, self.used = (grow(x, room) for x in (self.key, self.at, self.size, self.used))
         if m > len(self.ids):
-            self.ids = np.concatenate((self.ids[: self.filled], np.zeros(max(m, len(self.ids) * 3 // 2) - self.filled, "<u4")))
+            self.ids = np.concatenate((self.ids[: self.filled], np.zeros(max(m, len(self.ids) * 3 // 2) - self.filled, self.kind)))
         new = np.arange(self.count, n)
         self.key[new], self.size[new], self.used[new] = keys, sizes, True
         self.at[new] = self.filled + np.cumsum(sizes) - sizes
         self.ids[self.filled : m] = ids
         self.count, self.filled = n, m
         if 2 * n >= len(self.slot):
-            # twice as many places as keys at least
-            new, self.slot = np.arange(n), np.full(1 << (4 * n + 64).bit_length(), -1, np.int32)
+            # twice to four times as many places as keys
+            new, self.slot = np.arange(n), np.full(1 << (2 * n + 64).bit_length(), -1, np.int32)
         left, step, mask = new, 0, np.uint64(len(self.slot) - 1)
         while len(left):
             spot = ((self.key[left] + np.uint64(step)) & mask).astype(np.int64)
@@ -162,7 +162,8 @@ class _Store:
     def get(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids one after the other, how many each) of these numbers."""
         self.used[numbers] = True
-        return runs(self.ids, self.at[numbers], self.size[numbers]), self.size[numbers]
+        start, size = self.at[numbers].astype(np.int64), self.size[numbers].astype(np.int64)
+        return runs(self.ids, start, size).astype("<u4"), size
 
     def shrink(self) -> None:
         """A full store keeps what was used since it was last full, but at most half of its bound."""
@@ -186,7 +187,8 @@ class PieceIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.keeps_white, self.store = Tokenizer.from_file(path), keeps_white, _Store(store)
+        self.tokenizer, self.keeps_white = Tokenizer.from_file(path), keeps_white
+        self.store = _Store(store, "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         special = self.tokenizer.get_added_tokens_decoder()
         self.special = [t.content.encode() for t in special.values()]
         # a special string is cut out before all else, so it keeps pieces apart; one of its own id marks the place
@@ -271,7 +273,6 @@ class PieceIds:
             i = j
 
 
-@lru_cache(maxsize=4)
 def piece_ids(path: str, keeps_white: bool) -> PieceIds:
     """One per worker process, kept from task to task."""
-    return PieceIds(path, keeps_white)
+    return held(("pieces", path, keeps_white), lambda: PieceIds(path, keeps_white))

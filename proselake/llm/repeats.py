@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from proselake.llm.anchors import GRAM, WINDOW, segments
-from proselake.llm.shared import batches, hot_join, settle, split_count, table
+from proselake.llm.shared import batches, held, hot_join, settle, split_count, table
 from proselake.llm.suffixes import repeated_windows
 
 #: Occurrences of an anchor from which its cell is dealt out by side; bytes of a block for one suffix array.
@@ -42,6 +42,7 @@ _RUNS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 def _described(it):
     import xxhash
 
+    held(None)
     for batch in it:
         hs, gs, firsts, counts, ats, rows = [], [], [], [], [], []
         for k, t in enumerate(batch.column(2)):
@@ -221,11 +222,16 @@ def _counted(parts: DataFrame) -> DataFrame:
     return own.join(many, ["k", "l", "salt"]).select("did", "xx", "a", (F.col("a") + WINDOW).alias("b"))
 
 
-def _finished(keep: list[str]):
+def _text(raw: bytes) -> str:
+    """A character that a removed run cuts goes with it."""
+    return raw.decode("utf-8", "ignore")
+
+
+def _finished(keep: list[str], keep_text: bool):
     def run(it):
         import zstandard
 
-        squeeze, loose = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+        loose = zstandard.ZstdDecompressor()
         names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "rest"]
         for batch in it:
             cols: list[list] = [[] for _ in range(4)]
@@ -247,9 +253,9 @@ def _finished(keep: list[str]):
                         x = min(hi, b) if y < hi else hi
                     at += hi - lo
                 left = b"".join(kept)
-                for col, v in zip(cols, (sum(b - a for a, b in runs), len(runs), hashlib.sha256(left).hexdigest(), squeeze.compress(left)), strict=True):
+                for col, v in zip(cols, (sum(b - a for a, b in runs), len(runs), hashlib.sha256(left).hexdigest(), _text(left) if keep_text else None), strict=True):
                     col.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.binary()]
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), batch.column("n_bytes"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], [*keep, *names])
 
     return run
@@ -261,7 +267,7 @@ def _schema(df: DataFrame, keep: list[str], more: str) -> T.StructType:
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
     """All columns of `docs` but the text, with n_bytes, n_removed, n_spans and kept_sha256; and, if asked for, ``rest``:
-    the bytes that stay, zstd-compressed.
+    the text that stays.
 
     A null text has no bytes; texts under 200 bytes lose nothing. Repeated rows are copies of each other, so all their
     windows repeat. Rows are told apart by id and text hash; null ids are one id. Columns of the input that bear a
@@ -298,24 +304,24 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     dealt = small.repartition(split_count(spark, state), "cell").sortWithinPartitions("cell", "did", "xx", "first")
     found = dealt.mapInArrow(_judged, "did long, xx long, a long, b long").union(_counted(large))
     runs = found.distinct().groupBy("did", "xx").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
-    more = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, rest binary"
+    more = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, rest string"
     waiting = state.where("open").drop("parts", "open", "n_removed", "n_spans", "kept_sha256").join(runs, ["did", "xx"], "left")
-    finished = waiting.mapInArrow(_finished(keep), _schema(keyed, keep, more))
+    finished = waiting.mapInArrow(_finished(keep, keep_text), _schema(keyed, keep, more))
     done = state.where("not open").select(*finished.columns)
+    if keep_text:
+        done = done.mapInArrow(_texts, finished.schema)
+    else:
+        done = done.withColumn("rest", F.lit(None).cast("string"))
     return done.union(finished).drop("did", "xx", *([] if keep_text else ["rest"]))
 
 
-def _texts(names: list[str], text: str):
-    def run(it):
-        import zstandard
-
-        loose = zstandard.ZstdDecompressor()
-        for batch in it:
-            # a character that a removed run cuts goes with it
-            texts = [loose.decompress(b.as_py()).decode("utf-8", "ignore") for b in batch.column("rest")]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == text else batch.column(n) for n in names], names)
+def _texts(it):
+    import zstandard
 
-    return run
+    loose = zstandard.ZstdDecompressor()
+    for batch in it:
+        texts = [_text(loose.decompress(b.as_py())) for b in batch.column("rest")]
+        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "rest" else batch.column(n) for n in batch.schema.names], batch.schema.names)
 
 
 def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -323,9 +329,8 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     names = [f"__r_{i}" for i in range(len(docs.columns))]
     at = dict(zip(docs.columns, names, strict=True))
     found = remove_repeats(docs.toDF(*names), at[doc_id], at[text], keep_text=True)
-    plain = found.select(*(n for n in names if n != at[text]), "rest")
-    schema = T.StructType([T.StructField(n, f.dataType, True) for n, f in zip(names, docs.schema, strict=True)])
-    return plain.mapInArrow(_texts(names, at[text]), schema).toDF(*docs.columns)
+    kept = (F.col("rest").cast(f.dataType) if n == at[text] else F.col(n) for n, f in zip(names, docs.schema, strict=True))
+    return found.select(*kept).toDF(*docs.columns)
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

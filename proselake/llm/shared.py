@@ -92,6 +92,22 @@ def batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
             spark.conf.set(key, str(bound))
 
 
+#: What this Python worker keeps from task to task: one object, by its key.
+_HELD: dict = {}
+
+
+def held(key, make=None):
+    """The object with this key, made where the worker does not have it yet; whatever it kept before goes.
+
+    Workers outlive stages, so what one operator kept would stand beside the next one's memory.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        if make is not None:
+            _HELD[key] = make()
+    return _HELD.get(key)
+
+
 #: Bytes of input for a task of an explicit exchange.
 TASK_BYTES = 256 << 20
 

@@ -8,25 +8,23 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proselake.llm.shared import batches, most_frequent, settle, table
+from proselake.llm.shared import batches, held, most_frequent, settle, table
 
 #: No piece holds a blank after another character, so a cut before any run of blanks is safe. The library writes a
 #: blank as U+2581 and takes that character for one.
 SENTENCE_LEVEL = re.compile("[ ▁]*[^ ▁]+|[ ▁]+")
 
 
-@lru_cache(maxsize=2)
 def sentence_pieces(path: str):
     import sentencepiece
 
-    return sentencepiece.SentencePieceProcessor(model_file=path)
+    return held(("sentence pieces", path), lambda: sentencepiece.SentencePieceProcessor(model_file=path))
 
 
 #: The most frequent pre-tokens of at most LONGEST characters, whose counts every task gets by broadcast: at most
