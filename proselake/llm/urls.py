@@ -16,10 +16,10 @@ import re
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proselake.llm.shared import batches, least_count, settle, table
+from proselake.llm.shared import batches, hot_join, least_count, settle, table
 
 #: (host, path, verdict); the longest rule that fits wins.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -27,8 +27,6 @@ RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 VOCABULARY, LONGEST = 100_000, 24
 #: Tokens of the classifier in a broadcast: the most frequent ones. At most 100,000 * 64 characters; longer ones are hashed.
 FEATURES, FEATURE_LENGTH = 100_000, 64
-#: Tasks over which the pages of one host are dealt.
-SALTS = 16
 
 _FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -95,11 +93,6 @@ def unigrams(pages: DataFrame) -> DataFrame:
     return words.groupBy("word").agg(F.count("*").alias("n"))
 
 
-def _hosts(it):
-    for batch in it:
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([parts(u)[0] for u in batch.column("url").to_pylist()], pa.string())], [*batch.schema.names, "host"])
-
-
 def _substrings(it):
     """All strings within the letters of a host that may be words."""
     for batch in it:
@@ -111,13 +104,19 @@ def _substrings(it):
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(words, pa.string())], ["host", "word"])
 
 
+def _host(url) -> Column:
+    """As `parts`, within the row."""
+    host = F.regexp_extract(url, "(?s)^.*?://([^/?#]*)", 1)
+    return F.coalesce(F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
+
+
 def _with_rare(source: DataFrame, rare: DataFrame) -> DataFrame:
     """`source` with the words of `rare`, and their counts, that may stand in the host of each page."""
-    hosted = source.mapInArrow(_hosts, "page_id long, url string, rid long, host string")
-    subs = hosted.select("host").distinct().mapInArrow(_substrings, "host string, word string")
+    hosts = settle(source.groupBy("host").agg(F.count("*").alias("c")), "hosts")
+    subs = hosts.select("host").mapInArrow(_substrings, "host string, word string")
     lists = subs.join(rare, "word").groupBy("host").agg(F.array_sort(F.collect_list(F.struct("word", "n"))).alias("rare"))
-    dealt = lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return hosted.withColumn("salt", F.pmod(F.hash("rid"), F.lit(SALTS))).join(dealt, ["host", "salt"], "left").select("page_id", "url", "rid", "rare")
+    lists = settle(hosts.join(lists, "host", "left"), "lists")
+    return hot_join(source, lists, ["host"], "c").select("page_id", "url", "rid", "rare")
 
 
 def _tokenised(held, rules):
@@ -168,11 +167,11 @@ def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     common = words.where(frequent).collect()  # VOCABULARY rows at most
     held = spark.sparkContext.broadcast(({r["word"]: r["n"] for r in common}, known[0] or 0))
     # ids are kept in files before they are used
-    source = settle(pages.select(F.col("page_id").cast("long").alias("page_id"), "url").withColumn("rid", F.monotonically_increasing_id()), "urls")
+    source = settle(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", _host("url").alias("host")).withColumn("rid", F.monotonically_increasing_id()), "urls")
     if known[1] > len(common):
         source = _with_rare(source, words.where(~frequent))
     else:
-        source = source.withColumn("rare", F.lit(None).cast("array<struct<word:string,n:bigint>>"))
+        source = source.drop("host").withColumn("rare", F.lit(None).cast("array<struct<word:string,n:bigint>>"))
     seen = settle(source.mapInArrow(_tokenised(held, rules), "page_id long, rid long, host string, path string, rule string, verdict string, tokens array<string>"), "pages")
     taught = seen.where("verdict is not null")
     prior = {r["verdict"]: r["n"] for r in taught.groupBy("verdict").agg(F.count("*").alias("n")).collect()}  # two rows
