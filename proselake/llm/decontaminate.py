@@ -71,8 +71,8 @@ class _Automaton:
 
 
 def _automaton(token: str, block) -> _Automaton:
-    """One automaton per worker and broadcast block, kept from task to task."""
-    return held(("automaton", token), lambda: _Automaton(block.value))
+    """One automaton per broadcast block, kept by a worker from task to task."""
+    return held(("automaton", token), lambda: _Automaton(block.value), room=2)
 
 
 def _scanner(block, token: str, first: bool):

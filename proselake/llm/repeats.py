@@ -29,7 +29,7 @@ from proselake.llm.shared import batches, held, hot_join, settle, split_count, t
 from proselake.llm.suffixes import repeated_windows
 
 #: Occurrences of an anchor from which its cell is dealt out by side; bytes of a block for one suffix array.
-FREQUENT, BLOCK = 2000, 1 << 20
+FREQUENT, BLOCK = 2000, 1 << 19
 #: Tasks over which the occurrences of one window in a large cell are dealt.
 SALTS = 16
 _SIDE = (WINDOW - GRAM) // 2
@@ -42,7 +42,7 @@ _RUNS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 def _described(it):
     import xxhash
 
-    held(None)
+    held(("nothing",))
     for batch in it:
         hs, gs, firsts, counts, ats, rows = [], [], [], [], [], []
         for k, t in enumerate(batch.column(2)):

@@ -92,17 +92,19 @@ def batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
             spark.conf.set(key, str(bound))
 
 
-#: What this Python worker keeps from task to task: one object, by its key.
-_HELD: dict = {}
+#: What this Python worker keeps from task to task: objects of one kind, by key.
+_HELD: dict[tuple, object] = {}
 
 
-def held(key, make=None):
-    """The object with this key, made where the worker does not have it yet; whatever it kept before goes.
+def held(key: tuple, make=None, room: int = 1):
+    """The object with this key, made where the worker does not have it yet. Of its kind, the key's first part, `room` stay;
+    all of another kind go.
 
     Workers outlive stages, so what one operator kept would stand beside the next one's memory.
     """
     if key not in _HELD:
-        _HELD.clear()
+        for old in [k for k in _HELD if k[0] != key[0]] or list(_HELD)[: max(0, len(_HELD) + 1 - room)]:
+            del _HELD[old]
         if make is not None:
             _HELD[key] = make()
     return _HELD.get(key)
