@@ -79,43 +79,45 @@ def piece_table(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     return settle(distinct.mapInArrow(_count_pieces(path), "pre_token string, n long, pieces long"), "pieces")
 
 
-def _frequencies(known, id_type):
+def _row_key(doc, text: bytes, seen: Counter) -> int:
+    """A 64-bit key of a row among those of its task, by what it holds: its id, its text, and how many such rows came
+    before it. It does not depend on the order of rows, so a task that runs again gives each row the same key."""
+    import xxhash
+
+    own = xxhash.xxh3_64_intdigest(text, seed=0 if doc is None else (doc & 0xFFFFFFFFFFFFFFFF) ^ 0x9E3779B97F4A7C15)
+    seen[own] += 1
+    key = own if seen[own] == 1 else xxhash.xxh3_64_intdigest(own.to_bytes(8, "little"), seed=seen[own])
+    return key - (1 << 64) if key >> 63 else key
+
+
+def _frequencies(known):
+    """For each row one record with its size and what the frequent pre-tokens give, and one for each other pre-token."""
     def run(it):
-        pieces = known.value
-        get = pieces.get
-        part, row = TaskContext.get().partitionId() << 33, 0
-        names = ["row_id", "doc_id", "n_bytes", "pre_token", "n"]
+        get, seen, part = known.value.get, Counter(), TaskContext.get().partitionId()
+        names = ["part", "row", "doc_id", "n_bytes", "pre_token", "n"]
         for batch in it:
-            ids, words, counts, rows, owners, sizes = [], [], [], [], [], []
-            for doc, t in zip(batch.column(0), batch.column(1), strict=True):
-                row += 1
+            rows, ids, sizes, words, counts = [], [], [], [], []
+            for doc, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = t.as_py() or ""
-                total = 0
+                raw = text.encode()
+                key, total = _row_key(doc, raw, seen), 0
                 for w, n in Counter(pre_tokens(text)).items():
                     p = get(w)
                     if p is None:
-                        rows.append(part + row)
+                        rows.append(key)
+                        ids.append(None)
+                        sizes.append(None)
                         words.append(w)
                         counts.append(n)
                     else:
                         total += n * p
-                owners.append(part + row)
-                ids.append(doc.as_py())
-                sizes.append(len(text.encode()))
-                words.append(f"\0{part + row}")
+                rows.append(key)
+                ids.append(doc)
+                sizes.append(len(raw))
+                words.append(f"\0{part}/{key}")  # no pre-token begins so, and the rows of a hot one are dealt out
                 counts.append(total)
-                rows.append(-(part + row))
-            # one row for each document, with what the frequent pre-tokens give, and one for each other pre-token
-            at = iter(zip(ids, sizes, strict=True))
-            doc_col, size_col = [], []
-            for r in rows:
-                d, s = next(at) if r < 0 else (None, None)
-                doc_col.append(d)
-                size_col.append(s)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([abs(r) for r in rows], pa.int64()), pa.array(doc_col, id_type), pa.array(size_col, pa.int64()), pa.array(words, pa.string()), pa.array(counts, pa.int64())],
-                names,
-            )
+            cols = [pa.array([part] * len(rows), pa.int32()), *(pa.array(x, pa.int64()) for x in (rows, ids, sizes)), pa.array(words, pa.string()), pa.array(counts, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     return run
 
@@ -132,10 +134,10 @@ def token_counts(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     top = most_frequent(pieces.where(F.length("pre_token") <= LONGEST), "n", FREQUENT)
     known = spark.sparkContext.broadcast({r["pre_token"]: r["pieces"] for r in top.select("pre_token", "pieces").toLocalIterator()})
     source = docs.select(F.col(doc_id).cast("long"), text)
-    freq = source.mapInArrow(_frequencies(known, pa.int64()), "row_id long, doc_id long, n_bytes long, pre_token string, n long")
+    freq = source.mapInArrow(_frequencies(known), "part int, row long, doc_id long, n_bytes long, pre_token string, n long")
     joined = freq.join(pieces.select("pre_token", "pieces").hint("shuffle_hash"), "pre_token", "left")
     return (
-        joined.groupBy("row_id")
+        joined.groupBy("part", "row")
         .agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum(F.col("n") * F.coalesce("pieces", F.lit(1))).alias("n_tokens"))
         .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
     )
