@@ -172,6 +172,15 @@ def test_hot_join(spark, monkeypatch):
     assert sorted(map(tuple, got.select("k", "v", "m").collect())) == sorted([("a", i, 49) for i in range(50)] + [("b", 1, 1), ("c", 2, 2)])
 
 
+def test_held():
+    made = []
+    get = lambda key, room=1: shared.held(key, lambda: made.append(key) or key, room)
+    for key, room in ((("a", 1), 1), (("a", 1), 1), (("a", 2), 1), (("a", 1), 1), (("b", 1), 2), (("b", 2), 2), (("b", 1), 2), (("b", 3), 2), (("b", 2), 2), (("b", 1), 2)):
+        assert get(key, room) == key
+    assert made == [("a", 1), ("a", 2), ("a", 1), ("b", 1), ("b", 2), ("b", 3), ("b", 1)]
+    assert shared.held(("nothing",)) is None and not shared._HELD
+
+
 def test_most_frequent(spark):
     rng = random.Random(1)
     counts = [int(1.2 ** rng.randint(0, 60)) for _ in range(2000)]
@@ -336,6 +345,9 @@ def test_urls(spark):
     assert parts("HTTP://A.Net/x?y") == ("a.net", "/x") and parts(None) == ("", "")
     assert rule_of("b.example.net", "/en/1") == ("example.net/en/", "allow") and rule_of("example.net", "") == (None, None)
     assert Segmenter({"cheap": 9, "pills": 9, "ch": 1}).split("cheappills") == ("cheap", "pills")
+    odd = ["HTTP://ÀB.Net?x", "a://b://c/d", "://", "x:/y", "a://", "p\nq://R.org#z", None, ""]
+    got = spark.createDataFrame([(u,) for u in odd], "url string").select(urls._host("url")).collect()
+    assert [r[0] for r in got] == [parts(u)[0] for u in odd]
     pages = spark.createDataFrame([(1, "http://x.net/a", "<p>x y"), (2, "http://x.org/fr/", None), (3, None, ""), (3, "nothing", "")], "page_id long, url string, html string")
     got = {(r["page_id"], r["host"]): r["verdict"] for r in filter_urls(pages).collect()}
     assert got[1, "x.net"] == "block" and got[2, "x.org"] == "allow" and len(got) == 3
