@@ -19,8 +19,8 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = settle(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "least")
-        large = settle(hot_join(both.where("v > u"), least, ["u"], "n").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        counted = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = hot_join(both.where("v > u"), counted, ["u"], "n", total=2 * e.count()).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # each node's least neighbour; what a node has besides goes to that one
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         linked = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))

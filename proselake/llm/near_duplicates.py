@@ -219,7 +219,7 @@ def _classified(docs: DataFrame, doc_id: str, text: str, percent: int, others: l
         roots = components(links.union(more))
     classes = nodes.join(roots.withColumnRenamed("root", "class"), "node", "left").select("key", "c", "least_id", F.coalesce("class", "node").alias("class"))
     classes = settle(classes, "classes")
-    names = settle(classes.groupBy("class").agg(F.min("least_id").alias("component_id"), F.count("*").alias("n_nodes")), "names")
+    names = classes.groupBy("class").agg(F.min("least_id").alias("component_id"), F.count("*").alias("n_nodes"))
     return rows, settle(hot_join(classes, names, ["class"], "n_nodes").select("key", "c", "class", "component_id"), "named")
 
 
