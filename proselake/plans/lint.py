@@ -81,7 +81,7 @@ def _seen(report: Column, field: str, count: str, visible) -> Column:
     return let(report, lambda r: F.when(r.isNotNull(), counted(r)))
 
 
-def _analyses(lines: Column, paras: Column, ranges: Column, names: Column, listed: Column, setting, dialect: Column, dialects) -> Column:
+def _analyses(lines: Column, paras: Column, ranges: Column, names: Column, listed: Column, setting, dialect: Column, dialects, needed) -> Column:
     off = lambda n: listed & F.exists(ranges, lambda r: (r["check"] == n) & r["file_level"])
     wanted = lambda n: F.coalesce(F.array_contains(names, n) & ~off(n), F.lit(False))
     passives = F.when(wanted("grammar"), F.size(S.passives(F.col("__s")))).otherwise(0)
@@ -98,7 +98,8 @@ def _analyses(lines: Column, paras: Column, ranges: Column, names: Column, liste
     share = lambda r: r.withField("percentage", F.when(F.size(paras) > 0, r["complex_count"] / F.size(paras) * 100).otherwise(0.0))
     own = _seen(made["complex_paragraphs"], "complex_paragraphs", "complex_count", lambda x: _visible(x, "complex_paragraphs", paras, ranges, "paragraph_num"))
     made["complex_paragraphs"] = let(own, lambda r: F.when(F.size(ranges) == 0, r).otherwise(share(r)))
-    return F.struct(*(F.when(wanted(n), made[n]).alias(n) for n in CHECKS))
+    # what no rule asks for is null, and leaves the plan
+    return F.struct(*(F.when(wanted(n) if n in needed else F.lit(False), made[n]).alias(n) for n in CHECKS))
 
 
 def lint(docs: DataFrame, rules: list[dict], path: str = "path", text: str = "text", marker: str = "proselake", vocabulary: tuple[str, ...] = (), config: dict | None = None) -> DataFrame:
@@ -112,7 +113,14 @@ def lint(docs: DataFrame, rules: list[dict], path: str = "path", text: str = "te
     d = docs.select(path, text_of(text).alias("__raw"), chosen_rules(F.col(path), rules).alias("__c")).where(F.size("__c") > 0)
     d = d.withColumn("__set", F.map_from_entries(F.transform("__c", lambda x: F.struct(x["check"], x["settings"]))))
     d = d.withColumns({"__t": F.when(F.col(path).endswith(".md"), prose("__raw")).otherwise(F.col("__raw")), "__b": directives_blanked(F.col("__raw"), marker), "__r": suppressed("__raw", marker)})
-    d = prepared(d, CHECKS).withColumns({"__l": F.transform(split_text("__b"), lambda x: x["line"]), "__k": paragraph_lines("__b"), "__h": headings("__raw")})
+    settings = [json.loads(r["checks"]["analyze"]) for r in rules if "analyze" in r["checks"]]
+    needed = {n for g in settings for n in g["names"]}
+    used = sorted({t for r in rules if (c := r["checks"].get("completeness")) and (t := json.loads(c).get("template"))})
+    d = prepared(d, needed)
+    if "__p" not in d.columns:
+        d = d.withColumn("__p", F.lit(None).cast("array<struct<num:int,text:string,sentences:int>>"))
+    d = d.withColumn("__h", headings("__raw") if used else F.lit(None).cast("array<struct<level:int,text:string>>"))
+    d = d.withColumns({"__l": F.transform(split_text("__b"), lambda x: x["line"]), "__k": paragraph_lines("__b")})
     s, lines, paras, hidden = F.col("__s"), F.col("__l"), F.col("__k"), F.col("__r")
     raw = lambda check, name: F.get_json_object(F.col("__set")[check], f"$.{name}")
     setting = lambda check, name, general: F.coalesce(raw(check, name).cast("double"), F.lit(config.get(general)).cast("double"))
@@ -122,15 +130,13 @@ def lint(docs: DataFrame, rules: list[dict], path: str = "path", text: str = "te
     budget = raw("tokens", "budget").cast("long")
     tokens = token_report("__raw", list(vocabulary))
     dialect = F.coalesce(raw("analyze", "dialect"), F.lit(config.get("dialect")).cast("string"))
-    settings = [json.loads(r["checks"]["analyze"]) for r in rules if "analyze" in r["checks"]]
     dialects = sorted({x for x in (config.get("dialect"), *(g.get("dialect") for g in settings)) if x})
     custom = config.get("templates")
-    used = sorted({t for r in rules if (c := r["checks"].get("completeness")) and (t := json.loads(c).get("template"))})
     complete = [F.when(on("completeness") & (raw("completeness", "template") == t), completeness_report("__raw", F.col("__h"), t, custom)) for t in used]
     missing = F.lit(None).cast("struct<template:string,sections:array<struct<name:string,status:string>>,pass:boolean>")
     out = d.select(
         path,
-        F.when(F.col("__set")["analyze"].isNotNull() & some, _analyses(lines, paras, hidden, names, raw("analyze", "listed") == "true", setting, dialect, dialects)).alias("analyze"),
+        F.when(F.col("__set")["analyze"].isNotNull() & some, _analyses(lines, paras, hidden, names, raw("analyze", "listed") == "true", setting, dialect, dialects, needed)).alias("analyze"),
         F.when(on("readability"), _limited(S.readability(F.col("__t"), s), setting("readability", "max_grade", "max_grade"))).alias("readability"),
         F.when(on("grammar"), _regional_grammar(S.grammar(s), setting("grammar", "passive_max", "passive_max_percent"), lines, hidden)).alias("grammar"),
         F.coalesce(*complete, missing).alias("completeness"),
