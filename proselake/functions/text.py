@@ -69,10 +69,9 @@ def paragraphs(c) -> Column:
 
 def paragraph_lines(c) -> Column:
     """The 1-based first line of each run of lines that are not blank."""
-    lines = F.split(text_of(c), "\n")
     blank = lambda x: stripped(x) == ""
-    at = F.transform(lines, lambda x, i: F.when(~blank(x) & ((i == 0) | blank(F.get(lines, i - 1))), i + 1))
-    return F.array_compact(at)
+    starts = lambda lines: F.transform(lines, lambda x, i: F.when(~blank(x) & ((i == 0) | blank(F.get(lines, i - 1))), i + 1))
+    return let(F.split(text_of(c), "\n"), lambda lines: F.array_compact(starts(lines)))
 
 
 def round1(c: Column) -> Column:
