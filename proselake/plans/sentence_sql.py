@@ -1,7 +1,8 @@
 """SQL of the sentence rule and of what stands on it, written on its own so that it can judge the Spark plans.
 
 A text is cut after each terminator. Most cuts are decided by what stands around them; whether a decimal number or an
-address belongs to the current sentence depends on where that begins, so those cuts are decided one after the other.
+address belongs to the current sentence depends on where that begins, so those cuts are decided one after the other: `room`
+lists the lengths up to 50 at which the end of the current sentence holds one.
 """
 
 from __future__ import annotations
@@ -10,7 +11,9 @@ from proselake.functions import lexicons as lex
 
 W = r"\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 A = r"\p{L}\p{N}"
-_ADDRESS = rf"(https?://|www\.)[^{W}]|\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}\b"
+#: A mail address begins and ends at an edge of a word, of which accented letters are a part: before its first character, or
+#: within the run before the sign, where a sign meets a letter. The pattern states these edges by the characters beside them.
+_ADDRESS = rf"(https?://|www\.)[^{W}]|((^|[^{A}_])[A-Za-z0-9_]|[{A}_][.%+-])[A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}($|[^{A}_])"
 
 
 def q(terms) -> str:
@@ -51,13 +54,12 @@ def sentences(docs: str, name: str = "s") -> str:
 {p}told AS (SELECT doc_id, p, CASE WHEN p = n THEN true
     WHEN t <> '.' THEN x NOT IN ('"', '''') OR regexp_matches(y, '^\p{{Lu}}$')
     ELSE NOT (lower(w) IN ({q(lex.ABBREVIATIONS)}) OR regexp_matches(w, '^[A-Z]$') OR regexp_matches(w, '(^|\.)[A-Z]\.') OR (regexp_matches(x, '^[0-9]$') AND regexp_matches(w, '[0-9]$')) OR regexp_matches(x, '^\p{{Ll}}$')) END AS yes,
-  CASE WHEN p < n AND t = '.' THEN least(CASE WHEN regexp_matches(right(tail, 10), '[0-9]+\.[0-9]+') THEN list_min(list_filter(range(1, 11), lambda k: regexp_matches(right(tail, k), '[0-9]+\.[0-9]+'))) END,
-    CASE WHEN right(tail, 3) = '...' THEN 3 END,
-    CASE WHEN regexp_matches(tail, '{_ADDRESS}') THEN list_min(list_filter(range(1, 51), lambda k: regexp_matches(right(tail, k), '{_ADDRESS}'))) END) END AS room FROM {p}seen),
+  CASE WHEN p < n AND t = '.' AND (regexp_matches(right(tail, 10), '[0-9]+\.[0-9]+') OR right(tail, 3) = '...' OR regexp_matches(tail, '@|https?://|www\.')) THEN
+    nullif(list_filter(range(1, 51), lambda k: regexp_matches(right(tail, least(k, 10)), '[0-9]+\.[0-9]+') OR (k >= 3 AND right(tail, 3) = '...') OR regexp_matches(right(tail, k), '{_ADDRESS}')), []) END AS room FROM {p}seen),
 {p}open AS (SELECT *, coalesce(max(CASE WHEN yes AND room IS NULL THEN p END) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS last_sure FROM {p}told),
 {p}unsure AS (SELECT doc_id, p, room, last_sure, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS j FROM {p}open WHERE yes AND room IS NOT NULL),
 {p}walk AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS j, CAST(0 AS BIGINT) AS last FROM {p}unsure
-  UNION ALL SELECT u.doc_id, u.j, CASE WHEN u.p - greatest(u.last_sure, v.last) >= u.room THEN v.last ELSE u.p END FROM {p}walk v JOIN {p}unsure u ON u.doc_id = v.doc_id AND u.j = v.j + 1),
+  UNION ALL SELECT u.doc_id, u.j, CASE WHEN list_contains(u.room, least(50, u.p - greatest(u.last_sure, v.last))) THEN v.last ELSE u.p END FROM {p}walk v JOIN {p}unsure u ON u.doc_id = v.doc_id AND u.j = v.j + 1),
 {p}ends AS (SELECT doc_id, p FROM {p}open WHERE yes AND room IS NULL UNION SELECT doc_id, last FROM {p}walk WHERE last > 0 UNION SELECT doc_id, n FROM {p}d WHERE n > 0),
 {p}span AS (SELECT doc_id, coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p), 0) + 1 AS a, p AS b FROM {p}ends),
 {p}text AS (SELECT doc_id, a, substr(d.text, a, b - a + 1) AS raw, d.text AS whole FROM {p}span JOIN {p}d d USING (doc_id)),
