@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import html
 import re
 
 import pyarrow as pa
@@ -10,161 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proselake.functions import lexicons as lex
+from proselake.functions.markdown import headings_of, prose_of, table_ranges_of, table_spans
 from proselake.functions.text import let, stripped, text_of
 
 
 def strip_frontmatter(c) -> Column:
-    """Drop a leading block between lines of three dashes; without a closing line nothing changes."""
+    """Drop a leading block between lines of three dashes, white space before it too; without a closing line nothing changes."""
     t = text_of(c)
-    return F.when(t.rlike(r"(?s)^\s*---.*?\n---"), F.regexp_replace(t, r"(?s)^\s*---.*?\n---\n?", "")).otherwise(t)
-
-
-_FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})")
-_HEADING = re.compile(r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
-_UNDERLINE = re.compile(r"^ {0,3}(=+|-+)[ \t]*$")
-_RULE = re.compile(r"^ {0,3}([-*_])[ \t]*(?:\1[ \t]*){2,}$")
-_ITEM = re.compile(r"^\s*(?:[-*+]|\d{1,9}[.)])(?:\s+(.*)|$)")
-_LABEL = re.compile(r"^ {0,3}\[(?!\^)([^\]]+)\]:\s*\S+(?:\s+[\"'(].*)?\s*$")
-_NOTE = re.compile(r"^ {0,3}\[\^([^\]]+)\]:\s*(.*)$")
-#: Elements that begin a block of their own.
-_ELEMENTS = (
-    "address article aside blockquote body center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html iframe legend li link main menu nav ol "
-    "optgroup option p param pre script section style summary table tbody td tfoot th thead title tr track ul"
-).split()
-_HTML = re.compile(rf"^ {{0,3}}(?:</?(?:{'|'.join(_ELEMENTS)})(?:[\s/>]|$)|<!--)", re.I)
-_CODE = re.compile(r"(`+)(?!`)(.+?)(?<!`)\1(?!`)", re.S)
-_INLINE = (
-    (re.compile(r"<((?:https?|mailto):[^>\s]*)>"), r"\1"),
-    (re.compile(r"<!--.*?-->|</?[A-Za-z][^>]*>", re.S), ""),
-    (re.compile(r"!?\[([^\]]*)\](?:\([^)]*\)|\[[^\]]+\])"), r"\1"),
-)
-_EMPHASIS = (re.compile(r"(\*\*\*|\*\*|\*|~~)(?=\S)(.+?)(?<=\S)\1", re.S), re.compile(r"(?<!\w)(__|_)(?=\S)(.+?)(?<=\S)\1(?!\w)", re.S))
-_ESCAPED = re.compile(r"\\([!-/:-@\[-`{-~])")
-#: Marks that count as text stand for themselves in a private range until all markup is gone.
-_TAKEN = {c: 0xE000 + c for c in range(33, 127) if not chr(c).isalnum()}
-_GIVEN = {v: k for k, v in _TAKEN.items()}
-
-
-def _blocks(text: str) -> list[tuple[str, int, str]]:
-    """(kind, level, text) of each line: heading, underline, code, html, label, note, table, rule, item, text or blank."""
-    if re.match(r"(?s)\s*---.*?\n---", text):
-        text = re.sub(r"(?s)\A\s*---.*?\n---\n?", "", text)
-    lines = text.split("\n")
-    tables, out = table_lines(lines), []
-    fence, last, listed, until = None, "blank", False, None
-    for k, line in enumerate(lines):
-        m = _FENCE.match(line)
-        bare = re.sub(r"^(\s{0,3}>\s?)+", "", line)
-        if fence:
-            closes = m and m[1][0] == fence[0] and len(m[1]) >= len(fence) and not line.strip().strip(fence[0])
-            fence, kind, level, s = (None if closes else fence), "code", 0, line
-        elif until and (until != "blank" or line.strip()):
-            # a comment goes on to its end, another block of HTML to a blank line
-            until, kind, level, s = (None if until != "blank" and until in line else until), "html", 0, line
-        elif not line.strip():
-            until, kind, level, s = None, "blank", 0, ""
-        elif tables[k]:
-            kind, level, s = ("rule" if k and tables[k - 1] and _DELIMITERS.match(line) else "table"), 0, line
-        elif m:
-            fence, kind, level, s = m[1], "code", 0, line
-        elif re.match(r"^(?: {4}|\t)", line) and last in ("blank", "code", "heading") and not listed:
-            kind, level, s = "code", 0, line
-        elif h := _HEADING.match(line):
-            kind, level, s = "heading", len(h[1]), h[2] or ""
-        elif _UNDERLINE.match(line) and last == "text":
-            kind, level, s = "underline", 1 if "=" in line else 2, ""
-        elif _RULE.match(line):
-            kind, level, s = "rule", 0, ""
-        elif (h := _HTML.match(line)) and (last != "text" or h[0].endswith("<!--")):
-            until = "blank" if not h[0].endswith("<!--") else None if "-->" in line else "-->"
-            kind, level, s = "html", 0, line
-        elif last not in ("text", "item") and (h := _LABEL.match(line)):
-            kind, level, s = "label", 0, h[1]
-        elif h := _NOTE.match(line):
-            kind, level, s = "note", 0, h[2]
-        elif h := _ITEM.match(line):
-            kind, level, s = "item", 0, h[1] or ""
-        else:
-            kind, level, s = "text", 0, bare
-        listed = kind == "item" or (listed and (kind in ("blank", "text") and (last != "blank" or kind == "blank" or line[:1] in (" ", "\t"))))
-        last = kind
-        out.append((kind, level, s))
-    return out
-
-
-def _plain(s: str, labels=frozenset(), notes=frozenset(), code: bool = False) -> str:
-    s = _CODE.sub((lambda m: m[2].strip().translate(_TAKEN)) if code else "", s)
-    s = _ESCAPED.sub(lambda m: m[1].translate(_TAKEN), s)
-    for pattern, by in _INLINE:
-        s = pattern.sub(by, s)
-    if notes:
-        s = re.sub(r"\[\^([^\]]+)\]", lambda m: "" if m[1].lower() in notes else m[0], s)
-    if labels:
-        s = re.sub(r"!?\[([^\]^][^\]]*)\](?:\[\])?", lambda m: m[1] if m[1].lower() in labels else m[0], s)
-    for pattern in _EMPHASIS:
-        # emphasis within emphasis goes in the next round
-        while (t := pattern.sub(r"\2", s)) != s:
-            s = t
-    return html.unescape(s).translate(_GIVEN)
-
-
-def _loose(blocks: list[tuple[str, int, str]]) -> list[bool]:
-    """Whether each line stands in a list with a blank line between its items."""
-    out, k = [False] * len(blocks), 0
-    while k < len(blocks):
-        if blocks[k][0] != "item":
-            k += 1
-            continue
-        end = last = k
-        while end + 1 < len(blocks) and (blocks[end + 1][0] in ("item", "blank") or (blocks[end + 1][0] == "text" and blocks[end][0] != "blank")):
-            end += 1
-            last = end if blocks[end][0] == "item" else last
-        for i in range(k, end + 1):
-            out[i] = any(b[0] == "blank" for b in blocks[k:last])
-        k = end + 1
-    return out
-
-
-def prose_of(text: str) -> str:
-    """Text outside code, headings and HTML blocks. A paragraph's end becomes one blank; cells of a table and items of a
-    list without blank lines have none between them."""
-    blocks = _blocks(text)
-    labels = {s.lower() for kind, _, s in blocks if kind == "label"}
-    notes = {m[1].lower() for line in text.split("\n") if (m := _NOTE.match(line))}
-    out, open_, tail = "", [], " "
-
-    def close() -> None:
-        nonlocal out, open_
-        if open_:
-            out += _plain(" ".join(open_), labels, notes) + tail
-        open_ = []
-
-    for (kind, _, s), loose in zip(blocks, _loose(blocks), strict=True):
-        if kind == "underline":
-            open_ = []
-        elif kind == "text":
-            if not open_:
-                tail = " "
-            open_.append(s.strip())
-        elif kind in ("item", "note"):
-            close()
-            open_, tail = [s.strip()] if s.strip() else [], " " if loose or kind == "note" else ""
-        else:
-            close()
-            if kind == "table":
-                out += "".join(_plain(c.strip(), labels, notes) for c in re.split(r"(?<!\\)\|", s.strip().strip("|")))
-    close()
-    return out
-
-
-def headings_of(text: str) -> list[dict]:
-    out, above = [], []
-    for kind, level, s in _blocks(text):
-        title = s if kind == "heading" else " ".join(above) if kind == "underline" and above else None
-        if title is not None:
-            out.append({"level": level, "text": _plain(title, code=True)})
-        above = [*above, s.strip()] if kind == "text" else []
-    return out
+    return F.when(t.rlike(r"(?sU)^\s*---.*?\n---"), F.regexp_replace(t, r"(?sU)^\s*---.*?\n---\n?", "")).otherwise(t)
 
 
 def _each(f, kind: str, made: pa.DataType):
@@ -176,7 +28,7 @@ def _each(f, kind: str, made: pa.DataType):
 
 
 def prose(c) -> Column:
-    """Markdown without its markup; no expression parses it."""
+    """Markdown without its markup, as `functions.markdown` reads it; no expression parses it."""
     return _each(prose_of, "string", pa.string())(c)
 
 
@@ -242,48 +94,6 @@ def completeness(docs: DataFrame, template: str, key: str = "doc_id", text: str
     return d.select(key, completeness_report("__t", F.col("__h"), template, custom).alias("__c")).select(key, "__c.*")
 
 
-_DELIMITERS = re.compile(r"^ {0,3}\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
-_BLOCK = re.compile(r"^ {0,3}(?:#{1,6}(?:[ \t]|$)|`{3}|~{3}|>|[-*+][ \t]|\d+[.)][ \t])")
-
-
-def _cells(line: str) -> int:
-    return len(re.findall(r"(?<!\\)\|", line.strip().strip("|"))) + 1
-
-
-def table_lines(lines: list[str]) -> list[bool]:
-    """Which lines are part of a table: a header, a line of delimiters with as many cells, and all rows up to a blank
-    line or another block. Lines within fences are not."""
-    inside, fence = [False] * len(lines), None
-    i = 0
-    while i < len(lines):
-        m = _FENCE.match(lines[i])
-        if m and (fence is None or (m[1][0] == fence[0] and len(m[1]) >= len(fence))):
-            fence = m[1] if fence is None else None
-        elif fence is None and i and "|" in lines[i - 1] and "-" in lines[i] and _DELIMITERS.match(lines[i]) and _cells(lines[i]) == _cells(lines[i - 1]) and not inside[i - 1]:
-            inside[i - 1] = True
-            while i < len(lines) and lines[i].strip() and not _BLOCK.match(lines[i]):
-                inside[i] = True
-                i += 1
-            continue
-        i += 1
-    return inside
-
-
-def table_ranges_of(text: str) -> list[dict]:
-    """Byte ranges of the tables of a text, from the header to the end of the last row."""
-    lines, out, at = text.split("\n"), [], 0
-    for line, inside in zip(lines, table_lines(lines), strict=True):
-        end = at + len(line.encode())
-        if inside and out and out[-1]["end"] + 1 == at and out[-1]["open"]:
-            out[-1]["end"] = end
-        elif inside:
-            out.append({"start": at, "end": end, "open": True})
-        elif out:
-            out[-1]["open"] = False
-        at = end + 1
-    return [{"start": x["start"], "end": x["end"]} for x in out]
-
-
 def table_ranges(c) -> Column:
     return _each(table_ranges_of, "array<struct<start:long,end:long>>", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))(text_of(c))
 
@@ -314,17 +124,13 @@ def greedy_count(vocabulary: list[str]):
             return len(text.encode())
         if "|" not in text:
             return raw(text)
-        lines, total, plain = text.split("\n"), 0, []
-        inside = table_lines(lines)
-        for i, line in enumerate(lines):
-            if not inside[i]:
-                plain.append(line + ("\n" if i + 1 < len(lines) else ""))
-                continue
-            if plain:
-                total += raw("".join(plain))
-                plain = []
-            total += line.count("|") + sum(raw(cell) for cell in line.split("|") if cell)
-        return total + raw("".join(plain)) if plain else total
+        total, at = 0, 0
+        for start, end in table_spans(text):
+            table = text[start:end]
+            total += raw(text[at:start]) + table.count("|") + sum(raw(cell) for line in table.split("\n") for cell in line.split("|") if cell)
+            # the end of the last row's line costs nothing either
+            at = end + text.startswith("\n", end)
+        return total + raw(text[at:])
 
     return _each(count, "long", pa.int64())
 

@@ -14,6 +14,7 @@ from proselake.operators import documents as D
 from proselake.operators import sentences as S
 from proselake.operators import words as W
 from proselake.plans import sentence_sql as X
+from proselake.plans import woven
 from proselake.plans.analyze import analyze
 from proselake.plans.lint import lint as lint_plan
 from proselake.sources.files import as_json
@@ -195,19 +196,16 @@ def front_matter(spark, sf_dir):
     return d.select("doc_id", F.md5(D.strip_frontmatter("text")).alias("rest_md5"))
 
 
-_MARKDOWN = "concat('# Head ', doc_id, '\n\nSome *text* here.\n\n```\n# no head\n```\n\nUnder lined\n---\n\n## Part `', lang, '` of ', source, ' ##\n\n> quote\n\n- one\n- two\n\n| a | b |\n|---|---|\n| ', lang, ' | d |\n\n[link](http://x.example) end')"
-
-
 def markdown_headings(spark, sf_dir):
-    return _long(_docs(spark, sf_dir).selectExpr("doc_id", f"{_MARKDOWN} AS text"), D.headings("text"))
+    return _long(_docs(spark, sf_dir).selectExpr("doc_id", f"{woven.MARKDOWN} AS text"), D.headings("text"))
 
 
 def markdown_prose(spark, sf_dir):
-    return _docs(spark, sf_dir).selectExpr("doc_id", f"{_MARKDOWN} AS text").select("doc_id", D.prose("text").alias("prose"))
+    return _docs(spark, sf_dir).selectExpr("doc_id", f"{woven.MARKDOWN} AS text").select("doc_id", D.prose("text").alias("prose"))
 
 
 def markdown_tables(spark, sf_dir):
-    return _long(_docs(spark, sf_dir).selectExpr("doc_id", f"{_MARKDOWN} AS text"), D.table_ranges("text"))
+    return _long(_docs(spark, sf_dir).selectExpr("doc_id", f"{woven.MARKDOWN} AS text"), D.table_ranges("text"))
 
 
 #: Pieces of the caller's vocabulary; with longer ones first a pattern of them finds the longest at each place.
@@ -362,9 +360,7 @@ FROM k LEFT JOIN v USING (doc_id) LEFT JOIN hv USING (doc_id)"""
     SQL["json_reports"] = f"""SELECT doc_id, '{{"n_words":' || len({X.words('text')}) || CASE WHEN doc_id % 2 = 0 THEN ',"n_tokens":' || len({X.tokens('text')}) ELSE '' END || '}}' AS report FROM documents"""
     body = "replace(text, '---', '==')"
     SQL["front_matter"] = f"SELECT doc_id, md5(CASE WHEN doc_id % 4 < 2 THEN {body} WHEN doc_id % 4 = 2 THEN '---' || chr(10) || 'open' || chr(10) || {body} ELSE {body} END) AS rest_md5 FROM documents"
-    SQL["markdown_headings"] = "SELECT doc_id, CAST(h.level AS INT) AS level, h.text AS text FROM (SELECT doc_id, unnest([{'level': 1, 'text': 'Head ' || doc_id}, {'level': 2, 'text': 'Under lined'}, {'level': 2, 'text': 'Part ' || lang || ' of ' || source}]) AS h FROM documents)"
-    SQL["markdown_prose"] = "SELECT doc_id, 'Some text here. quote onetwoab' || lang || 'dlink end ' AS prose FROM documents"
-    SQL["markdown_tables"] = f"SELECT doc_id, position('| a |' IN t) - 1 AS start, position(chr(10) || chr(10) || '[link' IN t) - 1 AS \"end\" FROM (SELECT doc_id, {_MARKDOWN} AS t FROM documents)"
+    SQL["markdown_headings"], SQL["markdown_prose"], SQL["markdown_tables"] = woven.HEADINGS_SQL, woven.PROSE_SQL, woven.TABLES_SQL
     pattern = "|".join(x.replace("'", "''").replace(".", "[.]") for x in _PIECES)
     # the table and the line after it: 7, 9 and 9 tokens, then 5
     n = f"strlen(t) - list_sum(list_transform(regexp_extract_all(t || '#the', '{pattern}'), lambda x: strlen(x) - 1)) + 2"

