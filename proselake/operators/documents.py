@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proselake.functions import lexicons as lex
+from proselake.functions.globs import GlobSet, specificity
+from proselake.functions.kept import kept
 from proselake.functions.markdown import headings_of, prose_of, table_ranges_of, table_spans
 from proselake.functions.text import let, stripped, text_of
 
@@ -197,56 +200,102 @@ def unsuppressed(findings: DataFrame, rules: DataFrame, key: str = "doc_id") ->
     return f.join(s, on, "left_anti")
 
 
-def glob_regex(pattern: str) -> str | None:
-    """A path pattern as a regular expression; ``*`` and ``?`` match a slash too. None for an invalid one."""
-    out, i = "^", 0
-    if pattern.startswith("**/"):
-        out, i = out + "(?:.*/)?", 3
-    while i < len(pattern):
-        if pattern.startswith("/**/", i):
-            out, i = out + "(?:/|/.*/)", i + 4
-            continue
-        c = pattern[i]
-        if c == "[":
-            end = pattern.find("]", i + 2)
-            if end < 0:
-                return None
-            body = pattern[i + 1 : end]
-            out, i = out + "[" + ("^" + body[1:] if body[0] == "!" else body).replace("\\", "\\\\") + "]", end + 1
-            continue
-        if c == "{":
-            end = pattern.find("}", i)
-            if end < 0:
-                return None
-            out, i = out + "(?:" + "|".join(re.escape(x) for x in pattern[i + 1 : end].split(",")) + ")", end + 1
-            continue
-        out += ".*" if c == "*" else "." if c == "?" else re.escape(c)
-        i += 1
-    return out.replace(".*.*", ".*") + "$"
-
-
-def specificity(pattern: str) -> int:
-    """Path segments without a wildcard."""
-    return sum(not re.search(r"[*?\[]", s) for s in pattern.split("/"))
+#: Bytes of patterns in one automaton; more rules are resolved in blocks, which meet within the row.
+RULE_BYTES = 1 << 20
+_CHOICE = "array<struct<check:string,rule_idx:int,settings:string>>"
+_RANKED = "array<struct<check:string,rule_idx:int,settings:string,specificity:int>>"
+
+
+class _Chooser:
+    """Of a block of options (rule_idx, pattern, check, settings) those that a path gets: for each check the most specific."""
+
+    def __init__(self, options: list[tuple[int, str, str, str]]):
+        self.patterns = sorted({o[1] for o in options})
+        number = {p: k for k, p in enumerate(self.patterns)}
+        self.set, self.rank = GlobSet(self.patterns), [specificity(p) for p in self.patterns]
+        self.of: list[list[tuple[int, str, str]]] = [[] for _ in self.patterns]
+        for rule, pattern, check, settings in options:
+            self.of[number[pattern]].append((rule, check, settings))
+        self.chosen: dict[tuple[int, ...], int] = {}
+        self.results: list[list[dict]] = []
+
+    def result(self, path: str | None) -> int:
+        """The number of the result for a path. It follows from the patterns that fit, so there are few."""
+        fits = () if path is None else self.set.matches(path)
+        if fits not in self.chosen:
+            best: dict[str, tuple] = {}
+            for k in fits:
+                for rule, check, settings in self.of[k]:
+                    mine = (-self.rank[k], rule, settings)
+                    best[check] = min(best.get(check, mine), mine)
+            self.chosen[fits] = len(self.results)
+            self.results.append([{"check": c, "rule_idx": r, "settings": s, "specificity": -rank} for c, (rank, r, s) in sorted(best.items())])
+        return self.chosen[fits]
+
+
+def _choosing(options: list[tuple[int, str, str, str]]):
+    """A function of a path column for one block of options; a worker makes the automaton once."""
+    kind = pa.list_(pa.struct([("check", pa.string()), ("rule_idx", pa.int32()), ("settings", pa.string()), ("specificity", pa.int32())]))
+    key = ("rules", hashlib.sha256(repr(options).encode()).hexdigest())
+
+    def run(paths: pa.Array) -> pa.Array:
+        chooser = kept(key, lambda: _Chooser(options))
+        at = [chooser.result(p) for p in paths.to_pylist()]
+        return pa.array(chooser.results, kind).take(pa.array(at, pa.int64()))
+
+    return F.arrow_udf(run, _RANKED)
+
+
+def _blocks_of(options: list[tuple]) -> list[list[tuple]]:
+    out, used = [], RULE_BYTES
+    for o in options:
+        size = len(o[1]) + len(o[2]) + len(o[3])
+        if used + size > RULE_BYTES:
+            out, used = [*out, []], 0
+        out[-1].append(o)
+        used += size
+    return out
+
+
+def _ranked(path: Column, options: list[tuple]) -> Column:
+    """The results of all blocks together; of each check the most specific counts, of equal ones the earlier rule."""
+    found = [_choosing(block)(path) for block in _blocks_of(options)]
+    if not found:
+        return F.array().cast(_CHOICE)
+    bare = lambda all_: F.transform(all_, lambda x: F.struct(x["check"].alias("check"), x["rule_idx"].alias("rule_idx"), x["settings"].alias("settings")))
+    if len(found) == 1:
+        return bare(found[0])
+    better = lambda x, y: (y["check"] == x["check"]) & ((y["specificity"] > x["specificity"]) | ((y["specificity"] == x["specificity"]) & (y["rule_idx"] < x["rule_idx"])))
+    best = lambda all_: F.filter(all_, lambda x: ~F.exists(all_, lambda y: better(x, y)))
+    # an option may stand in several blocks by several patterns of one rule
+    return let(F.concat(*found), lambda all_: F.array_distinct(bare(best(all_))))
 
 
 def chosen_rules(path: Column, rules: list[dict]) -> Column:
     """[{check, rule_idx, settings}]: for each check type the rule with the most specific pattern that fits the path.
 
-    `rules`: [{paths: [...], checks: {name: settings as text}}]; of equal ones the earlier wins. The rules are a
-    configuration of the driver and become one expression: the first pattern that fits, from the most specific on.
+    `rules`: [{paths: [...], checks: {name: settings as text}}]; of equal ones the earlier wins, and invalid patterns fit
+    nothing. A null path gets none.
     """
-    found: dict[str, list[tuple[int, int, str, str]]] = {}
-    for i, rule in enumerate(rules):
-        for p in rule["paths"]:
-            if regex := glob_regex(p):
-                for check, settings in rule["checks"].items():
-                    found.setdefault(check, []).append((-specificity(p), i, regex, str(settings)))
-    one = lambda check, i, regex, settings: F.when(path.rlike(regex), F.struct(F.lit(check).alias("check"), F.lit(i).alias("rule_idx"), F.lit(settings).alias("settings")))
-    best = [F.coalesce(*(one(check, i, regex, settings) for _, i, regex, settings in sorted(options))) for check, options in found.items()]
-    return F.array_compact(F.array(*best)) if best else F.array().cast("array<struct<check:string,rule_idx:int,settings:string>>")
-
-
-def resolve_rules(paths: DataFrame, rules: list[dict], path: str = "path") -> DataFrame:
-    """(path, check, rule_idx, settings) of each row's path."""
-    return paths.select(path, F.explode(chosen_rules(F.col(path), rules)).alias("__c")).select(path, "__c.*")
+    return _ranked(path, [(i, p, check, str(settings)) for i, rule in enumerate(rules) for p in rule["paths"] for check, settings in rule["checks"].items()])
+
+
+def rules_frame(spark: SparkSession, rules: list[dict]) -> DataFrame:
+    """A configuration's rules as a table (rule_idx, pattern, check, settings), a row for each pattern and check."""
+    rows = [(i, p, check, str(settings)) for i, rule in enumerate(rules) for p in rule["paths"] for check, settings in rule["checks"].items()]
+    return spark.createDataFrame(rows, "rule_idx int, pattern string, check string, settings string")
+
+
+def resolve_rules(paths: DataFrame, rules: list[dict] | DataFrame, path: str = "path") -> DataFrame:
+    """(path, check, rule_idx, settings) of each row's path, one row for each check.
+
+    `rules` is a list or a table as `rules_frame` makes it. A table comes to the driver row by row and goes to the workers
+    in blocks of at most `RULE_BYTES`, each an automaton; rows of it with a null are left out. No exchange, and no
+    comparison of each path with each rule.
+    """
+    if isinstance(rules, DataFrame):
+        stated = rules.select(F.col("rule_idx").cast("int"), "pattern", "check", "settings").where("rule_idx IS NOT NULL AND pattern IS NOT NULL AND check IS NOT NULL AND settings IS NOT NULL")
+        chosen = _ranked(F.col(path), [tuple(r) for r in stated.distinct().orderBy("pattern", "rule_idx", "check", "settings").toLocalIterator()])
+    else:
+        chosen = chosen_rules(F.col(path), rules)
+    return paths.select(path, F.explode(chosen).alias("__c")).select(path, "__c.*")

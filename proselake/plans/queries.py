@@ -254,6 +254,17 @@ def path_rules(spark, sf_dir):
     return D.resolve_rules(paths, rules)
 
 
+def _many_rules(i: int) -> dict:
+    pattern = f"docs/*/{{en,d?,{{f,x}}r}}/*{i // 2 % 100}[{i % 7}-{i % 7 + 2}].md" if i % 2 else f"docs/**/[!3]*{i}.md"
+    return {"paths": [pattern, "[open"], "checks": {("readability", "tokens", "grammar")[i % 3]: i}}
+
+
+def path_rules_table(spark, sf_dir):
+    """A thousand rules as a table, over the path of each document."""
+    paths = _docs(spark, sf_dir).selectExpr("concat('docs/', source, '/', lang, '/', doc_id, '.md') AS path")
+    return D.resolve_rules(paths, D.rules_frame(spark, [_many_rules(i) for i in range(1000)]))
+
+
 def lint(spark, sf_dir):
     d = _cases(spark, sf_dir).selectExpr("doc_id", "concat('docs/', lang, '/', doc_id, '.txt') AS path", f"concat('<!-- proselake disable-next-line sentence_length -->\n', text, CASE WHEN doc_id % 7 = 0 THEN '\n<!-- proselake disable tokens -->' ELSE '' END) AS text")
     rules = [{"paths": ["docs/**"], "checks": {"readability": {"max_grade": 14}, "tokens": {"budget": 3000}}}, {"paths": ["docs/en/*"], "checks": {"tokens": {"budget": 900}, "analyze": {"checks": ["pacing", "sentence_length"]}}}]
@@ -265,7 +276,7 @@ def lint(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     overused_words, repeated_phrases, echoes, word_totals, word_counts, diction, jargon, cliches, sensory, consistency, consistency_dialect, acronyms, sentence_list, sentence_reports, sticky_sentences, transition_counts,
     grammar, grammar_issues, passive_voice, readability, readability_with_dictionary, complex_paragraphs, style, input_sizes, json_reports, front_matter, markdown_headings, markdown_prose, markdown_tables, token_counts,
-    token_bytes, completeness, completeness_pass, suppressions, unsuppressed_lines, path_rules, lint,
+    token_bytes, completeness, completeness_pass, suppressions, unsuppressed_lines, path_rules, path_rules_table, lint,
 )}
 
 _COUNTED = f"w AS (SELECT doc_id, {_WORDS} AS w FROM documents)"
@@ -378,6 +389,10 @@ FROM k LEFT JOIN v USING (doc_id) LEFT JOIN hv USING (doc_id)"""
 SELECT doc_id, "check", count(*) AS n, CAST(sum(line) AS BIGINT) AS lines FROM f WHERE NOT EXISTS (SELECT 1 FROM sup WHERE sup.doc_id = f.doc_id AND sup."check" = f."check" AND (file_level OR line BETWEEN start AND "end")) GROUP BY ALL"""
     SQL["path_rules"] = r"""WITH p AS (SELECT DISTINCT 'docs/' || source || '/' || lang || '/' || doc_id || '.md' AS path FROM documents),
 r(rule_idx, pattern, specificity, "check", settings) AS (VALUES (0, '^docs/(.*/)?[^/]*\.md$', 1, 'readability', '8'), (0, '^docs/(.*/)?[^/]*\.md$', 1, 'tokens', '100'), (1, '^docs/src1/.*\.md$', 2, 'readability', '12'), (2, '^docs/src1/en/.*\.md$', 3, 'tokens', '7'), (3, '^(.*/)?../[1-4].*(5|6)\.md$', 0, 'grammar', '1'))
+SELECT path, "check", rule_idx, settings FROM p JOIN r ON regexp_matches(path, pattern) QUALIFY row_number() OVER (PARTITION BY path, "check" ORDER BY specificity DESC, rule_idx) = 1"""
+    SQL["path_rules_table"] = r"""WITH p AS (SELECT 'docs/' || source || '/' || lang || '/' || doc_id || '.md' AS path FROM documents),
+r AS (SELECT CAST(i AS INT) AS rule_idx, CASE i % 3 WHEN 0 THEN 'readability' WHEN 1 THEN 'tokens' ELSE 'grammar' END AS "check", CAST(i AS VARCHAR) AS settings, 1 AS specificity,
+  CASE WHEN i % 2 = 1 THEN '^docs/.*/(en|d.|(f|x)r)/.*' || (i // 2 % 100) || '[' || (i % 7) || '-' || (i % 7 + 2) || ']\.md$' ELSE '^docs/(.*/)?[^3].*' || i || '\.md$' END AS pattern FROM range(1000) t(i))
 SELECT path, "check", rule_idx, settings FROM p JOIN r ON regexp_matches(path, pattern) QUALIFY row_number() OVER (PARTITION BY path, "check" ORDER BY specificity DESC, rule_idx) = 1"""
     linted = f"(SELECT doc_id, lang, '<!-- proselake disable-next-line sentence_length -->' || chr(10) || text || CASE WHEN doc_id % 7 = 0 THEN chr(10) || '<!-- proselake disable tokens -->' ELSE '' END AS text FROM {cases} JOIN (SELECT doc_id, lang FROM documents) USING (doc_id))"
     blank = "(SELECT doc_id, regexp_replace(text, '<!-- proselake [^\n]*', '', 'g') AS text FROM li)"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from proselake.functions import lexicons as lex
 from proselake.functions.text import bare_tokens, paragraph_lines, sentences, split_sentences, syllables, tokens, words
+from proselake.functions.globs import parsed
 from proselake.operators import documents as D
 from proselake.operators import sentences as S
 from proselake.operators import words as W
@@ -170,7 +171,7 @@ def test_headings():
 
 def test_rules():
     assert [D.specificity(p) for p in ("**/*.txt", "notes/**/*.txt", "notes/old/*.txt", "TODO.txt")] == [0, 1, 2, 1]
-    assert D.glob_regex("[open") is None
+    assert parsed("[open") is None
 
 
 def longest_matches(text, vocabulary):
