@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from proselake.functions import lexicons as lex
+from proselake.functions.exact import fused
 from proselake.functions.text import bare_tokens, let, percent, round1, syllables, tokens, words
 from proselake.operators.words import counted, glue_index
 
@@ -17,14 +18,15 @@ def _words(s: Column) -> Column:
 
 
 def readability(text: Column, sents: Column, max_grade: float | None = None, dictionary: dict[str, int] | None = None) -> Column:
-    """School grade; null without words or sentences."""
+    """School grade, with a fused product as the published formula is computed; null without words or sentences."""
     syl = F.aggregate(F.transform(bare_tokens(text), lambda w: syllables(w, dictionary)), F.lit(0), lambda a, x: a + x).cast("long")
 
     def report(n: Column, m: Column, syl: Column) -> Column:
-        grade = 0.39 * (n / m) + (11.8 * (syl / n) - 15.59)
+        return F.when((n > 0) & (m > 0), let(fused(0.39, n / m, F.lit(11.8) * (syl / n)) - F.lit(15.59), lambda grade: graded(grade, n, m, syl)))
+
+    def graded(grade: Column, n: Column, m: Column, syl: Column) -> Column:
         over = F.lit(False) if max_grade is None else grade > max_grade
-        whole = F.struct(grade.alias("grade"), m.alias("sentences"), n.alias("words"), syl.alias("syllables"), F.lit(max_grade).cast("double").alias("max_grade"), over.alias("over_max"))
-        return F.when((n > 0) & (m > 0), whole)
+        return F.struct(grade.alias("grade"), m.alias("sentences"), n.alias("words"), syl.alias("syllables"), F.lit(max_grade).cast("double").alias("max_grade"), over.alias("over_max"))
 
     return let(F.struct(F.size(tokens(text)).cast("long").alias("n"), F.size(sents).cast("long").alias("m"), syl.alias("s")), lambda x: report(x["n"], x["m"], x["s"]))
 

@@ -350,11 +350,10 @@ FROM dw LEFT JOIN agg USING (doc_id)"""
     SQL["grammar"] = f"""{rec}{sents}, {X.passives('s')}, {X.issues('s')}, m AS (SELECT doc_id, count(*) AS m FROM s GROUP BY doc_id), i AS (SELECT doc_id, count(*) AS i FROM gi GROUP BY doc_id), v AS (SELECT doc_id, count(*) AS v FROM pv GROUP BY doc_id)
 SELECT d.doc_id, CASE WHEN m > 0 THEN coalesce(i, 0) END AS n_issues, CASE WHEN m > 0 THEN coalesce(v, 0) END AS passive_count, 100.0::DOUBLE * coalesce(v, 0) / m AS passive_percentage, m AS sentence_count, CASE WHEN m > 0 THEN 10.0::DOUBLE END AS passive_max, 100.0::DOUBLE * coalesce(v, 0) / m > 10 AS over_max
 FROM documents d LEFT JOIN m USING (doc_id) LEFT JOIN i USING (doc_id) LEFT JOIN v USING (doc_id)"""
-    grade = "0.39::DOUBLE * (n / m) + (11.8::DOUBLE * (y / n) - 15.59::DOUBLE)"
-    score = lambda docs, syl: f"""m AS (SELECT doc_id, count(*) AS m FROM s GROUP BY doc_id), r AS (SELECT doc_id, n, m, CAST(y AS BIGINT) AS y FROM (SELECT doc_id, len({X.tokens('text')}) AS n, coalesce(list_sum(list_transform({X.bare('text')}, lambda w: {syl})), 0) AS y FROM {docs}) JOIN m USING (doc_id) WHERE n > 0)"""
-    SQL["readability"] = f"{rec}{sents}, {score(cases, X.syllables('w'))} SELECT d.doc_id, {grade} AS grade, m AS sentences, n AS words, y AS syllables, CASE WHEN m > 0 THEN 12.0::DOUBLE END AS max_grade, {grade} > 12 AS over_max FROM documents d LEFT JOIN r USING (doc_id)"
+    score = lambda docs, syl: f"""m AS (SELECT doc_id, count(*) AS m FROM s GROUP BY doc_id), r AS (SELECT doc_id, n, m, CAST(y AS BIGINT) AS y FROM (SELECT doc_id, len({X.tokens('text')}) AS n, coalesce(list_sum(list_transform({X.bare('text')}, lambda w: {syl})), 0) AS y FROM {docs}) JOIN m USING (doc_id) WHERE n > 0), {X.graded('r')}"""
+    SQL["readability"] = f"{rec}{sents}, {score(cases, X.syllables('w'))} SELECT d.doc_id, grade, m AS sentences, n AS words, y AS syllables, CASE WHEN m > 0 THEN 12.0::DOUBLE END AS max_grade, grade > 12 AS over_max FROM documents d LEFT JOIN g USING (doc_id)"
     known = "CASE " + " ".join(f"WHEN w IN ({_q([x for x, k in _SYLLABLES.items() if k == n])}) THEN {n}" for n in sorted(set(_SYLLABLES.values())))
-    SQL["readability_with_dictionary"] = f"{rec}{X.sentences('documents')}, {score('documents', f'{known} ELSE ' + X.syllables('w') + ' END')} SELECT d.doc_id, {grade} AS grade, y AS syllables FROM documents d LEFT JOIN r USING (doc_id)"
+    SQL["readability_with_dictionary"] = f"{rec}{X.sentences('documents')}, {score('documents', f'{known} ELSE ' + X.syllables('w') + ' END')} SELECT d.doc_id, grade, y AS syllables FROM documents d LEFT JOIN g USING (doc_id)"
     SQL["complex_paragraphs"] = f"""{rec}{para(lined)}, pk AS (SELECT doc_id * 100000 + paragraph AS doc_id, text FROM par), {X.sentences('pk')}, m AS (SELECT doc_id, count(*) AS m FROM s GROUP BY doc_id),
 r AS (SELECT doc_id // 100000 AS doc, doc_id % 100000 AS paragraph, len(w) / m AS a, list_sum(list_transform(w, lambda w: {X.syllables('w')})) / len(w) AS b FROM (SELECT doc_id, {X.words('text')} AS w FROM pk) JOIN m USING (doc_id) WHERE len(w) > 0),
 h AS (SELECT *, count(*) OVER (PARTITION BY doc) AS c FROM r WHERE a > 20 AND b > 1.8::DOUBLE), k AS (SELECT doc_id, count(*) AS k FROM par GROUP BY doc_id)
@@ -398,7 +397,7 @@ SELECT path, "check", rule_idx, settings FROM p JOIN r ON regexp_matches(path, p
     blank = "(SELECT doc_id, regexp_replace(text, '<!-- proselake [^\n]*', '', 'g') AS text FROM li)"
     SQL["lint"] = f"""{rec}li AS {linted}, {X.sentences('li')}, {X.sentences(blank, 'b')}, {score('li', X.syllables('w'))}, sw AS (SELECT doc_id, num, len({X.words('text')}) AS n FROM s),
 a AS (SELECT sw.doc_id, {X.percent('count_if(n > 20)', 'count(*)')} AS slow, CAST(count_if(n > 30 AND coalesce(b.line, 0) <> 2) AS BIGINT) AS long FROM sw LEFT JOIN b ON b.doc_id = sw.doc_id AND b.num = sw.num GROUP BY sw.doc_id),
-t AS (SELECT li.doc_id, lang, CASE WHEN m > 0 THEN {grade} END AS grade, CASE WHEN doc_id % 7 > 0 THEN strlen(text) END AS count, CASE WHEN lang = 'en' THEN slow END AS slow, CASE WHEN lang = 'en' THEN long END AS long FROM li LEFT JOIN r USING (doc_id) LEFT JOIN a USING (doc_id))
+t AS (SELECT li.doc_id, lang, grade, CASE WHEN doc_id % 7 > 0 THEN strlen(text) END AS count, CASE WHEN lang = 'en' THEN slow END AS slow, CASE WHEN lang = 'en' THEN long END AS long FROM li LEFT JOIN g USING (doc_id) LEFT JOIN a USING (doc_id))
 SELECT 'docs/' || lang || '/' || doc_id || '.txt' AS path, grade, grade > 14 AS too_hard, count, count > CASE WHEN lang = 'en' THEN 900 ELSE 3000 END AS over_budget, slow AS slow_percentage, long AS n_very_long,
   NOT coalesce(grade > 14, false) AND NOT coalesce(count > CASE WHEN lang = 'en' THEN 900 ELSE 3000 END, false) AS pass FROM t"""
 

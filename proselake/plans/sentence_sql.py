@@ -67,6 +67,22 @@ def sentences(docs: str, name: str = "s") -> str:
 {name} AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY a) AS INT) AS num, text, CAST(1 + length(before) - length(replace(before, chr(10), '')) AS INT) AS line FROM {p}bare WHERE strlen(text) >= 3)"""
 
 
+def graded(counts: str, name: str = "g") -> str:
+    """Relations ending in `name` (all of `counts` with grade) over a relation with words n, sentences m and syllables y.
+
+    0.39 * (n / m) + 11.8 * (y / n) is taken with its product exact: as a whole number over a power of two, rounded once to 53
+    bits, halves to even.
+    """
+    return f"""
+{name}_1 AS (SELECT *, n / m AS a, 11.8::DOUBLE * (y / n) AS c FROM {counts}),
+{name}_2 AS (SELECT *, 53 - CAST(floor(log2(a)) AS INT) AS k FROM {name}_1),
+{name}_3 AS (SELECT *, CAST(0.39::DOUBLE * pow(2.0, 54) AS HUGEINT) * CAST(a * pow(2.0, k) AS HUGEINT) + CAST(c * pow(2.0, 54 + k) AS HUGEINT) AS v FROM {name}_2),
+{name}_4 AS (SELECT *, CAST(floor(log2(v::DOUBLE)) AS INT) - 52 AS t FROM {name}_3),
+{name}_5 AS (SELECT *, CASE WHEN (v >> (t + 52)) = 0 THEN t - 1 ELSE t END AS s FROM {name}_4),
+{name}_6 AS (SELECT *, v >> s AS q, v - ((v >> s) << s) AS rest, 1::HUGEINT << (s - 1) AS half FROM {name}_5),
+{name} AS (SELECT * EXCLUDE (a, c, k, v, t, s, q, rest, half), (q + CASE WHEN rest > half OR (rest = half AND q % 2 = 1) THEN 1 ELSE 0 END)::DOUBLE * pow(2.0, s - 54 - k) - 15.59::DOUBLE AS grade FROM {name}_6)"""
+
+
 def percent(part: str, whole: str) -> str:
     return f"CASE WHEN {whole} > 0 THEN round({part} / {whole} * 100 * 10) / 10 ELSE 0.0 END"
 
