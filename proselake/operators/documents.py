@@ -6,7 +6,7 @@ import hashlib
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from proselake.functions import lexicons as lex
@@ -153,6 +153,12 @@ def is_directive(line: Column, marker: str = "proselake") -> Column:
     return line.contains("<!--") & line.rlike(_directive(marker))
 
 
+def directives_blanked(text: Column, marker: str) -> Column:
+    """The text with each line that holds a directive emptied, so that lines keep their numbers."""
+    blanked = F.array_join(F.transform(F.split(text, "\n"), lambda x: F.when(is_directive(x, marker), F.lit("")).otherwise(x)), "\n")
+    return F.when(text.contains("<!--"), blanked).otherwise(text)
+
+
 def suppressed(text, marker: str = "proselake") -> Column:
     """[{check, start, end, file_level}]: line ranges switched off by directives in comments, by check and line.
 
@@ -193,11 +199,42 @@ def suppressions(docs: DataFrame, key: str = "doc_id", text: str = "text", marke
     return docs.select(key, F.explode(suppressed(text, marker)).alias("__r")).select(key, "__r.*")
 
 
+#: Lines of a document that meet in one group when findings are compared with ranges.
+LINE_BLOCK = 4096
+
+
 def unsuppressed(findings: DataFrame, rules: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Findings (key, check, line, ...) that no suppression covers: an anti join on key and check with a range."""
-    f, s = findings.alias("f"), rules.alias("s")
-    on = (F.col(f"f.{key}") == F.col(f"s.{key}")) & (F.col("f.check") == F.col("s.check")) & (F.col("s.file_level") | F.col("f.line").between(F.col("s.start"), F.col("s.end")))
-    return f.join(s, on, "left_anti")
+    """Findings (key, check, line, ...) that no suppression covers.
+
+    Ranges of a key and check are merged first, then cut at blocks of lines. In each block findings and ranges are swept together:
+    a finding is covered if the furthest end of the ranges that begin at or before it reaches it. So the work is that of
+    sorting both, however many ranges a document has, and a document of many lines is spread over tasks. A null key, check
+    or line is in no range, a null key or check in no file; repeated findings stay each.
+    """
+    names = [f"c_{i}" for i in range(len(findings.columns))]
+    place = {c: names[findings.columns.index(c)] for c in (key, "check", "line")}
+    f = findings.toDF(*names)
+    known = rules.select(F.col(key).alias(place[key]), F.col("check").alias(place["check"]), "start", "end", "file_level").where(F.col(place[key]).isNotNull() & F.col(place["check"]).isNotNull())
+    by = [place[key], place["check"]]
+    f = f.join(known.where("file_level").select(*by).distinct(), by, "left_anti")
+    spans = known.where(~F.coalesce("file_level", F.lit(False)) & (F.col("end") >= F.col("start"))).select(*by, F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    # a range begins a new run if no earlier one reaches it
+    earlier = Window.partitionBy(*by).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    runs = spans.withColumn("new", F.coalesce(F.max("end").over(earlier) < F.col("start") - 1, F.lit(True)).cast("long"))
+    runs = runs.withColumn("run", F.sum("new").over(Window.partitionBy(*by).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.groupBy(*by, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    block = lambda c: F.floor(c / LINE_BLOCK)
+    cut = runs.select(*by, "start", "end", F.explode(F.sequence(block(F.col("start")), block(F.col("end")))).alias("block"))
+    cut = cut.select(*by, "block", F.greatest("start", F.col("block") * LINE_BLOCK).alias("at"), F.col("end").alias("reach"))
+    line = F.col(place["line"]).cast("long")
+    placed = F.col(place[key]).isNotNull() & F.col(place["check"]).isNotNull() & line.isNotNull()
+    # what no range can cover stays where it is
+    free, f = f.where(~placed), f.where(placed)
+    both = f.withColumns({"block": block(line), "at": line, "reach": F.lit(None).cast("long"), "found": F.lit(True)}).unionByName(cut.withColumn("found", F.lit(False)), allowMissingColumns=True)
+    # at one line ranges come first
+    reached = F.max("reach").over(Window.partitionBy(*by, "block").orderBy("at", "found").rowsBetween(Window.unboundedPreceding, 0))
+    swept = both.withColumn("covered", F.coalesce(reached >= F.col("at"), F.lit(False)))
+    return swept.where(F.col("found") & ~F.col("covered")).select(*names).unionByName(free.select(*names)).toDF(*findings.columns)
 
 
 #: Bytes of patterns in one automaton; more rules are resolved in blocks, which meet within the row.

@@ -82,10 +82,15 @@ def _transition_report(sents: Column, each: Column, items: Column, n: Column) ->
     return F.struct(n.cast("long").alias("sentences_with_transitions"), percent(n, F.size(sents)).alias("transition_percentage"), F.size(F.flatten(each)).cast("long").alias("total_transitions"), F.size(items).cast("long").alias("unique_transitions"), items.alias("most_common"))
 
 
-def conjunction_starts(sents: Column) -> Column:
+def conjunction_sentences(sents: Column) -> Column:
+    """The sentences that begin with a conjunction."""
     # a token of marks alone is an empty one, and no conjunction
     first = lambda s: F.lower(F.regexp_extract(s["text"], r"(?U)^[^\p{IsAlphabetic}\s]*(\S*?)[^\p{IsAlphabetic}\s]*(?!\S)", 1))
-    n = F.size(F.filter(sents, lambda s: first(s).isin(*lex.CONJUNCTIONS)))
+    return F.filter(sents, lambda s: first(s).isin(*lex.CONJUNCTIONS))
+
+
+def conjunction_starts(sents: Column) -> Column:
+    n = F.size(conjunction_sentences(sents))
     return F.struct(n.cast("long").alias("count"), percent(n, F.size(sents)).alias("percentage"))
 
 

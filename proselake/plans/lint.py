@@ -11,11 +11,12 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proselake.functions.text import let, paragraph_lines, split_text, text_of
+from proselake.functions.text import let, text_of
 from proselake.operators import sentences as S
 from proselake.operators import words as W
-from proselake.operators.documents import chosen_rules, completeness_report, headings, is_directive, prose, suppressed, token_report
+from proselake.operators.documents import chosen_rules, completeness_report, headings, prose, suppressed, token_report
 from proselake.plans.analyze import CHECKS, check_names, prepared, reports
+from proselake.plans.findings import line_maps
 
 #: Checks of a rule, and the settings that each may have.
 SETTINGS = {"analyze": {"checks", "exclude", "style_min", "max_grade", "passive_max", "dialect"}, "readability": {"max_grade"}, "grammar": {"passive_max"}, "completeness": {"template"}, "tokens": {"budget"}}
@@ -41,12 +42,6 @@ def _encoded(rules: list[dict]) -> list[dict]:
     return out
 
 
-def directives_blanked(text: Column, marker: str) -> Column:
-    """The text with each line that holds a directive emptied, so that lines keep their numbers."""
-    blanked = F.array_join(F.transform(F.split(text, "\n"), lambda x: F.when(is_directive(x, marker), F.lit("")).otherwise(x)), "\n")
-    return F.when(text.contains("<!--"), blanked).otherwise(text)
-
-
 def _visible(findings: Column, check: str, lines: Column, ranges: Column, num: str = "sentence_num") -> Column:
     """Findings whose sentence's or paragraph's line is in no range of the check; one without a line is on line 0."""
     def hidden(x: Column) -> Column:
@@ -112,7 +107,7 @@ def lint(docs: DataFrame, rules: list[dict], path: str = "path", text: str = "te
     rules, config = _encoded(rules), config or {}
     d = docs.select(path, text_of(text).alias("__raw"), chosen_rules(F.col(path), rules).alias("__c")).where(F.size("__c") > 0)
     d = d.withColumn("__set", F.map_from_entries(F.transform("__c", lambda x: F.struct(x["check"], x["settings"]))))
-    d = d.withColumns({"__t": F.when(F.col(path).endswith(".md"), prose("__raw")).otherwise(F.col("__raw")), "__b": directives_blanked(F.col("__raw"), marker), "__r": suppressed("__raw", marker)})
+    d = d.withColumns({"__t": F.when(F.col(path).endswith(".md"), prose("__raw")).otherwise(F.col("__raw")), "__r": suppressed("__raw", marker)})
     settings = [json.loads(r["checks"]["analyze"]) for r in rules if "analyze" in r["checks"]]
     needed = {n for g in settings for n in g["names"]}
     used = sorted({t for r in rules if (c := r["checks"].get("completeness")) and (t := json.loads(c).get("template"))})
@@ -120,7 +115,7 @@ def lint(docs: DataFrame, rules: list[dict], path: str = "path", text: str = "te
     if "__p" not in d.columns:
         d = d.withColumn("__p", F.lit(None).cast("array<struct<num:int,text:string,sentences:int>>"))
     d = d.withColumn("__h", headings("__raw") if used else F.lit(None).cast("array<struct<level:int,text:string>>"))
-    d = d.withColumns({"__l": F.transform(split_text("__b"), lambda x: x["line"]), "__k": paragraph_lines("__b")})
+    d = line_maps(d, "__raw", "__t", marker, bool({"echoes", "complex_paragraphs"} & needed))
     s, lines, paras, hidden = F.col("__s"), F.col("__l"), F.col("__k"), F.col("__r")
     raw = lambda check, name: F.get_json_object(F.col("__set")[check], f"$.{name}")
     setting = lambda check, name, general: F.coalesce(raw(check, name).cast("double"), F.lit(config.get(general)).cast("double"))

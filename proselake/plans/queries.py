@@ -16,6 +16,8 @@ from proselake.operators import words as W
 from proselake.plans import sentence_sql as X
 from proselake.plans import woven
 from proselake.plans.analyze import analyze
+from proselake.plans.findings import findings as all_findings
+from proselake.plans.findings import visible_findings
 from proselake.plans.lint import lint as lint_plan
 from proselake.sources.files import as_json
 
@@ -248,6 +250,19 @@ def unsuppressed_lines(spark, sf_dir):
     return D.unsuppressed(found, D.suppressions(d)).groupBy("doc_id", "check").agg(F.count("*").alias("n"), F.sum("line").alias("lines"))
 
 
+#: Checks whose findings have lines.
+_PLACED = ("grammar", "sticky", "pacing", "sentence_length", "conjunction_starts")
+_HINTED = "concat('<!-- proselake disable-next-line pacing, sentence_length -->\n', text, CASE doc_id % 7 WHEN 0 THEN '\n<!-- proselake disable sticky -->' WHEN 1 THEN '\n<!-- proselake disable sticky_sentences -->' WHEN 2 THEN '\n<!-- proselake disable-next-line sticky -->' ELSE '' END)"
+
+
+def findings(spark, sf_dir):
+    return all_findings(_cases(spark, sf_dir).selectExpr("doc_id", f"{_HINTED} AS text"), _PLACED, limit=None)
+
+
+def findings_unsuppressed(spark, sf_dir):
+    return visible_findings(_cases(spark, sf_dir).selectExpr("doc_id", f"{_HINTED} AS text"), checks=_PLACED, limit=None)
+
+
 def path_rules(spark, sf_dir):
     paths = _docs(spark, sf_dir).selectExpr("concat('docs/', source, '/', lang, '/', doc_id, '.md') AS path")
     rules = [{"paths": ["docs/**/*.md"], "checks": {"readability": 8, "tokens": 100}}, {"paths": ["docs/src1/*.md"], "checks": {"readability": 12}}, {"paths": ["[invalid", "docs/src1/en/*.md"], "checks": {"tokens": 7}}, {"paths": ["**/??/[1-4]*{5,6}.md"], "checks": {"grammar": 1}}]
@@ -276,7 +291,7 @@ def lint(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     overused_words, repeated_phrases, echoes, word_totals, word_counts, diction, jargon, cliches, sensory, consistency, consistency_dialect, acronyms, sentence_list, sentence_reports, sticky_sentences, transition_counts,
     grammar, grammar_issues, passive_voice, readability, readability_with_dictionary, complex_paragraphs, style, input_sizes, json_reports, front_matter, markdown_headings, markdown_prose, markdown_tables, token_counts,
-    token_bytes, completeness, completeness_pass, suppressions, unsuppressed_lines, path_rules, path_rules_table, lint,
+    token_bytes, completeness, completeness_pass, suppressions, unsuppressed_lines, findings, findings_unsuppressed, path_rules, path_rules_table, lint,
 )}
 
 _COUNTED = f"w AS (SELECT doc_id, {_WORDS} AS w FROM documents)"
@@ -386,6 +401,19 @@ FROM k LEFT JOIN v USING (doc_id) LEFT JOIN hv USING (doc_id)"""
     SQL["suppressions"] = f'WITH {rules} SELECT * FROM sup'
     SQL["unsuppressed_lines"] = f"""WITH {rules}, l AS (SELECT doc_id, unnest(range(2, z + 1)) AS line, k FROM n), f AS (SELECT doc_id, line, c AS "check" FROM l, (VALUES ('grammar'), ('style'), ('echoes')) v(c) WHERE line <> k)
 SELECT doc_id, "check", count(*) AS n, CAST(sum(line) AS BIGINT) AS lines FROM f WHERE NOT EXISTS (SELECT 1 FROM sup WHERE sup.doc_id = f.doc_id AND sup."check" = f."check" AND (file_level OR line BETWEEN start AND "end")) GROUP BY ALL"""
+    hinted = f"(SELECT doc_id, {_HINTED} AS text FROM {cases})"
+    bare_lines = "(SELECT doc_id, regexp_replace(text, '<!-- proselake [^\n]*', '', 'g') AS text FROM hi)"
+    found = f"""{rec}hi AS {hinted}, {X.sentences('hi')}, {X.sentences(bare_lines, 'b')}, {stats}, {X.passives('s')}, {X.issues('s')},
+u AS (SELECT doc_id, 'grammar' AS "check", 0 AS part, sentence_num AS num, ord AS k, issue_type AS kind, severity, message FROM gi
+  UNION ALL SELECT doc_id, 'grammar', 1, sentence_num, i, 'PassiveVoice', NULL, text FROM pv
+  UNION ALL SELECT doc_id, 'sticky', 0, num, 0, NULL, NULL, {cut} FROM sw WHERE n > 0 AND glue / n * 100 > 45
+  UNION ALL SELECT doc_id, 'pacing', 0, num, 0, NULL, NULL, n || ' words' FROM sw WHERE n > 20
+  UNION ALL SELECT doc_id, 'sentence_length', 0, num, 0, NULL, NULL, n || ' words' FROM sw WHERE n > 30
+  UNION ALL SELECT doc_id, 'conjunction_starts', 0, num, 0, NULL, NULL, w[1] FROM sw WHERE first IN ({_q(lex.CONJUNCTIONS)})),
+f AS (SELECT u.doc_id, "check", CAST(row_number() OVER (PARTITION BY u.doc_id, "check" ORDER BY part, u.num, k) - 1 AS INT) AS ordinal, coalesce(b.line, 0) AS line, kind, severity, message, CAST(1 AS BIGINT) AS amount
+  FROM u LEFT JOIN b ON b.doc_id = u.doc_id AND b.num = u.num)"""
+    SQL["findings"] = f"{found} SELECT * FROM f"
+    SQL["findings_unsuppressed"] = f"""{found} SELECT * FROM f WHERE NOT ("check" IN ('pacing', 'sentence_length') AND line = 2) AND NOT ("check" = 'sticky' AND doc_id % 7 < 2)"""
     SQL["path_rules"] = r"""WITH p AS (SELECT DISTINCT 'docs/' || source || '/' || lang || '/' || doc_id || '.md' AS path FROM documents),
 r(rule_idx, pattern, specificity, "check", settings) AS (VALUES (0, '^docs/(.*/)?[^/]*\.md$', 1, 'readability', '8'), (0, '^docs/(.*/)?[^/]*\.md$', 1, 'tokens', '100'), (1, '^docs/src1/.*\.md$', 2, 'readability', '12'), (2, '^docs/src1/en/.*\.md$', 3, 'tokens', '7'), (3, '^(.*/)?../[1-4].*(5|6)\.md$', 0, 'grammar', '1'))
 SELECT path, "check", rule_idx, settings FROM p JOIN r ON regexp_matches(path, pattern) QUALIFY row_number() OVER (PARTITION BY path, "check" ORDER BY specificity DESC, rule_idx) = 1"""
