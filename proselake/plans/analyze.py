@@ -10,7 +10,34 @@ from proselake.operators import sentences as S
 from proselake.operators import words as W
 from proselake.operators.documents import prose, token_report
 
-CHECKS = ("readability", "grammar", "sticky", "pacing", "sentence_length", "transitions", "overused", "repeated", "echoes", "sensory", "diction", "cliches", "consistency", "acronyms", "jargon", "complex_paragraphs", "conjunction_starts", "style")
+#: The report of each check: the contract of all results, also where a check is not asked for.
+REPORTS = {
+    "readability": "struct<grade:double,sentences:bigint,words:bigint,syllables:bigint,max_grade:double,over_max:boolean>",
+    "grammar": (
+        "struct<issues:array<struct<issue_type:string,message:string,sentence_num:int,severity:string>>,"
+        "passive_voice:array<struct<text:string,confidence:double,sentence_num:int,auxiliary:string,participle:string,has_by_phrase:boolean>>,"
+        "passive_count:bigint,passive_percentage:double,sentence_count:bigint,passive_max:double,over_max:boolean>"
+    ),
+    "sticky": "struct<overall_glue_index:double,sticky_count:bigint,semi_sticky_count:bigint,sticky_sentences:array<struct<sentence_num:int,glue_percentage:double,text:string>>>",
+    "pacing": "struct<fast_percentage:double,medium_percentage:double,slow_percentage:double>",
+    "sentence_length": "struct<avg_length:double,std_deviation:double,variety_score:double,shortest:bigint,longest:bigint,very_long:array<struct<sentence_num:int,word_count:bigint>>>",
+    "transitions": "struct<sentences_with_transitions:bigint,transition_percentage:double,total_transitions:bigint,unique_transitions:bigint,most_common:array<struct<transition:string,count:bigint>>>",
+    "overused": "struct<overused_words:array<struct<word:string,count:bigint,frequency:double>>,total_unique_words:bigint>",
+    "repeated": "struct<total_repeated:bigint,phrases:array<struct<phrase:string,count:bigint>>>",
+    "echoes": "struct<total_echoes:bigint,echoes:array<struct<word:string,paragraph:int,distance:int,occurrences:bigint>>>",
+    "sensory": "struct<sensory_count:bigint,sensory_percentage:double,by_sense:map<string,struct<count:bigint,percentage:double>>>",
+    "diction": "struct<total_vague:bigint,unique_vague:bigint,most_common:array<struct<word:string,count:bigint>>>",
+    "cliches": "struct<total_cliches:bigint,cliches:array<struct<cliche:string,count:bigint>>>",
+    "consistency": "struct<dialect:string,total_issues:bigint,issues:array<string>>",
+    "acronyms": "struct<total_acronyms:bigint,unique_acronyms:bigint,acronym_list:array<struct<acronym:string,count:bigint>>>",
+    "jargon": "struct<total_jargon:bigint,unique_jargon:bigint,jargon_list:array<struct<jargon:string,count:bigint>>>",
+    "complex_paragraphs": "struct<complex_count:bigint,percentage:double,complex_paragraphs:array<struct<paragraph_num:int,avg_sentence_length:double,avg_syllables:double>>>",
+    "conjunction_starts": "struct<count:bigint,percentage:double>",
+    "style": "struct<adverb_count:bigint,hidden_verbs:array<struct<noun:string,verb:string,count:bigint>>,style_score:int>",
+}
+#: The names of the checks, in their order.
+CHECKS = tuple(REPORTS)
+
 
 def check_names(checks=None, exclude=None) -> tuple[str, ...]:
     """The checks to run; unknown names and both lists at once are errors of the caller."""

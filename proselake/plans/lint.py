@@ -15,7 +15,7 @@ from proselake.functions.text import let, text_of
 from proselake.operators import sentences as S
 from proselake.operators import words as W
 from proselake.operators.documents import chosen_rules, completeness_report, headings, prose, suppressed, token_report
-from proselake.plans.analyze import CHECKS, check_names, prepared, reports
+from proselake.plans.analyze import CHECKS, REPORTS, check_names, prepared, reports
 from proselake.plans.findings import line_maps
 
 #: Checks of a rule, and the settings that each may have.
@@ -77,24 +77,30 @@ def _seen(report: Column, field: str, count: str, visible) -> Column:
 
 
 def _analyses(lines: Column, paras: Column, ranges: Column, names: Column, listed: Column, setting, dialect: Column, dialects, needed) -> Column:
+    """The reports of all checks that a rule asks for; the others are null and no part of the plan."""
     off = lambda n: listed & F.exists(ranges, lambda r: (r["check"] == n) & r["file_level"])
     wanted = lambda n: F.coalesce(F.array_contains(names, n) & ~off(n), F.lit(False))
-    passives = F.when(wanted("grammar"), F.size(S.passives(F.col("__s")))).otherwise(0)
-    made = reports(CHECKS, passive=passives)
-    made["readability"] = _limited(made["readability"], setting("analyze", "max_grade", "max_grade"))
-    made["grammar"] = _regional_grammar(made["grammar"], setting("analyze", "passive_max", "passive_max_percent"), lines, ranges)
-    made["sticky"] = _seen(made["sticky"], "sticky_sentences", "sticky_count", lambda x: _visible(x, "sticky_sentences", lines, ranges))
+    passives = F.when(wanted("grammar"), F.size(S.passives(F.col("__s")))).otherwise(0) if {"grammar", "style"} <= needed else None
+    made = reports([n for n in CHECKS if n in needed], passive=passives)
     long = lambda r: r.withField("very_long", _visible(r["very_long"], "sentence_length", lines, ranges))
-    made["sentence_length"] = let(made["sentence_length"], lambda r: F.when(r.isNotNull(), long(r)))
-    made["echoes"] = _seen(made["echoes"], "echoes", "total_echoes", lambda x: _visible(x, "echoes", paras, ranges, "paragraph"))
-    cases = [F.when(dialect == d, W.consistency("__t", d)) for d in dialects]
-    made["consistency"] = F.coalesce(*cases, made["consistency"])
     # with directives the share is that of the paragraphs of the raw text, unrounded
     share = lambda r: r.withField("percentage", F.when(F.size(paras) > 0, r["complex_count"] / F.size(paras) * 100).otherwise(0.0))
-    own = _seen(made["complex_paragraphs"], "complex_paragraphs", "complex_count", lambda x: _visible(x, "complex_paragraphs", paras, ranges, "paragraph_num"))
-    made["complex_paragraphs"] = let(own, lambda r: F.when(F.size(ranges) == 0, r).otherwise(share(r)))
-    # what no rule asks for is null, and leaves the plan
-    return F.struct(*(F.when(wanted(n) if n in needed else F.lit(False), made[n]).alias(n) for n in CHECKS))
+
+    def paragraphs(made: Column) -> Column:
+        own = _seen(made, "complex_paragraphs", "complex_count", lambda x: _visible(x, "complex_paragraphs", paras, ranges, "paragraph_num"))
+        return let(own, lambda r: F.when(F.size(ranges) == 0, r).otherwise(share(r)))
+
+    regional = {
+        "readability": lambda r: _limited(r, setting("analyze", "max_grade", "max_grade")),
+        "grammar": lambda r: _regional_grammar(r, setting("analyze", "passive_max", "passive_max_percent"), lines, ranges),
+        "sticky": lambda r: _seen(r, "sticky_sentences", "sticky_count", lambda x: _visible(x, "sticky_sentences", lines, ranges)),
+        "sentence_length": lambda made: let(made, lambda r: F.when(r.isNotNull(), long(r))),
+        "echoes": lambda r: _seen(r, "echoes", "total_echoes", lambda x: _visible(x, "echoes", paras, ranges, "paragraph")),
+        "consistency": lambda r: F.coalesce(*(F.when(dialect == d, W.consistency("__t", d)) for d in dialects), r),
+        "complex_paragraphs": paragraphs,
+    }
+    whole = lambda n: regional[n](made[n]) if n in regional else made[n]
+    return F.struct(*((F.when(wanted(n), whole(n)) if n in needed else F.lit(None).cast(REPORTS[n])).alias(n) for n in CHECKS))
 
 
 def lint(docs: DataFrame, rules: list[dict], path: str = "path", text: str = "text", marker: str = "proselake", vocabulary: tuple[str, ...] = (), config: dict | None = None) -> DataFrame:
@@ -106,15 +112,17 @@ def lint(docs: DataFrame, rules: list[dict], path: str = "path", text: str = "te
     """
     rules, config = _encoded(rules), config or {}
     d = docs.select(path, text_of(text).alias("__raw"), chosen_rules(F.col(path), rules).alias("__c")).where(F.size("__c") > 0)
+    # functions outside of the JVM see a text only where its rule needs them; elsewhere they get a null
     d = d.withColumn("__set", F.map_from_entries(F.transform("__c", lambda x: F.struct(x["check"], x["settings"]))))
-    d = d.withColumns({"__t": F.when(F.col(path).endswith(".md"), prose("__raw")).otherwise(F.col("__raw")), "__r": suppressed("__raw", marker)})
+    d = d.withColumns({"__t": F.when(F.col(path).endswith(".md"), prose(F.when(F.col(path).endswith(".md"), F.col("__raw")))).otherwise(F.col("__raw")), "__r": suppressed("__raw", marker)})
     settings = [json.loads(r["checks"]["analyze"]) for r in rules if "analyze" in r["checks"]]
     needed = {n for g in settings for n in g["names"]}
     used = sorted({t for r in rules if (c := r["checks"].get("completeness")) and (t := json.loads(c).get("template"))})
-    d = prepared(d, needed)
+    scored = F.exists("__c", lambda x: x["check"].isin("analyze", "readability", "grammar"))
+    d = prepared(d.withColumn("__u", F.when(scored, F.col("__t"))), needed, "__u")
     if "__p" not in d.columns:
         d = d.withColumn("__p", F.lit(None).cast("array<struct<num:int,text:string,sentences:int>>"))
-    d = d.withColumn("__h", headings("__raw") if used else F.lit(None).cast("array<struct<level:int,text:string>>"))
+    d = d.withColumn("__h", headings(F.when(F.col("__set")["completeness"].isNotNull(), F.col("__raw"))) if used else F.lit(None).cast("array<struct<level:int,text:string>>"))
     d = line_maps(d, "__raw", "__t", marker, bool({"echoes", "complex_paragraphs"} & needed))
     s, lines, paras, hidden = F.col("__s"), F.col("__l"), F.col("__k"), F.col("__r")
     raw = lambda check, name: F.get_json_object(F.col("__set")[check], f"$.{name}")
@@ -129,13 +137,16 @@ def lint(docs: DataFrame, rules: list[dict], path: str = "path", text: str = "te
     custom = config.get("templates")
     complete = [F.when(on("completeness") & (raw("completeness", "template") == t), completeness_report("__raw", F.col("__h"), t, custom)) for t in used]
     missing = F.lit(None).cast("struct<template:string,sections:array<struct<name:string,status:string>>,pass:boolean>")
+    # a check that no rule names is null and no part of the plan
+    used_checks = {c for r in rules for c in r["checks"]}
+    made = lambda check, report, kind: (report() if check in used_checks else F.lit(None).cast(kind)).alias(check)
     out = d.select(
         path,
-        F.when(F.col("__set")["analyze"].isNotNull() & some, _analyses(lines, paras, hidden, names, raw("analyze", "listed") == "true", setting, dialect, dialects, needed)).alias("analyze"),
-        F.when(on("readability"), _limited(S.readability(F.col("__t"), s), setting("readability", "max_grade", "max_grade"))).alias("readability"),
-        F.when(on("grammar"), _regional_grammar(S.grammar(s), setting("grammar", "passive_max", "passive_max_percent"), lines, hidden)).alias("grammar"),
+        made("analyze", lambda: F.when(F.col("__set")["analyze"].isNotNull() & some, _analyses(lines, paras, hidden, names, raw("analyze", "listed") == "true", setting, dialect, dialects, needed)), f"struct<{','.join(f'{n}:{t}' for n, t in REPORTS.items())}>"),
+        made("readability", lambda: F.when(on("readability"), _limited(S.readability(F.col("__t"), s), setting("readability", "max_grade", "max_grade"))), REPORTS["readability"]),
+        made("grammar", lambda: F.when(on("grammar"), _regional_grammar(S.grammar(s), setting("grammar", "passive_max", "passive_max_percent"), lines, hidden)), REPORTS["grammar"]),
         F.coalesce(*complete, missing).alias("completeness"),
-        F.when(on("tokens"), let(tokens, lambda r: r.withField("budget", budget).withField("over_budget", F.coalesce(r["count"] > budget, F.lit(False))))).alias("tokens"),
+        made("tokens", lambda: F.when(on("tokens"), let(tokens, lambda r: r.withField("budget", budget).withField("over_budget", F.coalesce(r["count"] > budget, F.lit(False))))), "struct<count:bigint,budget:bigint,over_budget:boolean,tokenizer:string>"),
         setting("analyze", "style_min", "style_min_score").alias("__style_min"),
     )
     fails = [
