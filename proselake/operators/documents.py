@@ -30,13 +30,21 @@ def _each(f, kind: str, made: pa.DataType):
     return F.arrow_udf(run, kind)
 
 
-def prose(c) -> Column:
+def prose_function():
     """Markdown without its markup, as `functions.markdown` reads it; no expression parses it."""
-    return _each(prose_of, "string", pa.string())(c)
+    return _each(prose_of, "string", pa.string())
+
+
+def headings_function():
+    return _each(headings_of, "array<struct<level:int,text:string>>", pa.list_(pa.struct([("level", pa.int32()), ("text", pa.string())])))
+
+
+def prose(c) -> Column:
+    return prose_function()(c)
 
 
 def headings(c) -> Column:
-    return _each(headings_of, "array<struct<level:int,text:string>>", pa.list_(pa.struct([("level", pa.int32()), ("text", pa.string())])))(c)
+    return headings_function()(c)
 
 
 def template_names(custom: dict[str, tuple[str, ...]] | None = None) -> list[str]:

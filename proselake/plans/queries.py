@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proselake.functions import lexicons as lex
+from proselake.functions.sql import register
 from proselake.functions.text import paragraph_lines, sentences, split_text, tokens, too_large, words
 from proselake.operators import documents as D
 from proselake.operators import sentences as S
@@ -66,6 +67,19 @@ def word_counts(spark, sf_dir):
     return d.select("doc_id", F.size("w").cast("long").alias("n_words"), F.size(tokens("text")).cast("long").alias("n_tokens"), F.size(paragraph_lines("text")).cast("long").alias("n_paragraphs"), W.glue_index("text", F.col("w")).alias("glue_index"))
 
 
+def sql_kernels(spark, sf_dir):
+    """The kernels as SQL functions, called from SQL."""
+    register(spark)
+    return spark.sql("""SELECT doc_id, CAST(size(words(text)) AS BIGINT) AS n_words, CAST(size(paragraphs(replace(text, '\\n', '\\n\\n'))) AS BIGINT) AS n_paragraphs, CAST(size(sentences(text)) AS BIGINT) AS n_sentences,
+        token_count(text) AS n_tokens, md5(element_at(words(text), -1)) AS last_md5 FROM {docs}""", docs=_docs(spark, sf_dir))
+
+
+def sql_word_table(spark, sf_dir):
+    """A table function joined to each document."""
+    register(spark)
+    return spark.sql("SELECT doc_id, count(*) AS n, sum(syllables(word)) AS syllables, CAST(max(pos) AS BIGINT) AS last FROM {docs}, LATERAL each_word(text) GROUP BY doc_id", docs=_docs(spark, sf_dir))
+
+
 def _terms(name, terms, column, fields):
     def run(spark, sf_dir):
         d = _with_terms(_docs(spark, sf_dir), terms).select("doc_id", column("text").alias("r"))
@@ -289,7 +303,7 @@ def lint(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    overused_words, repeated_phrases, echoes, word_totals, word_counts, diction, jargon, cliches, sensory, consistency, consistency_dialect, acronyms, sentence_list, sentence_reports, sticky_sentences, transition_counts,
+    sql_kernels, sql_word_table, overused_words, repeated_phrases, echoes, word_totals, word_counts, diction, jargon, cliches, sensory, consistency, consistency_dialect, acronyms, sentence_list, sentence_reports, sticky_sentences, transition_counts,
     grammar, grammar_issues, passive_voice, readability, readability_with_dictionary, complex_paragraphs, style, input_sizes, json_reports, front_matter, markdown_headings, markdown_prose, markdown_tables, token_counts,
     token_bytes, completeness, completeness_pass, suppressions, unsuppressed_lines, findings, findings_unsuppressed, path_rules, path_rules_table, lint,
 )}
@@ -381,6 +395,10 @@ hn AS (SELECT doc_id, noun, count(*) AS c FROM (SELECT doc_id, unnest({X.words('
 k AS (SELECT doc_id, l, len(list_filter(regexp_extract_all(text, '[\p{{L}}\p{{M}}\p{{N}}_]+'), lambda x: regexp_matches(x, '[\p{{L}}\p{{M}}\p{{N}}_]ly$'))) AS a, {X.percent(f'len(list_filter(w, lambda x: x IN {glue}))', 'len(w)')} AS g, len(list_filter(w, lambda x: x IN ({_q(lex.VAGUE_WORDS)}))) + {phrases} AS u FROM (SELECT doc_id, text, lower(text) AS l, {X.words('text')} AS w FROM st))
 SELECT k.doc_id, CAST(a AS BIGINT) AS adverb_count, coalesce(hv.l, '') AS hidden_verbs, CAST(trunc(greatest(100.0::DOUBLE - least(coalesce(v, 0) * 2.0::DOUBLE, 20) - least(a * 0.5::DOUBLE, 15) - least(coalesce(h, 0) * 2.0::DOUBLE, 10) - CASE WHEN g > 25 THEN least(g - 25, 15) ELSE 0 END - least(u * 0.5::DOUBLE, 10), 0)) AS INT) AS style_score
 FROM k LEFT JOIN v USING (doc_id) LEFT JOIN hv USING (doc_id)"""
+    SQL["sql_kernels"] = f"""{rec}{X.sentences('documents')}, k AS (SELECT doc_id, count(*) AS k FROM s GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(list_filter(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)), lambda x: regexp_replace(x, '{_SPACE}', '', 'g') <> '')) AS BIGINT) AS n_paragraphs,
+  coalesce(k, 0) AS n_sentences, CAST(strlen(text) AS BIGINT) AS n_tokens, md5(w[-1]) AS last_md5 FROM (SELECT doc_id, text, {X.words('text')} AS w FROM documents) d LEFT JOIN k USING (doc_id)"""
+    SQL["sql_word_table"] = f"SELECT doc_id, count(*) AS n, CAST(sum({X.syllables('w')}) AS BIGINT) AS syllables, CAST(count(*) - 1 AS BIGINT) AS last FROM (SELECT doc_id, unnest({X.words('text')}) AS w FROM documents) GROUP BY doc_id"
     SQL["input_sizes"] = "SELECT doc_id, CASE WHEN strlen(text) > 4000 THEN 'input of ' || strlen(text) || ' bytes is over the limit of 4000' END AS error, CAST(NULL AS VARCHAR) AS unlimited FROM documents"
     SQL["json_reports"] = f"""SELECT doc_id, '{{"n_words":' || len({X.words('text')}) || CASE WHEN doc_id % 2 = 0 THEN ',"n_tokens":' || len({X.tokens('text')}) ELSE '' END || '}}' AS report FROM documents"""
     body = "replace(text, '---', '==')"
