@@ -2,10 +2,10 @@
 
 DataFrame functions only. Each trigger word of a file is laid on the first one of each template, and the words in the
 template's length around it, with or without trigger words and across line ends, form a block; so what stands beside a
-notice does not dilute it. The lines with a trigger word, taken together, are one more block. Term vectors are compared
-by array functions, with the weights of the (fixed, small) templates as literals; a term that no template has gets the
-largest weight. The best block counts. Licence files give their licence to their directory; a file without a licence of
-its own takes that of the nearest directory above it.
+notice does not dilute it. Term vectors are compared by array functions, with the weights of the (fixed, small) templates as
+literals; a term that no template has gets the largest weight. The best block counts, if it names its licence or is close to a
+long text of it: what several licences say alike names none of them. Licence files give their licence to their directory;
+a file without a licence of its own takes that of the nearest directory above it.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proselake.llm.shared import hot_join, settle, table
+from proselake.llm.shared import hot_join, settle, table, temporary
 
 #: Notices by SPDX id.
 TEMPLATES = {
@@ -43,6 +43,7 @@ TEXTS = {
     ],
     "GPL-3.0": [
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc.",
         "SPDX-License-Identifier: GPL-3.0-only",
         "SPDX-License-Identifier: GPL-3.0-or-later",
@@ -61,11 +62,50 @@ TEXTS = {
     # neighbours, so that a block of theirs is not taken for one of the above
     "GPL-2.0": [
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
         "This work is licensed under the GNU General Public License, version 2.",
         "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc.",
         "SPDX-License-Identifier: GPL-2.0-only",
         "SPDX-License-Identifier: GPL-2.0-or-later",
     ],
+    "MPL-1.1": [
+        'The contents of this file are subject to the Mozilla Public License Version 1.1 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.mozilla.org/MPL/ Software distributed under the License is distributed on an "AS IS" basis, WITHOUT WARRANTY OF ANY KIND, either express or implied. See the License for the specific language governing rights and limitations under the License.',
+        'The contents of this file are subject to the Mozilla Public License Version 1.1 (the "License"); you may not use this file except in compliance with the License.',
+        "Mozilla Public License Version 1.1",
+        "SPDX-License-Identifier: MPL-1.1",
+    ],
+    "ISC": [
+        'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Released under the ISC License.",
+        "SPDX-License-Identifier: ISC",
+    ],
+    "BSD-2-Clause": [
+        'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES',
+        "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD 2-Clause License.",
+        "SPDX-License-Identifier: BSD-2-Clause",
+    ],
+    "CC0-1.0": ["Licensed under CC0 1.0 Universal.", "This work is licensed under a Creative Commons CC0 1.0 Universal License.", "SPDX-License-Identifier: CC0-1.0"],
+    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0. This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Licensed under CC BY-SA 4.0.", "Creative Commons Attribution-ShareAlike 4.0 International Public License", "SPDX-License-Identifier: CC-BY-SA-4.0"],
+    "GPL-1.0": [
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 1, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "GNU GENERAL PUBLIC LICENSE Version 1, February 1989 Copyright (C) 1989 Free Software Foundation, Inc.",
+        "SPDX-License-Identifier: GPL-1.0-only",
+        "SPDX-License-Identifier: GPL-1.0-or-later",
+    ],
+    "AGPL-3.0": ["GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "SPDX-License-Identifier: AGPL-3.0-only", "SPDX-License-Identifier: AGPL-3.0-or-later"],
+    "GFDL-1.3": [
+        "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3 or any later version published by the Free Software Foundation; with no Invariant Sections, no Front-Cover Texts, and no Back-Cover Texts.",
+        "GNU Free Documentation License Version 1.3, 3 November 2008 Copyright (C) 2000, 2001, 2002, 2007, 2008 Free Software Foundation, Inc.",
+        "SPDX-License-Identifier: GFDL-1.3-only",
+        "SPDX-License-Identifier: GFDL-1.3-or-later",
+    ],
+    "LGPL-2.0": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1991 Free Software Foundation, Inc.",
+        "SPDX-License-Identifier: LGPL-2.0-only",
+        "SPDX-License-Identifier: LGPL-2.0-or-later",
+    ],
     "LGPL-2.1": ["GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 Free Software Foundation, Inc.", "SPDX-License-Identifier: LGPL-2.1-only", "SPDX-License-Identifier: LGPL-2.1-or-later"],
     "LGPL-3.0": ["GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc.", "SPDX-License-Identifier: LGPL-3.0-only", "SPDX-License-Identifier: LGPL-3.0-or-later"],
 }
@@ -73,8 +113,9 @@ TRIGGER = "licen[sc]e|copyright|spdx|redistribution"
 LICENSE_FILE = r"(?i)^(licen[sc]e|copying|notice)(\.[a-z]+)?$"
 #: Least cosine, in thousandths, for a match.
 THRESHOLD = 300
-#: A block near a template of at most SHORT words must also hold a name that the template has; a longer one must reach CLOSE.
-NAMES, SHORT, CLOSE = "apache|^mit$|gnu|gpl|bsd|^cc|commons|mozilla|mpl", 30, 600
+#: A block near a template of at most SHORT words must also hold a name that the template has; a longer one must reach CLOSE
+#: and have at least half as many words as the template.
+NAMES, SHORT, CLOSE = "apache|^mit$|^isc$|gnu|gpl|bsd|^cc|commons|mozilla|^mpl|gfdl", 30, 600
 _TERM = "[^a-z0-9.-]+"
 
 
@@ -93,17 +134,22 @@ def block_templates() -> dict[str, list[str]]:
     return {k: list(dict.fromkeys((*old.get(k, ()), *v))) for k, v in TEXTS.items()}
 
 
-def weights(templates: dict[str, list[str]] | None = None) -> tuple[dict[str, float], float, list[tuple[str, dict[str, float]]]]:
-    """Inverse document frequency of the terms, the weight of any other term, and the unit vectors."""
-    rows = [(k, _terms(s)) for k, all_ in (templates or template_sentences()).items() for s in all_]
+def laid() -> list[tuple[str, list[str], int]]:
+    """Of each template its licence, its terms and the place of its first trigger word."""
+    rows = [(k, _terms(s)) for k, all_ in block_templates().items() for s in all_]
+    return [(k, terms, next(i for i, t in enumerate(terms) if re.search(TRIGGER, t))) for k, terms in rows]
+
+
+def weights() -> tuple[dict[str, float], float, list[dict[str, float]]]:
+    """Inverse document frequency of the terms, the weight of any other term, and the unit vector of each template."""
+    rows = [terms for _, terms, _ in laid()]
     n = len(rows)
-    seen = {t for _, terms in rows for t in terms}
-    idf = {t: math.log((1 + n) / (1 + sum(t in terms for _, terms in rows))) + 1 for t in sorted(seen)}
+    idf = {t: math.log((1 + n) / (1 + sum(t in terms for terms in rows))) + 1 for t in sorted({t for terms in rows for t in terms})}
     out = []
-    for k, terms in rows:
+    for terms in rows:
         v = {t: terms.count(t) * idf[t] for t in sorted(set(terms))}
         norm = math.sqrt(sum(x * x for x in v.values()))
-        out.append((k, {t: x / norm for t, x in v.items()}))
+        out.append({t: x / norm for t, x in v.items()})
     return idf, math.log(1 + n) + 1, out
 
 
@@ -114,24 +160,14 @@ def _lower(text: Column) -> tuple[Column, Column]:
     return lower, lower.contains("licen") | lower.contains("copyright") | lower.contains("spdx") | lower.contains("redistribution")
 
 
-def notice(text: Column) -> Column:
-    """All lines with a trigger word, in lower case, one blank between them."""
-    lower, any_ = _lower(text)
-    return F.when(any_, F.array_join(F.filter(F.split(lower, "\n"), lambda x: x.rlike(TRIGGER)), " ")).otherwise("")
-
-
 def _split(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, _TERM), lambda x: F.regexp_replace(x, r"^[.-]+|[.-]+$", "")), lambda x: x != "")
 
 
 def blocks(files: DataFrame, text: str = "text") -> DataFrame:
     """`files` with ``__l_block``: (c: less the best cosine in thousandths, k: its licence) over all blocks, or null."""
-    templates = block_templates()
-    idf, other, vectors = weights(templates)
-    rows = []
-    for (k, v), terms in zip(vectors, (_terms(s) for all_ in templates.values() for s in all_), strict=True):
-        hit = next(i for i, t in enumerate(terms) if re.search(TRIGGER, t))
-        rows.append({"k": k, "q": hit, "n": len(terms), "v": v, "names": [t for t in v if re.search(NAMES, t)]})
+    idf, other, vectors = weights()
+    rows = [{"k": k, "q": hit, "n": len(terms), "v": v, "names": [t for t in v if re.search(NAMES, t)]} for (k, terms, hit), v in zip(laid(), vectors, strict=True)]
     # one literal each, so that plans stay small
     known, table_ = (F.from_json(F.lit(json.dumps(x)), kind) for x, kind in ((rows, "array<struct<k: string, q: int, n: int, v: map<string, double>, names: array<string>>>"), (idf, "map<string, double>")))
     lower, any_ = _lower(F.col(text))
@@ -150,7 +186,7 @@ def blocks(files: DataFrame, text: str = "text") -> DataFrame:
         norm = F.aggregate(F.array_sort(block), F.struct(F.lit("").alias("t"), F.lit(0.0).alias("s"), F.lit(0.0).alias("n")), add, lambda a: F.sqrt(a["n"]))
         c = F.floor(dot / norm * 1000 + 0.5).cast("int")
         named = F.exists(block, lambda x: F.array_contains(t["names"], x["t"]))
-        ok = F.when(t["n"] <= SHORT, named).otherwise(c >= CLOSE)
+        ok = F.when(t["n"] <= SHORT, named).otherwise((c >= CLOSE) & (2 * F.size(block) >= t["n"]))
         return F.when(ok, F.struct((-c).alias("c"), t["k"].alias("k")))
 
     each = F.transform("__l_hits", lambda p: F.array_min(F.transform(known, lambda t: scored(p, t))))
@@ -164,30 +200,9 @@ def scanned(files: DataFrame, text: str = "text") -> DataFrame:
     Null and empty texts match nothing; texts are read whole. Of licences with equal cosines the first by name counts.
     Repeated rows give a row each, an empty table none. Columns of the input that bear a result's name give way.
     """
-    idf, other, vectors = weights()
-    table_ = F.create_map(*(x for t, w in idf.items() for x in (F.lit(t), F.lit(w))))
-    has = blocks(files, text).withColumn("__l_terms", _split(notice(F.col(text))))
-    sorted_ = F.array_sort("__l_terms")
-    # counts of each distinct term, from its place in sorted order
-    counts = F.transform(
-        F.array_distinct(sorted_),
-        lambda t: F.struct(t.alias("t"), (F.size(F.filter("__l_terms", lambda x: x == t)) * F.coalesce(F.element_at(table_, t), F.lit(other))).alias("w")),
-    )
-    has = has.withColumn("__l_v", F.when(F.size("__l_terms") > 0, counts))
-    norm = F.sqrt(F.aggregate("__l_v", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
-    has = has.withColumn("__l_n", norm)
-
-    def cosine(vector: dict[str, float]) -> Column:
-        m = F.create_map(*(x for t, w in vector.items() for x in (F.lit(t), F.lit(w))))
-        return F.aggregate("__l_v", F.lit(0.0), lambda a, x: a + x["w"] * F.coalesce(F.element_at(m, x["t"]), F.lit(0.0))) / F.col("__l_n")
-
-    each = F.array(*(F.struct(F.floor(cosine(v) * 1000 + 0.5).cast("int").alias("c"), F.lit(k).alias("k")) for k, v in vectors))
-    # the largest cosine; of equals the first licence by name
-    best = F.array_sort(each, lambda a, b: F.when(a["c"] > b["c"], -1).when(a["c"] < b["c"], 1).when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0))[0]
-    lines = F.when(F.size("__l_terms") > 0, F.struct((-best["c"]).alias("c"), best["k"].alias("k")))
-    has = has.withColumn("__l_best", F.array_min(F.array(lines, "__l_block")))
-    ok = F.col("__l_best")["c"] <= -THRESHOLD
-    return has.withColumns({"own_license": F.when(ok, F.col("__l_best")["k"]), "cosine_milli": F.when(ok, -F.col("__l_best")["c"])}).drop("__l_terms", "__l_v", "__l_n", "__l_block", "__l_best")
+    has = blocks(files, text)
+    ok = F.col("__l_block")["c"] <= -THRESHOLD
+    return has.withColumns({"own_license": F.when(ok, F.col("__l_block")["k"]), "cosine_milli": F.when(ok, -F.col("__l_block")["c"])}).drop("__l_block")
 
 
 def inherit(files: DataFrame, path: str = "path") -> DataFrame:
@@ -227,24 +242,28 @@ _PATH = "concat(source, '/', CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 7 <
 def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The licence of every document in a file tree derived from source, language and id."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.expr(_PATH.format(string="string")).alias("path"))
-    # small rows, written once: the inheritance reads them three times
-    found = settle(scanned(docs).select("doc_id", "path", "own_license", "cosine_milli"), "scanned")
-    return inherit(found).select("doc_id", "path", "own_license", "cosine_milli", "license", "license_from", "depth")
+    with temporary(spark) as done:
+        # small rows, written once: the inheritance reads them three times
+        found = settle(scanned(docs).select("doc_id", "path", "own_license", "cosine_milli"), "scanned")
+        return done(settle(inherit(found).select("doc_id", "path", "own_license", "cosine_milli", "license", "license_from", "depth"), "licenses"))
 
 
 def _sql() -> str:
     idf, other, vectors = weights()
     q = lambda s: "'" + s + "'"
     idf_rows = ", ".join(f"({q(t)}, {w!r}::DOUBLE)" for t, w in idf.items())
-    vec_rows = ", ".join(f"({i}, {q(k)}, {q(t)}, {w!r}::DOUBLE)" for i, (k, v) in enumerate(vectors) for t, w in v.items())
-    return f"""WITH idf(t, w) AS (VALUES {idf_rows}), vec(i, k, t, w) AS (VALUES {vec_rows}),
+    vec_rows = ", ".join(f"({i}, {q(t)}, {w!r}::DOUBLE, {bool(re.search(NAMES, t))})" for i, v in enumerate(vectors) for t, w in v.items())
+    tpl_rows = ", ".join(f"({i}, {q(k)}, {hit}, {len(terms)})" for i, (k, terms, hit) in enumerate(laid()))
+    return f"""WITH idf(t, w) AS (VALUES {idf_rows}), vec(i, t, w, name) AS (VALUES {vec_rows}), tpl(i, k, q, n) AS (VALUES {tpl_rows}),
 d AS (SELECT doc_id, text, {_PATH.format(string="varchar")} AS path FROM documents),
-n AS (SELECT doc_id, array_to_string(list_filter(string_split(lower(text), chr(10)), lambda x: regexp_matches(x, '{TRIGGER}')), ' ') AS s FROM d WHERE regexp_matches(lower(text), '{TRIGGER}')),
-term AS (SELECT doc_id, regexp_replace(t, '^[.-]+|[.-]+$', '', 'g') AS t FROM (SELECT doc_id, unnest(string_split_regex(s, '{_TERM}')) AS t FROM n)),
-v AS (SELECT doc_id, term.t, count(*) * coalesce(max(idf.w), {other!r}::DOUBLE) AS w FROM term LEFT JOIN idf ON idf.t = term.t WHERE term.t <> '' GROUP BY doc_id, term.t),
-norm AS (SELECT doc_id, sqrt(sum(w * w)) AS n FROM v GROUP BY doc_id),
-cos AS (SELECT v.doc_id, i, k, CAST(floor(sum(v.w * vec.w) / max(norm.n) * 1000 + 0.5) AS INTEGER) AS c FROM v JOIN vec ON v.t = vec.t JOIN norm ON norm.doc_id = v.doc_id GROUP BY v.doc_id, i, k),
-best AS (SELECT doc_id, k, c FROM cos WHERE c >= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, k) = 1),
+w AS (SELECT doc_id, list_filter(list_transform(string_split_regex(lower(text), '{_TERM}'), lambda t: regexp_replace(t, '^[.-]+|[.-]+$', '', 'g')), lambda t: t <> '') AS w FROM d WHERE regexp_matches(lower(text), 'licen|copyright|spdx|redistribution')),
+h AS (SELECT doc_id, w, unnest(list_filter(range(1, len(w) + 1), lambda p: regexp_matches(w[p], '{TRIGGER}'))) AS p FROM w),
+b AS (SELECT doc_id, p, i, k, n, w[greatest(p - q, 1) : p - q + n - 1] AS block FROM h, tpl),
+v AS (SELECT doc_id, p, i, any_value(k) AS k, any_value(n) AS n, t, count(*) AS c FROM (SELECT doc_id, p, i, k, n, unnest(block) AS t FROM b) GROUP BY doc_id, p, i, t),
+cos AS (SELECT doc_id, p, v.i, any_value(k) AS k, any_value(n) AS n, bool_or(coalesce(name, false)) AS named, sum(v.c) AS words,
+  CAST(floor(sum(v.c * coalesce(idf.w, {other!r}::DOUBLE) * coalesce(vec.w, 0)) / sqrt(sum((v.c * coalesce(idf.w, {other!r}::DOUBLE)) ** 2)) * 1000 + 0.5) AS INTEGER) AS c
+  FROM v LEFT JOIN idf ON idf.t = v.t LEFT JOIN vec ON vec.t = v.t AND vec.i = v.i GROUP BY doc_id, p, v.i),
+best AS (SELECT doc_id, k, c FROM cos WHERE c >= {THRESHOLD} AND CASE WHEN n <= {SHORT} THEN named ELSE c >= {CLOSE} AND 2 * words >= n END QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, k) = 1),
 f AS (SELECT doc_id, path, k AS own_license, c AS cosine_milli, regexp_replace(path, '/[^/]*$', '') AS dir FROM d LEFT JOIN best USING (doc_id)),
 given AS (SELECT dir AS up, own_license AS k FROM f WHERE own_license IS NOT NULL AND path LIKE '%/LICENSE' QUALIFY row_number() OVER (PARTITION BY dir ORDER BY cosine_milli DESC, own_license) = 1),
 near AS (SELECT x.dir, given.up, given.k, len(string_split(given.up, '/')) AS depth FROM (SELECT DISTINCT dir FROM f) x JOIN given ON x.dir = given.up OR starts_with(x.dir, given.up || '/')
