@@ -216,9 +216,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE,
         count = ceil(n / max(1, min(BLOCK_ROWS, BLOCK_CELLS // max(1, int(cells)))))
         made = rows.where(F.col("wide").isNotNull() == wide).repartition(count).mapInArrow(
             _query_blocks(n_query_blocks), f"qb long, q_block array<long>, q_place array<int>, q_ids array<{id_type}>, q_dim int, q_x binary, q_wide array<string>")
+        # written by itself: within a union the numbers of partitions would be others
+        made = settle(made, "query_blocks")
         queries = made if queries is None else queries.unionByName(made)
         n_query_blocks += count
-    queries = settle(queries, "query_blocks")
     # cells enough for all tasks, none of them with more blocks than one task should walk through
     parts = min(n_blocks, max(ceil(n_blocks / CELL_BLOCKS), ceil(3 * int(spark.conf.get("spark.sql.shuffle.partitions")) / n_query_blocks)))
     upto = lambda n: F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
