@@ -302,10 +302,30 @@ def lint(spark, sf_dir):
                       F.col("analyze.pacing.slow_percentage").alias("slow_percentage"), F.size("analyze.sentence_length.very_long").cast("long").alias("n_very_long"), "pass")
 
 
+def passive_voice_strict(spark, sf_dir):
+    """Passives with a least confidence of the caller's."""
+    return _long(_cases(spark, sf_dir).withColumn("s", sentences("text")), S.passives(F.col("s"), 0.8))
+
+
+#: A quarter each: Markdown, sections, text with regions switched off, and documents that no rule names.
+_LINTED = f"CASE doc_id % 4 WHEN 0 THEN {woven.MARKDOWN} WHEN 1 THEN {_SECTIONS} ELSE concat('<!-- proselake disable-next-line grammar, sticky_sentences -->\n', text, CASE doc_id % 5 WHEN 0 THEN '\n<!-- proselake disable style -->' WHEN 1 THEN '\n<!-- proselake disable grammar -->' ELSE '' END) END"
+_FOLDERS = "concat(CASE doc_id % 4 WHEN 0 THEN 'notes/' WHEN 1 THEN 'handoff/' WHEN 2 THEN 'docs/' ELSE 'other/' END, doc_id, CASE doc_id % 4 WHEN 0 THEN '.md' ELSE '.txt' END)"
+
+
+def lint_composite(spark, sf_dir):
+    """Prose of Markdown, sections, regions of grammar and glue words, whole checks off, the style score, skipped documents."""
+    d = _cases(spark, sf_dir).selectExpr(f"{_FOLDERS} AS path", f"{_LINTED} AS text")
+    rules = [{"paths": ["notes/*.{md,markdown}"], "checks": {"readability": {"max_grade": 14}, "grammar": {"passive_max": 5}}}, {"paths": ["handoff/*", "[open"], "checks": {"completeness": {"template": "handoff"}}},
+             {"paths": ["docs/*"], "checks": {"grammar": {"passive_max": 5}, "analyze": {"checks": ["grammar", "sticky", "style"], "style_min": 60}}}]
+    out = lint_plan(d, rules)
+    return out.select("path", F.col("readability.grade").alias("grade"), F.col("grammar.sentence_count").alias("n_sentences"), F.size("grammar.issues").cast("long").alias("n_issues"), F.col("grammar.passive_count").alias("n_passives"), F.col("grammar.over_max").alias("too_passive"),
+                      F.col("completeness.pass").alias("complete"), F.col("analyze.sticky.sticky_count").alias("n_sticky"), F.col("analyze.style.style_score").alias("style_score"), "pass")
+
+
 QUERIES = {f.__name__: f for f in (
     sql_kernels, sql_word_table, overused_words, repeated_phrases, echoes, word_totals, word_counts, diction, jargon, cliches, sensory, consistency, consistency_dialect, acronyms, sentence_list, sentence_reports, sticky_sentences, transition_counts,
     grammar, grammar_issues, passive_voice, readability, readability_with_dictionary, complex_paragraphs, style, input_sizes, json_reports, front_matter, markdown_headings, markdown_prose, markdown_tables, token_counts,
-    token_bytes, completeness, completeness_pass, suppressions, unsuppressed_lines, findings, findings_unsuppressed, path_rules, path_rules_table, lint,
+    token_bytes, completeness, completeness_pass, suppressions, unsuppressed_lines, findings, findings_unsuppressed, path_rules, path_rules_table, lint, lint_composite, passive_voice_strict,
 )}
 
 _COUNTED = f"w AS (SELECT doc_id, {_WORDS} AS w FROM documents)"
@@ -390,11 +410,16 @@ SELECT doc_id, c AS complex_count, round(c / k * 100 * 10) / 10 AS percentage, C
     styled = f"(SELECT doc_id, text || ' ' || t || ' ' || t AS text FROM (SELECT doc_id, text, ([{_q(lex.HIDDEN_VERBS)}])[CAST(doc_id % {len(lex.HIDDEN_VERBS)} + 1 AS INT)] AS t FROM {cases}))"
     verb = "CASE noun " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in lex.HIDDEN_VERBS.items()) + " END"
     phrases = " + ".join(f"(length(l) - length(replace(l, '{p}', ''))) // {len(p)}" for p in lex.VAGUE_PHRASES)
-    SQL["style"] = rf"""{rec}st AS {styled}, {X.sentences('st')}, {X.passives('s')}, v AS (SELECT doc_id, count(*) AS v FROM pv GROUP BY doc_id),
-hn AS (SELECT doc_id, noun, count(*) AS c FROM (SELECT doc_id, unnest({X.words('text')}) AS noun FROM st) WHERE noun IN ({_q(lex.HIDDEN_VERBS)}) GROUP BY ALL), hv AS (SELECT doc_id, count(*) AS h, string_agg(noun || ':' || {verb} || ':' || c, ',' ORDER BY noun) AS l FROM hn GROUP BY doc_id),
-k AS (SELECT doc_id, l, len(list_filter(regexp_extract_all(text, '[\p{{L}}\p{{M}}\p{{N}}_]+'), lambda x: regexp_matches(x, '[\p{{L}}\p{{M}}\p{{N}}_]ly$'))) AS a, {X.percent(f'len(list_filter(w, lambda x: x IN {glue}))', 'len(w)')} AS g, len(list_filter(w, lambda x: x IN ({_q(lex.VAGUE_WORDS)}))) + {phrases} AS u FROM (SELECT doc_id, text, lower(text) AS l, {X.words('text')} AS w FROM st))
-SELECT k.doc_id, CAST(a AS BIGINT) AS adverb_count, coalesce(hv.l, '') AS hidden_verbs, CAST(trunc(greatest(100.0::DOUBLE - least(coalesce(v, 0) * 2.0::DOUBLE, 20) - least(a * 0.5::DOUBLE, 15) - least(coalesce(h, 0) * 2.0::DOUBLE, 10) - CASE WHEN g > 25 THEN least(g - 25, 15) ELSE 0 END - least(u * 0.5::DOUBLE, 10), 0)) AS INT) AS style_score
-FROM k LEFT JOIN v USING (doc_id) LEFT JOIN hv USING (doc_id)"""
+    def scored(docs: str, off: str = "false") -> str:
+        """Relations ending in sc(doc_id, adverb_count, hidden_verbs, style_score) over a relation of documents and its sentences `s`;
+        where `off` holds, passives do not count."""
+        return rf"""{X.passives('s')}, v AS (SELECT doc_id, count(*) AS v FROM pv GROUP BY doc_id),
+hn AS (SELECT doc_id, noun, count(*) AS c FROM (SELECT doc_id, unnest({X.words('text')}) AS noun FROM {docs}) WHERE noun IN ({_q(lex.HIDDEN_VERBS)}) GROUP BY ALL), hv AS (SELECT doc_id, count(*) AS h, string_agg(noun || ':' || {verb} || ':' || c, ',' ORDER BY noun) AS l FROM hn GROUP BY doc_id),
+k AS (SELECT doc_id, l, len(list_filter(regexp_extract_all(text, '[\p{{L}}\p{{M}}\p{{N}}_]+'), lambda x: regexp_matches(x, '[\p{{L}}\p{{M}}\p{{N}}_]ly$'))) AS a, {X.percent(f'len(list_filter(w, lambda x: x IN {glue}))', 'len(w)')} AS g, len(list_filter(w, lambda x: x IN ({_q(lex.VAGUE_WORDS)}))) + {phrases} AS u FROM (SELECT doc_id, text, lower(text) AS l, {X.words('text')} AS w FROM {docs})),
+sc AS (SELECT k.doc_id, CAST(a AS BIGINT) AS adverb_count, coalesce(hv.l, '') AS hidden_verbs, CAST(trunc(greatest(100.0::DOUBLE - least(CASE WHEN {off} THEN 0 ELSE coalesce(v, 0) END * 2.0::DOUBLE, 20) - least(a * 0.5::DOUBLE, 15) - least(coalesce(h, 0) * 2.0::DOUBLE, 10) - CASE WHEN g > 25 THEN least(g - 25, 15) ELSE 0 END - least(u * 0.5::DOUBLE, 10), 0)) AS INT) AS style_score
+FROM k LEFT JOIN v USING (doc_id) LEFT JOIN hv USING (doc_id))"""
+
+    SQL["style"] = f"{rec}st AS {styled}, {X.sentences('st')}, {scored('st')} SELECT * FROM sc"
     SQL["sql_kernels"] = f"""{rec}{X.sentences('documents')}, k AS (SELECT doc_id, count(*) AS k FROM s GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(list_filter(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)), lambda x: regexp_replace(x, '{_SPACE}', '', 'g') <> '')) AS BIGINT) AS n_paragraphs,
   coalesce(k, 0) AS n_sentences, CAST(strlen(text) AS BIGINT) AS n_tokens, md5(w[-1]) AS last_md5 FROM (SELECT doc_id, text, {X.words('text')} AS w FROM documents) d LEFT JOIN k USING (doc_id)"""
@@ -431,6 +456,25 @@ u AS (SELECT doc_id, 'grammar' AS "check", 0 AS part, sentence_num AS num, ord A
 f AS (SELECT u.doc_id, "check", CAST(row_number() OVER (PARTITION BY u.doc_id, "check" ORDER BY part, u.num, k) - 1 AS INT) AS ordinal, coalesce(b.line, 0) AS line, kind, severity, message, CAST(1 AS BIGINT) AS amount
   FROM u LEFT JOIN b ON b.doc_id = u.doc_id AND b.num = u.num)"""
     SQL["findings"] = f"{found} SELECT * FROM f"
+    SQL["passive_voice_strict"] = SQL["passive_voice"] + " WHERE confidence >= 0.8::DOUBLE"
+    linted_all = f"""{rec}{woven.WOVEN_SQL.replace('FROM documents', f'FROM {cases}')}, wv AS (SELECT doc_id, coalesce(string_agg(piece, '' ORDER BY i), '') AS raw, coalesce(string_agg(prose, '' ORDER BY i), '') AS prose FROM (SELECT doc_id FROM {cases}) LEFT JOIN woven USING (doc_id) GROUP BY doc_id),
+lp AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN prose ELSE concat('<!-- proselake disable-next-line grammar, sticky_sentences -->\n', text, CASE doc_id % 5 WHEN 0 THEN '\n<!-- proselake disable style -->' WHEN 1 THEN '\n<!-- proselake disable grammar -->' ELSE '' END) END AS text FROM {cases} JOIN wv USING (doc_id) WHERE doc_id % 4 IN (0, 2)),
+lb AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN raw ELSE regexp_replace(text, '<!-- proselake [^\n]*', '', 'g') END AS text FROM lp JOIN wv USING (doc_id)),
+{X.sentences('lp')}, {X.sentences('lb', 'b')}, {score('lp', X.syllables('w'))}, {stats}, {scored('lp', 'doc_id % 5 = 1')}, {X.issues('s')},
+seen AS (SELECT s.doc_id, s.num, s.doc_id % 4 = 0 OR coalesce(b.line, 0) <> 2 AS seen FROM s LEFT JOIN b ON b.doc_id = s.doc_id AND b.num = s.num),
+ns AS (SELECT doc_id, count(*) AS ns FROM s GROUP BY doc_id),
+ni AS (SELECT gi.doc_id, count(*) AS ni FROM gi JOIN seen ON seen.doc_id = gi.doc_id AND seen.num = gi.sentence_num WHERE seen GROUP BY gi.doc_id),
+np AS (SELECT pv.doc_id, count(*) AS np FROM pv JOIN seen ON seen.doc_id = pv.doc_id AND seen.num = pv.sentence_num WHERE seen GROUP BY pv.doc_id),
+nt AS (SELECT sw.doc_id, count(*) AS nt FROM sw JOIN seen USING (doc_id, num) WHERE seen AND n > 0 AND glue / n * 100 > 45 GROUP BY sw.doc_id),
+-- a whole check that is off leaves the list, and its passives the score
+g2 AS (SELECT doc_id, ns, doc_id % 4 = 2 AND doc_id % 5 = 1 AS no_grammar, coalesce(ni, 0) AS ni, coalesce(np, 0) AS np, coalesce(nt, 0) AS nt, grade,
+    CASE WHEN doc_id % 5 > 0 THEN style_score END AS score FROM ns LEFT JOIN ni USING (doc_id) LEFT JOIN np USING (doc_id) LEFT JOIN nt USING (doc_id) LEFT JOIN g USING (doc_id) LEFT JOIN sc USING (doc_id))"""
+    langed = f"(SELECT c.doc_id, c.text, d.lang FROM {cases} c JOIN documents d USING (doc_id))"
+    SQL["lint_composite"] = f"""{linted_all}, fin AS (
+SELECT {_FOLDERS} AS path, CASE doc_id % 4 WHEN 0 THEN grade END AS grade, CASE WHEN NOT no_grammar THEN ns END AS n_sentences, CASE WHEN NOT no_grammar THEN ni END AS n_issues, CASE WHEN NOT no_grammar THEN np END AS n_passives,
+  CASE WHEN NOT no_grammar THEN 100.0::DOUBLE * np / ns > 5 END AS too_passive, NULL::BOOLEAN AS complete, CASE doc_id % 4 WHEN 2 THEN nt END AS n_sticky, CASE doc_id % 4 WHEN 2 THEN score END AS style_score FROM g2
+UNION ALL SELECT {_FOLDERS}, NULL, NULL, NULL, NULL, NULL, complete, NULL, NULL FROM (SELECT doc_id, bool_and(status = 'present') AS complete FROM ({_sections_sql(lex.TEMPLATES['handoff'], langed)} SELECT * FROM st) GROUP BY doc_id) WHERE doc_id % 4 = 1)
+SELECT *, NOT coalesce(grade > 14, false) AND NOT coalesce(too_passive, false) AND coalesce(complete, true) AND NOT coalesce(style_score < 60, false) AS pass FROM fin"""
     SQL["findings_unsuppressed"] = f"""{found} SELECT * FROM f WHERE NOT ("check" IN ('pacing', 'sentence_length') AND line = 2) AND NOT ("check" = 'sticky' AND doc_id % 7 < 2)"""
     SQL["path_rules"] = r"""WITH p AS (SELECT DISTINCT 'docs/' || source || '/' || lang || '/' || doc_id || '.md' AS path FROM documents),
 r(rule_idx, pattern, specificity, "check", settings) AS (VALUES (0, '^docs/(.*/)?[^/]*\.md$', 1, 'readability', '8'), (0, '^docs/(.*/)?[^/]*\.md$', 1, 'tokens', '100'), (1, '^docs/src1/.*\.md$', 2, 'readability', '12'), (2, '^docs/src1/en/.*\.md$', 3, 'tokens', '7'), (3, '^(.*/)?../[1-4].*(5|6)\.md$', 0, 'grammar', '1'))
@@ -448,10 +492,10 @@ SELECT 'docs/' || lang || '/' || doc_id || '.txt' AS path, grade, grade > 14 AS
   NOT coalesce(grade > 14, false) AND NOT coalesce(count > CASE WHEN lang = 'en' THEN 900 ELSE 3000 END, false) AS pass FROM t"""
 
 
-def _sections_sql(names) -> str:
-    """Relation `st` (doc_id, name, status) from the lines of the built texts."""
+def _sections_sql(names, docs: str = "documents") -> str:
+    """Relation `st` (doc_id, name, status) from the lines of the built texts over (doc_id, text, lang)."""
     space = f"[{X.W}]+"
-    return rf"""WITH d AS (SELECT doc_id, string_split(t, chr(10)) AS l FROM (SELECT doc_id, {_SECTIONS} AS t FROM documents)),
+    return rf"""WITH d AS (SELECT doc_id, string_split(t, chr(10)) AS l FROM (SELECT doc_id, {_SECTIONS} AS t FROM {docs})),
 ln AS (SELECT doc_id, regexp_replace(x, '^{space}|{space}$', '', 'g') AS x, x AS raw, i FROM (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM d)),
 hd AS (SELECT doc_id, i, length(regexp_extract(raw, '^ {{0,3}}(#+)', 1)) AS level, regexp_extract(raw, '^ {{0,3}}#+[ 	]+(.*?)[ 	]*$', 1) AS text FROM ln WHERE regexp_matches(raw, '^ {{0,3}}#{{1,6}}[ 	]')),
 pk AS (SELECT doc_id, name, level, text FROM hd, (VALUES {', '.join("('" + n.replace("'", "''") + "')" for n in names)}) v(name) WHERE level IN (2, 3) AND contains(lower(text), lower(name)) QUALIFY row_number() OVER (PARTITION BY doc_id, name ORDER BY i) = 1),
