@@ -11,9 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proselake.functions import lexicons as lex
-from proselake.functions.text import let, occurrences, paragraphs, percent, round1, text_of, words
+from proselake.functions.phrases import phrase_counts, phrase_hits
+from proselake.functions.text import let, paragraphs, percent, round1, text_of, words
 
 TOP = 50
+#: Characters of phrases in one automaton.
+PHRASE_BYTES = 4 << 20
 
 
 def _in(w: Column, terms) -> Column:
@@ -35,11 +38,44 @@ def _runs(s: Column, name: str) -> Column:
     return let(_starts(s), lambda at: F.transform(at, lambda p, i: F.struct(F.get(s, p).alias(name), (F.coalesce(F.get(at, i + 1), F.size(s)) - p).cast("long").alias("count"))))
 
 
-def _phrases(lower: Column, phrases, name: str) -> Column:
-    each = F.array(*(F.struct(F.lit(p).alias(name), occurrences(lower, p).alias("count")) for p in phrases))
+#: The phrases of all lists, which one pass over a text counts, and where each list begins among them.
+PHRASES = (*lex.CLICHES, *lex.VAGUE_PHRASES, *lex.JARGON_PHRASES)
+_CLICHES, _VAGUE, _JARGON = (0, len(lex.CLICHES)), (len(lex.CLICHES), len(lex.VAGUE_PHRASES)), (len(lex.CLICHES) + len(lex.VAGUE_PHRASES), len(lex.JARGON_PHRASES))
+
+
+def phrase_column(text="text") -> Column:
+    """The counts of all `PHRASES` in the text in lower case; plans that need several of the lists share one such column."""
+    return phrase_counts(PHRASES)(F.lower(text_of(text)))
+
+
+def _phrases(text, counts: Column | None, where: tuple[int, int], name: str) -> Column:
+    first, n = where
+    listed = F.slice(phrase_column(text) if counts is None else counts, first + 1, n)
+    each = F.zip_with(F.array(*map(F.lit, PHRASES[first : first + n])), listed, lambda p, c: F.struct(p.alias(name), c.alias("count")))
     return F.filter(each, lambda x: x["count"] > 0)
 
 
+def phrases(docs: DataFrame, listed: list[str] | DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, phrase, count) of the caller's phrases that occur in each row's text, as they are written; no exchange.
+
+    A phrase counts without word boundaries and without overlaps of its own, whatever other phrases overlap it. A list in a table
+    (column ``phrase``) comes to the driver row by row; automata hold `PHRASE_BYTES` of phrases at most, so a long list takes
+    several passes over the texts. Repeated, empty and null phrases count once or not at all; a null text has none.
+    """
+    if isinstance(listed, DataFrame):
+        stated = (r[0] for r in listed.select("phrase").where("phrase <> ''").distinct().orderBy("phrase").toLocalIterator())
+    else:
+        stated = iter(sorted({p for p in listed if p}))
+    found, block, used = [], [], 0
+    for p in stated:
+        if block and used + len(p) > PHRASE_BYTES:
+            found, block, used = [*found, phrase_hits(block)(F.col(text))], [], 0
+        block.append(p)
+        used += len(p)
+    found.append(phrase_hits(block)(F.col(text)))
+    return docs.select(F.col(key), F.explode(F.concat(*found)).alias("__f")).select(key, "__f.*")
+
+
 def _ranked(items: Column, name: str) -> Column:
     """The items by falling count, then by name: sorted by natural order of (-count, name)."""
     keyed = F.sort_array(F.transform(items, lambda x: F.struct((-x["count"]).alias("c"), x[name].alias("t"))))
@@ -140,23 +176,24 @@ def _senses(found: Column, w: Column) -> Column:
     return F.struct(n.alias("sensory_count"), percent(n, F.size(w)).alias("sensory_percentage"), F.map_from_entries(by).alias("by_sense"))
 
 
-def _listed(text, singles, phrases, name: str, w: Column | None) -> Column:
+def _listed(text, singles, where: tuple[int, int], name: str, w: Column | None, counts: Column | None) -> Column:
     found = counted(F.filter(_words(text, w), lambda x: _in(x, singles)), name)
-    return _ranked(F.concat(found, let(F.lower(text_of(text)), lambda low: _phrases(low, phrases, name))), name)
+    return _ranked(F.concat(found, _phrases(text, counts, where, name)), name)
 
 
-def diction(text="text", w: Column | None = None) -> Column:
-    found = _listed(text, lex.VAGUE_WORDS, lex.VAGUE_PHRASES, "word", w)
+def diction(text="text", w: Column | None = None, counts: Column | None = None) -> Column:
+    """`counts` is a `phrase_column` where a plan has it already, here and below."""
+    found = _listed(text, lex.VAGUE_WORDS, _VAGUE, "word", w, counts)
     return let(found, lambda items: F.struct(_total(items).alias("total_vague"), F.size(items).cast("long").alias("unique_vague"), items.alias("most_common")))
 
 
-def jargon(text="text", w: Column | None = None) -> Column:
-    found = _listed(text, lex.JARGON_WORDS, lex.JARGON_PHRASES, "jargon", w)
+def jargon(text="text", w: Column | None = None, counts: Column | None = None) -> Column:
+    found = _listed(text, lex.JARGON_WORDS, _JARGON, "jargon", w, counts)
     return let(found, lambda items: F.struct(_total(items).alias("total_jargon"), F.size(items).cast("long").alias("unique_jargon"), items.alias("jargon_list")))
 
 
-def cliches(text: str = "text") -> Column:
-    found = let(F.lower(text_of(text)), lambda low: _ranked(_phrases(low, lex.CLICHES, "cliche"), "cliche"))
+def cliches(text: str = "text", counts: Column | None = None) -> Column:
+    found = _ranked(_phrases(text, counts, _CLICHES, "cliche"), "cliche")
     return let(found, lambda items: F.struct(_total(items).alias("total_cliches"), items.alias("cliches")))
 
 
@@ -189,17 +226,19 @@ def _consistency(lower: Column, dialect: str | None) -> Column:
     return F.struct(F.lit(dialect).cast("string").alias("dialect"), F.size(found).cast("long").alias("total_issues"), found.alias("issues"))
 
 
-def style(text="text", passives: Column | None = None, w: Column | None = None) -> Column:
+def style(text="text", passives: Column | None = None, w: Column | None = None, counts: Column | None = None) -> Column:
     """Adverbs, hidden verbs and the composite score from 0 to 100."""
-    return let(_words(text, w), lambda w: _style(text, passives, w))
+    vague = F.slice(phrase_column(text) if counts is None else counts, _VAGUE[0] + 1, _VAGUE[1])
+    # what Python counts stays outside of the functions over arrays
+    return let(F.struct(_words(text, w).alias("w"), F.aggregate(vague, F.lit(0).cast("long"), lambda a, x: a + x).alias("v")), lambda s: _style(text, passives, s["w"], s["v"]))
 
 
-def _style(text, passives: Column | None, w: Column) -> Column:
+def _style(text, passives: Column | None, w: Column, vague_phrases: Column) -> Column:
     adverbs = F.size(F.regexp_extract_all(text_of(text), F.lit(r"(?U)\b\w+ly\b"), F.lit(0))).cast("long")
     hidden = counted(F.filter(w, lambda x: _in(x, lex.HIDDEN_VERBS)), "noun")
     verb = F.create_map(*(F.lit(x) for kv in lex.HIDDEN_VERBS.items() for x in kv))
     hidden = F.sort_array(F.transform(hidden, lambda x: F.struct(x["noun"].alias("noun"), F.element_at(verb, x["noun"]).alias("verb"), x["count"].alias("count"))))
-    glue, vague = glue_index(text, w), diction(text, w)["total_vague"]
+    glue, vague = glue_index(text, w), F.size(F.filter(w, lambda x: _in(x, lex.VAGUE_WORDS))) + vague_phrases
     passives = F.lit(0) if passives is None else passives
     least = lambda x, top: F.least(x, F.lit(float(top)))
     score = 100.0 - least(passives * 2.0, 20) - least(adverbs * 0.5, 15) - least(F.size(hidden) * 2.0, 10) - F.when(glue > 25, least(glue - 25, 15)).otherwise(0.0) - least(vague * 0.5, 10)

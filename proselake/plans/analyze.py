@@ -51,8 +51,10 @@ def check_names(checks=None, exclude=None) -> tuple[str, ...]:
 
 def prepared(docs: DataFrame, names, text: str = "__t") -> DataFrame:
     """`docs` with what the reports of these checks share: sentences ``__s``, words ``__w``, and paragraphs with their
-    numbers of sentences ``__p`` where they are needed."""
+    numbers of sentences ``__p`` and counts of phrases ``__f`` where they are needed."""
     d = docs.withColumn("__s", sentences(text)).withColumn("__w", words(text))
+    if {"diction", "cliches", "jargon", "style"} & set(names):
+        d = d.withColumn("__f", W.phrase_column(text))
     if "complex_paragraphs" in names:
         d = d.withColumn("__q", paragraphs(text)).withColumn("__n", sentence_counts("__q"))
         d = d.withColumn("__p", F.transform("__q", lambda p, i: F.struct((i + 1).alias("num"), p.alias("text"), F.get("__n", i).alias("sentences")))).drop("__q", "__n")
@@ -61,7 +63,7 @@ def prepared(docs: DataFrame, names, text: str = "__t") -> DataFrame:
 
 def reports(names, max_grade=None, passive_max=None, dialect=None, dictionary=None, passive: Column | None = None) -> dict[str, Column]:
     """The report column of each of these checks, over the columns of `prepared`; `passive` is the number for the score."""
-    s, w, t = F.col("__s"), F.col("__w"), F.col("__t")
+    s, w, t, f = F.col("__s"), F.col("__w"), F.col("__t"), F.col("__f")
     made = {
         "readability": lambda: S.readability(t, s, max_grade, dictionary),
         "grammar": lambda: S.grammar(s, passive_max),
@@ -73,14 +75,14 @@ def reports(names, max_grade=None, passive_max=None, dialect=None, dictionary=No
         "repeated": lambda: W.repeated_report(t, w=w),
         "echoes": lambda: W.echoes_report(t),
         "sensory": lambda: W.sensory(t, w),
-        "diction": lambda: W.diction(t, w),
-        "cliches": lambda: W.cliches(t),
+        "diction": lambda: W.diction(t, w, f),
+        "cliches": lambda: W.cliches(t, f),
         "consistency": lambda: W.consistency(t, dialect),
         "acronyms": lambda: W.acronyms(t),
-        "jargon": lambda: W.jargon(t, w),
+        "jargon": lambda: W.jargon(t, w, f),
         "complex_paragraphs": lambda: S.complex_paragraphs(F.col("__p"), dictionary),
         "conjunction_starts": lambda: S.conjunction_starts(s),
-        "style": lambda: W.style(t, passive, w),
+        "style": lambda: W.style(t, passive, w, f),
     }
     return {n: made[n]() for n in names}
 

@@ -100,8 +100,8 @@ def findings(
     d = line_maps(prepared(d, names), "__raw", "__t", marker, bool({"echoes", "complex_paragraphs"} & set(names)))
     made = reports(names, max_grade, passive_max, dialect, dictionary, F.size(S.passives(F.col("__s"))) if "grammar" in names else None)
     # each report is a column of its own, and so are its findings
-    d = d.select("__key", F.concat(*_of_reports(made)).alias("__f"))
-    return d.select("__key", F.explode("__f").alias("__f")).select(F.col("__key").alias(key), "__f.*")
+    d = d.select("__key", F.concat(*_of_reports(made)).alias("__all"))
+    return d.select("__key", F.explode("__all").alias("__one")).select(F.col("__key").alias(key), "__one.*")
 
 
 def visible_findings(docs: DataFrame, key: str = "doc_id", text: str = "text", marker: str = "proselake", **options) -> DataFrame:

@@ -302,6 +302,12 @@ def lint(spark, sf_dir):
                       F.col("analyze.pacing.slow_percentage").alias("slow_percentage"), F.size("analyze.sentence_length.very_long").cast("long").alias("n_very_long"), "pass")
 
 
+def phrase_table(spark, sf_dir):
+    """Phrases of a table, taken from the benchmark, in every text."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").selectExpr("explode(array(left(lower(text), 4), substr(lower(text), 3, 6))) AS phrase")
+    return W.phrases(_docs(spark, sf_dir).withColumn("text", F.lower("text")), items)
+
+
 def passive_voice_strict(spark, sf_dir):
     """Passives with a least confidence of the caller's."""
     return _long(_cases(spark, sf_dir).withColumn("s", sentences("text")), S.passives(F.col("s"), 0.8))
@@ -325,7 +331,7 @@ def lint_composite(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     sql_kernels, sql_word_table, overused_words, repeated_phrases, echoes, word_totals, word_counts, diction, jargon, cliches, sensory, consistency, consistency_dialect, acronyms, sentence_list, sentence_reports, sticky_sentences, transition_counts,
     grammar, grammar_issues, passive_voice, readability, readability_with_dictionary, complex_paragraphs, style, input_sizes, json_reports, front_matter, markdown_headings, markdown_prose, markdown_tables, token_counts,
-    token_bytes, completeness, completeness_pass, suppressions, unsuppressed_lines, findings, findings_unsuppressed, path_rules, path_rules_table, lint, lint_composite, passive_voice_strict,
+    token_bytes, completeness, completeness_pass, suppressions, unsuppressed_lines, findings, findings_unsuppressed, path_rules, path_rules_table, lint, lint_composite, passive_voice_strict, phrase_table,
 )}
 
 _COUNTED = f"w AS (SELECT doc_id, {_WORDS} AS w FROM documents)"
@@ -456,6 +462,8 @@ u AS (SELECT doc_id, 'grammar' AS "check", 0 AS part, sentence_num AS num, ord A
 f AS (SELECT u.doc_id, "check", CAST(row_number() OVER (PARTITION BY u.doc_id, "check" ORDER BY part, u.num, k) - 1 AS INT) AS ordinal, coalesce(b.line, 0) AS line, kind, severity, message, CAST(1 AS BIGINT) AS amount
   FROM u LEFT JOIN b ON b.doc_id = u.doc_id AND b.num = u.num)"""
     SQL["findings"] = f"{found} SELECT * FROM f"
+    SQL["phrase_table"] = """WITH p AS (SELECT DISTINCT unnest([left(lower(text), 4), substr(lower(text), 3, 6)]) AS phrase FROM benchmark)
+SELECT doc_id, phrase, CAST((length(lower(text)) - length(replace(lower(text), phrase, ''))) // length(phrase) AS BIGINT) AS count FROM documents, p WHERE phrase <> '' AND contains(lower(text), phrase)"""
     SQL["passive_voice_strict"] = SQL["passive_voice"] + " WHERE confidence >= 0.8::DOUBLE"
     linted_all = f"""{rec}{woven.WOVEN_SQL.replace('FROM documents', f'FROM {cases}')}, wv AS (SELECT doc_id, coalesce(string_agg(piece, '' ORDER BY i), '') AS raw, coalesce(string_agg(prose, '' ORDER BY i), '') AS prose FROM (SELECT doc_id FROM {cases}) LEFT JOIN woven USING (doc_id) GROUP BY doc_id),
 lp AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN prose ELSE concat('<!-- proselake disable-next-line grammar, sticky_sentences -->\n', text, CASE doc_id % 5 WHEN 0 THEN '\n<!-- proselake disable style -->' WHEN 1 THEN '\n<!-- proselake disable grammar -->' ELSE '' END) END AS text FROM {cases} JOIN wv USING (doc_id) WHERE doc_id % 4 IN (0, 2)),
