@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from functools import cache
 
@@ -306,6 +307,36 @@ def test_sharding(spark, docs):
         assert sorted(r["slot"] for r in out if r["shard"] == s) == list(range(k))
 
 
+@pytest.mark.parametrize(("shards", "virtual", "slack"), [(4, 8, 0.0), (8, 128, 0.0), (5, 3, 0.3)])
+def test_sharding_by_a_plain_walk(spark, shards, virtual, slack):
+    """Row by row around the ring: to the next point's shard while it has room, the others on to the next one with room."""
+    rng = random.Random(shards)
+    texts = ["".join(rng.choice("ab é") for _ in range(rng.randint(0, 20))) for _ in range(700)] + ["same"] * 300 + [None]
+    d = spark.createDataFrame([(i if i < 800 else 7, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    t = F.coalesce("text", F.lit(""))
+    placed = d.select("doc_id", (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("crc")).withColumn("p", F.xxhash64("doc_id", "size", "crc"))
+    points = sorted((int.from_bytes(hashlib.blake2b(f"{s}/{v}".encode(), digest_size=8).digest(), "little", signed=True), s) for s in range(shards) for v in range(virtual))
+    # arc by arc from the first point on; its arc holds what lies beyond the last point too
+    arc_of = lambda p: bisect_left([x for x, _ in points], p) % len(points)
+    todo = sorted((arc_of(r["p"]), r["p"], r["doc_id"], r["size"], r["crc"]) for r in placed.collect())
+    room = [-(-len(todo) * (10 + round(slack * 10)) // (10 * shards)) if slack else len(todo) // shards + (s < len(todo) % shards) for s in range(shards)]
+    want, over = [], []
+    for arc, _, *row in todo:
+        if room[points[arc][1]]:
+            room[points[arc][1]] -= 1
+            want.append((*row, points[arc][1]))
+        else:
+            over.append((arc, row))
+    for arc, row in over:
+        s = next(points[(arc + k) % len(points)][1] for k in range(1, len(points) + 1) if room[points[(arc + k) % len(points)][1]])
+        room[s] -= 1
+        want.append((*row, s))
+    out = shard(d, shards, virtual, slack).collect()
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"], r["shard"]) for r in out) == Counter(want)
+    for s in range(shards):
+        assert sorted(r["slot"] for r in out if r["shard"] == s) == list(range(sum(w[-1] == s for w in want)))
+
+
 def test_sharding_of_copies(spark):
     texts = [None, "", "é", "x" * 9000] + ["same"] * 300
     d = spark.createDataFrame([(i if i < 150 else 7, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, shard string")
@@ -519,7 +550,7 @@ def test_many_directories(spark):
 @pytest.mark.parametrize("name", sorted(Q.SQL))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got = Q.QUERIES[name](spark, SF)
     want = con.sql(Q.SQL[name])
