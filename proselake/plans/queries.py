@@ -20,6 +20,7 @@ from proselake.plans.analyze import analyze
 from proselake.plans.findings import findings as all_findings
 from proselake.plans.findings import visible_findings
 from proselake.plans.lint import lint as lint_plan
+from proselake.plans.rollups import MEASURES, merged, partials, summary
 from proselake.sources.files import as_json
 
 
@@ -302,6 +303,18 @@ def lint(spark, sf_dir):
                       F.col("analyze.pacing.slow_percentage").alias("slow_percentage"), F.size("analyze.sentence_length.very_long").cast("long").alias("n_very_long"), "pass")
 
 
+def corpus_rollup(spark, sf_dir):
+    """Every subset of language and source: sums in whole numbers, then means, deviations and shares."""
+    return summary(partials(_cases(spark, sf_dir), ["lang", "source"]), ["lang", "source"])
+
+
+def corpus_sums(spark, sf_dir):
+    """Sums of three loads merged, for three groupings."""
+    d, by = _cases(spark, sf_dir), ["lang", "source"]
+    loads = [partials(d.where(F.col("doc_id") % 3 == k), by, sets=[["lang"], ["source"], []]) for k in range(3)]
+    return merged(loads, by).select("lang", "source", "grouping", *(F.col(m).cast("long").alias(m) for m in MEASURES))
+
+
 def phrase_table(spark, sf_dir):
     """Phrases of a table, taken from the benchmark, in every text."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").selectExpr("explode(array(left(lower(text), 4), substr(lower(text), 3, 6))) AS phrase")
@@ -331,7 +344,7 @@ def lint_composite(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     sql_kernels, sql_word_table, overused_words, repeated_phrases, echoes, word_totals, word_counts, diction, jargon, cliches, sensory, consistency, consistency_dialect, acronyms, sentence_list, sentence_reports, sticky_sentences, transition_counts,
     grammar, grammar_issues, passive_voice, readability, readability_with_dictionary, complex_paragraphs, style, input_sizes, json_reports, front_matter, markdown_headings, markdown_prose, markdown_tables, token_counts,
-    token_bytes, completeness, completeness_pass, suppressions, unsuppressed_lines, findings, findings_unsuppressed, path_rules, path_rules_table, lint, lint_composite, passive_voice_strict, phrase_table,
+    token_bytes, completeness, completeness_pass, suppressions, unsuppressed_lines, findings, findings_unsuppressed, path_rules, path_rules_table, lint, lint_composite, passive_voice_strict, phrase_table, corpus_rollup, corpus_sums,
 )}
 
 _COUNTED = f"w AS (SELECT doc_id, {_WORDS} AS w FROM documents)"
@@ -357,6 +370,7 @@ SQL = {
 def _add() -> None:
     """SQL that is longer than a line or shares relations."""
     cases, rec = _terms_sql(_CASES), "WITH RECURSIVE "
+    langed = f"(SELECT c.doc_id, c.text, d.lang, d.source FROM {cases} c JOIN documents d USING (doc_id))"
     sents = X.sentences(cases)
     lined = "(SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS text FROM documents)"
     glue = f"({_q(lex.GLUE)})"
@@ -462,6 +476,17 @@ u AS (SELECT doc_id, 'grammar' AS "check", 0 AS part, sentence_num AS num, ord A
 f AS (SELECT u.doc_id, "check", CAST(row_number() OVER (PARTITION BY u.doc_id, "check" ORDER BY part, u.num, k) - 1 AS INT) AS ordinal, coalesce(b.line, 0) AS line, kind, severity, message, CAST(1 AS BIGINT) AS amount
   FROM u LEFT JOIN b ON b.doc_id = u.doc_id AND b.num = u.num)"""
     SQL["findings"] = f"{found} SELECT * FROM f"
+    per_doc = f"""{rec}ld AS {langed}, {X.sentences('ld')}, {stats}, {X.passives('s')}, {X.issues('s')},
+ds AS (SELECT doc_id, count(*) AS sentences, sum(n) AS lengths, sum(n * n) AS length_squares, count_if(n > 30) AS long_sentences FROM sw GROUP BY doc_id),
+dp AS (SELECT doc_id, count(*) AS passives FROM pv GROUP BY doc_id), di AS (SELECT doc_id, count(*) AS issues FROM gi GROUP BY doc_id),
+dm AS (SELECT lang, source, 1 AS documents, len({X.tokens('text')}) AS tokens, len({X.words('text')}) AS words, coalesce(list_sum(list_transform({X.bare('text')}, lambda w: {X.syllables('w')})), 0) AS syllables, coalesce(sentences, 0) AS sentences,
+  coalesce(lengths, 0) AS lengths, coalesce(length_squares, 0) AS length_squares, coalesce(passives, 0) AS passives, coalesce(issues, 0) AS issues, len(list_filter({X.words('text')}, lambda x: x IN {glue})) AS glue_words, coalesce(long_sentences, 0) AS long_sentences
+  FROM ld LEFT JOIN ds USING (doc_id) LEFT JOIN dp USING (doc_id) LEFT JOIN di USING (doc_id))"""
+    sums = ", ".join(f"CAST(sum({m}) AS BIGINT) AS {m}" for m in MEASURES)
+    SQL["corpus_sums"] = f"{per_doc} SELECT lang, source, CAST(grouping(lang, source) AS BIGINT) AS grouping, {sums} FROM dm GROUP BY GROUPING SETS ((lang), (source), ())"
+    SQL["corpus_rollup"] = f"""{per_doc}, cu AS (SELECT lang, source, CAST(grouping(lang, source) AS BIGINT) AS grouping, {sums} FROM dm GROUP BY CUBE (lang, source)), cg AS (SELECT *, tokens AS n, sentences AS m, syllables AS y FROM cu), {X.graded('cg', 'gg')}
+SELECT lang, source, grouping, documents, words, round(lengths::DOUBLE / sentences * 10) / 10 AS mean_length, round(sqrt((sentences::HUGEINT * length_squares - lengths::HUGEINT * lengths)::DOUBLE) / sentences * 10) / 10 AS deviation, round(grade * 10) / 10 AS grade,
+  round(passives::DOUBLE / sentences * 100 * 10) / 10 AS passive_percentage, round(glue_words::DOUBLE / words * 100 * 10) / 10 AS glue_index, round(issues::DOUBLE / sentences * 100 * 10) / 10 AS issues_per_100 FROM gg"""
     SQL["phrase_table"] = """WITH p AS (SELECT DISTINCT unnest([left(lower(text), 4), substr(lower(text), 3, 6)]) AS phrase FROM benchmark)
 SELECT doc_id, phrase, CAST((length(lower(text)) - length(replace(lower(text), phrase, ''))) // length(phrase) AS BIGINT) AS count FROM documents, p WHERE phrase <> '' AND contains(lower(text), phrase)"""
     SQL["passive_voice_strict"] = SQL["passive_voice"] + " WHERE confidence >= 0.8::DOUBLE"
@@ -477,7 +502,6 @@ nt AS (SELECT sw.doc_id, count(*) AS nt FROM sw JOIN seen USING (doc_id, num) WH
 -- a whole check that is off leaves the list, and its passives the score
 g2 AS (SELECT doc_id, ns, doc_id % 4 = 2 AND doc_id % 5 = 1 AS no_grammar, coalesce(ni, 0) AS ni, coalesce(np, 0) AS np, coalesce(nt, 0) AS nt, grade,
     CASE WHEN doc_id % 5 > 0 THEN style_score END AS score FROM ns LEFT JOIN ni USING (doc_id) LEFT JOIN np USING (doc_id) LEFT JOIN nt USING (doc_id) LEFT JOIN g USING (doc_id) LEFT JOIN sc USING (doc_id))"""
-    langed = f"(SELECT c.doc_id, c.text, d.lang FROM {cases} c JOIN documents d USING (doc_id))"
     SQL["lint_composite"] = f"""{linted_all}, fin AS (
 SELECT {_FOLDERS} AS path, CASE doc_id % 4 WHEN 0 THEN grade END AS grade, CASE WHEN NOT no_grammar THEN ns END AS n_sentences, CASE WHEN NOT no_grammar THEN ni END AS n_issues, CASE WHEN NOT no_grammar THEN np END AS n_passives,
   CASE WHEN NOT no_grammar THEN 100.0::DOUBLE * np / ns > 5 END AS too_passive, NULL::BOOLEAN AS complete, CASE doc_id % 4 WHEN 2 THEN nt END AS n_sticky, CASE doc_id % 4 WHEN 2 THEN score END AS style_score FROM g2
