@@ -61,7 +61,10 @@ def template_sections(template: str, custom: dict[str, tuple[str, ...]] | None =
 
 
 def section_report(text, heads: Column, names) -> Column:
-    """[{name, status}]: present, empty or missing for each section; `heads` is the column of `headings`. Within the row."""
+    """[{name, status}]: present, empty or missing for each section; `heads` is the column of `headings`. Within the row.
+
+    `names` is a list, or a column of arrays where each row has a list of its own.
+    """
     marks = F.transform(F.split(text_of(text), "\n"), lambda x, i: F.struct(i.alias("i"), stripped(x).alias("t")))
     level = lambda t: F.length(F.regexp_extract(t, "^(#+)", 1))
     first = lambda found: F.get(found, F.lit(0))
@@ -82,7 +85,8 @@ def section_report(text, heads: Column, names) -> Column:
         head = first(F.filter(heads, lambda h: h["level"].isin(2, 3) & F.contains(F.lower(h["text"]), F.lower(name))))
         return F.struct(name.alias("name"), let(head, lambda h: status(lines, h)).alias("status"))
 
-    return let(marks, lambda lines: F.transform(F.array(*map(F.lit, names)), lambda n: result(lines, n)))
+    asked = names if isinstance(names, Column) else F.array(*map(F.lit, names))
+    return let(marks, lambda lines: F.transform(asked, lambda n: result(lines, n)))
 
 
 def completeness_report(text, heads: Column, template: str, custom=None) -> Column:
@@ -92,6 +96,35 @@ def completeness_report(text, heads: Column, template: str, custom=None) -> Colu
     return let(found, whole)
 
 
+#: Sections of templates that may be sent to all tasks; a longer table of templates meets the documents in an exchange.
+TEMPLATE_ROWS = 10_000
+
+
+def templates_frame(spark: SparkSession, custom: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """All templates, the caller's own in place of those built in, as a table (template, ord, name)."""
+    rows = [(t, i, n) for t in template_names(custom) for i, n in enumerate(template_sections(t, custom))]
+    return spark.createDataFrame(rows, "template string, ord int, name string")
+
+
+def completeness_by(docs: DataFrame, templates: DataFrame, template: str = "template", key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, template, sections, pass, error) of each row by the template that its own column names.
+
+    `templates` is a table (template, ord, name); sections of one template are asked for in the order of ord, of equal ones by
+    name. A null or unknown template gives an error and nulls. Templates are small beside documents: up to `TEMPLATE_ROWS`
+    rows of them are sent to the tasks, so no text moves; with more, documents and templates meet by the name.
+    """
+    lists = templates.where("template IS NOT NULL AND name IS NOT NULL").groupBy(F.col("template").alias("__of")).agg(F.sort_array(F.collect_list(F.struct("ord", "name"))).alias("__l"))
+    lists = lists.select("__of", F.transform("__l", lambda x: x["name"]).alias("__names"))
+    small = templates.limit(TEMPLATE_ROWS + 1).count() <= TEMPLATE_ROWS
+    d = docs.select(F.col(key).alias("__key"), F.col(template).alias("__of"), F.col(text).alias("__t"))
+    d = d.join(F.broadcast(lists) if small else lists, "__of", "left")
+    d = d.withColumn("__h", headings(F.when(F.col("__names").isNotNull(), F.col("__t"))))
+    found = F.when(F.col("__names").isNotNull(), section_report("__t", F.col("__h"), F.col("__names")))
+    d = d.withColumn("__s", found)
+    error = F.when(F.col("__names").isNull(), F.concat(F.lit("no such template: "), F.coalesce("__of", F.lit("null"))))
+    return d.select(F.col("__key").alias(key), F.col("__of").alias("template"), F.col("__s").alias("sections"), F.forall("__s", lambda x: x["status"] == "present").alias("pass"), error.alias("error"))
+
+
 def sections(docs: DataFrame, template: str, key: str = "doc_id", text: str = "text", custom=None) -> DataFrame:
     """(key, ord, name, status) of each row's sections, one to a row."""
     names = template_sections(template, custom)

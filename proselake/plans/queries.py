@@ -251,6 +251,13 @@ def completeness_pass(spark, sf_dir):
     return D.completeness(d, "short", custom={"short": ("Where things stand", "Decisions made")}).select("doc_id", "template", "pass")
 
 
+def completeness_templates(spark, sf_dir):
+    """Each document by the template that its row names; every fourth one names none that there is."""
+    d = _docs(spark, sf_dir).selectExpr("doc_id", f"{_SECTIONS} AS text", "element_at(array('adr', 'handoff', 'short', 'none'), cast(doc_id % 4 + 1 AS int)) AS template")
+    made = D.completeness_by(d, D.templates_frame(spark, {"short": ("Where things stand", "Decisions made")}))
+    return made.select("doc_id", "template", F.array_join(F.transform("sections", lambda x: F.concat_ws("=", x["name"], x["status"])), "; ").alias("sections"), "pass", "error")
+
+
 _DIRECTED = "concat('<!-- proselake disable grammar, style -->\n', text, '\n<!-- proselake enable grammar --> <!-- proselake disable-next-line echoes, a b -->\n', text, CASE WHEN doc_id % 3 = 0 THEN '\n<!-- proselake disable echoes -->' ELSE '\n<!-- proselake enable style,none -->' END)"
 
 
@@ -344,7 +351,7 @@ def lint_composite(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     sql_kernels, sql_word_table, overused_words, repeated_phrases, echoes, word_totals, word_counts, diction, jargon, cliches, sensory, consistency, consistency_dialect, acronyms, sentence_list, sentence_reports, sticky_sentences, transition_counts,
     grammar, grammar_issues, passive_voice, readability, readability_with_dictionary, complex_paragraphs, style, input_sizes, json_reports, front_matter, markdown_headings, markdown_prose, markdown_tables, token_counts,
-    token_bytes, completeness, completeness_pass, suppressions, unsuppressed_lines, findings, findings_unsuppressed, path_rules, path_rules_table, lint, lint_composite, passive_voice_strict, phrase_table, corpus_rollup, corpus_sums,
+    token_bytes, completeness, completeness_pass, completeness_templates, suppressions, unsuppressed_lines, findings, findings_unsuppressed, path_rules, path_rules_table, lint, lint_composite, passive_voice_strict, phrase_table, corpus_rollup, corpus_sums,
 )}
 
 _COUNTED = f"w AS (SELECT doc_id, {_WORDS} AS w FROM documents)"
@@ -475,6 +482,9 @@ u AS (SELECT doc_id, 'grammar' AS "check", 0 AS part, sentence_num AS num, ord A
   UNION ALL SELECT doc_id, 'conjunction_starts', 0, num, 0, NULL, NULL, w[1] FROM sw WHERE first IN ({_q(lex.CONJUNCTIONS)})),
 f AS (SELECT u.doc_id, "check", CAST(row_number() OVER (PARTITION BY u.doc_id, "check" ORDER BY part, u.num, k) - 1 AS INT) AS ordinal, coalesce(b.line, 0) AS line, kind, severity, message, CAST(1 AS BIGINT) AS amount
   FROM u LEFT JOIN b ON b.doc_id = u.doc_id AND b.num = u.num)"""
+    chosen = {1: lex.TEMPLATES["handoff"], 0: lex.TEMPLATES["adr"], 2: ("Where things stand", "Decisions made")}
+    each = " UNION ALL ".join(f"SELECT doc_id, string_agg(name || '=' || status, '; ' ORDER BY list_position([{_q(names)}], name)) AS sections, bool_and(status = 'present') AS pass FROM ({_sections_sql(names)} SELECT * FROM st) WHERE doc_id % 4 = {k} GROUP BY doc_id" for k, names in chosen.items())
+    SQL["completeness_templates"] = f"SELECT d.doc_id, (['adr', 'handoff', 'short', 'none'])[CAST(d.doc_id % 4 + 1 AS INT)] AS template, sections, pass, CASE WHEN d.doc_id % 4 = 3 THEN 'no such template: none' END AS error FROM documents d LEFT JOIN ({each}) e USING (doc_id)"
     SQL["findings"] = f"{found} SELECT * FROM f"
     per_doc = f"""{rec}ld AS {langed}, {X.sentences('ld')}, {stats}, {X.passives('s')}, {X.issues('s')},
 ds AS (SELECT doc_id, count(*) AS sentences, sum(n) AS lengths, sum(n * n) AS length_squares, count_if(n > 30) AS long_sentences FROM sw GROUP BY doc_id),

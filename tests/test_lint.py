@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from proselake.operators import documents
 from proselake.operators.documents import unsuppressed
 from proselake.plans.analyze import CHECKS, analyze
 from proselake.plans.lint import lint
@@ -134,3 +135,14 @@ def test_findings_out_of_ranges(spark):
     rules = spark.createDataFrame([(1, "a", 2, 4, False), (1, "b", None, None, True), (2, "a", 1, 1, False)], "doc_id int, check string, start int, end int, file_level boolean")
     found = spark.createDataFrame([(1, "a", 1), (1, "a", 2), (1, "a", 4), (1, "a", 5), (1, "b", 9), (1, "c", 3), (2, "a", 1), (3, "a", 1)], "doc_id int, check string, line int")
     assert sorted(map(tuple, unsuppressed(found, rules).collect())) == [(1, "a", 1), (1, "a", 5), (1, "c", 3), (3, "a", 1)]
+
+
+def test_templates_by_row(spark, monkeypatch):
+    text = "## Alpha\n\nHere.\n\n## Beta\n\nTBD"
+    d = spark.createDataFrame([(1, text, "x"), (1, text, "y"), (2, None, "x"), (3, text, None), (4, text, "z")], "doc_id int, text string, template string")
+    templates = spark.createDataFrame([("x", 2, "Beta"), ("x", 1, "Alpha"), ("y", 1, "Alpha"), (None, 1, "Beta"), ("y", 2, None)], "template string, ord int, name string")
+    for bound in (10_000, 1):
+        monkeypatch.setattr(documents, "TEMPLATE_ROWS", bound)
+        got = sorted((r["doc_id"], r["template"] or "", [tuple(s) for s in r["sections"] or ()], r["pass"], r["error"]) for r in documents.completeness_by(d, templates).collect())
+        assert got == [(1, "x", [("Alpha", "present"), ("Beta", "empty")], False, None), (1, "y", [("Alpha", "present")], True, None), (2, "x", [("Alpha", "missing"), ("Beta", "missing")], False, None),
+                       (3, "", [], None, "no such template: null"), (4, "z", [], None, "no such template: z")]
