@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from proselake.functions import lexicons as lex
 from proselake.functions.sql import register
-from proselake.functions.text import paragraph_lines, sentences, split_text, tokens, too_large, words
+from proselake.functions.text import bare_tokens, paragraph_lines, sentences, split_text, tokens, too_large, words
 from proselake.operators import documents as D
 from proselake.operators import sentences as S
 from proselake.operators import words as W
+from proselake.operators.dictionary import readability_by
 from proselake.plans import sentence_sql as X
 from proselake.plans import woven
 from proselake.plans.analyze import analyze
@@ -186,6 +187,12 @@ def readability_with_dictionary(spark, sf_dir):
     return d.select("doc_id", S.readability(F.col("text"), F.col("s"), dictionary=_SYLLABLES).alias("r")).select("doc_id", "r.grade", "r.syllables")
 
 
+def readability_dictionary_table(spark, sf_dir):
+    """A dictionary that is a table, here of the benchmark's words; every distinct word of the corpus is looked up once."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.explode(bare_tokens("text")).alias("word")).where("word <> ''").distinct()
+    return readability_by(_cases(spark, sf_dir), items.selectExpr("word", "1 + length(word) % 5 AS syllables"))
+
+
 def complex_paragraphs(spark, sf_dir):
     d = _docs(spark, sf_dir).withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
     made = analyze(d, checks=["complex_paragraphs"], limit=None).select("doc_id", "complex_paragraphs.*")
@@ -350,7 +357,7 @@ def lint_composite(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     sql_kernels, sql_word_table, overused_words, repeated_phrases, echoes, word_totals, word_counts, diction, jargon, cliches, sensory, consistency, consistency_dialect, acronyms, sentence_list, sentence_reports, sticky_sentences, transition_counts,
-    grammar, grammar_issues, passive_voice, readability, readability_with_dictionary, complex_paragraphs, style, input_sizes, json_reports, front_matter, markdown_headings, markdown_prose, markdown_tables, token_counts,
+    grammar, grammar_issues, passive_voice, readability, readability_with_dictionary, readability_dictionary_table, complex_paragraphs, style, input_sizes, json_reports, front_matter, markdown_headings, markdown_prose, markdown_tables, token_counts,
     token_bytes, completeness, completeness_pass, completeness_templates, suppressions, unsuppressed_lines, findings, findings_unsuppressed, path_rules, path_rules_table, lint, lint_composite, passive_voice_strict, phrase_table, corpus_rollup, corpus_sums,
 )}
 
@@ -430,6 +437,11 @@ FROM documents d LEFT JOIN m USING (doc_id) LEFT JOIN i USING (doc_id) LEFT JOIN
     SQL["readability"] = f"{rec}{sents}, {score(cases, X.syllables('w'))} SELECT d.doc_id, grade, m AS sentences, n AS words, y AS syllables, CASE WHEN m > 0 THEN 12.0::DOUBLE END AS max_grade, grade > 12 AS over_max FROM documents d LEFT JOIN g USING (doc_id)"
     known = "CASE " + " ".join(f"WHEN w IN ({_q([x for x, k in _SYLLABLES.items() if k == n])}) THEN {n}" for n in sorted(set(_SYLLABLES.values())))
     SQL["readability_with_dictionary"] = f"{rec}{X.sentences('documents')}, {score('documents', f'{known} ELSE ' + X.syllables('w') + ' END')} SELECT d.doc_id, grade, y AS syllables FROM documents d LEFT JOIN g USING (doc_id)"
+    listed = f"(SELECT DISTINCT w FROM (SELECT unnest({X.bare('text')}) AS w FROM benchmark) WHERE w <> '')"
+    SQL["readability_dictionary_table"] = f"""{rec}{sents}, dict AS {listed}, m AS (SELECT doc_id, count(*) AS m FROM s GROUP BY doc_id), tk AS (SELECT doc_id, len({X.tokens('text')}) AS n FROM {cases}),
+sy AS (SELECT doc_id, CAST(sum(CASE WHEN dict.w IS NOT NULL THEN 1 + length(t.w) % 5 ELSE {X.syllables('t.w')} END) AS BIGINT) AS y FROM (SELECT doc_id, unnest({X.bare('text')}) AS w FROM {cases}) t LEFT JOIN dict ON dict.w = t.w WHERE t.w <> '' GROUP BY doc_id),
+al AS (SELECT doc_id, n, coalesce(m, 0) AS m, coalesce(y, 0) AS y FROM tk LEFT JOIN m USING (doc_id) LEFT JOIN sy USING (doc_id)), r AS (SELECT * FROM al WHERE n > 0 AND m > 0), {X.graded('r')}
+SELECT al.doc_id, grade, al.m AS sentences, al.n AS words, al.y AS syllables FROM al LEFT JOIN g USING (doc_id)"""
     SQL["complex_paragraphs"] = f"""{rec}{para(lined)}, pk AS (SELECT doc_id * 100000 + paragraph AS doc_id, text FROM par), {X.sentences('pk')}, m AS (SELECT doc_id, count(*) AS m FROM s GROUP BY doc_id),
 r AS (SELECT doc_id // 100000 AS doc, doc_id % 100000 AS paragraph, len(w) / m AS a, list_sum(list_transform(w, lambda w: {X.syllables('w')})) / len(w) AS b FROM (SELECT doc_id, {X.words('text')} AS w FROM pk) JOIN m USING (doc_id) WHERE len(w) > 0),
 h AS (SELECT *, count(*) OVER (PARTITION BY doc) AS c FROM r WHERE a > 20 AND b > 1.8::DOUBLE), k AS (SELECT doc_id, count(*) AS k FROM par GROUP BY doc_id)
