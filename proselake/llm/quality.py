@@ -1,8 +1,9 @@
 """Quality rules: a table of thresholds compiled into Spark column expressions, with no user functions.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` of the whole text. Defined results: null and empty texts have no words, so every
-count is 0 and the base rule rejects them; repeated rows and null ids pass through as they are; extra columns of the
-input stay untouched, since every intermediate column has a reserved ``__q_`` name.
+count is 0 and the base rule rejects them; repeated rows and null ids pass through as they are. Extra columns of the
+input stay, but for those that bear a name of `quality`'s results, which give way; `passing` keeps columns of any name. Every
+intermediate column has a reserved ``__q_`` name.
 """
 
 from __future__ import annotations

@@ -271,7 +271,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     A null text has no bytes; texts under 200 bytes lose nothing. Repeated rows are copies of each other, so all their
     windows repeat. Rows are told apart by id and text hash; null ids are one id. Columns of the input that bear a
-    name of the result's give way to it.
+    name of the result's give way to it, and so do those named sure, parts, open, did, xx, notes, runs or body, which the steps
+    in between use; `drop_repeats` keeps columns of any name.
     """
     spark = docs.sparkSession
     batches(spark)
