@@ -7,7 +7,7 @@ from collections import OrderedDict
 _KEPT: OrderedDict = OrderedDict()
 
 
-def kept(key, make, room: int = 4):
+def kept(key, make, room: int = 16):
     """The object with this key, made where this worker lacks it; of all objects the `room` last used ones stay."""
     if key not in _KEPT:
         _KEPT[key] = make()

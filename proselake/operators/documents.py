@@ -286,7 +286,7 @@ def unsuppressed(findings: DataFrame, rules: DataFrame, key: str = "doc_id") ->
 
 
 #: Bytes of patterns in one automaton; more rules are resolved in blocks, which meet within the row.
-RULE_BYTES = 1 << 20
+RULE_BYTES = 1 << 18
 _CHOICE = "array<struct<check:string,rule_idx:int,settings:string>>"
 _RANKED = "array<struct<check:string,rule_idx:int,settings:string,specificity:int>>"
 

@@ -16,7 +16,7 @@ from proselake.functions.text import let, paragraphs, percent, round1, text_of,
 
 TOP = 50
 #: Characters of phrases in one automaton.
-PHRASE_BYTES = 4 << 20
+PHRASE_BYTES = 1 << 20
 
 
 def _in(w: Column, terms) -> Column:
@@ -60,7 +60,7 @@ def phrases(docs: DataFrame, listed: list[str] | DataFrame, key: str = "doc_id",
 
     A phrase counts without word boundaries and without overlaps of its own, whatever other phrases overlap it. A list in a table
     (column ``phrase``) comes to the driver row by row; automata hold `PHRASE_BYTES` of phrases at most, so a long list takes
-    several passes over the texts. Repeated, empty and null phrases count once or not at all; a null text has none.
+    several passes over the texts. A worker keeps 16 automata; a list that needs more should be given in parts. Repeated, empty and null phrases count once or not at all; a null text has none.
     """
     if isinstance(listed, DataFrame):
         stated = (r[0] for r in listed.select("phrase").where("phrase <> ''").distinct().orderBy("phrase").toLocalIterator())
