@@ -275,14 +275,14 @@ def unsuppressed(findings: DataFrame, rules: DataFrame, key: str = "doc_id") ->
     cut = runs.select(*by, "start", "end", F.explode(F.sequence(block(F.col("start")), block(F.col("end")))).alias("block"))
     cut = cut.select(*by, "block", F.greatest("start", F.col("block") * LINE_BLOCK).alias("at"), F.col("end").alias("reach"))
     line = F.col(place["line"]).cast("long")
+    # what no range can cover is spread over groups of its own
     placed = F.col(place[key]).isNotNull() & F.col(place["check"]).isNotNull() & line.isNotNull()
-    # what no range can cover stays where it is
-    free, f = f.where(~placed), f.where(placed)
-    both = f.withColumns({"block": block(line), "at": line, "reach": F.lit(None).cast("long"), "found": F.lit(True)}).unionByName(cut.withColumn("found", F.lit(False)), allowMissingColumns=True)
+    alone = -1 - F.pmod(F.monotonically_increasing_id(), F.lit(1024))
+    both = f.withColumns({"block": F.when(placed, block(line)).otherwise(alone), "at": F.when(placed, line), "reach": F.lit(None).cast("long"), "found": F.lit(True)}).unionByName(cut.withColumn("found", F.lit(False)), allowMissingColumns=True)
     # at one line ranges come first
     reached = F.max("reach").over(Window.partitionBy(*by, "block").orderBy("at", "found").rowsBetween(Window.unboundedPreceding, 0))
     swept = both.withColumn("covered", F.coalesce(reached >= F.col("at"), F.lit(False)))
-    return swept.where(F.col("found") & ~F.col("covered")).select(*names).unionByName(free.select(*names)).toDF(*findings.columns)
+    return swept.where(F.col("found") & ~F.col("covered")).select(*names).toDF(*findings.columns)
 
 
 #: Bytes of patterns in one automaton; more rules are resolved in blocks, which meet within the row.

@@ -101,7 +101,8 @@ def findings(
     made = reports(names, max_grade, passive_max, dialect, dictionary, F.size(S.passives(F.col("__s"))) if "grammar" in names else None)
     # each report is a column of its own, and so are its findings
     d = d.select("__key", F.concat(*_of_reports(made)).alias("__all"))
-    return d.select("__key", F.explode("__all").alias("__one")).select(F.col("__key").alias(key), "__one.*")
+    # an inner explode would ask for non-empty arrays first, and so have all findings computed twice
+    return d.select("__key", F.explode_outer("__all").alias("__one")).where("__one IS NOT NULL").select(F.col("__key").alias(key), "__one.*")
 
 
 def visible_findings(docs: DataFrame, key: str = "doc_id", text: str = "text", marker: str = "proselake", **options) -> DataFrame:
