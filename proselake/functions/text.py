@@ -7,7 +7,7 @@ import re
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +38,15 @@ def let(c: Column, f) -> Column:
     return F.get(F.transform(F.array(c), f), F.lit(0))
 
 
+def unrolled(d: DataFrame, keep: list[str], items: Column, name: str = "__f") -> DataFrame:
+    """(keep..., the fields of each struct of an array): rows without any give none.
+
+    The array is computed once; an inner explode would have it computed for a filter on its size first.
+    """
+    out = d.select(*keep, F.explode_outer(items).alias(name)).where(F.col(name).isNotNull())
+    return out.select(*keep, f"{name}.*")
+
+
 def stripped(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 

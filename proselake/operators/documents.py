@@ -13,7 +13,7 @@ from proselake.functions import lexicons as lex
 from proselake.functions.globs import GlobSet, specificity
 from proselake.functions.kept import kept
 from proselake.functions.markdown import headings_of, prose_of, table_ranges_of, table_spans
-from proselake.functions.text import let, stripped, text_of
+from proselake.functions.text import let, stripped, text_of, unrolled
 
 
 def strip_frontmatter(c) -> Column:
@@ -244,7 +244,7 @@ def suppressed(text, marker: str = "proselake") -> Column:
 
 def suppressions(docs: DataFrame, key: str = "doc_id", text: str = "text", marker: str = "proselake") -> DataFrame:
     """(key, check, start, end, file_level): the ranges of each row, one to a row."""
-    return docs.select(key, F.explode(suppressed(text, marker)).alias("__r")).select(key, "__r.*")
+    return unrolled(docs, [key], suppressed(text, marker))
 
 
 #: Lines of a document that meet in one group when findings are compared with ranges.
@@ -383,4 +383,4 @@ def resolve_rules(paths: DataFrame, rules: list[dict] | DataFrame, path: str = "
         chosen = _ranked(F.col(path), [tuple(r) for r in stated.distinct().orderBy("pattern", "rule_idx", "check", "settings").toLocalIterator()])
     else:
         chosen = chosen_rules(F.col(path), rules)
-    return paths.select(path, F.explode(chosen).alias("__c")).select(path, "__c.*")
+    return unrolled(paths, [path], chosen)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from proselake.functions import lexicons as lex
 from proselake.functions.phrases import phrase_counts, phrase_hits
-from proselake.functions.text import let, paragraphs, percent, round1, text_of, words
+from proselake.functions.text import let, paragraphs, percent, round1, text_of, unrolled, words
 
 TOP = 50
 #: Characters of phrases in one automaton.
@@ -73,7 +73,7 @@ def phrases(docs: DataFrame, listed: list[str] | DataFrame, key: str = "doc_id",
         block.append(p)
         used += len(p)
     found.append(phrase_hits(block)(F.col(text)))
-    return docs.select(F.col(key), F.explode(F.concat(*found)).alias("__f")).select(key, "__f.*")
+    return unrolled(docs, [key], F.concat(*found))
 
 
 def _ranked(items: Column, name: str) -> Column:
@@ -143,7 +143,7 @@ def echoes_report(text="text", near: int = 20) -> Column:
 
 
 def _long(docs: DataFrame, key: str, report: Column, field: str) -> DataFrame:
-    return docs.select(key, F.explode(report[field]).alias("__f")).select(key, "__f.*")
+    return unrolled(docs, [key], report[field])
 
 
 def overused(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from proselake.functions import lexicons as lex
 from proselake.functions.sql import register
-from proselake.functions.text import bare_tokens, paragraph_lines, sentences, split_text, tokens, too_large, words
+from proselake.functions.text import bare_tokens, paragraph_lines, sentences, split_text, tokens, too_large, unrolled, words
 from proselake.operators import documents as D
 from proselake.operators import sentences as S
 from proselake.operators import words as W
@@ -124,7 +124,7 @@ consistency.__name__, consistency_dialect.__name__ = "consistency", "consistency
 
 
 def acronyms(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.explode(W.acronyms()["acronym_list"]).alias("a")).select("doc_id", "a.*")
+    return _long(_docs(spark, sf_dir), W.acronyms()["acronym_list"])
 
 
 def _cases(spark, sf_dir):
@@ -132,7 +132,7 @@ def _cases(spark, sf_dir):
 
 
 def _long(d, column):
-    return d.select("doc_id", F.explode(column).alias("f")).select("doc_id", "f.*")
+    return unrolled(d, ["doc_id"], column)
 
 
 def sentence_list(spark, sf_dir):
