@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from proselake.functions import lexicons as lex
-from proselake.functions.globs import GlobSet, specificity
+from proselake.functions.globs import PatternSet, specificity
 from proselake.functions.kept import kept
 from proselake.functions.markdown import headings_of, prose_of, table_ranges_of, table_spans
 from proselake.functions.text import let, stripped, text_of, unrolled
@@ -297,7 +297,7 @@ class _Chooser:
     def __init__(self, options: list[tuple[int, str, str, str]]):
         self.patterns = sorted({o[1] for o in options})
         number = {p: k for k, p in enumerate(self.patterns)}
-        self.set, self.rank = GlobSet(self.patterns), [specificity(p) for p in self.patterns]
+        self.set, self.rank = PatternSet(self.patterns), [specificity(p) for p in self.patterns]
         self.of: list[list[tuple[int, str, str]]] = [[] for _ in self.patterns]
         for rule, pattern, check, settings in options:
             self.of[number[pattern]].append((rule, check, settings))
