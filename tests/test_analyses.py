@@ -72,6 +72,14 @@ def test_passive(spark):
     assert 60 < g["passive_percentage"] < 70
 
 
+@pytest.mark.parametrize("pad", range(4))
+@pytest.mark.parametrize("tail", ["é", "€", "𝄞", "\ufffd"])
+def test_long_sticky_sentences_end_with_a_whole_character(spark, pad, tail):
+    text = "x" * pad + "the of and to in is it that " * 3 + "the of " + tail * 9 + "."
+    (r,) = one(spark, text, lambda s: S.sticky("text", s))["sticky_sentences"]
+    assert r["text"] == text.encode()[:100].decode(errors="ignore") + "..."
+
+
 @pytest.mark.parametrize(("text", "kind"), [
     ("It were a long road.", "SubjectVerbAgreement"), ("They can't find nothing here.", "DoubleNegative"), ("Two  gaps stand here.", "DoubleSpace"), ("No end to this one", "MissingPunctuation"),
     ("She has a boat, they need a crew.", "CommaSplice"), ("It rained, and they went , but nobody minded.", "RunOnSentence"),
