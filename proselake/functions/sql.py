@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from proselake.functions.text import _MARK, split_sentences
+from proselake.functions.text import _MARK, batches, split_sentences
 
 _TRIMMED = r'regexp_replace({x}, R"(?U)^\s+|\s+$", "")'
 _WORDS = rf'''array_remove(split(lower(regexp_replace(coalesce(text, ""), R"(?U)(?<!\S){_MARK}+|{_MARK}+(?!\S)", "")), R"(?U)\s+"), "")'''
@@ -42,6 +42,7 @@ def register(spark: SparkSession, vocabulary: list[str] | None = None) -> None:
     from proselake.functions.text import split_text
     from proselake.operators import documents as D
 
+    batches(spark)
     for name, (given, kind, body) in _SCALARS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({given}) RETURNS {kind} RETURN {body}")
     for name, (columns, body) in _TABLES.items():
