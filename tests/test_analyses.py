@@ -41,6 +41,15 @@ def test_sentences_against_sql(seed):
     assert sorted(got) == sorted((i, k + 1, s, line) for i, t in enumerate(texts) for k, (s, line) in enumerate(split_sentences(t)))
 
 
+@pytest.mark.parametrize(("lengths", "deviation", "variety"), [
+    ((14, 3, 17, 20, 4, 15, 20, 16, 9, 13), 5.7, 2.9), ((14, 11, 7, 27, 20, 2, 24, 28, 1, 15), 9.3, 4.7), ((1, 1, 8, 8), 3.5, 1.8), ((4,), 0.0, 0.0),
+])
+def test_deviation_at_halves(spark, lengths, deviation, variety):
+    text = " ".join(" ".join(["Row", *["row"] * (n - 1)]) + "." for n in lengths)
+    r = one(spark, text, S.sentence_length)
+    assert (r["std_deviation"], r["variety_score"], r["shortest"], r["longest"]) == (deviation, variety, min(lengths), max(lengths))
+
+
 def test_sentence_lines():
     assert [line for _, line in split_sentences("Rain fell.\n\nIt stopped on line three.\n\nLine five was dry.")] == [1, 3, 5]
 
