@@ -5,6 +5,7 @@ import sys
 
 from pyspark.sql import functions as F
 
+from proselake.functions import letters
 from proselake.functions import text as T
 from proselake.operators import dictionary as D
 from proselake.operators import words as W
@@ -67,3 +68,54 @@ def test_consistency_of_texts_with_one_side(spark):
     d = spark.createDataFrame([(1, f"{us} {uk}"), (2, f"{us}x {uk}"), (3, us), (4, None)], "doc_id int, text string")
     assert [r["n"] for r in d.select(W.consistency()["total_issues"].alias("n")).collect()] == [1, 0, 0, 0]
     assert [r["n"] for r in d.select(W.consistency("text", "en-us")["total_issues"].alias("n")).collect()] == [2, 1, 0, 0]
+
+
+#: Edges of all kinds: marks, letter numbers, circled letters, vowel signs, digits, what only Python takes for white space.
+_EDGES = ["", "", "", ".", ",", "\"", "'", "-", "…", "Ⅷ", "ⓐ", "ा", "\u0301", "3", "½", "\x1c", "(", "ß", "İ", "Σ", "𝄞"]
+
+
+def _odd_texts(n):
+    rng = random.Random(9)
+    word = lambda: rng.choice(_EDGES) + "".join(rng.choice("aeEyouybcdelTtnrs") for _ in range(rng.randint(0, 9))) + rng.choice(["", "le", "ed", "the"]) + rng.choice(_EDGES)
+    return [rng.choice([" ", "\n", "\u2003"]).join(word() + rng.choice(["", "", ".", "!", "\n\n"]) for _ in range(rng.randint(0, 80))) for _ in range(n)] + [None, "", " \n\n \n\n", "— –"]
+
+
+def test_counts_of_whole_texts(spark):
+    d = spark.createDataFrame(list(enumerate(_odd_texts(60))), "doc_id int, text string")
+    for known in (None, {"the": 0, "e": 7, "ῥς": 2}):
+        total = F.aggregate(F.transform(T.bare_tokens("text"), lambda w: T.syllables(w, known)), F.lit(0), lambda a, x: a + x).cast("long")  # noqa: B023
+        rows = d.select("text", F.size(T.tokens("text")).alias("n"), total.alias("y"), T.text_counts(known)("text").alias("got")).collect()
+        for r in rows:
+            assert tuple(r["got"]) == (r["n"], r["y"], len(T.split_sentences(r["text"] or ""))), r["text"]
+    rows = d.select(T.words("text").alias("w"), T.word_and_glue_counts("text").alias("got"), T.text_counts(cut=False)("text")["sentences"].alias("m")).collect()
+    assert [tuple(r["got"]) for r in rows] == [(len(r["w"]), sum(w in W.lex.GLUE for w in r["w"])) for r in rows] and {r["m"] for r in rows} == {None}
+
+
+def test_counts_of_paragraphs(spark):
+    d = spark.createDataFrame(list(enumerate(_odd_texts(60))), "doc_id int, text string")
+    each = F.transform(T.paragraphs("text"), lambda p: F.struct(p.alias("p"), F.size(T.words(p)).alias("w"), F.aggregate(F.transform(T.words(p), lambda w: T.syllables(w)), F.lit(0), lambda a, x: a + x).alias("y")))
+    some = False
+    for r in d.select(each.alias("want"), T.paragraph_counts(None, 8, 1.5)("text").alias("got")).collect():
+        for k, (x, p) in enumerate(zip(r["want"], r["got"], strict=True), 1):
+            dense = x["w"] > 8 and x["y"] / x["w"] > 1.5
+            some = some or dense
+            assert tuple(p) == (k, len(T.split_sentences(x["p"])) if dense else None, x["w"], x["y"])
+    assert some
+
+
+def test_readability_takes_one_pass(spark):
+    from proselake.operators import sentences as S
+
+    d = spark.createDataFrame([(1, "Rows of boats lay idle. Nobody waited there."), (2, ""), (3, None)], "doc_id int, text string")
+    d = d.select("doc_id", S.readability(F.col("text"), None, 12.0).alias("a"), S.readability(F.col("text"), T.split_text("text"), 12.0).alias("b"))
+    assert all(r["a"] == r["b"] for r in d.collect())
+    # texts go to a worker as they stand, and only counts come back
+    plan = d.select("a")._jdf.queryExecution().executedPlan().toString()
+    assert "split_text" not in plan and "regexp_replace" not in plan
+
+
+def test_estimates_of_whole_texts():
+    texts = [t for t in _odd_texts(3000) if t] + ["Tree .le e.le (ale) led 'ed. x. -- 7 shh a.e", "Être élevé né…", "e" * 9, "İe ile", "d..e..ed ne"]
+    for text in texts:
+        want = sum(map(T.estimate, filter(None, map(letters.bare, T.pieces(text)))))
+        assert letters.estimated_sum(text) == (None if "İ" in text else want), text
