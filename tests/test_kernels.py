@@ -3,12 +3,14 @@
 import random
 import sys
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from proselake.functions import letters
 from proselake.functions import text as T
 from proselake.operators import dictionary as D
 from proselake.operators import words as W
+from proselake.plans import queries as Q
 from proselake.plans.analyze import analyze
 
 
@@ -47,6 +49,31 @@ def test_batches_are_bounded(spark):
         spark.conf.set(n, x)
 
 
+def test_workers_of_queries_hold_one_bounded_batch(spark, tmp_path):
+    def batch(texts: pa.Array) -> pa.Array:
+        n = pa.array([len(texts)] * len(texts), pa.int64())
+        return pa.StructArray.from_arrays([n, pa.array([texts.nbytes] * len(texts), pa.int64())], ["rows", "bytes"])
+
+    names = [f"spark.sql.execution.arrow.{n}" for n in ("maxRecordsPerBatch", "maxBytesPerBatch")]
+    before = [spark.conf.get(n) for n in names]
+    long = "The barn was built. " * 5000
+    d = spark.createDataFrame([(i, long if i < 48 else "It was lit.", "en", "a") for i in range(1280)], "doc_id long, text string, lang string, source string")
+    d.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    task = spark.read.parquet(f"{tmp_path}/documents.parquet").coalesce(1)
+    for query in (Q.grammar, Q.grammar_issues, Q.passive_voice, Q.passive_voice_strict, Q.style):
+        for n in names:
+            spark.conf.unset(n)
+        made = query(spark, str(tmp_path))
+        most = task.select(F.arrow_udf(batch, "struct<rows:bigint,bytes:bigint>")("text").alias("b")).agg(F.max("b.rows").alias("rows"), F.max("b.bytes").alias("bytes")).first()
+        # the last row of a batch may pass the bound
+        assert most["rows"] == T.BATCH_ROWS and 0 < most["bytes"] <= T.BATCH_BYTES + 2 * len(long), query
+        if query is Q.grammar:
+            got = made.where("doc_id >= 40").agg(F.count("*"), F.max("sentence_count"), F.max("passive_count"), F.min("passive_count")).first()
+            assert got[0] == 1240 and got[1] > 5000 and got[2] >= 5000 and got[3] >= 1
+    for n, x in zip(names, before, strict=True):
+        spark.conf.set(n, x)
+
+
 def test_only_words_of_the_dictionary_move(spark):
     d = spark.createDataFrame([(1, "the barn stood"), (2, "the mill"), (3, None)], "doc_id int, text string")
     table = spark.createDataFrame([("the", 4), ("mill", 1), ("absent", 9)], "word string, syllables int")
