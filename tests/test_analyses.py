@@ -50,6 +50,19 @@ def test_deviation_at_halves(spark, lengths, deviation, variety):
     assert (r["std_deviation"], r["variety_score"], r["shortest"], r["longest"]) == (deviation, variety, min(lengths), max(lengths))
 
 
+def test_deviation_of_reports_in_turn(spark, tmp_path):
+    """The registered query moves its deviation with each sentence, as `stddev_pop` does over the sentences in their order."""
+    # lengths without the sentences that the query adds by the document's id; all of these have halves
+    own = {8: (1, 2, 5, 12), 6: (13, 20, 11, 2, 2, 13, 4), 2: (2, 8, 14, 12, 4, 10, 10, 17, 32, 16, 6, 6, 4, 3), 3: (4,)}
+    added = {8: (5, 9, 5, 9), 6: (3, 8, 5), 2: (6, 6), 3: (4, 4)}
+    rows = [(i, " ".join(" ".join(["Row", *["row"] * (n - 1)]) + "." for n in k), "en", "s") for i, k in own.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in Q.sentence_reports(spark, str(tmp_path)).collect()}
+    for i, k in own.items():
+        want = duckdb.sql(f"SELECT round(sd * 10) / 10, round(least(sd / 2, 10.0::DOUBLE) * 10) / 10 FROM (SELECT stddev_pop(n ORDER BY i) AS sd FROM (SELECT unnest(k) AS n, generate_subscripts(k, 1) AS i FROM (SELECT {[*k, *added[i]]} AS k)))").fetchall()[0]
+        assert (got[i]["n_sentences"], got[i]["std_deviation"], got[i]["variety_score"]) == (len(k) + len(added[i]), *want)
+
+
 def test_sentence_lines():
     assert [line for _, line in split_sentences("Rain fell.\n\nIt stopped on line three.\n\nLine five was dry.")] == [1, 3, 5]
 
