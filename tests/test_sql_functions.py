@@ -2,12 +2,14 @@
 
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from proselake.functions import text as T
 from proselake.functions.sql import register
 from proselake.operators import documents as D
+from proselake.plans import queries as Q
 
 
 @pytest.fixture(scope="module")
@@ -38,3 +40,15 @@ def test_tables(spark, docs):
 def test_plans(spark, docs, call, column):
     plan = lambda df: re.sub(r"#\d+|lambda \w+|x_\d+", "", df._jdf.queryExecution().optimizedPlan().toString())
     assert plan(spark.sql(f"SELECT {call} AS c FROM {{d}}", d=docs)) == plan(docs.select(getattr(T, column)("text").alias("c")))
+
+
+def test_texts_without_words(spark, tmp_path):
+    """They have no last word; the registered query gives them a row as its SQL does."""
+    texts = ["", " \n\n \t", "** !!", "?\n...\n(*)", "\u00a0", "A.", "The mill.\n\nIt runs -- on\nwater."]
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = Q.sql_kernels(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(con.sql(Q.SQL["sql_kernels"]).fetchall())
+    assert {r["doc_id"] for r in got if r["last_md5"] is None} == {0, 1, 2, 3, 4}
